@@ -34,113 +34,225 @@ def finite_or_zero(c: Column) -> Column:
 # ---------------------------------------------------------------- quantiles
 
 def _as_double(c: str) -> Column:
-    return F.col(c).cast("double")
+    return F.col(f"`{c}`").cast("double")
 
 
-def quantiles(df: DataFrame, cols: list[str], probs: list[float], counts: dict | None = None,
-              exact: bool = True, direct_max_rows: int = 4_000_000,
-              accuracy: int = 10_000) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles (pandas / DuckDB quantile_cont definition).
+def basic_stats(df: DataFrame, cols: list[str]) -> dict:
+    """One code-generated aggregate pass: rows, and per column count / sum / min / max."""
+    aggs = [F.count(F.lit(1)).alias("__rows")]
+    for i, c in enumerate(cols):
+        x = _as_double(c)
+        aggs += [F.count(x).alias(f"n{i}"), F.sum(x).alias(f"s{i}"),
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    row = df.agg(*aggs).first()
+    out = {"__rows": row["__rows"]}
+    for i, c in enumerate(cols):
+        n = row[f"n{i}"]
+        out[c] = {"n": n, "sum": row[f"s{i}"], "min": row[f"lo{i}"], "max": row[f"hi{i}"],
+                  "mean": (row[f"s{i}"] / n) if n else None}
+    return out
 
-    exact=False: one percentile_approx pass.
-    exact=True: columns with at most ``direct_max_rows`` non-null values use Spark's exact
-    ``percentile``; larger columns are bracketed with percentile_approx and the bracket is
-    refined until it holds at most ``direct_max_rows`` values, so no single task ever
-    holds more than that many distinct values.  Result is small (cols x probs).
-    """
-    if not cols:
+
+def freq_stats(freq: DataFrame, cols: list[str], rows_total: int) -> dict:
+    """basic_stats computed from a value-frequency table (column, value, n)."""
+    x = F.col("value").cast("double")
+    res = {r["column"]: r for r in freq.filter(F.col("column").isin(cols)).groupBy("column").agg(
+        F.sum("n").alias("n"), F.sum(x * F.col("n")).alias("s"), F.min(x).alias("lo"),
+        F.max(x).alias("hi")).collect()}
+    out = {"__rows": rows_total}
+    for c in cols:
+        r = res.get(c)
+        n = r["n"] if r else 0
+        out[c] = {"n": n, "sum": r["s"] if r else None, "min": r["lo"] if r else None,
+                  "max": r["hi"] if r else None, "mean": (r["s"] / n) if n else None}
+    return out
+
+
+def freq_central_sums(freq: DataFrame, cols: list[str], means: dict, fences: dict | None = None) -> dict:
+    """central_sums (and optional fence-outlier counts) from a value-frequency table."""
+    x = F.col("value").cast("double")
+    mean = F.lit(None).cast("double")
+    for c in cols:
+        mean = F.when(F.col("column") == c, F.lit(means[c] if means[c] is not None else 0.0)).otherwise(mean)
+    d = x - mean
+    d2 = d * d
+    w = F.col("n")
+    aggs = [F.sum(w * d2).alias("m2"), F.sum(w * d2 * d).alias("m3"), F.sum(w * d2 * d2).alias("m4")]
+    if fences:
+        lo = hi = F.lit(None).cast("double")
+        for c, (a, b) in fences.items():
+            lo = F.when(F.col("column") == c, F.lit(a)).otherwise(lo)
+            hi = F.when(F.col("column") == c, F.lit(b)).otherwise(hi)
+        aggs.append(F.sum(F.when((x < lo) | (x > hi), w).otherwise(F.lit(0))).alias("out"))
+    rows = {r["column"]: r for r in
+            freq.filter(F.col("column").isin(cols)).groupBy("column").agg(*aggs).collect()}
+    out = {}
+    for i, c in enumerate(cols):
+        r = rows.get(c)
+        out[f"m2_{i}"] = r["m2"] if r else None
+        out[f"m3_{i}"] = r["m3"] if r else None
+        out[f"m4_{i}"] = r["m4"] if r else None
+        if fences:
+            out[f"out_{c}"] = r["out"] if r else 0
+    return out
+
+
+def central_sums(df: DataFrame, cols: list[str], means: dict, extra: list[Column] = ()) -> dict:
+    """Second pass: sums of (x - mean)^2, ^3, ^4 (the two-pass moment algorithm) plus any
+    extra aggregates the caller fuses into the same scan."""
+    aggs = list(extra)
+    for i, c in enumerate(cols):
+        d = _as_double(c) - F.lit(means[c] if means[c] is not None else 0.0)
+        d2 = d * d
+        aggs += [F.sum(d2).alias(f"m2_{i}"), F.sum(d2 * d).alias(f"m3_{i}"),
+                 F.sum(d2 * d2).alias(f"m4_{i}")]
+    if not aggs:
         return {}
-    if not exact:
-        row = df.agg(*[F.percentile_approx(_as_double(c), probs, accuracy).alias(c)
-                       for c in cols]).first()
-        return {c: (list(row[c]) if row[c] is not None else [None] * len(probs)) for c in cols}
-    if counts is None:
-        row = df.agg(*[F.count(c).alias(c) for c in cols]).first()
-        counts = row.asDict()
-    small = [c for c in cols if counts[c] <= direct_max_rows]
-    big = [c for c in cols if counts[c] > direct_max_rows]
-    out: dict[str, list] = {}
-    if small:
-        row = df.agg(*[F.percentile(_as_double(c), probs).alias(c) for c in small]).first()
-        for c in small:
-            out[c] = list(row[c]) if row[c] is not None else [None] * len(probs)
-    if big:
-        out.update(_refined_quantiles(df, big, probs, counts, accuracy, direct_max_rows))
+    return df.agg(*aggs).first().asDict()
+
+
+def moments_from_sums(n, m2, m3, m4) -> dict:
+    """var/sd (ddof 1) and bias-corrected skewness / excess kurtosis (pandas convention)."""
+    out = {"var": None, "sd": None, "skew": None, "kurt": None}
+    if not n or m2 is None:
+        return out
+    if n >= 2:
+        out["var"] = m2 / (n - 1)
+        out["sd"] = math.sqrt(out["var"])
+    if m2 <= 0:
+        return out
+    p2 = m2 / n
+    if n >= 3:
+        g1 = (m3 / n) / p2 ** 1.5
+        out["skew"] = g1 * math.sqrt(n * (n - 1)) / (n - 2)
+    if n >= 4:
+        g2 = (m4 / n) / (p2 * p2) - 3.0
+        out["kurt"] = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
     return out
 
 
-def _refined_quantiles(df, cols, probs, counts, accuracy, final_max):
-    """Exact order statistics by iterative bracketing (selection on a cluster).
+def quantiles(df: DataFrame, cols: list[str], probs: list[float], stats: dict | None = None,
+              exact: bool = True, buckets: int = 2048, gather_max: int = 4096,
+              accuracy: int = 10_000, freq: DataFrame | None = None) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``).
 
-    For each needed rank k: percentile_approx over the current bracket gives values whose
-    rank is within m/accuracy of the requested fraction, so fractions k'/m -+ 2/accuracy
-    bracket rank k' with certainty. Each round is two aggregate passes over the column
-    set; the bracket shrinks by ~accuracy/4 per round."""
-    eps = 1.0 / accuracy
+    exact=False: one ``percentile_approx`` pass.
+    exact=True: selection by histogram refinement. Values are unpivoted once; each round
+    counts them per (cell, equal-width bucket) with count/min/max -- plain code-generated
+    aggregates with map-side combine and a shuffle of at most cells x buckets rows. The
+    bucket holding each wanted rank becomes the next cell ([its min, its max], so bucket
+    membership is exact despite floating point). Cells with at most ``gather_max`` values
+    are finished by counting their distinct values. Memory per task is bounded by
+    buckets / gather_max whatever the data size; rounds grow with log_buckets(n).
+
+    ``freq`` (column, value, n) -- a value-frequency table -- may replace the raw rows; the
+    rounds then run over the (usually much smaller, cached) frequency table with weights.
+    """
+    if not cols:
+        return {}
+    if not exact:
+        row = df.agg(*[F.percentile_approx(_as_double(c), probs, accuracy).alias(f"q{i}")
+                       for i, c in enumerate(cols)]).first()
+        return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
+                for i, c in enumerate(cols)}
+    if stats is None:
+        stats = basic_stats(df, cols)
     targets = []
     for c in cols:
-        n = counts[c]
+        n = stats[c]["n"]
+        if not n:
+            continue
         for p in probs:
-            h = (n - 1) * p
-            lo = int(math.floor(h))
-            targets.append((c, lo))
-            targets.append((c, min(lo + 1, n - 1)))
+            lo = int(math.floor((n - 1) * p))
+            targets += [(c, lo), (c, min(lo + 1, n - 1))]
     targets = sorted(set(targets))
-    state = {t: {"L": None, "U": None, "below": 0, "m": counts[t[0]]} for t in targets}
-
-    def in_bracket(x, st):
-        cond = x.isNotNull()
-        if st["L"] is not None:
-            cond = cond & (x >= F.lit(st["L"]))
-        if st["U"] is not None:
-            cond = cond & (x <= F.lit(st["U"]))
-        return cond
-
-    for _ in range(8):
-        active = [t for t in targets if state[t]["m"] > final_max]
-        if not active:
+    st = {}
+    for t in targets:
+        s = stats[t[0]]
+        st[t] = {"a": s["min"], "b": s["max"], "below": 0, "m": s["n"],
+                 "value": s["min"] if s["min"] == s["max"] else None}
+    if freq is not None:
+        long = (freq.filter(F.col("column").isin(cols))
+                .select("column", F.col("value").cast("double").alias("x"), F.col("n").alias("w")))
+    else:
+        long = (df.select(*[_as_double(c).alias(c) for c in cols])
+                .unpivot([], cols, "column", "x").filter(F.col("x").isNotNull())
+                .withColumn("w", F.lit(1).cast("long")))
+
+    def cell_exprs(cells):
+        cid = None
+        a_e = b_e = None
+        for i, (c, a, b) in enumerate(cells):
+            cond = (F.col("column") == c) & (F.col("x") >= F.lit(a)) & (F.col("x") <= F.lit(b))
+            cid = (F.when(cond, F.lit(i)) if cid is None else cid.when(cond, F.lit(i)))
+            a_e = (F.when(cond, F.lit(a)) if a_e is None else a_e.when(cond, F.lit(a)))
+            b_e = (F.when(cond, F.lit(b)) if b_e is None else b_e.when(cond, F.lit(b)))
+        return cid, a_e, b_e
+
+    for _ in range(64):
+        pending = [t for t in targets if st[t]["value"] is None and st[t]["m"] > gather_max]
+        if not pending:
             break
-        exprs = []
-        for i, (c, k) in enumerate(active):
-            st = state[(c, k)]
-            kk, m = k - st["below"], st["m"]
-            flo = max(0.0, (kk - 2 * eps * m - 1) / m)
-            fhi = min(1.0, (kk + 2 * eps * m + 1) / m)
-            x = _as_double(c)
-            exprs.append(F.percentile_approx(F.when(in_bracket(x, st), x), [flo, fhi], accuracy)
-                         .alias(f"t{i}"))
-        row = df.agg(*exprs).first()
-        cexprs, bounds = [], []
-        for i, (c, k) in enumerate(active):
-            lo_v, hi_v = row[f"t{i}"]
-            bounds.append((lo_v, hi_v))
-            x = _as_double(c)
-            cexprs.append(F.count_if(x < F.lit(lo_v)).alias(f"b{i}"))
-            cexprs.append(F.count_if((x >= F.lit(lo_v)) & (x <= F.lit(hi_v))).alias(f"m{i}"))
-        row2 = df.agg(*cexprs).first()
-        for i, t in enumerate(active):
-            state[t] = {"L": bounds[i][0], "U": bounds[i][1],
-                        "below": row2[f"b{i}"], "m": row2[f"m{i}"]}
-
-    exprs = []
-    for i, (c, k) in enumerate(targets):
-        st = state[(c, k)]
-        kk, m = k - st["below"], st["m"]
-        frac = 0.0 if m <= 1 else kk / (m - 1)
-        x = _as_double(c)
-        exprs.append(F.percentile(F.when(in_bracket(x, st), x), min(max(frac, 0.0), 1.0))
-                     .alias(f"o{i}"))
-    row = df.agg(*exprs).first()
-    order_stat = {t: row[f"o{i}"] for i, t in enumerate(targets)}
+        cells = sorted({(t[0], st[t]["a"], st[t]["b"]) for t in pending})
+        cid, a_e, b_e = cell_exprs(cells)
+        bucket = F.least(F.floor((F.col("x") - a_e) / (b_e - a_e) * F.lit(buckets)),
+                         F.lit(buckets - 1)).cast("int")
+        rows = (long.select(cid.alias("cell"), bucket.alias("bucket"), "x", "w")
+                .filter(F.col("cell").isNotNull())
+                .groupBy("cell", "bucket")
+                .agg(F.sum("w").alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"))
+                .collect())
+        per_cell: dict[int, list] = {}
+        for r in rows:
+            per_cell.setdefault(r["cell"], []).append((r["bucket"], r["n"], r["mn"], r["mx"]))
+        for i, (c, a, b) in enumerate(cells):
+            bk = sorted(per_cell.get(i, []))
+            for t in pending:
+                if (t[0], st[t]["a"], st[t]["b"]) != (c, a, b):
+                    continue
+                kk = t[1] - st[t]["below"]
+                acc = 0
+                for _, cnt, mn, mx in bk:
+                    if acc + cnt > kk:
+                        st[t] = {"a": mn, "b": mx, "below": st[t]["below"] + acc, "m": cnt,
+                                 "value": mn if mn == mx else None}
+                        break
+                    acc += cnt
+    rest = [t for t in targets if st[t]["value"] is None]
+    if rest:
+        cells = sorted({(t[0], st[t]["a"], st[t]["b"]) for t in rest})
+        cid, _, _ = cell_exprs(cells)
+        rows = (long.select(cid.alias("cell"), "x", "w").filter(F.col("cell").isNotNull())
+                .groupBy("cell", "x").agg(F.sum("w").alias("n")).collect())
+        per_cell = {}
+        for r in rows:
+            per_cell.setdefault(r["cell"], []).append((r["x"], r["n"]))
+        for i, cell in enumerate(cells):
+            vals = sorted(per_cell.get(i, []))
+            for t in rest:
+                if (t[0], st[t]["a"], st[t]["b"]) != cell:
+                    continue
+                kk = t[1] - st[t]["below"]
+                acc = 0
+                for v, cnt in vals:
+                    if acc + cnt > kk:
+                        st[t]["value"] = v
+                        break
+                    acc += cnt
     out = {}
     for c in cols:
-        n = counts[c]
+        n = stats[c]["n"]
+        if not n:
+            out[c] = [None] * len(probs)
+            continue
         vals = []
         for p in probs:
             h = (n - 1) * p
             lo = int(math.floor(h))
-            a, b = order_stat[(c, lo)], order_stat[(c, min(lo + 1, n - 1))]
-            vals.append(a + (h - lo) * (b - a))
+            a = st[(c, lo)]["value"]
+            b = st[(c, min(lo + 1, n - 1))]["value"]
+            d = h - lo
+            vals.append(a * (1.0 - d) + b * d)
         out[c] = vals
     return out
 

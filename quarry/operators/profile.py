@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.stats import quantiles, sample_kurtosis, sample_skewness
+from quarry.functions.stats import (basic_stats, central_sums, freq_central_sums, freq_stats,
+                                    moments_from_sums, quantiles)
 from quarry.operators.schema import (CATEGORICAL, NUMERIC, TEMPORAL, categorical_columns,
                                      column_kinds, numeric_columns)
 
@@ -60,25 +61,6 @@ def top_k_per_column(vf: DataFrame, k: int, rank_col: str = "rank") -> DataFrame
 # ---------------------------------------------------------------- U1 / U2 / U5
 
 
-def _moments(df: DataFrame, cols: list[str]):
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"),
-                 F.stddev_samp(x).alias(f"sd{i}"), F.var_samp(x).alias(f"var{i}"),
-                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
-                 F.skewness(x).alias(f"g1_{i}"), F.kurtosis(x).alias(f"g2_{i}")]
-    return df.agg(*aggs).first()
-
-
-def _corrected(g, n, kind):
-    if g is None or n is None:
-        return None
-    if kind == "skew":
-        return g * math.sqrt(n * (n - 1)) / (n - 2) if n >= 3 else None
-    return (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g + 6) if n >= 4 else None
-
-
 NUMERIC_SUMMARY_SCHEMA = T.StructType([
     T.StructField("column", T.StringType()), T.StructField("ordinal", T.LongType()),
     T.StructField("count", T.LongType()), T.StructField("missing", T.LongType()),
@@ -96,49 +78,60 @@ NUMERIC_SUMMARY_SCHEMA = T.StructType([
 
 def numeric_stats(df: DataFrame, cols: list[str] | None = None, exact: bool = True,
                   with_mode: bool = True, with_outliers: bool = True) -> list[dict]:
-    """U1 + U2 + U5 as a list of small dicts (one per column with >= 2 values)."""
+    """U1 + U2 + U5 as a list of small dicts (one per column with >= 2 values).
+
+    with_mode: the exact mode needs every distinct value counted, so the raw rows are
+    aggregated once into value_freq (map-side combined, persisted) and every other
+    statistic -- counts, sums, extrema, quantile refinement, central moments, fence
+    outliers -- is a weighted aggregate over that table.
+    without mode: count/sum/min/max scan -> quantile refinement -> one scan for central
+    moments fused with the outlier count. All aggregates are code-generated."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     if not cols:
         return []
-    row = _moments(df, cols)
-    rows_total = row["__rows"]
-    counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
-    keep = [c for c in cols if counts[c] >= 2]
-    q = quantiles(df, keep, [0.25, 0.5, 0.75], counts=counts, exact=exact)
-    modes = {}
-    if with_mode and keep:
-        modes = {r["column"]: r["mode"] for r in
-                 mode_per_column(value_freq(df, keep, "double")).collect()}
+    vf = None
+    if with_mode:
+        vf = value_freq(df, cols, "double").persist()
+        rows_total = df.count()
+        bs = freq_stats(vf, cols, rows_total)
+    else:
+        bs = basic_stats(df, cols)
+        rows_total = bs["__rows"]
+    keep = [c for c in cols if bs[c]["n"] >= 2]
+    q = quantiles(df, keep, [0.25, 0.5, 0.75], stats=bs, exact=exact, freq=vf)
+    fences = {}
+    extra = []
+    for c in keep:
+        q1, _, q3 = q[c]
+        fences[c] = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
+        if with_outliers and vf is None:
+            x = F.col(f"`{c}`").cast("double")
+            extra.append(F.count_if((x < F.lit(fences[c][0])) | (x > F.lit(fences[c][1])))
+                         .alias(f"out_{c}"))
+    means = {c: bs[c]["mean"] for c in keep}
+    if vf is not None:
+        cs = freq_central_sums(vf, keep, means, fences if with_outliers else None)
+        modes = {r["column"]: r["mode"] for r in mode_per_column(vf.filter(F.col("column").isin(keep))).collect()}
+        vf.unpersist()
+    else:
+        cs = central_sums(df, keep, means, extra)
+        modes = {}
     stats = []
-    for i, c in enumerate(cols):
-        n = counts[c]
-        if n < 2:
-            continue
+    for i, c in enumerate(keep):
+        n = bs[c]["n"]
+        mom = moments_from_sums(n, cs[f"m2_{i}"], cs[f"m3_{i}"], cs[f"m4_{i}"])
         q1, med, q3 = q[c]
-        iqr = q3 - q1
-        mean = row[f"mean{i}"]
-        sd = row[f"sd{i}"]
+        mean, sd = bs[c]["mean"], mom["sd"]
         cv = (sd / (abs(mean) + 1e-6)) if (mean not in (None, 0) and sd is not None) else 0.0
         stats.append({
-            "column": c, "ordinal": i, "count": n, "missing": rows_total - n,
+            "column": c, "ordinal": cols.index(c), "count": n, "missing": rows_total - n,
             "missing_pct": 100.0 * (rows_total - n) / rows_total if rows_total else 0.0,
-            "mean": mean, "median": med, "mode": modes.get(c), "std": sd,
-            "var": row[f"var{i}"], "min": row[f"min{i}"], "max": row[f"max{i}"],
-            "q1": q1, "q3": q3, "iqr": iqr,
-            "skew": _corrected(row[f"g1_{i}"], n, "skew"),
-            "kurtosis": _corrected(row[f"g2_{i}"], n, "kurt"),
-            "cv": cv, "outliers": None,
-            "lower_fence": q1 - 1.5 * iqr, "upper_fence": q3 + 1.5 * iqr,
+            "mean": mean, "median": med, "mode": modes.get(c), "std": sd, "var": mom["var"],
+            "min": bs[c]["min"], "max": bs[c]["max"], "q1": q1, "q3": q3, "iqr": q3 - q1,
+            "skew": mom["skew"], "kurtosis": mom["kurt"], "cv": cv,
+            "outliers": cs.get(f"out_{c}") if with_outliers else None,
+            "lower_fence": fences[c][0], "upper_fence": fences[c][1],
         })
-    if with_outliers and stats:
-        aggs = []
-        for s in stats:
-            x = F.col(s["column"]).cast("double")
-            aggs.append(F.count_if((x < F.lit(s["lower_fence"])) | (x > F.lit(s["upper_fence"])))
-                        .alias(s["column"]))
-        orow = df.agg(*aggs).first()
-        for s in stats:
-            s["outliers"] = orow[s["column"]]
     return stats
 
 
@@ -323,34 +316,26 @@ def column_profile(df: DataFrame, stage: str = "raw", exact: bool = True) -> Dat
     kinds = column_kinds(df)
     cols = [c for c, _ in kinds]
     nums = [c for c, k in kinds if k == NUMERIC]
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for i, c in enumerate(cols):
-        aggs.append(F.count(c).alias(f"n{i}"))
-    for i, c in enumerate(cols):
-        if c in nums:
-            x = F.col(c).cast("double")
-            aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"sd{i}"),
-                     F.var_samp(x).alias(f"var{i}"), F.min(x).alias(f"min{i}"),
-                     F.max(x).alias(f"max{i}"), F.skewness(x).alias(f"g1_{i}"),
-                     F.kurtosis(x).alias(f"g2_{i}")]
-    row = df.agg(*aggs).first()
-    rows = row["__rows"]
-    counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
-    q = quantiles(df, [c for c in nums if counts[c] > 0], [0.25, 0.5, 0.75], counts=counts,
-                  exact=exact)
+    crow = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)],
+                  F.count(F.lit(1)).alias("__rows")).first()
+    rows = crow["__rows"]
+    bs = basic_stats(df, nums) if nums else {"__rows": rows}
+    q = quantiles(df, [c for c in nums if bs[c]["n"] > 0], [0.25, 0.5, 0.75], stats=bs, exact=exact)
+    cs = central_sums(df, nums, {c: bs[c]["mean"] for c in nums})
     distinct = {r["column"]: r["d"] for r in
                 value_freq(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
     data = []
     for i, (c, k) in enumerate(kinds):
-        n = counts[c]
-        num = c in nums
-        qq = q.get(c, [None, None, None])
-        data.append((stage, c, i, k, theme_of(c), n, rows - n, distinct.get(c, 0),
-                     row[f"mean{i}"] if num else None, row[f"sd{i}"] if num else None,
-                     row[f"var{i}"] if num else None, row[f"min{i}"] if num else None,
-                     row[f"max{i}"] if num else None, qq[0], qq[1], qq[2],
-                     _corrected(row[f"g1_{i}"], n, "skew") if num else None,
-                     _corrected(row[f"g2_{i}"], n, "kurt") if num else None))
+        n = crow[f"n{i}"]
+        if c in nums:
+            j = nums.index(c)
+            mom = moments_from_sums(n, cs[f"m2_{j}"], cs[f"m3_{j}"], cs[f"m4_{j}"])
+            qq = q.get(c, [None, None, None])
+            num_part = (bs[c]["mean"], mom["sd"], mom["var"], bs[c]["min"], bs[c]["max"],
+                        qq[0], qq[1], qq[2], mom["skew"], mom["kurt"])
+        else:
+            num_part = (None,) * 10
+        data.append((stage, c, i, k, theme_of(c), n, rows - n, distinct.get(c, 0)) + num_part)
     return spark.createDataFrame(
         data, "stage string, column string, ordinal long, kind string, theme string, n long, "
               "n_null long, n_distinct long, mean double, sd double, var double, min double, "
