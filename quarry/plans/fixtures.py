@@ -209,4 +209,7 @@ def with_views(sql: str, *views: str) -> str:
     if not views:
         return sql
     ctes = ",\n".join(f"{v} AS ({SQL[v]})" for v in views)
+    body = sql.lstrip()
+    if body[:4].upper() == "WITH":
+        return f"WITH {ctes},\n{body[4:]}"
     return f"WITH {ctes}\n{sql}"
