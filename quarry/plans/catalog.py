@@ -4,6 +4,7 @@ from quarry.plans import common
 from quarry.plans import profile_queries  # noqa: F401
 from quarry.plans import relate_queries  # noqa: F401
 from quarry.plans import clean_queries  # noqa: F401
+from quarry.plans import forge_queries  # noqa: F401
 
 QUERIES = common.QUERIES
 ORACLE = common.ORACLE
