@@ -343,6 +343,8 @@ def forge_features(df: DataFrame, as_of: str = "2025-01-01", target: str | None
     out, report["interactions"] = interaction_features(out, best)
     out, report["aggregations"] = group_mean_features(out, nums0, cats0)
     out, report["encoding"] = encode_categoricals(out, cats0)
+    # the later steps each aggregate over this frame: materialise it once
+    out = out.persist()
     out, report["log"] = log_transforms(out, nums0)
     plan = scaling_plan(out, nums0)
     out = apply_scaling(out, plan)
