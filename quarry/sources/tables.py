@@ -25,3 +25,11 @@ def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     for n in names:
         if os.path.exists(table_path(sf_dir, n)):
             load(spark, sf_dir, n).createOrReplaceTempView(n)
+
+
+def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
+    """A row key for tables without a unique business key, taken directly at the scan:
+    monotonically_increasing_id is a function of (file split, row position), both fixed
+    for a given input layout, so recomputation and task retries reproduce the same ids."""
+    from pyspark.sql import functions as F
+    return df.withColumn(name, F.monotonically_increasing_id())
