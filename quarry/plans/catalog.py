@@ -6,6 +6,7 @@ from quarry.plans import relate_queries  # noqa: F401
 from quarry.plans import clean_queries  # noqa: F401
 from quarry.plans import forge_queries  # noqa: F401
 from quarry.plans import segment_queries  # noqa: F401
+from quarry.plans import model_queries  # noqa: F401
 
 QUERIES = common.QUERIES
 ORACLE = common.ORACLE
