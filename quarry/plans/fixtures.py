@@ -213,3 +213,70 @@ def with_views(sql: str, *views: str) -> str:
     if body[:4].upper() == "WITH":
         return f"WITH {ctes},\n{body[4:]}"
     return f"WITH {ctes}\n{sql}"
+
+
+# ---------------------------------------------------------------- nested questionnaires
+
+SURVEY_BLOCK = 50
+Q_TYPES6 = ["single_choice", "multiple_choice", "text", "yes_no", "date", "number"]
+
+
+def survey_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """One survey per block of 50 parts (bounded nesting, survey count grows with the data):
+    p_brand -> categories, parts -> questions, 2 + p_size % 3 answers, type from p_size % 6."""
+    p = load(spark, sf, "part")
+    sid = F.floor(F.col("p_partkey") / SURVEY_BLOCK).cast("long")
+    qtype = F.element_at(F.array(*[F.lit(t) for t in Q_TYPES6]), (F.col("p_size") % 6 + 1).cast("int"))
+    answers = F.transform(F.sequence(F.lit(1), F.lit(2) + F.col("p_size") % 3), lambda i: F.struct(
+        F.concat(F.lit("a"), F.col("p_partkey").cast("string"), F.lit("_"), i.cast("string")).alias("answer_id"),
+        F.lit("option").alias("answer_type"),
+        F.concat(F.col("p_name"), F.lit(" #"), i.cast("string")).alias("answer_text"),
+        F.lit(None).cast("string").alias("next_question_id")))
+    question = F.struct(
+        F.concat(F.lit("q"), F.col("p_partkey").cast("string")).alias("question_id"), qtype.alias("question_type"),
+        F.concat(F.col("p_name"), F.lit(" ?")).alias("question_text"), (F.col("p_size") % 2 == 0).alias("is_required"),
+        F.lit(None).cast("string").alias("help_text"), F.lit(None).cast("string").alias("predecessor_answer_id"),
+        answers.alias("expected_answers"))
+    cats = (p.select(sid.alias("survey_id"), "p_brand", "p_partkey", question.alias("q"))
+            .groupBy("survey_id", "p_brand")
+            .agg(F.array_sort(F.collect_list(F.struct("p_partkey", "q"))).alias("qs")))
+    category = F.struct(
+        F.concat(F.col("survey_id").cast("string"), F.lit("_"), F.regexp_replace("p_brand", "#", "")).alias("category_id"),
+        F.col("p_brand").alias("category_name"), F.concat(F.lit("Marque "), F.col("p_brand")).alias("description"),
+        F.substring_index("p_brand", "#", -1).cast("int").alias("order"),
+        F.transform("qs", lambda x: x["q"]).alias("questions"))
+    surveys = (cats.select("survey_id", "p_brand", category.alias("c")).groupBy("survey_id")
+               .agg(F.array_sort(F.collect_list(F.struct("p_brand", "c"))).alias("cs")))
+    meta = F.struct(F.concat(F.lit("Enquête "), F.col("survey_id").cast("string")).alias("title"),
+                    F.lit("Introduction").alias("introduction"), F.lit("30 min").alias("survey_total_duration"),
+                    F.lit(100).alias("number_of_respondents"), F.lit(5).alias("number_of_investigators"),
+                    F.lit(1).alias("number_of_locations"))
+    loc = F.array(F.struct(F.concat(F.lit("L"), F.col("survey_id").cast("string")).alias("pcode"),
+                           F.lit("Lieu").alias("name"), F.lit("R").alias("adm1"), F.lit("D").alias("adm2"),
+                           F.lit(None).cast("string").alias("adm3"), F.lit(None).cast("double").alias("latitude"),
+                           F.lit(None).cast("double").alias("longitude")))
+    return surveys.select("survey_id", meta.alias("metadata"), F.transform("cs", lambda x: x["c"]).alias("categories"),
+                          loc.alias("locations"), F.lit("1.0").alias("version"))
+
+
+def llm_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Generated-record texts derived from the surveys: plain list, fenced list, object in
+    prose, truncated list and flat question list, by survey_id % 5."""
+    s = survey_nested(spark, sf)
+    raw_q = lambda q: F.struct(q["question_text"].alias("question_text"), q["question_type"].alias("type"),
+                               F.transform(q["expected_answers"], lambda a: a["answer_text"]).alias("options"))
+    cats = F.transform("categories", lambda c: F.struct(c["category_name"].alias("category_name"),
+                                                        F.transform(c["questions"], raw_q).alias("questions")))
+    flat = F.flatten(F.transform("categories", lambda c: F.transform(
+        c["questions"], lambda q: F.struct(q["question_text"].alias("question"), q["question_type"].alias("type"),
+                                           F.transform(q["expected_answers"], lambda a: a["answer_text"]).alias("options")))))
+    js = F.to_json(cats)
+    m = F.col("survey_id") % 5
+    text = (F.when(m == 0, js)
+            .when(m == 1, F.concat(F.lit("```json\n"), js, F.lit("\n```")))
+            .when(m == 2, F.concat(F.lit("Voici le questionnaire : "), F.to_json(F.struct(cats.alias("categories"))),
+                                   F.lit(" Bonne enquête.")))
+            .when(m == 3, F.substring(js, 1, F.length(js) - 3))
+            .otherwise(F.to_json(flat)))
+    req = F.transform("categories", lambda c: c["category_name"])
+    return s.select(F.col("survey_id").alias("response_id"), req.alias("requested_categories"), text.alias("text"))
