@@ -8,6 +8,7 @@ from quarry.plans import forge_queries  # noqa: F401
 from quarry.plans import segment_queries  # noqa: F401
 from quarry.plans import model_queries  # noqa: F401
 from quarry.plans import survey_queries  # noqa: F401
+from quarry.plans import insight_queries  # noqa: F401
 
 QUERIES = common.QUERIES
 ORACLE = common.ORACLE

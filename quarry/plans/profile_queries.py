@@ -176,10 +176,14 @@ def q_missing_profile(spark, sf):
 
 
 def _quality_sql():
+    return FX.with_views(_quality_body(), "dirty_customer")
+
+
+def _quality_body():
     seg = _clean_sql_expr("c_mktsegment")
     miss = " + ".join(f"(count(*) - count({seg if c == 'c_mktsegment' else c}))" for c in DIRTY_COLS)
     n = len(DIRTY_COLS)
-    return FX.with_views(oracle_finish(f"""
+    return oracle_finish(f"""
 SELECT nrows AS "rows", CAST({n} AS BIGINT) AS "columns", total_missing,
        100.0 * total_missing / (nrows * {n}) AS missing_pct,
        100.0 * (1 - total_missing / (nrows * {n})) AS completeness,
@@ -189,7 +193,7 @@ SELECT nrows AS "rows", CAST({n} AS BIGINT) AS "columns", total_missing,
             WHEN 100.0 * (1 - total_missing / (nrows * {n})) >= 50 THEN 'faible'
             ELSE 'critique' END AS quality
 FROM (SELECT count(*) AS nrows, CAST({miss} AS BIGINT) AS total_missing FROM dirty_customer) t""",
-        ["missing_pct", "completeness"]), "dirty_customer")
+        ["missing_pct", "completeness"])
 
 
 @register("data_quality", _quality_sql())
