@@ -53,18 +53,25 @@ def basic_stats(df: DataFrame, cols: list[str]) -> dict:
     return out
 
 
-def freq_stats(freq: DataFrame, cols: list[str], rows_total: int) -> dict:
-    """basic_stats computed from a value-frequency table (column, value, n)."""
+def freq_stats(freq: DataFrame, cols: list[str], rows_total: int | None = None) -> dict:
+    """basic_stats (plus the mode: most frequent value, ties to the smallest) computed in
+    one aggregate over a value-frequency table (column, value, n). When the table keeps
+    NULL values, the row total comes from it too."""
     x = F.col("value").cast("double")
+    nn = F.col("value").isNotNull()
     res = {r["column"]: r for r in freq.filter(F.col("column").isin(cols)).groupBy("column").agg(
-        F.sum("n").alias("n"), F.sum(x * F.col("n")).alias("s"), F.min(x).alias("lo"),
-        F.max(x).alias("hi")).collect()}
+        F.sum("n").alias("total"), F.sum(F.when(nn, F.col("n"))).alias("n"), F.sum(x * F.col("n")).alias("s"),
+        F.min(x).alias("lo"), F.max(x).alias("hi"),
+        F.min_by(x, F.when(nn, F.struct((-F.col("n")).alias("nn"), x.alias("v")))).alias("mode")).collect()}
+    if rows_total is None:
+        rows_total = max((r["total"] for r in res.values()), default=0)
     out = {"__rows": rows_total}
     for c in cols:
         r = res.get(c)
-        n = r["n"] if r else 0
+        n = (r["n"] or 0) if r else 0
         out[c] = {"n": n, "sum": r["s"] if r else None, "min": r["lo"] if r else None,
-                  "max": r["hi"] if r else None, "mean": (r["s"] / n) if n else None}
+                  "max": r["hi"] if r else None, "mean": (r["s"] / n) if n else None,
+                  "mode": r["mode"] if r else None}
     return out
 
 
@@ -172,10 +179,11 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], stats: dict |
         st[t] = {"a": s["min"], "b": s["max"], "below": 0, "m": s["n"],
                  "value": s["min"] if s["min"] == s["max"] else None}
     if freq is not None:
-        long = (freq.filter(F.col("column").isin(cols))
+        long = (freq.filter(F.col("column").isin(cols) & F.col("value").isNotNull())
                 .select("column", F.col("value").cast("double").alias("x"), F.col("n").alias("w")))
     else:
-        long = (df.select(*[_as_double(c).alias(c) for c in cols])
+        from quarry.operators.profile import spread
+        long = (spread(df.select(*[_as_double(c).alias(c) for c in cols]))
                 .unpivot([], cols, "column", "x").filter(F.col("x").isNotNull())
                 .withColumn("w", F.lit(1).cast("long")))
 

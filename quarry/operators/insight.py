@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PRIORITY_ORDER = F.create_map(F.lit("haute"), F.lit(0), F.lit("moyenne"), F.lit(1), F.lit("basse"), F.lit(2))
+def priority_rank(c):
+    """haute < moyenne < basse."""
+    return F.when(c == "haute", 0).when(c == "moyenne", 1).otherwise(2)
 
 
 def quality_insight(quality: DataFrame) -> DataFrame:
@@ -111,7 +113,7 @@ def recommendations(segments: DataFrame, correlations: DataFrame, tests: DataFra
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    w = Window.orderBy(PRIORITY_ORDER[F.col("priority")], F.col("impact").desc(), F.col("rule"))
+    w = Window.orderBy(priority_rank(F.col("priority")), F.col("impact").desc(), F.col("rule"))
     return out.withColumn("order", F.row_number().over(w))
 
 

@@ -34,13 +34,23 @@ def value_freq(df: DataFrame, cols: list[str], value_type: str = "string",
     if not cols:
         schema = f"column string, value {value_type}, n long"
         return df.sparkSession.createDataFrame([], schema)
-    casted = df.select(*[F.col(c).cast(value_type).alias(c) for c in cols])
+    casted = spread(df.select(*[F.col(c).cast(value_type).alias(c) for c in cols]))
     long = casted.unpivot([], cols, "column", "value")
     if not keep_null:
         long = long.filter(F.col("value").isNotNull())
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the input over all cores when it arrives in fewer partitions (a small
+    file with few row groups) and the next step multiplies rows (unpivot). On a cluster
+    the scan already has far more splits than cores, so this is a no-op there."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def mode_per_column(vf: DataFrame) -> DataFrame:
     """Most frequent value per column, ties to the smallest value (pandas mode()[0])."""
     return vf.groupBy("column").agg(
@@ -91,9 +101,9 @@ def numeric_stats(df: DataFrame, cols: list[str] | None = None, exact: bool = Tr
         return []
     vf = None
     if with_mode:
-        vf = value_freq(df, cols, "double").persist()
-        rows_total = df.count()
-        bs = freq_stats(vf, cols, rows_total)
+        vf = value_freq(df, cols, "double", keep_null=True).persist()
+        bs = freq_stats(vf, cols)
+        rows_total = bs["__rows"]
     else:
         bs = basic_stats(df, cols)
         rows_total = bs["__rows"]
@@ -111,7 +121,7 @@ def numeric_stats(df: DataFrame, cols: list[str] | None = None, exact: bool = Tr
     means = {c: bs[c]["mean"] for c in keep}
     if vf is not None:
         cs = freq_central_sums(vf, keep, means, fences if with_outliers else None)
-        modes = {r["column"]: r["mode"] for r in mode_per_column(vf.filter(F.col("column").isin(keep))).collect()}
+        modes = {c: bs[c]["mode"] for c in keep}
         vf.unpersist()
     else:
         cs = central_sums(df, keep, means, extra)
