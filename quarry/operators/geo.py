@@ -82,8 +82,11 @@ def extract_locations(df: DataFrame, limits: dict | None = None) -> DataFrame:
     for level, k in limits.items():
         lim = F.when(F.col("level") == level, F.lit(k)).otherwise(lim)
     w = Window.partitionBy("level").orderBy("value")
+    # the literal bound lets Spark plan a per-task group limit before the shuffle; the
+    # per-level bound is applied after it
     return (allv.distinct().withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= lim).withColumn("has_gps", F.lit(has_gps)))
+            .filter(F.col("rank") <= max(limits.values())).filter(F.col("rank") <= lim)
+            .withColumn("has_gps", F.lit(has_gps)))
 
 
 # ---------------------------------------------------------------- A1 - A4, A6 - A8
@@ -222,9 +225,9 @@ def alias_search(dim: DataFrame, queries: DataFrame, text_col: str, key_col: str
         parts.append(by_term)
     pools = []
     for mode, pool in (("national", loc), ("default", default_rows)):
-        w0 = Window.orderBy(F.md5(F.col("ADM3_PCODE")))
-        pools.append(pool.withColumn("r0", F.row_number().over(w0)).filter(F.col("r0") <= n)
-                     .drop("r0").withColumn("mode", F.lit(mode)))
+        # top-n by hash: planned as a per-task top-n then a merge of n rows per task
+        pools.append(pool.orderBy(F.md5(F.col("ADM3_PCODE")), "ADM3_PCODE").limit(n)
+                     .withColumn("mode", F.lit(mode)))
     pool_rows = pools[0].unionByName(pools[1])
     keyed = (nat_keys.withColumn("mode", F.lit("national"))
              .unionByName(fallback_keys.withColumn("mode", F.lit("default"))))

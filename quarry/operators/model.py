@@ -376,3 +376,64 @@ def clustering_model(vec: DataFrame, k_max: int = 5, seed: int = 42) -> DataFram
     t = vec.sparkSession.createDataFrame(rows, "k int, silhouette double, davies_bouldin double, "
                                                "calinski_harabasz double, inertia double, sizes array<long>")
     return t.withColumn("best", F.row_number().over(Window.orderBy(F.col("silhouette").desc(), F.col("k"))) == 1)
+
+
+def permutation_importance(model, data: DataFrame, features: list[str], key: str, evaluator,
+                           repeats: int = 10, seed: int = 42) -> DataFrame:
+    """Score drop when one feature column is permuted. The permutation is a join on
+    a hash-ordered rank: rows ranked by hash(key, seed, r) receive the value of the row
+    with the same rank in hash(key) order -- two range-partitioned sorts, no collect."""
+    from quarry.operators.prepare import row_index
+    base = evaluator.evaluate(model.transform(data))
+    spark = data.sparkSession
+    dst = row_index(data, F.xxhash64(F.col(f"`{key}`"), F.lit(seed)), "__r").persist()
+    rows = []
+    for f in features:
+        drops = []
+        for r in range(repeats):
+            src = row_index(data.select(key, f), F.xxhash64(F.col(f"`{key}`"), F.lit(seed + r + 1)), "__r") \
+                .select("__r", F.col(f"`{f}`").alias("__v"))
+            shuffled = dst.drop(f).join(src, "__r").withColumnRenamed("__v", f).drop("__r")
+            drops.append(base - evaluator.evaluate(model.transform(shuffled)))
+        rows.append((f, float(sum(drops) / len(drops))))
+    t = spark.createDataFrame(rows, "feature string, importance double")
+    total = sum(max(v, 0.0) for _, v in rows)
+    return t.withColumn("normalized", F.when(F.lit(total) > 0, F.greatest(F.col("importance"), F.lit(0.0)) / F.lit(total or 1.0)))
+
+
+def run_ml_pipeline(df: DataFrame, target: str | None, features: list[str], key: str) -> dict[str, DataFrame]:
+    """Risks -> validity -> problem type -> reduce -> train -> best -> health / confidence
+    / actions. Returns the result tables."""
+    spark = df.sparkSession
+    out: dict[str, DataFrame] = {}
+    if target is None:
+        from quarry.operators.segment import standardize
+        vec, _ = standardize(df, features, key)
+        out["clustering"] = clustering_model(vec.persist())
+        return out
+    tp = target_profile(df, target)
+    ok, why = target_validity(tp)
+    ptype = problem_type(tp)
+    out["target"] = spark.createDataFrame([(target, tp["n"], tp["distinct"], ok, why, ptype)],
+                                          "target string, n long, n_distinct long, valid boolean, reason string, "
+                                          "problem_type string")
+    if not ok:
+        return out
+    rows = tp["n"]
+    feats = auto_reduce(df, features, target, rows) if "classification" in ptype else features
+    if "classification" in ptype:
+        metrics, imps = train_classifiers(df, feats, target, key, n_classes=tp["distinct"])
+        runs = metrics.select("model", F.col("train_accuracy").alias("train_score"),
+                              F.col("val_accuracy").alias("val_score"), F.col("test_accuracy").alias("test_score"),
+                              "n_train", "n_features")
+        out["importance"] = imps
+    else:
+        metrics = train_regressors(df, feats, target, key)
+        runs = metrics.select("model", F.col("train_r2").alias("train_score"), F.col("val_r2").alias("val_score"),
+                              F.col("test_r2").alias("test_score"), F.lit(0).cast("long").alias("n_train"),
+                              F.lit(len(feats)).cast("long").alias("n_features"))
+    out["metrics"] = metrics
+    out["best"] = best_model(runs)
+    out["health"] = model_confidence(model_health(runs))
+    out["actions"] = model_actions(runs)
+    return out

@@ -166,6 +166,27 @@ def impute(df: DataFrame, fill_text: str = "non_defini", exact: bool = True) ->
 # ---------------------------------------------------------------- F8 - F12
 
 
+def row_index(df: DataFrame, order: "F.Column", out: str = "__idx") -> DataFrame:
+    """0-based global position of every row in ``order`` (ties broken arbitrarily but
+    deterministically) without a single-partition window: range-partition on the order,
+    sort within partitions, read each row's in-partition position from
+    monotonically_increasing_id (partition index in the high bits, position in the low
+    33 bits), and add the partition's offset from the per-partition counts (P rows)."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    r = (df.withColumn("__o", order).repartitionByRange(parts, "__o").sortWithinPartitions("__o")
+         .withColumn("__mid", F.monotonically_increasing_id()))
+    r = r.withColumn("__pid", F.shiftright("__mid", 33)).withColumn(
+        "__pos", F.col("__mid") - F.shiftleft(F.col("__pid"), 33))
+    counts = {row["__pid"]: row["n"] for row in r.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect()}
+    offsets, acc = [], 0
+    for pid in sorted(counts):
+        offsets.append((pid, acc))
+        acc += counts[pid]
+    off = df.sparkSession.createDataFrame(offsets, "__pid long, __off long")
+    return (r.join(F.broadcast(off), "__pid").withColumn(out, F.col("__off") + F.col("__pos"))
+            .drop("__o", "__mid", "__pid", "__pos", "__off"))
+
+
 def dense_index(values: DataFrame, col: str, out: str = "code") -> DataFrame:
     """0-based rank of every distinct value of ``col`` in sorted order, computed without a
     single-partition window: range-partition the distinct values, count per partition,

@@ -252,10 +252,10 @@ def pie(df: DataFrame, cols: list[str] | None = None, max_columns: int = 5,
     """Value shares for the first categoricals with 2..10 distinct values."""
     cols = (list(cols) if cols is not None else categorical_columns(df))[:max_columns]
     vf = value_freq(df, cols)
-    w = Window.partitionBy("column")
-    return (vf.withColumn("distinct", F.count(F.lit(1)).over(w))
-            .withColumn("total", F.sum("n").over(w))
-            .filter(F.col("distinct").between(min_distinct, max_distinct))
+    # per-column totals as an aggregate (k rows, broadcast), not a window over every
+    # distinct value of a column
+    tot = vf.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("total"))
+    return (vf.join(F.broadcast(tot.filter(F.col("distinct").between(min_distinct, max_distinct))), "column")
             .select("column", F.substring("value", 1, name_width).alias("name"),
                     F.col("n").alias("value"), F.col("total").cast("long").alias("total"),
                     (F.lit(100.0) * F.col("n") / F.col("total")).alias("pct")))

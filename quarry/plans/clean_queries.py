@@ -356,3 +356,68 @@ def q_adm_alias_search(spark, sf):
     """A5; the md5-ordered sample is checked on rows (and by a unit test for the matching)."""
     return G.alias_search(FX.geo_dim(spark, sf), _supplier_requests(spark, sf), "text", "key",
                           n=5, default_region="AFRICA")
+
+
+@register("adm_zone_filter", FX.with_views("""
+SELECT * FROM geo_dim WHERE ADM1_EN IN ('AMERICA', 'NATION_4') OR ADM2_EN IN ('AMERICA', 'NATION_4')""", "geo_dim"))
+def q_adm_zone_filter(spark, sf):
+    """Exact zone filter on level 1 or 2 (falls back to every row when nothing matches)."""
+    return G.zone_filter(FX.geo_dim(spark, sf), ["AMERICA", "NATION_4"])
+
+
+@register("drop_high_cardinality", """
+SELECT p_partkey, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part""")
+def q_drop_high_cardinality(spark, sf):
+    """strings with more than 50 distinct values are dropped (p_name here)."""
+    from quarry.operators.prepare import distinct_counts
+    p = load(spark, sf, "part")
+    strings = [f.name for f in p.schema.fields if f.dataType.simpleString() == "string"]
+    dc = distinct_counts(p, strings)
+    return finish(p.drop(*[c for c in strings if dc[c] > 50]))
+
+
+def _scratch(spark, name):
+    import uuid
+    from quarry.session import checkpoint_dir
+    return f"{checkpoint_dir(spark)}/{name}_{uuid.uuid4().hex[:8]}"
+
+
+@register("csv_roundtrip", """
+SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer""")
+def q_csv_roundtrip(spark, sf):
+    """S4 + S1: header CSV sink, read back with the ','/UTF-8 then ';'/ISO-8859-1 dialect
+    choice and an explicit schema."""
+    from quarry.sources.delimited import read_delimited
+    from quarry.sources.sinks import write_csv
+    path = _scratch(spark, "csv")
+    c = load(spark, sf, "customer")
+    write_csv(c, path)
+    back = read_delimited(spark, path, schema="c_custkey long, c_name string, c_nationkey long, "
+                                              "c_acctbal double, c_mktsegment string")
+    return finish(back)
+
+
+@register("tsv_adm_roundtrip", FX.with_views("""
+SELECT trim(ADM1_EN) AS ADM1_EN, trim(ADM2_EN) AS ADM2_EN, ADM2_PCODE, ADM2_TYPE, trim(ADM3_EN) AS ADM3_EN, ADM3_PCODE
+FROM geo_dim""", "geo_dim"))
+def q_tsv_adm_roundtrip(spark, sf):
+    """S2 + S3: the hierarchy written as TSV and as CSV, read back as TSV and as the
+    all-string administrative dimension (names trimmed)."""
+    from quarry.sources.delimited import read_adm_dimension, read_tsv
+    p1, p2 = _scratch(spark, "tsv"), _scratch(spark, "adm")
+    dim = FX.geo_dim(spark, sf)
+    dim.write.option("header", True).option("sep", "\t").csv(p1)
+    read_tsv(spark, p1).write.option("header", True).csv(p2)
+    return read_adm_dimension(spark, p2)
+
+
+@register("json_sink_roundtrip", """
+SELECT COUNT(*) AS n_surveys FROM (SELECT DISTINCT CAST(floor(p_partkey / 50) AS BIGINT) FROM part) s""")
+def q_json_sink_roundtrip(spark, sf):
+    """Whole nested surveys written as JSON and read back with their schema."""
+    from quarry.sources.sinks import write_json
+    path = _scratch(spark, "json")
+    s = FX.survey_nested(spark, sf)
+    write_json(s, path)
+    back = spark.read.schema(s.schema).json(path)
+    return back.agg(F.count(F.lit(1)).alias("n_surveys"))

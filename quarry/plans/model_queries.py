@@ -196,3 +196,40 @@ def q_clustering_model(spark, sf):
     """M8: k by silhouette with Davies-Bouldin / Calinski-Harabasz / inertia (rows-only)."""
     vec, _ = standardize(_keyed(spark, sf), LI_FEATS, "row_key")
     return M.clustering_model(vec.persist())
+
+
+@register("permutation_importance")
+def q_permutation_importance(spark, sf):
+    """M12 for a fitted decision tree on orders (3 repeats; rows-only)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import StringIndexer
+    o = load(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderstatus")
+    feats = ["o_totalprice", "o_custkey"]
+    pipe = Pipeline(stages=[StringIndexer(inputCol="o_orderstatus", outputCol="__y", stringOrderType="alphabetAsc")]
+                    + M._prep_pipeline(feats)
+                    + [DecisionTreeClassifier(featuresCol="features", labelCol="__y", maxDepth=5, seed=42)])
+    model = pipe.fit(o)
+    ev = MulticlassClassificationEvaluator(labelCol="__y", metricName="accuracy")
+    return M.permutation_importance(model, o, feats, "o_orderkey", ev, repeats=3)
+
+
+@register("ml_pipeline")
+def q_ml_pipeline(spark, sf):
+    """M16 end to end on orders (status from price and dates; rows-only): health table."""
+    o = load(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderstatus",
+                                         F.month("o_orderdate").alias("month"))
+    res = M.run_ml_pipeline(o, "o_orderstatus", ["o_totalprice", "o_custkey", "month"], "o_orderkey")
+    return res.get("health", res["target"])
+
+
+@register("feature_reduction")
+def q_feature_reduction(spark, sf):
+    """M2: variance filter then ANOVA-F k best, forced on by offering more features than
+    the (hash-sampled) rows divide into; returns the kept names (rows-only)."""
+    li = load(spark, sf, "lineitem").select(*LI_FEATS, "l_linenumber", "l_returnflag")
+    from pyspark.ml.feature import StringIndexer
+    li = StringIndexer(inputCol="l_returnflag", outputCol="label", stringOrderType="alphabetAsc").fit(li).transform(li)
+    kept = M.auto_reduce(li, LI_FEATS + ["l_linenumber"], "label", rows=4)
+    return spark.createDataFrame([(k,) for k in kept], "feature string")

@@ -261,3 +261,31 @@ FROM orders ORDER BY o_orderkey LIMIT 500""")
 def q_preview(spark, sf):
     from quarry.sources.preview import preview
     return preview(load(spark, sf, "orders"), key="o_orderkey", n=500)
+
+
+# ---------------------------------------------------------------- U7 / U8 / P3
+
+
+@register("scatter_sample")
+def q_scatter_sample(spark, sf):
+    """Hash-ordered sample of <= 500 complete pairs per variable and the sample's r
+    (a sampling operator: the limit is the feature; rows-only)."""
+    from quarry.sources.tables import with_row_key
+    li = with_row_key(load(spark, sf, "lineitem"))
+    return P.scatter_sample(li, "l_extendedprice", LINEITEM_NUM, "row_key")
+
+
+@register("date_detection")
+def q_date_detection(spark, sf):
+    """U8: typed date columns plus string columns whose first 100 values mostly parse."""
+    return P.date_columns(FX.text_orders(spark, sf).join(
+        load(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey"))
+
+
+@register("drop_empty", FX.with_views("""
+SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment, ref_id, note, opt, konst
+FROM sparse_customer""", "sparse_customer"))
+def q_drop_empty(spark, sf):
+    from quarry.operators.clean import drop_empty_columns
+    out, _ = drop_empty_columns(FX.sparse_customer(spark, sf))
+    return finish(out)
