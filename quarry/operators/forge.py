@@ -337,7 +337,7 @@ def forge_features(df: DataFrame, as_of: str = "2025-01-01", target: str | None
     nums0 = [c for c in numeric_columns(df) if c != target]
     cats0 = [c for c in categorical_columns(df) if c != target]
     out, report["temporal"] = temporal_features(df, as_of=as_of)
-    prof = column_profile(df.select(*nums0)) if nums0 else None
+    prof = column_profile(df.select(*nums0), with_quantiles=False, distinct="bounded") if nums0 else None
     best = ([r["column"] for r in interaction_candidates(prof).orderBy("rank").collect()]
             if prof is not None else [])
     out, report["interactions"] = interaction_features(out, best)

@@ -317,23 +317,48 @@ def theme_of(name: str) -> str:
     return "Autres"
 
 
-def column_profile(df: DataFrame, stage: str = "raw", exact: bool = True) -> DataFrame:
+def column_profile(df: DataFrame, stage: str = "raw", exact: bool = True, with_quantiles: bool = True,
+                   distinct: str = "exact") -> DataFrame:
     """P11/P13/P16 + the shared profile: one row per column.
 
     (stage, column, ordinal, kind, theme, n, n_null, n_distinct, mean, sd, var, min, max,
-     q1, median, q3, skew, kurt)"""
+     q1, median, q3, skew, kurt)
+
+    with_quantiles=False skips the quantile rounds (selection rules do not read them).
+    distinct="bounded" counts distinct values exactly only where HLL says they are few
+    (<= 1000) -- every selection rule compares against thresholds <= 50 -- instead of a
+    full value-frequency shuffle of every continuous column."""
     spark = df.sparkSession
     kinds = column_kinds(df)
     cols = [c for c, _ in kinds]
     nums = [c for c, k in kinds if k == NUMERIC]
-    crow = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)],
-                  F.count(F.lit(1)).alias("__rows")).first()
+    # one scan: counts of every column, sum / min / max of the numerics, HLL distincts
+    aggs = [F.count(F.lit(1)).alias("__rows")]
+    for i, c in enumerate(cols):
+        aggs += [F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.approx_count_distinct(F.col(f"`{c}`")).alias(f"a{i}")]
+    for j, c in enumerate(nums):
+        x = F.col(f"`{c}`").cast("double")
+        aggs += [F.sum(x).alias(f"s{j}"), F.min(x).alias(f"lo{j}"), F.max(x).alias(f"hi{j}")]
+    crow = df.agg(*aggs).first()
     rows = crow["__rows"]
-    bs = basic_stats(df, nums) if nums else {"__rows": rows}
-    q = quantiles(df, [c for c in nums if bs[c]["n"] > 0], [0.25, 0.5, 0.75], stats=bs, exact=exact)
+    bs = {"__rows": rows}
+    for j, c in enumerate(nums):
+        n = crow[f"n{cols.index(c)}"]
+        bs[c] = {"n": n, "sum": crow[f"s{j}"], "min": crow[f"lo{j}"], "max": crow[f"hi{j}"],
+                 "mean": (crow[f"s{j}"] / n) if n else None}
+    q = (quantiles(df, [c for c in nums if bs[c]["n"] > 0], [0.25, 0.5, 0.75], stats=bs, exact=exact)
+         if with_quantiles else {})
     cs = central_sums(df, nums, {c: bs[c]["mean"] for c in nums})
-    distinct = {r["column"]: r["d"] for r in
-                value_freq(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
+    if distinct == "exact":
+        distinct = {r["column"]: r["d"] for r in
+                    value_freq(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
+    else:
+        approx = {c: crow[f"a{i}"] for i, c in enumerate(cols)}
+        small = [c for c in cols if approx[c] <= 1000]
+        distinct = dict(approx)
+        if small:
+            r2 = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(small)]).first()
+            distinct.update({c: r2[f"d{i}"] for i, c in enumerate(small)})
     data = []
     for i, (c, k) in enumerate(kinds):
         n = crow[f"n{i}"]

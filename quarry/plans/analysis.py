@@ -21,7 +21,7 @@ from quarry.operators import segment as K
 def complete_analysis(df: DataFrame, key: str | None = None, prompt: str = "", target: str | None = None,
                       cluster: bool = False) -> dict[str, DataFrame]:
     df = df.persist()
-    prof = P.column_profile(df).persist()
+    prof = P.column_profile(df, with_quantiles=False, distinct="bounded").persist()
     tgt, method = S.detect_target(df, prompt, target, prof)
     sel = S.selected_variables(prof, target=tgt)
     nums, cats = sel["numeric_analysis"], sel["categorical_analysis"]

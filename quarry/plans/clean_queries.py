@@ -188,7 +188,8 @@ def profile_sql(table, kinds):
 
 
 def _li_profile(spark, sf):
-    return column_profile(load(spark, sf, "lineitem").select(*[c for c, _ in LI_KINDS]))
+    return column_profile(load(spark, sf, "lineitem").select(*[c for c, _ in LI_KINDS]),
+                          with_quantiles=False, distinct="bounded")
 
 
 @register("target_candidates", oracle_finish(f"""
@@ -233,7 +234,7 @@ SELECT "column", ordinal, score, "rank" FROM (
 WHERE "rank" <= 8""", ["score"]))
 def q_clustering_variables(spark, sf):
     li = load(spark, sf, "lineitem").select(*[c for c, _ in LI_KINDS])
-    return finish(S.clustering_variables(li, column_profile(li)))
+    return finish(S.clustering_variables(li, column_profile(li, with_quantiles=False, distinct="bounded")))
 
 
 @register("interaction_candidates", oracle_finish(f"""

@@ -138,7 +138,7 @@ UNION ALL {const}""", ["value"])
 @register("overfitting_risks", _risks_sql())
 def q_overfitting_risks(spark, sf):
     li = load(spark, sf, "lineitem").select(*LI_FEATS, "l_returnflag")
-    prof = column_profile(li)
+    prof = column_profile(li, with_quantiles=False, distinct="bounded")
     tp = M.target_profile(li, "l_returnflag")
     rows = li.count()
     return finish(M.overfitting_risks(prof, "l_returnflag", LI_FEATS, rows, (tp["min_class"], tp["max_class"])))

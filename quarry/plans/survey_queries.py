@@ -153,14 +153,16 @@ def q_valid_insights(spark, sf):
 @register("markdown_strip", f"""
 SELECT doc_id, {X.markdown_strip_sql('text')} AS plain FROM documents""")
 def q_markdown_strip(spark, sf):
-    d = load(spark, sf, "documents")
+    from quarry.operators.profile import spread
+    d = spread(load(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", X.markdown_strip(F.col("text")).alias("plain"))
 
 
 @register("typographic_fold", f"""
 SELECT doc_id, {X.fold_sql('text')} AS folded FROM documents""")
 def q_typographic_fold(spark, sf):
-    d = load(spark, sf, "documents")
+    from quarry.operators.profile import spread
+    d = spread(load(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", X.typographic_fold(F.col("text")).alias("folded"))
 
 
