@@ -137,22 +137,31 @@ def kmeans_best(vec: DataFrame, k: int, seeds: tuple[int, ...] = (42, 59, 76), m
                 min_share: float = 0.05) -> tuple[DataFrame | None, dict]:
     """K3: k-means restarts; each labelling is rebalanced (K6) and rejected when fewer than k
     labels survive; the best silhouette wins. Returns (key, prediction) frame and info."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.clustering import KMeans
-    best, info = None, {"k": k, "silhouette": None, "seed": None, "method": "kmeans", "inertia": None}
-    for s in seeds:
+
+    def fit(s):
+        # restarts are independent jobs: Spark runs them concurrently from threads
         model = KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="features").fit(vec)
         pred = rebalance(model.transform(vec).withColumn("prediction", F.col("prediction").cast("int")),
                          "prediction", min_share).persist()
-        n_labels = pred.select("prediction").distinct().count()
-        if n_labels < k:
+        if pred.select("prediction").distinct().count() < k:
             pred.unpersist()
+            return s, None, None, None
+        return s, pred, _silhouette(pred), model.summary.trainingCost
+
+    best, info = None, {"k": k, "silhouette": None, "seed": None, "method": "kmeans", "inertia": None}
+    with ThreadPoolExecutor(max_workers=len(seeds)) as ex:
+        results = list(ex.map(fit, seeds))
+    for s, pred, sil, cost in results:  # seed order decides ties, as sequential restarts would
+        if pred is None:
             continue
-        sil = _silhouette(pred)
         if info["silhouette"] is None or sil > info["silhouette"]:
             if best is not None:
                 best.unpersist()
             best = pred
-            info.update(silhouette=sil, seed=s, inertia=model.summary.trainingCost)
+            info.update(silhouette=sil, seed=s, inertia=cost)
         else:
             pred.unpersist()
     return best, info
