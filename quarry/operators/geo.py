@@ -194,35 +194,39 @@ def search_terms(queries: DataFrame, text_col: str, key_col: str) -> DataFrame:
     return terms, flags
 
 
+def substring_matches(terms: DataFrame, loc: DataFrame) -> DataFrame:
+    """Exact case-insensitive substring match of every (key, term) against any level name,
+    without a cross product or a driver-side vocabulary: a name contains the term only if
+    it contains the term's first trigram, so terms join the names' trigrams on that
+    trigram (an equi-join; AQE splits a hot trigram) and ``contains`` confirms."""
+    hay = F.lower(F.concat_ws("\u0001", "ADM1_EN", "ADM2_EN", "ADM3_EN"))
+    grams = loc.withColumn("__hay", hay).withColumn(
+        "__tri", F.explode(F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length("__hay") - 2, F.lit(1))),
+            lambda i: F.substring(F.col("__hay"), i, 3)))))
+    t = terms.withColumn("__term", F.lower(F.col("term"))).withColumn("__tri", F.substring("__term", 1, 3))
+    return (t.join(grams, "__tri").filter(F.col("__hay").contains(F.col("__term")))
+            .select("key", "ADM3_PCODE", "ADM3_EN", "ADM1_EN", "ADM2_EN").distinct())
+
+
 def alias_search(dim: DataFrame, queries: DataFrame, text_col: str, key_col: str, n: int = 5,
                  default_region: str = DEFAULT_REGION) -> DataFrame:
-    """A5 as a table job. Matching is case-insensitive substring on any level name. The
-    distinct term vocabulary (small: words of location requests) is turned into one
-    array-of-matches expression evaluated per dimension row, then equi-joined back to the
-    queries -- no query x dimension cross product. Queries without hits (or without
-    terms) fall back to the default region; national queries draw from all rows.
+    """A5 as a table job. Matching is case-insensitive substring on any level name, done as
+    a trigram equi-join plus ``contains`` (see substring_matches) -- no query x dimension
+    cross product and nothing collected. Queries without hits (or without terms) fall back
+    to the default region; national queries draw from all rows.
     The sample is the md5-ordered first n per query, returned sorted by name."""
     terms, flags = search_terms(queries, text_col, key_col)
-    vocab = [r[0] for r in terms.select("term").distinct().collect()]
     loc = dim.select("ADM3_PCODE", "ADM3_EN", "ADM1_EN", "ADM2_EN")
-    if vocab:
-        hay = F.lower(F.concat_ws("\u0001", "ADM1_EN", "ADM2_EN", "ADM3_EN"))
-        hits = F.filter(F.array(*[F.when(hay.contains(t), F.lit(t)) for t in vocab]), lambda x: x.isNotNull())
-        matched = loc.select("*", F.explode(hits).alias("term"))
-        by_term = (terms.select("key", "term").distinct().join(matched, "term")
-                   .select("key", "ADM3_PCODE", "ADM3_EN", "ADM1_EN", "ADM2_EN").distinct())
-    else:
-        by_term = None
-    keys_hit = by_term.select("key").distinct() if by_term is not None else None
+    by_term = substring_matches(terms.select("key", "term").distinct(), loc)
+    keys_hit = by_term.select("key").distinct()
     default_rows = loc.filter(F.lower(F.col("ADM1_EN")).contains(default_region.lower()))
     nat_keys = flags.filter("national").select("key")
     nonnat = flags.filter(~F.col("national")).select("key")
-    fallback_keys = nonnat.join(keys_hit, "key", "left_anti") if keys_hit is not None else nonnat
+    fallback_keys = nonnat.join(keys_hit, "key", "left_anti")
     # national and fallback queries draw from one shared pool each; the pool is cut to its
     # n md5-first rows before the join, so the join emits exactly the n result rows per key.
-    parts = []
-    if by_term is not None:
-        parts.append(by_term)
+    parts = [by_term]
     pools = []
     for mode, pool in (("national", loc), ("default", default_rows)):
         # top-n by hash: planned as a per-task top-n then a merge of n rows per task
