@@ -235,10 +235,20 @@ def q_encoding_plan(spark, sf):
     return G.encoding_plan(load(spark, sf, "part"), PART_CATS)
 
 
-@register("encode_categoricals")
+def _encode_sql():
+    types = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+    onehot = ", ".join(f"CAST(coalesce(p_type = '{t}', false) AS INTEGER) AS p_type_{t}" for t in types)
+    return f"""
+SELECT p_partkey, p_name, {onehot},
+       CAST(coalesce(dense_rank() OVER (ORDER BY CASE WHEN p_brand IS NULL THEN NULL ELSE p_brand END) - 1, -1) AS BIGINT)
+         AS p_brand_encoded
+FROM part"""
+
+
+@register("encode_categoricals", _encode_sql())
 def q_encode_categoricals(spark, sf):
-    """G5 + G6; the one-hot column set depends on the data, so rows are checked here and
-    the codes are covered by label_encode / one_hot."""
+    """G5 + G6 following the G7 plan on part: p_type one-hot (ints), p_brand label codes,
+    p_name skipped (> 50 values, kept as is). The oracle fixes the six type values."""
     out, _ = G.encode_categoricals(load(spark, sf, "part").select("p_partkey", *PART_CATS), PART_CATS)
     return out
 

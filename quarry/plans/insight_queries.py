@@ -14,7 +14,7 @@ from quarry.operators.clean import null_tokens_to_null
 from quarry.operators.profile import data_quality, numeric_summary
 from quarry.plans import fixtures as FX
 from quarry.plans.common import finish, oracle_finish, register
-from quarry.plans.profile_queries import _quality_body
+from quarry.plans.profile_queries import _quality_body, numeric_summary_sql
 from quarry.plans.relate_queries import CORR_COLS, TARGET, TEST_CAT, TEST_NUM
 from quarry.plans.segment_queries import FEATS, _dna_sql
 from quarry.session import checkpoint_dir
@@ -134,14 +134,17 @@ def q_complete_analysis(spark, sf):
 
 # ---------------------------------------------------------------- W1 / W2
 
-@register("run_progress", FX.with_views("""
+RUN_PROGRESS_SQL = FX.with_views("""
 SELECT file_id, fs = 1 AS file_structure_completed, ed = 1 AS eda_completed, fa = 1 AS full_analysis_completed,
        CAST(30 * fs + 35 * ed + 35 * fa AS BIGINT) AS progress
 FROM (SELECT file_id,
              max(CASE WHEN stage = 'file_structure' AND status = 'completed' THEN 1 ELSE 0 END) AS fs,
              max(CASE WHEN stage = 'eda' AND status = 'completed' THEN 1 ELSE 0 END) AS ed,
              max(CASE WHEN stage = 'full_analysis' AND status = 'completed' THEN 1 ELSE 0 END) AS fa
-      FROM stage_events GROUP BY file_id) t""", "stage_events"))
+      FROM stage_events GROUP BY file_id) t""", "stage_events")
+
+
+@register("run_progress", RUN_PROGRESS_SQL)
 def q_run_progress(spark, sf):
     return I.run_progress(FX.stage_events(spark, sf))
 
@@ -156,28 +159,43 @@ def q_run_summary(spark, sf):
     return I.run_summary(FX.stage_events(spark, sf))
 
 
-@register("run_progress_stream")
+@register("run_progress_stream", RUN_PROGRESS_SQL)
 def q_run_progress_stream(spark, sf):
     """W1 as Structured Streaming over the events file (availableNow, memory sink, checkpoint
-    in the shared folder); rows-only (same values as run_progress)."""
+    in the shared folder); its final state equals the batch W1 table."""
     from quarry.streaming.status import run_progress_now
     return run_progress_now(spark, sf)
 
 
-@register("file_ingest")
+def _ingest_sql():
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    strings = {"o_orderstatus", "o_orderpriority"}
+    parts = []
+    for i, c in enumerate(cols):
+        e = (f"CASE WHEN regexp_matches({c}, '^[\\s\\x{{00A0}}]*$') OR {c} IN ('nan','NaN','None','null','NULL','NA') "
+             f"THEN NULL ELSE {c} END") if c in strings else c
+        parts.append(f"SELECT '{c}' AS \"column\", CAST({i} AS BIGINT) AS ordinal, count(*) - count({e}) AS missing, "
+                     f"100.0 * (count(*) - count({e})) / count(*) AS pct, "
+                     f"CASE WHEN count({e}) = 0 THEN 'empty' WHEN count(*) > count({e}) THEN 'partial' ELSE 'complete' END AS status, "
+                     f"CAST(0 AS BIGINT) AS batch FROM orders")
+    return oracle_finish(" UNION ALL ".join(parts), ["pct"])
+
+
+@register("file_ingest", _ingest_sql())
 def q_file_ingest(spark, sf):
-    """The orders file drained through the streaming clean + profile job (rows-only)."""
+    """The orders file drained through the streaming clean + profile job (one micro-batch)."""
     from quarry.streaming.ingest import ingest_available
     base = ingest_available(spark, sf, "orders.parquet")
-    return spark.read.parquet(f"{base}/profile")
+    return finish(spark.read.parquet(f"{base}/profile"))
 
 
-@register("result_store")
+@register("result_store", "SELECT *, 'orders' AS file_id FROM (" + numeric_summary_sql("orders", [("o_totalprice", 0)])
+          + ") s")
 def q_result_store(spark, sf):
     """Univariate results persisted per file_id (dynamic partition overwrite) and
-    fetched back with partition pruning (rows-only)."""
+    fetched back with partition pruning."""
     root = f"{checkpoint_dir(spark)}/results_{uuid.uuid4().hex[:8]}"
     res = numeric_summary(load(spark, sf, "orders"), ["o_totalprice"])
     save_result(res, root, "univariate_numeric", "orders")
     save_result(numeric_summary(load(spark, sf, "lineitem"), ["l_quantity"]), root, "univariate_numeric", "lineitem")
-    return load_result(spark, root, "univariate_numeric", "orders")
+    return finish(load_result(spark, root, "univariate_numeric", "orders"))
