@@ -212,6 +212,45 @@ def auto_reduce(df: DataFrame, features: list[str], label: str, rows: int, var_t
     return [kept[i] for i in m.selectedFeatures]
 
 
+def classification_metrics(pred: DataFrame, label: str = "__y", prediction: str = "prediction",
+                           split: str = "split") -> dict:
+    """accuracy and weighted precision / recall / F1 per split from one confusion aggregate
+    (splits x classes^2 rows), the definitions of Spark's MulticlassClassificationEvaluator."""
+    rows = pred.groupBy(split, label, prediction).agg(F.count(F.lit(1)).alias("n")).collect()
+    out = {}
+    for sp in {r[split] for r in rows}:
+        cells = [(r[label], r[prediction], r["n"]) for r in rows if r[split] == sp]
+        n = sum(c for _, _, c in cells)
+        classes = {a for a, _, _ in cells} | {b for _, b, _ in cells}
+        actual = {k: sum(c for a, _, c in cells if a == k) for k in classes}
+        predicted = {k: sum(c for _, b, c in cells if b == k) for k in classes}
+        tp = {k: sum(c for a, b, c in cells if a == k and b == k) for k in classes}
+        prec = {k: (tp[k] / predicted[k]) if predicted[k] else 0.0 for k in classes}
+        rec = {k: (tp[k] / actual[k]) if actual[k] else 0.0 for k in classes}
+        f1 = {k: (2 * prec[k] * rec[k] / (prec[k] + rec[k])) if (prec[k] + rec[k]) else 0.0 for k in classes}
+        w = {k: actual[k] / n for k in classes}
+        out[sp] = {"accuracy": sum(tp.values()) / n, "precision": sum(w[k] * prec[k] for k in classes),
+                   "recall": sum(w[k] * rec[k] for k in classes), "f1": sum(w[k] * f1[k] for k in classes)}
+    return out
+
+
+def regression_metrics(pred: DataFrame, label: str = "__y", prediction: str = "prediction",
+                       split: str = "split") -> dict:
+    """rmse / mae / r2 per split from one aggregate (RegressionEvaluator definitions)."""
+    e = F.col(prediction) - F.col(label)
+    rows = pred.groupBy(split).agg(F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("sse"),
+                                   F.sum(F.abs(e)).alias("sae"), F.avg(label).alias("ym")).collect()
+    means = {r[split]: r["ym"] for r in rows}
+    m = F.lit(None).cast("double")
+    for sp, v in means.items():
+        m = F.when(F.col(split) == sp, F.lit(v)).otherwise(m)
+    sst = {r[split]: r["sst"] for r in pred.groupBy(split).agg(
+        F.sum((F.col(label) - m) * (F.col(label) - m)).alias("sst")).collect()}
+    import math
+    return {r[split]: {"rmse": math.sqrt(r["sse"] / r["n"]), "mae": r["sae"] / r["n"],
+                       "r2": (1 - r["sse"] / sst[r[split]]) if sst[r[split]] else float("nan")} for r in rows}
+
+
 def _prep_pipeline(features: list[str]):
     from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
     imp = Imputer(strategy="median", inputCols=features, outputCols=[f"{c}__i" for c in features])
@@ -244,16 +283,20 @@ def train_classifiers(df: DataFrame, features: list[str], label: str, key: str,
     }
     svc = LinearSVC(featuresCol="features", labelCol="__y", regParam=1.0 / (0.1 * max(n_train, 1)))
     models["linear_svm"] = svc if n_classes == 2 else OneVsRest(classifier=svc, featuresCol="features",
-                                                                labelCol="__y")
+                                                                labelCol="__y", parallelism=max(2, n_classes or 2))
     metrics, imps = [], []
-    ev = {m: MulticlassClassificationEvaluator(labelCol="__y", metricName=m)
-          for m in ("accuracy", "weightedPrecision", "weightedRecall", "f1")}
-    for name, est in models.items():
+    def fit(item):
+        name, est = item
         pm = Pipeline(stages=[idx] + _prep_pipeline(features) + [est]).fit(train)
+        return name, pm, classification_metrics(pm.transform(data))
+
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=len(models)) as ex:  # independent fits run as concurrent jobs
+        fitted = list(ex.map(fit, models.items()))
+    for name, pm, mm in fitted:
         row = [name]
         for part in ("train", "val", "test"):
-            p = pm.transform(data.filter(F.col("split") == part))
-            row += [ev[m].evaluate(p) for m in ("accuracy", "weightedPrecision", "weightedRecall", "f1")]
+            row += [mm.get(part, {}).get(m) for m in ("accuracy", "precision", "recall", "f1")]
         metrics.append(tuple(row) + (n_train, len(features)))
         imps += [(name, f, float(v)) for f, v in zip(features, _importances(pm.stages[-1], len(features)))]
     data.unpersist()
@@ -305,12 +348,18 @@ def train_regressors(df: DataFrame, features: list[str], label: str, key: str, s
                                           maxDepth=3, seed=seed),
     }
     out = []
-    for name, est in models.items():
+    def fit(item):
+        name, est = item
         pm = Pipeline(stages=_prep_pipeline(features) + [est]).fit(train)
+        return name, regression_metrics(pm.transform(data))
+
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=len(models)) as ex:
+        fitted = list(ex.map(fit, models.items()))
+    for name, mm in fitted:
         row = [name]
         for part in ("train", "val", "test"):
-            p = pm.transform(data.filter(F.col("split") == part))
-            row += [RegressionEvaluator(labelCol="__y", metricName=m).evaluate(p) for m in ("rmse", "mae", "r2")]
+            row += [mm.get(part, {}).get(m) for m in ("rmse", "mae", "r2")]
         out.append(tuple(row))
     data.unpersist()
     cols = ["model"] + [f"{p}_{m}" for p in ("train", "val", "test") for m in ("rmse", "mae", "r2")]
