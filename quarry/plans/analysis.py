@@ -18,10 +18,22 @@ from quarry.operators import select as S
 from quarry.operators import segment as K
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (parquet footers give it for scans)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate: treat as large
+        return 1 << 62
+
+
 def complete_analysis(df: DataFrame, key: str | None = None, prompt: str = "", target: str | None = None,
-                      cluster: bool = False) -> dict[str, DataFrame]:
-    df = df.persist()
-    prof = P.column_profile(df, with_quantiles=False, distinct="bounded").persist()
+                      cluster: bool = False, cache_below_bytes: int = 2 << 30) -> dict[str, DataFrame]:
+    # every stage is an aggregate pass over the input. A small input is cached once
+    # (size checked from the plan statistics); a large one is re-scanned with column pruning
+    # rather than pinned in executor memory.
+    if estimated_bytes(df) < cache_below_bytes:
+        df = df.persist()
+    prof = P.column_profile(df, with_quantiles=False, distinct="bounded")
     tgt, method = S.detect_target(df, prompt, target, prof)
     sel = S.selected_variables(prof, target=tgt)
     nums, cats = sel["numeric_analysis"], sel["categorical_analysis"]
