@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.stats import basic_stats, quantiles
+from quarry.session import cut_lineage
 from quarry.operators.schema import NUMERIC, categorical_columns, column_kinds, numeric_columns
 
 WS = r"[\s\u00A0]"
@@ -177,6 +178,10 @@ def row_index(df: DataFrame, order: "F.Column", out: str = "__idx") -> DataFrame
          .withColumn("__mid", F.monotonically_increasing_id()))
     r = r.withColumn("__pid", F.shiftright("__mid", 33)).withColumn(
         "__pos", F.col("__mid") - F.shiftleft(F.col("__pid"), 33))
+    # positions must come from one materialisation: a recomputed range exchange need not
+    # reproduce the same partition layout, so counts and positions are read from one reliable
+    # checkpoint in the shared folder (a lost executor cannot force a different layout)
+    r = cut_lineage(r)
     counts = {row["__pid"]: row["n"] for row in r.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, acc = [], 0
     for pid in sorted(counts):
@@ -193,7 +198,7 @@ def dense_index(values: DataFrame, col: str, out: str = "code") -> DataFrame:
     turn the (few) partition counts into offsets, add the in-partition row number."""
     d = values.select(F.col(f"`{col}`").alias("v")).filter(F.col("v").isNotNull()).distinct()
     parts = max(1, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    r = d.repartitionByRange(parts, "v").withColumn("pid", F.spark_partition_id())
+    r = cut_lineage(d.repartitionByRange(parts, "v").withColumn("pid", F.spark_partition_id()))
     counts = {row["pid"]: row["n"] for row in r.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, acc = [], 0
     for pid in sorted(counts):

@@ -73,3 +73,15 @@ def test_group_means_match_groupby(spark):
     ref = {r[0]: r[1] for r in o.groupBy("o_orderstatus").agg(F.avg("o_totalprice")).collect()}
     for r in out.select("o_orderstatus", "ototalpr_mean_by_oorderst").distinct().collect():
         assert r[1] == pytest.approx(ref[r[0]])
+
+
+def test_row_index_is_a_permutation_of_positions(spark):
+    from quarry.operators.prepare import row_index
+    li = load(spark, SF_TINY, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    idx = row_index(li, F.xxhash64("l_orderkey", "l_linenumber", "l_quantity"), "i")
+    n = li.count()
+    r = idx.agg(F.count("i"), F.countDistinct("i"), F.min("i"), F.max("i")).first()
+    assert (r[0], r[1], r[2], r[3]) == (n, n, 0, n - 1)
+    # positions follow the order expression
+    pdf = idx.select("i", F.xxhash64("l_orderkey", "l_linenumber", "l_quantity").alias("h")).toPandas()
+    assert pdf.sort_values("i")["h"].is_monotonic_increasing
