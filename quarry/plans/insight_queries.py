@@ -36,9 +36,20 @@ def q_quality_insight(spark, sf):
     return finish(I.quality_insight(_quality(spark, sf)))
 
 
-@register("correlation_insights")
+def _corr_insights_sql():
+    from quarry.plans.relate_queries import _pairs_inner, _target_inner
+    return FX.with_views(oracle_finish(f"""
+WITH p AS ({_pairs_inner()}), t AS ({_target_inner()})
+SELECT 'strong_pair' AS kind, strength_rank AS "rank", var1, var2, r, r_squared AS shared_variance
+FROM p WHERE strength = 'strong' AND strength_rank <= 5
+UNION ALL
+SELECT 'target_driver', "rank", variable, CAST(NULL AS VARCHAR), r, r_squared FROM t WHERE abs(r) > 0.3 AND "rank" <= 3""",
+        ["r", "shared_variance"]), "corr_lineitem")
+
+
+@register("correlation_insights", _corr_insights_sql())
 def q_correlation_insights(spark, sf):
-    """R3 from the correlation-pair and target tables (both oracle-checked themselves)."""
+    """The first 5 strong pairs and the top 3 target drivers (|r| > 0.3)."""
     df = FX.corr_lineitem(spark, sf)
     pairs = R.correlation_pairs(df, CORR_COLS)
     tc = R.target_correlations(df, CORR_COLS, TARGET)

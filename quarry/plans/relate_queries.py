@@ -18,6 +18,10 @@ BAND_SQL = ("CASE WHEN abs(r) < 0.3 THEN 'Très faible' WHEN abs(r) < 0.5 THEN '
 
 
 def _pairs_sql():
+    return FX.with_views(oracle_finish(_pairs_inner(), ["r", "r_squared"]), "corr_lineitem")
+
+
+def _pairs_inner():
     parts = []
     for i, a in enumerate(CORR_COLS):
         for j in range(i + 1, len(CORR_COLS)):
@@ -30,7 +34,7 @@ SELECT var1, var2, i, j, n, r, r * r AS r_squared, {BAND_SQL} AS band, strength,
        CAST(row_number() OVER (PARTITION BY strength ORDER BY round(abs(r), 10) DESC, i, j) AS BIGINT) AS strength_rank
 FROM (SELECT *, CASE WHEN abs(r) > 0.7 THEN 'strong' WHEN abs(r) > 0.4 THEN 'moderate' ELSE 'weak' END AS strength
       FROM ({' UNION ALL '.join(parts)}) p WHERE r IS NOT NULL AND NOT isnan(r)) s"""
-    return FX.with_views(oracle_finish(inner, ["r", "r_squared"]), "corr_lineitem")
+    return inner
 
 
 @register("correlation_pairs", _pairs_sql())
@@ -39,6 +43,10 @@ def q_correlation_pairs(spark, sf):
 
 
 def _target_sql():
+    return FX.with_views(oracle_finish(_target_inner(), ["r", "r_squared"]), "corr_lineitem")
+
+
+def _target_inner():
     parts = [f"SELECT '{c}' AS variable, CAST({k} AS BIGINT) AS ordinal, "
              f"CASE WHEN isnan(corr({c}, {TARGET})) THEN NULL ELSE greatest(-1.0, least(1.0, corr({c}, {TARGET}))) END AS r FROM corr_lineitem"
              for k, c in enumerate([c for c in CORR_COLS if c != TARGET])]
@@ -46,7 +54,7 @@ def _target_sql():
 SELECT variable, r, r * r AS r_squared, {BAND_SQL} AS band,
        CAST(row_number() OVER (ORDER BY round(abs(r), 10) DESC, ordinal) AS BIGINT) AS "rank"
 FROM ({' UNION ALL '.join(parts)}) p WHERE r IS NOT NULL AND NOT isnan(r) AND abs(r) > 0.1"""
-    return FX.with_views(oracle_finish(inner, ["r", "r_squared"]), "corr_lineitem")
+    return inner
 
 
 @register("target_correlations", _target_sql())
