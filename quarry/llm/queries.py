@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, near_dedup, token_counts, token_output
+from quarry.llm import decontaminate, near_dedup, suffix_dedup, token_counts, token_output
 from quarry.llm.store import table
 
 QUERIES: dict = {}
@@ -17,6 +17,11 @@ def query(fn):
     return fn
 
 
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_substrings(table(spark, sf_dir, "documents", "doc_id", "text"), with_text=False)
+
+
 @query
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_files(table(spark, sf_dir, "documents", "doc_id", "text"))
