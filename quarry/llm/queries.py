@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, near_dedup, suffix_dedup, token_counts, token_output
+from quarry.llm import decontaminate, mixing, near_dedup, suffix_dedup, token_counts, token_output
 from quarry.llm.store import table
 
 QUERIES: dict = {}
@@ -17,6 +17,15 @@ def query(fn):
     return fn
 
 
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    return mixing.mix(mixing.sized(docs)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE["op1_mixing"] = mixing.ORACLE
+
+
 @query
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_substrings(table(spark, sf_dir, "documents", "doc_id", "text"), with_text=False)
