@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, mixing, near_dedup, suffix_dedup, token_counts, token_output
+from quarry.llm import decontaminate, license_scan, mixing, near_dedup, suffix_dedup, token_counts, token_output
 from quarry.llm.store import table
 
 QUERIES: dict = {}
@@ -26,6 +26,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op1_mixing"] = mixing.ORACLE
 
 
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_notices(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_substrings(table(spark, sf_dir, "documents", "doc_id", "text"), with_text=False)
