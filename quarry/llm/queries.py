@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, license_scan, mixing, near_dedup, suffix_dedup, token_counts, token_output
+from quarry.llm import (decision_list, decontaminate, license_scan, mixing, near_dedup, rule_ensemble, suffix_dedup, token_counts,
+                        token_output)
 from quarry.llm.store import table
 
 QUERIES: dict = {}
@@ -31,6 +32,16 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_notices(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.quality_scores(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision_list.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 @query
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_substrings(table(spark, sf_dir, "documents", "doc_id", "text"), with_text=False)
