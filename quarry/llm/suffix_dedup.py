@@ -11,8 +11,12 @@ holds ``length - gram + 1`` grams, and the least gram identifier names one place
 equal strings have equal anchors at equal offsets. So the places with one anchor form a run of
 neighbouring suffixes that travels as one row: first it is bucketed by the anchor's gram, then, in
 buckets of two or more, refined by the identifier of the whole run. Runs equal to an earlier run are
-repeats as a whole. Where one gram bucket holds different runs, the first of each is opened and its
-suffixes are refined one by one to full depth.
+repeats as a whole. Where one gram bucket holds different runs, the first of each is opened: its bytes
+are fetched and its suffixes refined one by one to full depth, in a task that holds the bucket, or by
+Spark's sort where the bucket holds more than ``hot_runs`` runs.
+
+Texts move only where places have to meet them: a fixed-size sieve (bitmap.py) keeps back documents
+that certainly have none.
 
 A task folds equal runs of its own rows into one row (with the places of the others) before the
 shuffle, so that a passage in a third of the corpus is one row per task in its bucket.
@@ -27,10 +31,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
+from quarry.llm.bitmap import sieve, sieved
 from quarry.llm.store import materialize
 
 LENGTH = 100
@@ -39,24 +45,31 @@ _U = np.uint64
 _LAST = (1 << 63) - 1
 #: Runs or suffixes that a task folds at a time.
 FOLD = 1 << 20
+#: Different runs in one gram bucket that a task refines by itself; larger buckets are sorted by Spark.
+HOT_RUNS = 2048
 
 
 def refined(ids: np.ndarray, later: int) -> np.ndarray:
     """Bucket identifiers refined by those at a later offset."""
-    a, b = ids[:-later], ids[later:]
-    x = a * _U(0x9E3779B97F4A7C15) + (b ^ (b >> _U(29))) * _U(0xC2B2AE3D27D4EB4F)
+    x = ids[:-later] * _U(0x9E3779B97F4A7C15)
+    x += ids[later:]
     x ^= x >> _U(32)
     x *= _U(0xD6E8FEB86659FD93)
-    x ^= x >> _U(32)
     return x
 
 
 def gram_buckets(buf: np.ndarray) -> np.ndarray:
     """Identifiers of the first 8 bytes of every suffix."""
-    x = buf.astype(np.uint64)
-    for k in (1, 2, 4):
-        x = x[:-k] | (x[k:] << _U(8 * k))
-    return W.mix(x + _U(W._BASE))
+    n = max(len(buf) - 7, 0)
+    x = np.empty(n, np.uint64)
+    for k in range(min(8, n)):
+        x[k::8] = np.frombuffer(buf[k:k + (len(buf) - k) // 8 * 8].tobytes(), "<u8")
+    x += _U(W._BASE)
+    x ^= x >> _U(32)
+    x *= _U(0xD6E8FEB86659FD93)
+    x ^= x >> _U(29)
+    x *= _U(0xBF58476D1CE4E5B9)
+    return x
 
 
 def deepen(ids: np.ndarray, have: int, want: int) -> np.ndarray:
@@ -76,16 +89,14 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Buckets:
-    """Identifiers of a block: grams, full-depth suffixes, and the anchor of each suffix."""
+    """Identifiers of a block: grams, full-depth suffixes, and which suffixes are that long."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, length: int, gram: int):
         self.gram = deepen(gram_buckets(buf), 8, gram)
         self.full = deepen(self.gram, gram, length)
-        place = np.arange(len(self.gram), dtype=np.uint64)
-        order = (self.gram & _U(0xFFFFFFFF00000000)) | place  # ties: the first place
-        self.anchor = (_least(order, length - gram + 1) & _U(0xFFFFFFFF)).astype(np.int64)
-        doc_end = np.repeat(offs[1:], np.diff(offs))[:len(self.full)]
-        self.inside = np.arange(len(self.full)) + length <= doc_end
+        self.inside = np.ones(len(self.full), bool)
+        for end in offs[1:-1].tolist():
+            self.inside[max(end - length + 1, 0):end] = False
 
 
 def runs(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -93,16 +104,21 @@ def runs(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.
     if len(buf) < length:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     b = Buckets(buf, offs, length, gram)
-    new = b.inside.copy()
-    new[1:] &= (b.anchor[1:] != b.anchor[:-1]) | ~b.inside[:-1]
-    first = np.flatnonzero(new)
-    stop = b.inside.copy()
-    stop[:-1] &= (b.anchor[1:] != b.anchor[:-1]) | ~b.inside[1:]
-    last = np.flatnonzero(stop)
-    to_anchor = b.anchor[first] - first
-    shape = ((last - first) << 16 | to_anchor).astype(np.uint64)
+    order = b.gram & _U(0xFFFFFFFF00000000)
+    order |= np.arange(len(order), dtype=np.uint64)  # ties: the first place
+    anchor = _least(order, length - gram + 1) & _U(0xFFFFFFFF)
+    turn = np.ones(len(anchor) + 1, bool)  # where a run ends before the place
+    np.not_equal(anchor[1:], anchor[:-1], out=turn[1:-1])
+    edge = b.inside[1:] != b.inside[:-1]
+    turn[1:-1] |= edge
+    at = np.flatnonzero(turn)
+    first, last = at[:-1], at[1:] - 1
+    ok = b.inside[first]
+    first, last = first[ok], last[ok]
+    anchor = anchor[first].astype(np.int64)
+    shape = ((last - first) << 16 | (anchor - first)).astype(np.uint64)
     ident = W.mix(b.full[first] * _U(0x9E3779B97F4A7C15) + W.mix(b.full[last] + shape * _U(0xC2B2AE3D27D4EB4F)))
-    return b.gram[b.anchor[first]], ident, first, last - first + 1, to_anchor
+    return b.gram[anchor], ident, first, last - first + 1, anchor - first
 
 
 _FOLDED = "k1 long, k2 long, doc long, place long, others binary"
@@ -153,128 +169,156 @@ def _run_rows(length: int, gram: int):
 
 
 def _places(batches):
-    """Unfold: every place of a repeated bucket, and whether it is removed as a whole."""
+    """Unfold: every place of a repeated bucket; the others of a folded row are removed as a whole."""
     for batch in batches:
         packed = batch.column("others").to_pylist()
         pairs = np.frombuffer(b"".join(p for p in packed if p), np.int64).reshape(-1, 2)
-        first = [np.asarray(batch.column(c)) for c in ("doc", "place")]
-        n = len(pairs)
-        for lo in range(0, max(n, 1), FOLD):
+        heads = batch.select(["k1", "doc", "place", "repeat", "open", "hot"])
+        yield heads.filter(pc.or_(batch.column("repeat"), batch.column("open")))
+        for lo in range(0, len(pairs), FOLD):
             part = pairs[lo:lo + FOLD]
-            head = batch.num_rows if lo == 0 else 0
+            no = np.zeros(len(part), bool)
             yield pa.RecordBatch.from_pydict({
-                "doc": pa.array(np.concatenate([first[0][:head], part[:, 0]])),
-                "place": pa.array(np.concatenate([first[1][:head], part[:, 1]])),
-                "repeat": pa.array(np.concatenate([np.asarray(batch.column("repeat"))[:head], np.ones(len(part), bool)])),
-                "open": pa.array(np.concatenate([np.asarray(batch.column("open"))[:head], np.zeros(len(part), bool)]))})
+                "k1": pa.array(np.zeros(len(part), np.int64)), "doc": pa.array(part[:, 0]), "place": pa.array(part[:, 1]),
+                "repeat": pa.array(~no), "open": pa.array(no), "hot": pa.array(no)})
 
 
-def _judged(folded: DataFrame) -> DataFrame:
-    """Places (doc, place, repeat, open) of the buckets that hold more than one row or place."""
+def _judged(folded: DataFrame, hot_runs: int) -> DataFrame:
+    """Places (k1, doc, place, repeat, open, hot) of the buckets that hold more than one row or place.
+    repeat: equal to an earlier one; open: the first of its kind in a bucket of several kinds; hot: the
+    bucket has more than ``hot_runs`` of those."""
     bucket, exact = Window.partitionBy("k1"), Window.partitionBy("k1", "k2")
     here = F.struct("doc", "place")
     return (folded.withColumn("lo", F.min("k2").over(bucket)).withColumn("hi", F.max("k2").over(bucket))
             .withColumn("first", F.min(here).over(exact))
             .withColumn("repeat", here != F.col("first"))
             .withColumn("open", ~F.col("repeat") & (F.col("lo") < F.col("hi")))
+            .withColumn("hot", F.sum(F.col("open").cast("int")).over(bucket) > hot_runs)
             .filter("repeat or open or others is not null")
-            .select("doc", "place", "others", "repeat", "open")
-            .mapInArrow(_places, "doc long, place long, repeat boolean, open boolean"))
+            .select("k1", "doc", "place", "others", "repeat", "open", "hot")
+            .mapInArrow(_places, "k1 long, doc long, place long, repeat boolean, open boolean, hot boolean"))
 
 
-def _digest(text: np.ndarray, removed: np.ndarray) -> tuple[int, int, str]:
-    edge = np.diff(removed.astype(np.int8), prepend=0)
-    return int(removed.sum()), int((edge == 1).sum()), hashlib.sha256(text[~removed].tobytes()).hexdigest()
+def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return place >> 24, (place >> 12) & 0xFFF, place & 0xFFF
 
 
-def _covered(n: int, first: np.ndarray, past: np.ndarray) -> np.ndarray:
-    cover = np.zeros(n + 1, np.int64)
-    np.add.at(cover, np.minimum(first, n), 1)
-    np.add.at(cover, np.minimum(past, n), -1)
-    return np.cumsum(cover[:n]) > 0
-
-
-_RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
-_RESULT_FIELDS = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-
+def _segments(length: int):
+    """The bytes of the open runs of each document."""
+    def run(batches):
+        for batch in batches:
+            buf, offs = W.raw(batch.column("text"))
+            docs, out = np.asarray(batch.column("doc")), [[], [], [], [], []]
+            for i, ps in enumerate(batch.column("places").to_pylist()):
+                text = buf[offs[i]:offs[i + 1]].tobytes()
+                for p in ps:
+                    first, many = p["place"] >> 24, (p["place"] >> 12) & 0xFFF
+                    if first + many - 1 + length <= len(text):  # another version of the text may be shorter
+                        for x, v in zip(out, (p["k1"], p["hot"], int(docs[i]), p["place"], text[first:first + many - 1 + length])):
+                            x.append(v)
+            yield pa.RecordBatch.from_pydict({"k1": pa.array(out[0], pa.int64()), "hot": pa.array(out[1], pa.bool_()),
+                                              "doc": pa.array(out[2], pa.int64()), "place": pa.array(out[3], pa.int64()),
+                                              "bytes": pa.array(out[4], pa.binary())})
+    return run
 
-def _lists(column) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.int64) if x else np.zeros(0, np.int64) for x in column.to_pylist()]
 
+_OPENED = "doc long, first long, many long, k1 long, k2 long"
+
+
+def _refine(length: int, gram: int):
+    """Rows sorted by bucket, document and place. Buckets of a bounded number of runs are refined here
+    to full depth and give their repeated places; the suffixes of hot ones go on to be sorted."""
+    def solved(k1, hot, doc, place, column):
+        done = np.flatnonzero(~hot)
+        first, many, to_anchor = _unpacked(place)
+        for part in (done, np.flatnonzero(hot)):
+            if not len(part):
+                continue
+            buf, offs = W.raw(column.take(pa.array(part)))
+            b = Buckets(buf, offs, length, gram)
+            n = many[part]
+            row = np.repeat(part, n)
+            p = first[row] + W.ragged(n)
+            full, d = b.full[b.inside], doc[row]
+            if part is not done:
+                g = np.repeat(b.gram[offs[:-1] + to_anchor[part]], n)
+                yield {"doc": d, "first": p, "many": np.ones(len(p), np.int64), "k1": full.view(np.int64), "k2": g.view(np.int64)}
+                continue
+            key = W.mix(full + k1[row].view(np.uint64) * _U(W._BASE))
+            order = np.lexsort((p, d, key))
+            new = np.ones(len(order), bool)
+            new[1:] = key[order][1:] != key[order][:-1]
+            least = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            again = np.zeros(len(order), bool)
+            again[order] = (d[order] != d[least]) | (p[order] != p[least])
+            start = again.copy()
+            start[1:] &= ~again[:-1] | (row[1:] != row[:-1])
+            stop = again.copy()
+            stop[:-1] &= ~again[1:] | (row[1:] != row[:-1])
+            a, z = np.flatnonzero(start), np.flatnonzero(stop)
+            yield {"doc": d[a], "first": p[a], "many": z - a + 1, "k1": np.zeros(len(a), np.int64), "k2": np.zeros(len(a), np.int64)}
 
-def _settle(length: int, with_text: bool):
-    """Documents with their places: those without open runs get their result, the others wait."""
     def run(batches):
+        held = []
         for batch in batches:
-            out = {k: [] for k in ["doc_id", "text", "removed", "open", *_RESULT_FIELDS]}
-            buf, offs = W.raw(batch.column("text"))
-            places = batch.column("places").to_pylist()
-            for i, ps in enumerate(places):
-                text = buf[offs[i]:offs[i + 1]]
-                whole = np.array([p["place"] for p in ps or () if p["repeat"]], np.int64)
-                open_ = np.array([p["place"] for p in ps or () if p["open"]], np.int64)
-                first, many = whole >> 24, (whole >> 12) & 0xFFF
-                out["doc_id"].append(batch.column("doc_id")[i])
-                out["n_bytes"].append(len(text))
-                if len(open_):
-                    out["text"].append(text.tobytes().decode())
-                    out["removed"].append(np.stack([first, first + many - 1 + length]).T.tobytes())
-                    out["open"].append(open_.tobytes())
-                    for k in _RESULT_FIELDS[1:]:
-                        out[k].append(None)
-                    continue
-                gone = _covered(len(text), first, first + many - 1 + length)
-                for k, v in zip(("text", "removed", "open", *_RESULT_FIELDS[1:4]), (None, None, None, *_digest(text, gone))):
-                    out[k].append(v)
-                out["kept"].append(text[~gone].tobytes().decode("utf-8", "replace") if with_text else None)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array([x.as_py() for x in out["doc_id"]], pa.int64()), "text": pa.array(out["text"], pa.string()),
-                "removed": pa.array(out["removed"], pa.binary()), "open": pa.array(out["open"], pa.binary()),
-                **{k: pa.array(out[k], pa.string() if k.startswith("kept") else pa.int64()) for k in _RESULT_FIELDS}})
+            if batch.num_rows:
+                held.append(batch)
+                k = np.asarray(batch.column("k1"))
+                cut = int(np.searchsorted(k, k[-1], side="left"))  # the last bucket may go on in the next batch
+                if np.asarray(batch.column("hot"))[-1]:
+                    cut = batch.num_rows
+                if cut or held[0].num_rows and k[-1] != held[0].column("k1")[0].as_py():
+                    rest, held[-1] = batch.slice(cut), batch.slice(0, cut)
+                    yield from _ripe(held, solved)
+                    held = [rest] if rest.num_rows else []
+        if held:
+            yield from _ripe(held, solved)
     return run
 
 
-def _suffix_rows(length: int, gram: int):
-    """The suffixes of open runs, bucketed to full depth (with the gram: 128 bits)."""
-    def parts(batches):
-        for batch in batches:
-            docs, open_ = np.asarray(batch.column("doc")), _lists(batch.column("open"))
-            for lo, hi, buf, offs in W.blocks(batch.column("text")):
-                if len(buf) < length:
-                    continue
-                b = Buckets(buf, offs, length, gram)
-                many = np.array([len(x) for x in open_[lo:hi]])
-                run = np.concatenate(open_[lo:hi])
-                row = np.repeat(np.arange(hi - lo), many)
-                first, n, to_anchor = run >> 24, (run >> 12) & 0xFFF, run & 0xFFF
-                ok = first + n - 1 + length <= (offs[1:] - offs[:-1])[row]  # another version of the text may be shorter
-                row, first, n, to_anchor = row[ok], first[ok], n[ok], to_anchor[ok]
-                owner = np.repeat(row, n)
-                place = np.repeat(first, n) + W.ragged(n)
-                anchor = np.repeat(first + to_anchor, n) + offs[:-1][owner]
-                yield b.full[place + offs[:-1][owner]], b.gram[anchor], docs[lo:hi][owner], place
-    return lambda batches: _fold(parts(batches))
+def _ripe(held, solved):
+    t = pa.Table.from_batches(held).combine_chunks()
+    column = lambda c: np.asarray(t.column(c))
+    data = t.column("bytes")
+    data = data.chunk(0) if data.num_chunks else pa.array([], pa.binary())
+    for out in solved(column("k1"), column("hot"), column("doc"), column("place"), data):
+        yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in out.items()})
+
+
+def _refold(batches):
+    return _fold((np.asarray(b.column("k1")).view(np.uint64), np.asarray(b.column("k2")).view(np.uint64),
+                  np.asarray(b.column("doc")), np.asarray(b.column("first"))) for b in batches)
 
 
-def _finish(length: int, with_text: bool):
+def _digests(length: int, with_text: bool):
+    """Documents with the places to remove: (first place, number of places) pairs."""
     def run(batches):
         for batch in batches:
             buf, offs = W.raw(batch.column("text"))
-            removed, more = _lists(batch.column("removed")), batch.column("places").to_pylist()
-            rows = []
-            for i in range(batch.num_rows):
-                text, span = buf[offs[i]:offs[i + 1]], removed[i].reshape(-1, 2)
-                at = np.array(more[i] or (), np.int64)
-                gone = _covered(len(text), np.concatenate([span[:, 0], at]), np.concatenate([span[:, 1], at + length]))
-                rows.append((len(text), *_digest(text, gone), text[~gone].tobytes().decode("utf-8", "replace") if with_text else None))
-            cols = list(zip(*rows)) if rows else [[]] * 5
+            out = []
+            for i, ps in enumerate(batch.column("places").to_pylist()):
+                text, ps = buf[offs[i]:offs[i + 1]], ps or ()
+                first = np.array([p["first"] for p in ps], np.int64)
+                past = first + np.array([p["many"] for p in ps], np.int64) - 1 + length
+                cover = np.zeros(len(text) + 1, np.int64)
+                np.add.at(cover, np.minimum(first, len(text)), 1)
+                np.add.at(cover, np.minimum(past, len(text)), -1)
+                gone = np.cumsum(cover[:-1]) > 0
+                edge = np.diff(gone.astype(np.int8), prepend=0)
+                kept = text[~gone].tobytes()
+                out.append((len(text), int(gone.sum()), int((edge == 1).sum()), hashlib.sha256(kept).hexdigest(),
+                            kept.decode("utf-8", "replace") if with_text else None))
+            cols = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **{
-                k: pa.array(cols[j], pa.string() if k.startswith("kept") else pa.int64()) for j, k in enumerate(_RESULT_FIELDS)}})
+                k: pa.array(c, pa.string() if k.startswith("kept") else pa.int64()) for k, c in zip(_RESULT, cols)}})
     return run
 
 
+_RESULT = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+
+
 def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                        gram: int = GRAM, with_text: bool = True) -> DataFrame:
+                        gram: int = GRAM, with_text: bool = True, hot_runs: int = HOT_RUNS) -> DataFrame:
     """Per row: the id, n_bytes, n_removed, n_spans, kept_sha256 and (``with_text``) the kept text, in
     which a character that lost some of its bytes is U+FFFD (the digest is of the bytes themselves).
     ``length`` is under 2,048 and ``gram`` at least 8."""
@@ -282,17 +326,29 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("8 <= gram < length < 2048")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = texts.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST)))
-    found = _judged(keyed.select("doc", "text").mapInArrow(_run_rows(length, gram), _FOLDED))
-    by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("place", "repeat", "open")).alias("places"))
-    settled = materialize(
-        keyed.join(by_doc, "doc", "left").select("doc_id", "text", "places")
-        .mapInArrow(_settle(length, with_text), f"doc_id long, text string, removed binary, open binary, {_RESULT}"), "settled")
-    waiting = (settled.filter("open is not null").select("doc_id", "text", "removed", "open")
-               .withColumn("doc", F.coalesce("doc_id", F.lit(_LAST))))
-    more = _judged(waiting.select("doc", "text", "open").mapInArrow(_suffix_rows(length, gram), _FOLDED))
-    more = more.filter("repeat").groupBy("doc").agg(F.collect_list("place").alias("places"))
-    finished = (waiting.join(more, "doc", "left").select("doc_id", "text", "removed", "places")
-                .mapInArrow(_finish(length, with_text), f"doc_id long, {_RESULT}"))
-    done = settled.filter("open is null").select("doc_id", *_RESULT_FIELDS)
-    out = done.union(finished).withColumnRenamed("doc_id", id_col)
+    found = materialize(_judged(keyed.select("doc", "text").mapInArrow(_run_rows(length, gram), _FOLDED), hot_runs), "places")
+
+    opened = found.filter("open")
+    by_doc = opened.groupBy("doc").agg(F.collect_list(F.struct("k1", "place", "hot")).alias("places"))
+    holders = sieved(keyed, "doc", materialize(sieve(opened, "doc"), "sieve")).filter("may_have")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "place"), F.lit(64))).otherwise(F.lit(0))
+    segments = (holders.join(by_doc, "doc").select("doc", "text", "places")
+                .mapInArrow(_segments(length), "k1 long, hot boolean, doc long, place long, bytes binary")
+                .repartition("k1", salt).sortWithinPartitions("k1", "doc", "place"))
+    refined_ = materialize(segments.mapInArrow(_refine(length, gram), _OPENED), "refined")
+    unsolved = _judged(refined_.filter("k1 != 0 or k2 != 0").mapInArrow(_refold, _FOLDED), hot_runs)
+
+    gone = materialize(
+        found.filter("repeat").select("doc", F.shiftright("place", 24).alias("first"),
+                                      F.shiftright("place", 12).bitwiseAND(0xFFF).alias("many"))
+        .union(refined_.filter("k1 = 0 and k2 = 0").select("doc", "first", "many"))
+        .union(unsolved.filter("repeat").select("doc", F.col("place").alias("first"), F.lit(1).cast("long").alias("many"))), "gone")
+    touched = sieved(keyed, "doc", materialize(sieve(gone, "doc"), "sieve"))
+    whole = touched.filter("not may_have").select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
+        F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.col("text").alias("kept"))
+    by_doc = gone.groupBy("doc").agg(F.collect_list(F.struct("first", "many")).alias("places"))
+    cut = (touched.filter("may_have").join(by_doc, "doc", "left").select("doc_id", "text", "places")
+           .mapInArrow(_digests(length, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"))
+    out = whole.union(cut).withColumnRenamed("doc_id", id_col)
     return out if with_text else out.drop("kept")

@@ -43,7 +43,7 @@ def _counts(proof, path: str, limit: int):
     def run(batches):
         whole, codes = proof.value, U.unit_codes(path)
         for batch in batches:
-            for lo, hi, raw, offs in W.blocks(batch.column(1)):
+            for lo, hi, raw, offs in W.blocks(batch.column(1), U.BLOCK_BYTES):
                 buf, w, plain = U.units(raw, offs)
                 distinct, at, back = np.unique(w.ident, return_index=True, return_inverse=True)
                 near = np.minimum(np.searchsorted(whole, distinct), len(whole) - 1)

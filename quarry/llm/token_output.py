@@ -120,7 +120,7 @@ def _writer(path: str, folder: str, end_id: int, file_ids: int):
             key = batch.column("doc_id")
             no_id = np.asarray(key.is_null())
             key = np.asarray(key.fill_null(0))
-            for lo, hi, raw, offs in W.blocks(batch.column("text")):
+            for lo, hi, raw, offs in W.blocks(batch.column("text"), U.BLOCK_BYTES):
                 got, n = codes.encode(*U.units(raw, offs))
                 cut = np.concatenate([[0], np.cumsum(n)])
                 full = np.insert(got, cut[1:], end_id)

@@ -20,6 +20,8 @@ from quarry.llm import words as W
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: Distinct units kept per Python worker.
 KNOWN_UNITS = 2_000_000
+#: Text bytes that are coded at a time: enough for most units to be met several times.
+BLOCK_BYTES = 1 << 20
 
 _LETTER, _OTHER, _DIGIT, _GLUE = 1, 2, 3, 4
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one numpy pass works on; a longer document is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 256 << 10
 
 _BYTES = np.arange(256)
 #: Bytes of words ``[^\x20\x09-\x0D]+``. Bytes of one code point are all inside or all outside.

@@ -50,6 +50,7 @@ def test_planted_passages(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert got(df) == brute(docs)
     assert got(df, length=40, gram=9) == brute(docs, 40)
+    assert got(df, hot_runs=3) == brute(docs)  # most buckets are sorted by Spark
     r = {x.doc_id: x for x in repeated_substrings(df).collect()}
     for d, n, gone, _, sha in brute(docs):
         if not gone:
