@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import (decision_list, decontaminate, license_scan, mixing, near_dedup, rule_ensemble, suffix_dedup, token_counts,
-                        token_output)
+                        token_output, warc)
 from quarry.llm.store import table
 
 QUERIES: dict = {}
@@ -52,6 +52,14 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_files(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+ORACLE["op7_warc"] = warc.ORACLE
+
+
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -33,8 +33,9 @@ def range_bounds(df: DataFrame, key: str, weight: Column, share: float) -> list[
         expr, wide = None, {}
         for i, (a, b) in enumerate(open_):
             wide[i] = step = -(-(b - a) // BINS)
-            one = F.struct(F.lit(i).alias("i"), F.floor((F.col("k") - F.lit(a)) / F.lit(step)).cast("long").alias("bin"))
-            cond = (F.col("k") >= a) & (F.col("k") < b)
+            wide_k = F.col("k").cast("decimal(38,0)")  # the difference of two longs may not be one
+            one = F.struct(F.lit(i).alias("i"), F.floor((wide_k - F.lit(a)) / F.lit(step).cast("decimal(20,0)")).cast("long").alias("bin"))
+            cond = (F.col("k") >= a) & (F.col("k") <= b - 1)
             expr = F.when(cond, one) if expr is None else expr.when(cond, one)
         rows = slim.withColumn("at", expr).filter("at is not null").groupBy("at.i", "at.bin").agg(F.sum("w").alias("w")).collect()
         again = []
@@ -52,14 +53,15 @@ def range_bounds(df: DataFrame, key: str, weight: Column, share: float) -> list[
     return bounds
 
 
-def shard_of(key: str, bounds: list[int]) -> Column:
-    """Number of bounds at or below the key (null: 0), as a balanced tree of conditions."""
+def shard_of(key: str, bounds: list[int], nulls_last: bool = False) -> Column:
+    """Number of bounds at or below the key, as a balanced tree of conditions. Nulls go to the first
+    shard or to the last."""
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
         return F.when(F.col(key) < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-    return F.when(F.col(key).isNull(), F.lit(0)).otherwise(tree(0, len(bounds))).cast("int") if bounds else F.lit(0)
+    return F.when(F.col(key).isNull(), F.lit(len(bounds) if nulls_last else 0)).otherwise(tree(0, len(bounds))).cast("int") if bounds else F.lit(0)
 
 
 def filesystem(path: str):
@@ -76,7 +78,7 @@ def commit_file(folder: str, name: str, chunks) -> int:
     fs.create_dir(base, recursive=True)
     temporary = f"{base}/_{name}.{os.getpid()}.{uuid.uuid4().hex}.tmp"
     size = 0
-    with fs.open_output_stream(temporary) as out:
+    with fs.open_output_stream(temporary, compression=None) as out:
         for c in chunks:
             out.write(c)
             size += len(c)
