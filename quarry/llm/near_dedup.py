@@ -9,14 +9,15 @@ shingle sets decide the rest.
 
 Copies collapse first: documents with one shingle set are one class, told by two 64-bit sums over
 the set. Links are sought between class representatives only. In each band bucket a hub (the member
-that meets most others over all bands) is compared with every other member; members that the hubs'
-links have not yet joined are then compared with the members of other components of their bucket.
-So a bucket of near copies costs as many pairs as it has members, and no link that could join two
-components is left out.
+that meets most others over all bands) is compared with every other member: as many pairs as members.
+Two members of one bucket have met at its hub. Where the hub's links leave members of a hub in several
+components, those are compared with each other in blocks of a bounded number of members, inside tasks:
+first by estimate, which names the members that need their sets, then by the sets. Only confirmed links
+leave the tasks, and no link that could join two components is left out.
 
-With 40 bands of 6 registers a pair of similarity 0.8 shares no band with probability 5e-6, one of
-0.1 shares some with 4e-5. The estimate's standard error is 0.026 at 0.8; pairs estimated under
-0.66 are dropped.
+With 72 bands of 8 registers a pair of similarity 0.8 shares no band with probability 2e-6, one of
+0.1 shares some with 7e-7. The estimate's standard error is 0.017 at 0.8; pairs estimated under
+0.7 are dropped.
 
 Defined cases: null or empty texts and texts without words have no shingles and link with nothing;
 a text of fewer words than a shingle is one shingle; rows that repeat a doc_id count as one
@@ -30,14 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
+from quarry.llm.bitmap import sieve, sieved
 from quarry.llm.components import components
 from quarry.llm.store import materialize
 
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 72, 8
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 ZEROS = 53
-LEAST_ESTIMATE = 0.66
+LEAST_ESTIMATE = 0.7
+#: Members of a hub that are compared with each other at a time.
+BLOCK = 256
 
 _U = np.uint64
 _WIDTH = (1 << 64) // REGISTERS
@@ -193,29 +197,122 @@ def _links(texts: DataFrame, classes: DataFrame, shingle: int, percent: int) ->
     met = cand.groupBy("rep").agg(F.sum("c").alias("met"))
     hubs = (cand.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("minus"), "n")).alias("h"))
             .select("key", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n")))
-    sizes = lambda x, y: f"100L * least({x}, {y}) >= {percent}L * greatest({x}, {y})"
-    first = materialize(cand.join(hubs, "key").filter("rep != hub").filter(sizes("n", "hub_n"))
+    cand = materialize(cand.join(hubs, "key").filter("rep != hub"), "hubs")
+    first = materialize(cand.filter(f"100L * least(n, hub_n) >= {percent}L * greatest(n, hub_n)")
                         .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "hub-pairs")
-    links = _verified(first, texts, classes, shingle, percent)
-    joined = components(links).select(F.col("node").alias("rep"), "component")
-    lab = materialize(cand.select("key", "rep", "n").join(joined, "rep", "left")
-                      .withColumn("component", F.coalesce("component", "rep")), "labelled")
-    split = lab.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    open_ = lab.join(split, "key")
-    x = open_.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = open_.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = (x.join(y, "key").filter("a < b and ca != cb").filter(sizes("na", "nb")).select("a", "b").distinct()
-            .join(first, ["a", "b"], "left_anti"))
-    return links.union(_verified(materialize(rest, "rest-pairs"), texts, classes, shingle, percent))
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    near = materialize(_with_both(pairs, classes.select("rep", "sketch", "n"), "sketch")
+    near = materialize(_with_both(first, classes.select("rep", "sketch", "n"), "sketch")
                        .mapInArrow(_estimated(LEAST_ESTIMATE), "a long, b long"), "estimated")
-    needed = materialize(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "needed")
-    sets = materialize(texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    sets = _sets(texts, near.select(F.col("a").alias("rep")).union(near.select("b")), shingle)
+    links = materialize(_with_both(near, sets, "set").mapInArrow(_confirmed(percent), "a long, b long"), "links")
+
+    joined = components(links).select(F.col("node").alias("rep"), "component")
+    met_at = cand.filter("c > 2").select("hub", "rep").distinct().join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    split = met_at.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("hub")
+    open_ = materialize(met_at.join(split, "hub"), "open")
+    plausible = materialize(_paired(open_, classes.select("rep", F.col("sketch").alias("data")), _plausible(percent), "hub long, rep long")
+                            .distinct(), "plausible")
+    sets = _sets(texts, plausible.select("rep"), shingle).withColumnRenamed("set", "data")
+    rest = _paired(open_.join(plausible, ["hub", "rep"], "left_semi"), sets, _rest_links(percent), "a long, b long")
+    return links.union(materialize(rest.distinct(), "rest-links"))
+
+
+def _sets(texts: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
+    """(rep, set) of the named documents. Only texts that pass the sieve of ids move."""
+    needed = materialize(reps.select(F.col("rep").alias("doc_id")).distinct(), "needed")
+    some = sieved(texts.filter("doc_id is not null"), "doc_id", materialize(sieve(needed, "doc_id"), "sieve")).filter("may_have")
+    return materialize(some.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
                        .mapInArrow(_set_rows(shingle), "rep long, set binary"), "sets")
-    return materialize(_with_both(near, sets, "set").mapInArrow(_confirmed(percent), "a long, b long"), "links")
+
+
+def _paired(members: DataFrame, data: DataFrame, compare, shape: str) -> DataFrame:
+    """Compare the members (hub, rep, component) that met at one hub, in pairs of blocks: a hub's
+    members are dealt to blocks of about BLOCK, and every two blocks meet in one bounded group."""
+    many = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = (members.join(many, "hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")))
+    rows = dealt.join(data, "rep").select("hub", "i", "j", "rep", "component", "own", "data")
+    return (rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "rep").mapInArrow(_grouped(compare), shape))
+
+
+def _grouped(compare):
+    """Runs of equal (hub, i, j), which may cross batches, to ``compare``."""
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("hub", "i", "j")], axis=1)
+            cut = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+            edges = [0, *cut.tolist(), len(k)]
+            for a, z in zip(edges, edges[1:]):
+                if key is not None and tuple(k[a]) != key:
+                    yield from compare(key, pa.Table.from_batches(held))
+                    held = []
+                key = tuple(k[a])
+                held.append(batch.slice(a, z - a))
+        if held:
+            yield from compare(key, pa.Table.from_batches(held))
+    return run
+
+
+def _open_pairs(reg: np.ndarray, n: np.ndarray, component: np.ndarray, own: np.ndarray, across: bool, percent: int):
+    """(row, later rows) that may be linked: other component, fitting sizes, estimate high enough."""
+    for a in range(len(n) - 1):
+        ok = component[a + 1:] != component[a]
+        if across:
+            ok &= own[a + 1:] != own[a]  # pairs inside a block meet in the block's own group
+        ok &= 100 * np.minimum(n[a + 1:], n[a]) >= percent * np.maximum(n[a + 1:], n[a])
+        b = np.flatnonzero(ok) + a + 1
+        if len(b):
+            p = chance_collision(np.full(len(b), float(n[a])), n[b].astype(float))
+            b = b[((reg[b] == reg[a]).mean(axis=1) - p) / (1 - p) >= LEAST_ESTIMATE]
+        if len(b):
+            yield a, b
+
+
+def _plausible(percent: int):
+    def compare(key, t):
+        if t.num_rows < 2:
+            return
+        reg = np.frombuffer(b"".join(t.column("data").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        rep, component, own = (np.asarray(t.column(c)) for c in ("rep", "component", "own"))
+        some = np.zeros(len(rep), bool)
+        for a, b in _open_pairs(reg, np.ones(len(rep), np.int64), component, own, key[1] != key[2], 0):
+            some[a] = some[b] = True
+        if some.any():
+            yield pa.RecordBatch.from_pydict({"hub": pa.array(np.full(int(some.sum()), key[0])), "rep": pa.array(rep[some])})
+    return compare
+
+
+def _rest_links(percent: int):
+    def compare(key, t):
+        if t.num_rows < 2:
+            return
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("data").to_pylist()]
+        reg, n = np.stack([registers(s) for s in sets]), np.array([len(s) for s in sets])
+        rep, component, own = (np.asarray(t.column(c)) for c in ("rep", "component", "own"))
+        root = {int(c): int(c) for c in component}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        found = []
+        for a, later in _open_pairs(reg, n, component, own, key[1] != key[2], percent):
+            for b in later:
+                x, y = find(int(component[a])), find(int(component[b]))
+                if x != y:
+                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    if 100 * both >= percent * (n[a] + n[b] - both):
+                        root[x] = y
+                        found.append((min(rep[a], rep[b]), max(rep[a], rep[b])))
+        if found:
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return compare
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
