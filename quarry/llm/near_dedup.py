@@ -317,7 +317,14 @@ def _rest_links(percent: int):
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                  percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group (the smallest id); columns as given."""
-    gone = (near_duplicates(docs, id_col, text_col, shingle, percent).filter("not kept")
-            .select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """``docs`` with one document of each group (the smallest id, one row of it); columns as given.
+    Only rows whose id passes a sieve of the ids in question move."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key = names[docs.columns.index(id_col)]
+    rows = docs.toDF(*names).withColumn("own_id", F.col(key).cast("long"))
+    gone = materialize(near_duplicates(docs, id_col, text_col, shingle, percent).filter("not kept").select(F.col("doc_id").alias("own_id")).distinct(), "gone")
+    twice = materialize(rows.filter("own_id is not null").groupBy("own_id").count().filter("count > 1").select("own_id"), "twice")
+    seen = sieved(rows, "own_id", materialize(sieve(gone.union(twice), "own_id"), "sieve"))
+    clear = seen.filter("not may_have or own_id is null").select(*names)
+    rest = seen.filter("may_have and own_id is not null").join(gone, "own_id", "left_anti").dropDuplicates(["own_id"]).select(*names)
+    return clear.union(rest).toDF(*docs.columns)
