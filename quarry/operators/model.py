@@ -18,16 +18,11 @@ from quarry.operators.profile import value_freq
 
 
 def target_profile(df: DataFrame, target: str) -> dict:
-    """n, distinct, smallest / largest class (for <= 50 classes) of a target column."""
-    y = F.col(f"`{target}`")
-    row = df.agg(F.count(y).alias("n"), F.approx_count_distinct(y).alias("d")).first()
-    out = {"n": row["n"], "distinct": row["d"], "min_class": None, "max_class": None,
-           "is_string": dict(df.dtypes)[target] == "string"}
-    if row["d"] <= 60:
-        vf = value_freq(df, [target]).agg(F.count(F.lit(1)).alias("d"), F.min("n").alias("lo"),
-                                          F.max("n").alias("hi")).first()
-        out.update(distinct=vf["d"], min_class=vf["lo"], max_class=vf["hi"])
-    return out
+    """n, distinct, smallest and largest class of a target column, exact, from one value table."""
+    vf = value_freq(df, [target]).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"), F.min("n").alias("lo"),
+                                      F.max("n").alias("hi")).first()
+    return {"n": vf["n"] or 0, "distinct": vf["d"], "min_class": vf["lo"], "max_class": vf["hi"],
+            "is_string": dict(df.dtypes)[target] == "string"}
 
 
 def target_validity(tp: dict, min_values: int = 20, min_class: int = 5) -> tuple[bool, str]:
@@ -119,14 +114,15 @@ def residual_stats(pred: DataFrame, y: str = "y", y_hat: str = "y_hat", by: list
 
 def split_metrics(pred: DataFrame, model: str = "model", label: str = "label", prediction: str = "prediction",
                   split: str = "split", n_features: int = 10) -> DataFrame:
-    """Per model: accuracy on train / val / test and train size -- the model-runs table."""
+    """Per model: accuracy on train / val / test, train size and the overfit flag -- the model-runs table."""
     ok = (F.col(label) == F.col(prediction)).cast("double")
     return pred.groupBy(model).agg(
         F.avg(F.when(F.col(split) == "train", ok)).alias("train_score"),
         F.avg(F.when(F.col(split) == "val", ok)).alias("val_score"),
         F.avg(F.when(F.col(split) == "test", ok)).alias("test_score"),
         F.count_if(F.col(split) == "train").alias("n_train")) \
-        .withColumn("n_features", F.lit(n_features).cast("long"))
+        .withColumn("n_features", F.lit(n_features).cast("long")) \
+        .withColumn("overfit", (F.col("n_features") > F.col("n_train")) | (_score("val_score") == 1.0))
 
 
 def best_model(runs: DataFrame, metric: str = "val_score") -> DataFrame:
@@ -137,38 +133,66 @@ def best_model(runs: DataFrame, metric: str = "val_score") -> DataFrame:
 
 
 # ---------------------------------------------------------------- M17 / M18 / M19
+# The penalties, thresholds and levels below are part of the rules' definition.
+
+
+def _score(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(0.0))
 
 
-def _run_columns(runs: DataFrame) -> tuple[Column, ...]:
-    tr, va, te = F.col("train_score"), F.col("val_score"), F.col("test_score")
-    ratio = F.col("n_features") / F.col("n_train")
-    gap = tr - va
-    overfit = gap > 0.1
-    return tr, va, te, ratio, gap, overfit
+def _run_columns(runs: DataFrame) -> dict[str, Column]:
+    """The quantities that the rules look at. A missing score counts as 0; the gap between train and
+    validation is absolute, and 0 where either is missing or 0. ``overfit`` is the pipeline's own flag:
+    the pre-train risk is high or the validation score is perfect."""
+    tr, va, te = _score("train_score"), _score("val_score"), _score("test_score")
+    flag = F.col("overfit") if "overfit" in runs.columns else F.lit(False)
+    leak_test, leak_fit = te >= 0.99, (tr >= 0.99) & (va >= 0.99)
+    return {"tr": tr, "va": va, "te": te, "ratio": F.col("n_features") / F.greatest(F.col("n_train"), F.lit(1)),
+            "gap": F.when((tr != 0) & (va != 0), F.abs(tr - va)).otherwise(0.0),
+            "overfit": F.coalesce(flag, F.lit(False)), "leak_test": leak_test, "leak_fit": leak_fit, "perfect": leak_test | leak_fit}
 
 
 def model_health(runs: DataFrame) -> DataFrame:
     """M17 health score: 100 minus penalties, clamped to 0..100; bon >= 70, modéré >= 50,
-    else critique. Adds ratio, gap, overfit flag."""
-    tr, va, te, ratio, gap, overfit = _run_columns(runs)
-    pen = (F.when(te >= 0.99, 60).when((tr >= 0.99) & (va >= 0.99), 35).otherwise(0)
+    else critique. Adds ratio and gap."""
+    c = _run_columns(runs)
+    te, ratio, gap = c["te"], c["ratio"], c["gap"]
+    pen = (F.when(c["leak_test"], 60).when(c["leak_fit"], 35).otherwise(0)
            + F.when(ratio > 0.3, 25).when(ratio > 0.2, 15).when(ratio > 0.15, 8).otherwise(0)
            + F.when(gap > 0.2, 20).when(gap > 0.1, 10).otherwise(0)
            + F.when(te < 0.5, 25).when(te < 0.6, 15).when(te < 0.7, 8).otherwise(0)
-           + F.when(overfit, 10).otherwise(0)
+           + F.when(c["overfit"], 10).otherwise(0)
            + F.when(F.col("n_train") < 100, 15).when(F.col("n_train") < 300, 8).otherwise(0))
     score = F.greatest(F.lit(0), F.least(F.lit(100), F.lit(100) - pen))
-    return (runs.withColumn("ratio", ratio).withColumn("gap", gap).withColumn("overfit", overfit)
+    return (runs.withColumn("ratio", ratio).withColumn("gap", gap)
             .withColumn("health_score", score.cast("long"))
             .withColumn("health_status", F.when(F.col("health_score") >= 70, "bon")
                         .when(F.col("health_score") >= 50, "modéré").otherwise("critique")))
 
 
+def model_checks(runs: DataFrame) -> DataFrame:
+    """M17 check rows (model, check, status, value): features per row, fit against validation, test
+    performance (only where no perfect score has spoken already), and training rows."""
+    c = _run_columns(runs)
+    te, ratio, gap = c["te"], c["ratio"], c["gap"]
+    n = F.col("n_train").cast("double")
+    row = lambda name, status, value: F.struct(F.lit(name).alias("check"), status.alias("status"), value.cast("double").alias("value"))
+    level = lambda bad, odd: F.when(bad, "error").when(odd, "warning").otherwise("ok")
+    fit = (F.when(c["leak_test"], row("perfect_test", F.lit("error"), te))
+           .when(c["leak_fit"], row("perfect_fit", F.lit("error"), te))
+           .otherwise(row("train_val_gap", level(gap > 0.15, gap > 0.08), gap)))
+    test = F.when(~c["perfect"], row("test_score", level(te < 0.5, te < 0.7), te))
+    checks = F.array(row("feature_ratio", level(ratio > 0.3, ratio > 0.2), ratio), fit, test,
+                     row("train_rows", level(n < 200, n < 500), n))
+    return (runs.select("model", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("r"))
+            .select("model", "r.check", "r.status", "r.value"))
+
+
 def model_confidence(runs: DataFrame) -> DataFrame:
     """M18 confidence level (first match) and ratio status."""
-    tr, va, te, ratio, gap, _ = _run_columns(runs)
-    conf = (F.when(te >= 0.99, "faible").when((tr >= 0.99) & (va >= 0.99), "faible")
-            .when(gap > 0.15, "faible").when(ratio > 0.3, "faible").when(ratio > 0.2, "modéré")
+    c = _run_columns(runs)
+    te, ratio = c["te"], c["ratio"]
+    conf = (F.when(c["perfect"], "faible").when(c["gap"] > 0.15, "faible").when(ratio > 0.3, "faible").when(ratio > 0.2, "modéré")
             .when(te < 0.5, "faible").when(te < 0.7, "modéré").otherwise("élevé"))
     rstat = (F.when(ratio > 0.3, "critique").when(ratio > 0.2, "élevé").when(ratio > 0.1, "modéré")
              .otherwise("bon"))
@@ -177,12 +201,13 @@ def model_confidence(runs: DataFrame) -> DataFrame:
 
 def model_actions(runs: DataFrame) -> DataFrame:
     """M19 action rules as rows (model, rule, priority); a default rule when fewer than two fire."""
-    tr, va, te, ratio, gap, _ = _run_columns(runs)
+    c = _run_columns(runs)
+    ratio, gap, te = c["ratio"], c["gap"], c["te"]
     rules = [
-        ("perfect_score", (te >= 0.99) | ((tr >= 0.99) & (va >= 0.99)), F.lit("haute")),
+        ("perfect_score", c["perfect"], F.lit("haute")),
         ("reduce_features", ratio > 0.2, F.when(ratio > 0.3, "haute").otherwise("moyenne")),
-        ("regularize", gap > 0.1, F.when(gap > 0.2, "haute").otherwise("moyenne")),
-        ("improve_performance", te < 0.6, F.lit("haute")),
+        ("regularize", (gap > 0.1) & ~c["perfect"], F.when(gap > 0.2, "haute").otherwise("moyenne")),
+        ("improve_performance", (te < 0.6) & ~c["perfect"], F.lit("moyenne")),
         ("collect_data", F.col("n_train") < 300, F.lit("moyenne")),
     ]
     arr = F.filter(F.array(*[F.when(cond, F.struct(F.lit(name).alias("rule"), prio.alias("priority")))
@@ -196,20 +221,31 @@ def model_actions(runs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- M2 / M6 - M12 / M15 / M16
 
 
-def auto_reduce(df: DataFrame, features: list[str], label: str, rows: int, var_threshold: float = 0.01):
-    """M2: when > 100 features or more features than rows: variance filter, then the k best
-    by ANOVA F (k = min(50, rows / 5)). Returns the kept feature names."""
+def auto_reduce(df: DataFrame, features: list[str], label: str, rows: int, var_threshold: float = 0.01,
+                most: int = 50, regression: bool = False) -> list[str]:
+    """M2: with more than 100 features or more features than rows, the features of some variance, then
+    the k best by F (k = min(``most``, rows / 5)): ANOVA over the classes of any label type, or the
+    correlation's F for a number. Nulls count as the column's median. Returns the kept names in order."""
     if not (len(features) > 100 or len(features) > rows):
         return features
-    from pyspark.ml.feature import UnivariateFeatureSelector, VarianceThresholdSelector, VectorAssembler
-    va = VectorAssembler(inputCols=features, outputCol="__f", handleInvalid="keep").transform(df)
+    from pyspark.ml.feature import Imputer, StringIndexer, UnivariateFeatureSelector, VarianceThresholdSelector, VectorAssembler
+    rows_ = df.filter(F.col(f"`{label}`").isNotNull())
+    if regression:
+        y = rows_.withColumn("__y", F.col(f"`{label}`").cast("double"))
+    else:
+        y = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(rows_).transform(rows_)
+    y = y.select("__y", *[F.col(f"`{c}`").cast("double").alias(f"__x{i}") for i, c in enumerate(features)])
+    cols = [f"__x{i}" for i in range(len(features))]
+    y = Imputer(strategy="median", inputCols=cols, outputCols=cols).fit(y).transform(y)
+    va = VectorAssembler(inputCols=cols, outputCol="__f").transform(y)
     vt = VarianceThresholdSelector(varianceThreshold=var_threshold, featuresCol="__f", outputCol="__v").fit(va)
     kept = [features[i] for i in vt.selectedFeatures]
-    k = max(1, min(50, rows // 5))
-    sel = UnivariateFeatureSelector(featuresCol="__v", outputCol="__s", labelCol=label, selectionMode="numTopFeatures")
-    sel.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(k)
-    m = sel.fit(vt.transform(va))
-    return [kept[i] for i in m.selectedFeatures]
+    k = max(1, min(most, rows // 5))
+    if len(kept) <= k:
+        return kept
+    sel = UnivariateFeatureSelector(featuresCol="__v", outputCol="__s", labelCol="__y", selectionMode="numTopFeatures")
+    sel.setFeatureType("continuous").setLabelType("continuous" if regression else "categorical").setSelectionThreshold(k)
+    return [kept[i] for i in sorted(sel.fit(vt.transform(va)).selectedFeatures)]
 
 
 def classification_metrics(pred: DataFrame, label: str = "__y", prediction: str = "prediction",
@@ -260,10 +296,11 @@ def _prep_pipeline(features: list[str]):
 
 
 def train_classifiers(df: DataFrame, features: list[str], label: str, key: str, seed: int = 42,
-                      n_classes: int | None = None) -> tuple[DataFrame, DataFrame]:
+                      n_classes: int | None = None, with_predictions: bool = False):
     """M3 + M6 + M11 + M15: imputer / scaler fitted on train only, logistic regression,
     decision tree (depth 5), random forest (100 trees, depth 5), linear SVM (one-vs-rest
-    beyond two classes). Returns (metrics table, importances table)."""
+    beyond two classes). Returns (metrics table, importances table) and, if asked, each model's
+    predictions (__y, prediction, split)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                            RandomForestClassifier)
@@ -290,6 +327,8 @@ def train_classifiers(df: DataFrame, features: list[str], label: str, key: str,
         pm = Pipeline(stages=[idx] + _prep_pipeline(features) + [est]).fit(train)
         return name, pm, classification_metrics(pm.transform(data))
 
+    raw = hash_split(df.filter(F.col(f"`{label}`").isNotNull()), key, seed)
+
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=len(models)) as ex:  # independent fits run as concurrent jobs
         fitted = list(ex.map(fit, models.items()))
@@ -305,8 +344,10 @@ def train_classifiers(df: DataFrame, features: list[str], label: str, key: str,
                                + ", n_train long, n_features long")
     it = spark.createDataFrame(imps, "model string, feature string, importance double")
     w = Window.partitionBy("model").orderBy(F.col("importance").desc(), F.col("feature"))
-    it = it.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 10)
-    return mt, it
+    it = it.withColumn("rank", F.row_number().over(w))
+    if not with_predictions:
+        return mt, it
+    return mt, it, {name: pm.transform(raw).select("__y", "prediction", "split") for name, pm, _ in fitted}
 
 
 def _importances(model, k: int) -> list[float]:
@@ -360,10 +401,11 @@ def train_regressors(df: DataFrame, features: list[str], label: str, key: str, s
         row = [name]
         for part in ("train", "val", "test"):
             row += [mm.get(part, {}).get(m) for m in ("rmse", "mae", "r2")]
-        out.append(tuple(row))
+        out.append(tuple(row) + (n, len(features)))
     data.unpersist()
     cols = ["model"] + [f"{p}_{m}" for p in ("train", "val", "test") for m in ("rmse", "mae", "r2")]
-    return spark.createDataFrame(out, ", ".join(f"{c} {'string' if c == 'model' else 'double'}" for c in cols))
+    return spark.createDataFrame(out, ", ".join(f"{c} {'string' if c == 'model' else 'double'}" for c in cols)
+                                 + ", n_train long, n_features long")
 
 
 def cross_validate(df: DataFrame, features: list[str], label: str, key: str, folds: int = 5,
@@ -451,8 +493,9 @@ def permutation_importance(model, data: DataFrame, features: list[str], key: str
 
 
 def run_ml_pipeline(df: DataFrame, target: str | None, features: list[str], key: str) -> dict[str, DataFrame]:
-    """Risks -> validity -> problem type -> reduce -> train -> best -> health / confidence
-    / actions. Returns the result tables."""
+    """Pre-train risks, validity, problem type, reduction, training, best model by validation F1 (R2
+    for a number), cross-validation, error analysis of the best model, health, checks, confidence and
+    actions. Returns the result tables."""
     spark = df.sparkSession
     out: dict[str, DataFrame] = {}
     if target is None:
@@ -466,23 +509,35 @@ def run_ml_pipeline(df: DataFrame, target: str | None, features: list[str], key:
     out["target"] = spark.createDataFrame([(target, tp["n"], tp["distinct"], ok, why, ptype)],
                                           "target string, n long, n_distinct long, valid boolean, reason string, "
                                           "problem_type string")
+    from quarry.operators.profile import column_profile
+    prof = column_profile(df.select(*features), with_quantiles=False)
+    classes = (tp["min_class"], tp["max_class"]) if "classification" in ptype else None
+    out["risks"] = overfitting_risks(prof, target, features, tp["n"], classes)
     if not ok:
         return out
-    rows = tp["n"]
-    feats = auto_reduce(df, features, target, rows) if "classification" in ptype else features
-    if "classification" in ptype:
-        metrics, imps = train_classifiers(df, feats, target, key, n_classes=tp["distinct"])
-        runs = metrics.select("model", F.col("train_accuracy").alias("train_score"),
-                              F.col("val_accuracy").alias("val_score"), F.col("test_accuracy").alias("test_score"),
-                              "n_train", "n_features")
-        out["importance"] = imps
-    else:
+    high = out["risks"].filter("level = 'high'").limit(1).count() > 0
+    regression = ptype == "regression"
+    feats = auto_reduce(df, features, target, tp["n"], regression=regression)
+    if regression:
         metrics = train_regressors(df, feats, target, key)
         runs = metrics.select("model", F.col("train_r2").alias("train_score"), F.col("val_r2").alias("val_score"),
-                              F.col("test_r2").alias("test_score"), F.lit(0).cast("long").alias("n_train"),
-                              F.lit(len(feats)).cast("long").alias("n_features"))
+                              F.col("test_r2").alias("test_score"), "n_train", "n_features")
+    else:
+        metrics, out["importance"], pred = train_classifiers(df, feats, target, key, n_classes=tp["distinct"], with_predictions=True)
+        runs = metrics.select("model", F.col("train_accuracy").alias("train_score"), F.col("val_accuracy").alias("val_score"),
+                              F.col("test_accuracy").alias("test_score"), "n_train", "n_features")
+        out["cross_validation"] = cross_validate(df, feats, target, key)
+    rank_by = metrics.select("model", F.col("val_r2" if regression else "val_f1").alias("rank_score"))
+    perfect = rank_by.agg(F.max("rank_score") == 1.0).first()[0]
+    runs = runs.withColumn("overfit", F.lit(bool(high or perfect)))
     out["metrics"] = metrics
-    out["best"] = best_model(runs)
+    out["best"] = best_model(runs.join(rank_by, "model"), "rank_score")
+    if not regression:
+        name = out["best"].first()["model"]
+        val = pred[name].filter("split = 'val'")
+        out["errors"] = classification_errors(val, "__y", "prediction")
+        out["class_accuracy"] = per_class_accuracy(val, "__y", "prediction")
     out["health"] = model_confidence(model_health(runs))
+    out["checks"] = model_checks(runs)
     out["actions"] = model_actions(runs)
     return out

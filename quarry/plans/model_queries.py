@@ -48,8 +48,16 @@ RUNS_SQL = """
 SELECT model, avg(CASE WHEN split = 'train' THEN ok END) AS train_score,
        avg(CASE WHEN split = 'val' THEN ok END) AS val_score,
        avg(CASE WHEN split = 'test' THEN ok END) AS test_score,
-       count_if(split = 'train') AS n_train, CAST(10 AS BIGINT) AS n_features
+       count_if(split = 'train') AS n_train, CAST(10 AS BIGINT) AS n_features,
+       10 > count_if(split = 'train') OR coalesce(avg(CASE WHEN split = 'val' THEN ok END), 0) = 1.0 AS overfit
 FROM (SELECT *, CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END AS ok FROM predictions) p GROUP BY model"""
+#: The quantities that the rules look at, from their definitions.
+RULE_SQL = f"""
+SELECT *, n_features * 1.0 / greatest(n_train, 1) AS ratio,
+       CASE WHEN coalesce(train_score, 0) = 0 OR coalesce(val_score, 0) = 0 THEN 0.0 ELSE abs(train_score - val_score) END AS gap,
+       coalesce(test_score, 0) >= 0.99 AS leak_test,
+       coalesce(train_score, 0) >= 0.99 AND coalesce(val_score, 0) >= 0.99 AS leak_fit, coalesce(test_score, 0) AS te
+FROM ({RUNS_SQL}) r"""
 RUN_DOUBLES = ["train_score", "val_score", "test_score"]
 
 
@@ -71,17 +79,17 @@ def q_best_model(spark, sf):
 
 
 HEALTH_SQL = f"""
-SELECT *, CASE WHEN health_score >= 70 THEN 'bon' WHEN health_score >= 50 THEN 'modéré' ELSE 'critique' END AS health_status
+SELECT * EXCLUDE (leak_test, leak_fit, te),
+       CASE WHEN health_score >= 70 THEN 'bon' WHEN health_score >= 50 THEN 'modéré' ELSE 'critique' END AS health_status
 FROM (
-  SELECT *, CAST(greatest(0, least(100, 100 - (
-        CASE WHEN test_score >= 0.99 THEN 60 WHEN train_score >= 0.99 AND val_score >= 0.99 THEN 35 ELSE 0 END
-      + CASE WHEN ratio > 0.3 THEN 25 WHEN ratio > 0.2 THEN 15 WHEN ratio > 0.15 THEN 8 ELSE 0 END
-      + CASE WHEN gap > 0.2 THEN 20 WHEN gap > 0.1 THEN 10 ELSE 0 END
-      + CASE WHEN test_score < 0.5 THEN 25 WHEN test_score < 0.6 THEN 15 WHEN test_score < 0.7 THEN 8 ELSE 0 END
-      + CASE WHEN overfit THEN 10 ELSE 0 END
-      + CASE WHEN n_train < 100 THEN 15 WHEN n_train < 300 THEN 8 ELSE 0 END))) AS BIGINT) AS health_score
-  FROM (SELECT *, n_features * 1.0 / n_train AS ratio, train_score - val_score AS gap,
-               train_score - val_score > 0.1 AS overfit FROM ({RUNS_SQL}) r) a) b"""
+  SELECT *, CAST(greatest(0, least(100, 100
+      - CASE WHEN leak_test THEN 60 WHEN leak_fit THEN 35 ELSE 0 END
+      - CASE WHEN ratio > 0.3 THEN 25 WHEN ratio > 0.2 THEN 15 WHEN ratio > 0.15 THEN 8 ELSE 0 END
+      - CASE WHEN gap > 0.2 THEN 20 WHEN gap > 0.1 THEN 10 ELSE 0 END
+      - CASE WHEN te < 0.5 THEN 25 WHEN te < 0.6 THEN 15 WHEN te < 0.7 THEN 8 ELSE 0 END
+      - CASE WHEN overfit THEN 10 ELSE 0 END
+      - CASE WHEN n_train < 100 THEN 15 WHEN n_train < 300 THEN 8 ELSE 0 END)) AS BIGINT) AS health_score
+  FROM ({RULE_SQL}) a) b"""
 
 
 @register("model_health", P(oracle_finish(HEALTH_SQL, RUN_DOUBLES + ["ratio", "gap"])))
@@ -89,27 +97,41 @@ def q_model_health(spark, sf):
     return finish(M.model_health(_runs(spark, sf)))
 
 
+@register("model_checks", P(oracle_finish(f"""
+WITH r AS ({RULE_SQL})
+SELECT model, 'feature_ratio' AS "check", CASE WHEN ratio > 0.3 THEN 'error' WHEN ratio > 0.2 THEN 'warning' ELSE 'ok' END AS status,
+       ratio AS value FROM r
+UNION ALL SELECT model, 'perfect_test', 'error', te FROM r WHERE leak_test
+UNION ALL SELECT model, 'perfect_fit', 'error', te FROM r WHERE leak_fit AND NOT leak_test
+UNION ALL SELECT model, 'train_val_gap', CASE WHEN gap > 0.15 THEN 'error' WHEN gap > 0.08 THEN 'warning' ELSE 'ok' END, gap
+          FROM r WHERE NOT leak_fit AND NOT leak_test
+UNION ALL SELECT model, 'test_score', CASE WHEN te >= 0.7 THEN 'ok' WHEN te >= 0.5 THEN 'warning' ELSE 'error' END, te
+          FROM r WHERE NOT leak_fit AND NOT leak_test
+UNION ALL SELECT model, 'train_rows', CASE WHEN n_train >= 500 THEN 'ok' WHEN n_train >= 200 THEN 'warning' ELSE 'error' END, n_train
+          FROM r""", ["value"])))
+def q_model_checks(spark, sf):
+    return finish(M.model_checks(_runs(spark, sf)))
+
+
 @register("model_confidence", P(oracle_finish(f"""
-SELECT r.*, CASE WHEN test_score >= 0.99 THEN 'faible' WHEN train_score >= 0.99 AND val_score >= 0.99 THEN 'faible'
-                 WHEN train_score - val_score > 0.15 THEN 'faible'
-                 WHEN n_features * 1.0 / n_train > 0.3 THEN 'faible' WHEN n_features * 1.0 / n_train > 0.2 THEN 'modéré'
-                 WHEN test_score < 0.5 THEN 'faible' WHEN test_score < 0.7 THEN 'modéré' ELSE 'élevé' END AS confidence,
-            CASE WHEN n_features * 1.0 / n_train > 0.3 THEN 'critique' WHEN n_features * 1.0 / n_train > 0.2 THEN 'élevé'
-                 WHEN n_features * 1.0 / n_train > 0.1 THEN 'modéré' ELSE 'bon' END AS ratio_status
-FROM ({RUNS_SQL}) r""", RUN_DOUBLES)))
+SELECT * EXCLUDE (ratio, gap, leak_test, leak_fit, te),
+       CASE WHEN leak_test OR leak_fit OR gap > 0.15 OR ratio > 0.3 THEN 'faible' WHEN ratio > 0.2 THEN 'modéré'
+            WHEN te < 0.5 THEN 'faible' WHEN te < 0.7 THEN 'modéré' ELSE 'élevé' END AS confidence,
+       CASE WHEN ratio > 0.3 THEN 'critique' WHEN ratio > 0.2 THEN 'élevé' WHEN ratio > 0.1 THEN 'modéré' ELSE 'bon' END AS ratio_status
+FROM ({RULE_SQL}) r""", RUN_DOUBLES)))
 def q_model_confidence(spark, sf):
     return finish(M.model_confidence(_runs(spark, sf)))
 
 
 @register("model_actions", P(f"""
-WITH r AS (SELECT *, n_features * 1.0 / n_train AS ratio, train_score - val_score AS gap FROM ({RUNS_SQL}) x),
+WITH r AS ({RULE_SQL}),
 f AS (
-  SELECT model, 1 AS o, 'perfect_score' AS rule, 'haute' AS priority FROM r
-   WHERE test_score >= 0.99 OR (train_score >= 0.99 AND val_score >= 0.99)
-  UNION ALL SELECT model, 2, 'reduce_features', CASE WHEN ratio > 0.3 THEN 'haute' ELSE 'moyenne' END FROM r WHERE ratio > 0.2
-  UNION ALL SELECT model, 3, 'regularize', CASE WHEN gap > 0.2 THEN 'haute' ELSE 'moyenne' END FROM r WHERE gap > 0.1
-  UNION ALL SELECT model, 4, 'improve_performance', 'haute' FROM r WHERE test_score < 0.6
-  UNION ALL SELECT model, 5, 'collect_data', 'moyenne' FROM r WHERE n_train < 300)
+  SELECT model, 'perfect_score' AS rule, 'haute' AS priority FROM r WHERE leak_test OR leak_fit
+  UNION ALL SELECT model, 'reduce_features', CASE WHEN ratio > 0.3 THEN 'haute' ELSE 'moyenne' END FROM r WHERE ratio > 0.2
+  UNION ALL SELECT model, 'regularize', CASE WHEN gap > 0.2 THEN 'haute' ELSE 'moyenne' END FROM r
+            WHERE gap > 0.1 AND NOT leak_test AND NOT leak_fit
+  UNION ALL SELECT model, 'improve_performance', 'moyenne' FROM r WHERE te < 0.6 AND NOT leak_test AND NOT leak_fit
+  UNION ALL SELECT model, 'collect_data', 'moyenne' FROM r WHERE n_train < 300)
 SELECT model, rule, priority FROM f
 UNION ALL
 SELECT model, 'monitor', 'basse' FROM r WHERE (SELECT count(*) FROM f WHERE f.model = r.model) < 2"""))
@@ -224,6 +246,14 @@ def q_ml_pipeline(spark, sf):
     return res.get("health", res["target"])
 
 
+@register("ml_pipeline_regression")
+def q_ml_pipeline_regression(spark, sf):
+    """M16 with a number as target: health table of the six regressors (rows-only)."""
+    o = load(spark, sf, "lineitem").select(*LI_FEATS, "l_linenumber")
+    res = M.run_ml_pipeline(with_row_key(o), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_linenumber"], "row_key")
+    return res.get("health", res["target"])
+
+
 @register("feature_reduction")
 def q_feature_reduction(spark, sf):
     """M2: variance filter then ANOVA-F k best, forced on by offering more features than
