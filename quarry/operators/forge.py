@@ -285,7 +285,7 @@ def pca_features(df: DataFrame, cols: list[str], variance_threshold: float = 0.8
 def selection_report(df: DataFrame, cols: list[str] | None = None, max_features: int = 100,
                      var_threshold: float = 0.01, corr_threshold: float = 0.95) -> DataFrame:
     """Low-variance (population variance after median impute <= 0.01; only with
-    >= 5 columns), redundant (|r| > 0.95 with an earlier kept column, at most a third of the
+    >= 5 columns), redundant (|r| > 0.95 with any earlier column, the first of them up to a third of the
     columns, only when > 5 remain) and the cap. Reports; does not drop.
     (column, ordinal, var_pop, reason)"""
     cols = list(cols) if cols is not None else numeric_columns(df)
@@ -304,21 +304,10 @@ def selection_report(df: DataFrame, cols: list[str] | None = None, max_features:
     if len(remaining) > 5:
         from quarry.operators.relate import pearson_pairs
         r = {(a, b): v for a, b, _, v in pearson_pairs(imputed.select(*remaining), remaining)}
-        limit = len(remaining) // 3
-        dropped = []
-        for j in range(1, len(remaining)):
-            if len(dropped) >= limit:
-                break
-            b = remaining[j]
-            for i in range(j):
-                a = remaining[i]
-                if a in dropped:
-                    continue
-                v = r.get((a, b))
-                if v is not None and abs(v) > corr_threshold:
-                    dropped.append(b)
-                    reasons[b] = "redundant"
-                    break
+        found = [b for j, b in enumerate(remaining) if any(
+            abs(r.get((a, b)) or 0.0) > corr_threshold for a in remaining[:j])]
+        for b in found[:len(remaining) // 3]:
+            reasons[b] = "redundant"
     kept = [c for c in cols if c not in reasons]
     for c in kept[max_features:]:
         reasons[c] = "over_cap"
@@ -337,7 +326,7 @@ def forge_features(df: DataFrame, as_of: str = "2025-01-01", target: str | None
     nums0 = [c for c in numeric_columns(df) if c != target]
     cats0 = [c for c in categorical_columns(df) if c != target]
     out, report["temporal"] = temporal_features(df, as_of=as_of)
-    prof = column_profile(df.select(*nums0), with_quantiles=False, distinct="bounded") if nums0 else None
+    prof = column_profile(df.select(*nums0), with_quantiles=False) if nums0 else None
     best = ([r["column"] for r in interaction_candidates(prof).orderBy("rank").collect()]
             if prof is not None else [])
     out, report["interactions"] = interaction_features(out, best)

@@ -45,6 +45,7 @@ ALIASES = {
 }
 NATIONAL_KEYWORDS = ["partout", "national", "nationale", "toute l'ile", "toute l'île",
                      "tout madagascar", "ensemble de madagascar", "dans tout le pays"]
+# Words that are not searched, and the region drawn from without a hit.
 SKIP_WORDS = ["madagascar", "mada"]
 DEFAULT_REGION = "Haute Matsiatra"
 
@@ -194,31 +195,36 @@ def search_terms(queries: DataFrame, text_col: str, key_col: str) -> DataFrame:
     return terms, flags
 
 
-def substring_matches(terms: DataFrame, loc: DataFrame) -> DataFrame:
-    """Exact case-insensitive substring match of every (key, term) against any level name,
-    without a cross product or a driver-side vocabulary: a name contains the term only if
-    it contains the term's first trigram, so terms join the names' trigrams on that
-    trigram (an equi-join; AQE splits a hot trigram) and ``contains`` confirms."""
-    hay = F.lower(F.concat_ws("\u0001", "ADM1_EN", "ADM2_EN", "ADM3_EN"))
-    grams = loc.withColumn("__hay", hay).withColumn(
-        "__tri", F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length("__hay") - 2, F.lit(1))),
-            lambda i: F.substring(F.col("__hay"), i, 3)))))
-    t = terms.withColumn("__term", F.lower(F.col("term"))).withColumn("__tri", F.substring("__term", 1, 3))
-    return (t.join(grams, "__tri").filter(F.col("__hay").contains(F.col("__term")))
-            .select("key", "ADM3_PCODE", "ADM3_EN", "ADM1_EN", "ADM2_EN").distinct())
+def _trigrams(c):
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, 3)))
+
+
+def term_matches(terms: DataFrame, loc: DataFrame, n: int) -> DataFrame:
+    """(term, locality columns): per distinct term the n localities, first by md5 of their code, that
+    hold it in any level name, case-insensitively. A name holds a term only if it has all its trigrams,
+    so terms join names on their rarest one and ``contains`` confirms; the rows grow with the terms and
+    the names of one rare trigram each, not with the requests."""
+    t = terms.select(F.lower(F.col("term")).alias("term")).distinct()
+    names = loc.withColumn("hay", F.lower(F.concat_ws("\u0001", "ADM1_EN", "ADM2_EN", "ADM3_EN")))
+    grams = names.withColumn("tri", F.explode(_trigrams(F.col("hay"))))
+    often = grams.groupBy("tri").agg(F.count(F.lit(1)).alias("names"))
+    rarest = (t.withColumn("tri", F.explode(_trigrams(F.col("term")))).join(often, "tri")
+              .groupBy("term").agg(F.min_by("tri", F.struct("names", "tri")).alias("tri")))
+    hits = rarest.join(grams, "tri").filter(F.col("hay").contains(F.col("term")))
+    w = Window.partitionBy("term").orderBy(F.md5(F.col("ADM3_PCODE")), "ADM3_PCODE")
+    return (hits.select("term", *loc.columns, F.row_number().over(w).alias("r")).filter(F.col("r") <= n).drop("r"))
 
 
 def alias_search(dim: DataFrame, queries: DataFrame, text_col: str, key_col: str, n: int = 5,
                  default_region: str = DEFAULT_REGION) -> DataFrame:
-    """A5 as a table job. Matching is case-insensitive substring on any level name, done as
-    a trigram equi-join plus ``contains`` (see substring_matches) -- no query x dimension
-    cross product and nothing collected. Queries without hits (or without terms) fall back
-    to the default region; national queries draw from all rows.
-    The sample is the md5-ordered first n per query, returned sorted by name."""
+    """A5 as a table job. Distinct terms are matched to localities once, n each (see term_matches), and
+    those rows join the requests, so the join's output is at most n per term and request. Queries
+    without hits (or without terms) fall back to the default region; national queries draw from all
+    rows. The sample is the first n per query by md5 of the locality's code, returned sorted by name."""
     terms, flags = search_terms(queries, text_col, key_col)
     loc = dim.select("ADM3_PCODE", "ADM3_EN", "ADM1_EN", "ADM2_EN")
-    by_term = substring_matches(terms.select("key", "term").distinct(), loc)
+    by_term = (terms.select("key", F.lower(F.col("term")).alias("term")).distinct()
+               .join(term_matches(terms, loc, n), "term").drop("term").distinct())
     keys_hit = by_term.select("key").distinct()
     default_rows = loc.filter(F.lower(F.col("ADM1_EN")).contains(default_region.lower()))
     nat_keys = flags.filter("national").select("key")
@@ -239,7 +245,7 @@ def alias_search(dim: DataFrame, queries: DataFrame, text_col: str, key_col: str
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
-    w = Window.partitionBy("key").orderBy(F.md5(F.concat_ws("|", F.col("ADM3_PCODE"), F.col("key").cast("string"))))
+    w = Window.partitionBy("key").orderBy(F.md5(F.col("ADM3_PCODE")), "ADM3_PCODE")
     picked = cand.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n)
     w2 = Window.partitionBy("key").orderBy("ADM3_EN", "ADM3_PCODE")
     return picked.select("key", F.row_number().over(w2).alias("rank"),

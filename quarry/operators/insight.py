@@ -8,9 +8,10 @@ events (batch here, Structured Streaming in quarry.streaming.status).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def priority_rank(c):
     """haute < moyenne < basse."""
     return F.when(c == "haute", 0).when(c == "moyenne", 1).otherwise(2)
@@ -18,23 +19,34 @@ def priority_rank(c):
 
 def quality_insight(quality: DataFrame) -> DataFrame:
     """R5 quality row from the data_quality table: action when > 10% missing, priority haute
-    when > 20%."""
+    when > 20%. (id, category, subject, metric, priority, action_required)"""
     return quality.select(
-        F.lit("data_quality").alias("id"), F.lit("Qualité des Données").alias("category"),
-        F.concat(F.lit("Qualité des données: "), F.col("quality")).alias("title"),
+        F.lit("data_quality").alias("id"), F.lit("quality").alias("category"), F.col("quality").alias("subject"),
         F.col("completeness").alias("metric"),
         F.when(F.col("missing_pct") > 20, "haute").otherwise("moyenne").alias("priority"),
         (F.col("missing_pct") > 10).alias("action_required"))
 
 
-def segment_insights(dna: DataFrame, silhouette: float | None, min_abs_z: float = 0.3, top: int = 5) -> DataFrame:
-    """R2: per segment, the distinctive features (|z| > 0.3, top 5 by |z|) and a priority
-    (haute when the silhouette exceeds 0.2)."""
+def segment_insights(dna: DataFrame, min_abs_z: float = 0.3, top: int | None = None) -> DataFrame:
+    """R2: per segment its distinctive features (|z| > 0.3) ranked by |z|, all unless ``top`` is set.
+    A segment's priority is moyenne; the segmentation as a whole is ``segmentation_insight``."""
     w = Window.partitionBy("cluster").orderBy(F.abs(F.col("z")).desc(), F.col("ordinal"))
-    d = dna.filter(F.abs(F.col("z")) > min_abs_z).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top)
-    prio = "haute" if (silhouette is not None and silhouette > 0.2) else "moyenne"
+    d = dna.filter(F.abs(F.col("z")) > min_abs_z).withColumn("r", F.row_number().over(w))
+    if top is not None:
+        d = d.filter(F.col("r") <= top)
     return d.select("cluster", "size", "pct", F.col("r").alias("feature_rank"), "feature", "z", "direction",
-                    F.lit(prio).alias("priority"))
+                    F.lit("moyenne").alias("priority"))
+
+
+def segmentation_insight(dna: DataFrame, silhouette) -> DataFrame:
+    """R2: one row for a segmentation of two or more groups: their number, the silhouette (a number or a
+    one-row column), its level, and priority haute above 0.2."""
+    s = silhouette if isinstance(silhouette, Column) else F.lit(None if silhouette is None else float(silhouette)).cast("double")
+    return (dna.agg(F.countDistinct("cluster").alias("n_clusters")).filter("n_clusters >= 2")
+            .select("n_clusters", s.alias("silhouette"))
+            .withColumn("separation", F.when(F.col("silhouette") > 0.5, "well_separated").when(F.col("silhouette") > 0.25, "separated")
+                        .when(F.col("silhouette") > 0, "overlapping").otherwise("indicative"))
+            .withColumn("priority", F.when(F.col("silhouette") > 0.2, "haute").otherwise("moyenne")))
 
 
 def correlation_insights(pairs: DataFrame, target_corr: DataFrame | None, max_pairs: int = 5,
@@ -55,74 +67,92 @@ def correlation_insights(pairs: DataFrame, target_corr: DataFrame | None, max_pa
 def test_insights(tests: DataFrame) -> DataFrame:
     """Significant t-tests and ANOVAs (p < 0.05), priority haute when p < 0.01."""
     return (tests.filter(F.col("test_type").isin("ttest", "anova") & (F.col("p_value") < 0.05))
-            .select("variable1", "variable2", "test_type", "statistic", "p_value",
+            .select("ordinal", "variable1", "variable2", "test_type", "statistic", "p_value",
                     F.when(F.col("p_value") < 0.01, "haute").otherwise("moyenne").alias("priority")))
 
 
-def insight_table(quality: DataFrame, segments: DataFrame, correlations: DataFrame, tests: DataFrame,
+def insight_table(quality: DataFrame, segmentation: DataFrame, segments: DataFrame, correlations: DataFrame, tests: DataFrame,
                   best: DataFrame | None) -> DataFrame:
-    """Union of quality, segment, relation, test and model insights with
-    (id, category, title, metric, priority)."""
-    q = quality.select("id", "category", "title", F.col("metric").cast("double").alias("metric"), "priority")
+    """Quality, segmentation, segment, relation, test and model insights with
+    (id, category, subject, metric, priority). Strong pairs above 0.7 and target drivers are haute; a
+    model is haute, and without one the row model_not_applicable is basse. ``best``: (model, rank_score)."""
+    q = quality.select("id", "category", "subject", F.col("metric").cast("double").alias("metric"), "priority")
+    g = segmentation.select(F.lit("clustering_global").alias("id"), F.lit("segmentation").alias("category"),
+                            F.col("separation").alias("subject"), F.col("silhouette").alias("metric"), "priority")
     s = (segments.groupBy("cluster", "priority").agg(F.count(F.lit(1)).alias("n"))
          .select(F.concat(F.lit("segment_"), F.col("cluster").cast("string")).alias("id"),
-                 F.lit("Segmentation").alias("category"),
-                 F.concat(F.lit("Groupe "), (F.col("cluster") + 1).cast("string")).alias("title"),
+                 F.lit("segment").alias("category"), F.col("cluster").cast("string").alias("subject"),
                  F.col("n").cast("double").alias("metric"), "priority"))
-    c = correlations.select(F.concat(F.col("kind"), F.lit("_"), F.col("rank").cast("string")).alias("id"),
-                            F.lit("Relations").alias("category"),
-                            F.concat_ws(" - ", "var1", "var2").alias("title"),
-                            F.col("shared_variance").alias("metric"),
-                            F.when(F.abs(F.col("r")) > 0.7, "haute").otherwise("moyenne").alias("priority"))
-    t = tests.select(F.concat(F.lit("test_"), F.col("variable1")).alias("id"), F.lit("Tests Statistiques").alias("category"),
-                     F.concat_ws(" / ", "variable1", "variable2").alias("title"), F.col("p_value").alias("metric"),
+    c = (correlations.filter((F.col("kind") == "target_driver") | (F.abs(F.col("r")) > 0.7))
+         .select(F.concat(F.col("kind"), F.lit("_"), F.col("rank").cast("string")).alias("id"),
+                 F.lit("relation").alias("category"), F.concat_ws(" - ", "var1", "var2").alias("subject"),
+                 F.col("shared_variance").alias("metric"), F.lit("haute").alias("priority")))
+    t = tests.select(F.concat(F.lit("test_"), F.col("ordinal").cast("string")).alias("id"), F.lit("test").alias("category"),
+                     F.concat_ws(" / ", "variable1", "variable2").alias("subject"), F.col("p_value").alias("metric"),
                      "priority")
-    out = q.unionByName(s).unionByName(c).unionByName(t)
-    if best is not None:
-        m = best.select(F.lit("ml_success").alias("id"), F.lit("Machine Learning").alias("category"),
-                        F.concat(F.lit("Modèle prédictif: "), F.col("model")).alias("title"),
-                        F.col("test_score").alias("metric"), F.lit("haute").alias("priority"))
-        out = out.unionByName(m)
-    return out
+    out = q.unionByName(g).unionByName(s).unionByName(c).unionByName(t)
+    if best is None:
+        none = quality.limit(1).select(F.lit("model_not_applicable").alias("id"), F.lit("model").alias("category"),
+                                       F.lit(None).cast("string").alias("subject"), F.lit(None).cast("double").alias("metric"),
+                                       F.lit("basse").alias("priority"))
+        return out.unionByName(none)
+    return out.unionByName(best.select(F.lit("model").alias("id"), F.lit("model").alias("category"), F.col("model").alias("subject"),
+                                       F.col("rank_score").alias("metric"), F.lit("haute").alias("priority")))
 
 
 def recommendations(segments: DataFrame, correlations: DataFrame, tests: DataFrame, quality: DataFrame,
                     best: DataFrame | None) -> DataFrame:
-    """Rule rows with an impact -- segmentation 85, largest segment 75, strong
-    correlations |r|*100 (first two), tests 60 (first two), quality 70 when > 10% missing,
-    model score*100 -- ordered by priority then impact. (rule, priority, impact, order)"""
-    spark = segments.sparkSession
-    parts = []
-    seg = segments.agg(F.countDistinct("cluster").alias("k"), F.max("pct").alias("largest"))
-    parts.append(seg.filter(F.col("k") > 0).select(F.lit("use_segmentation").alias("rule"),
-                                                   F.lit("haute").alias("priority"), F.lit(85.0).alias("impact")))
-    parts.append(seg.filter(F.col("k") > 0).select(F.lit("target_largest_segment").alias("rule"),
-                                                   F.lit("moyenne").alias("priority"), F.lit(75.0).alias("impact")))
-    parts.append(correlations.filter((F.col("kind") == "strong_pair") & (F.col("rank") <= 2)).select(
-        F.concat(F.lit("exploit_relation_"), F.col("var1"), F.lit("_"), F.col("var2")).alias("rule"),
-        F.lit("haute").alias("priority"), (F.abs(F.col("r")) * 100).alias("impact")))
-    tw = Window.orderBy(F.col("p_value"), F.col("variable1"))
-    parts.append(tests.withColumn("rn", F.row_number().over(tw)).filter(F.col("rn") <= 2).select(
-        F.concat(F.lit("act_on_"), F.col("variable1")).alias("rule"), F.lit("moyenne").alias("priority"),
-        F.lit(60.0).alias("impact")))
-    parts.append(quality.filter(F.col("missing_pct") > 10).select(
-        F.lit("improve_collection").alias("rule"), F.lit("haute").alias("priority"), F.lit(70.0).alias("impact")))
+    """Rule rows (rule, priority, impact, order), ordered by priority then impact. Segmentation 85 and the
+    largest segment 75, both haute; the first two strong pairs above 0.7 with |r| in percent, haute above
+    0.8; the first two tests of the list that are significant 60, moyenne; quality 70 above 10 % missing,
+    haute above 30; the best model's score in percent, haute above 0.7."""
+    seg = segments.agg(F.countDistinct("cluster").alias("k")).filter(F.col("k") > 0)
+    row = lambda df, rule, priority, impact: df.select(rule.alias("rule"), priority.alias("priority"), impact.cast("long").alias("impact"))
+    level = lambda high: F.when(high, "haute").otherwise("moyenne")
+    pairs = correlations.filter((F.col("kind") == "strong_pair") & (F.col("rank") <= 2) & (F.abs(F.col("r")) > 0.7))
+    out = (row(seg, F.lit("use_segmentation"), F.lit("haute"), F.lit(85))
+           .unionByName(row(seg, F.lit("target_largest_segment"), F.lit("haute"), F.lit(75)))
+           .unionByName(row(pairs, F.concat(F.lit("exploit_relation_"), F.col("var1"), F.lit("_"), F.col("var2")),
+                            level(F.abs(F.col("r")) > 0.8), F.floor(F.abs(F.col("r")) * 100)))
+           .unionByName(row(tests.withColumn("rn", F.row_number().over(Window.orderBy("ordinal"))).filter(F.col("rn") <= 2),
+                            F.concat(F.lit("act_on_"), F.col("variable1")), F.lit("moyenne"), F.lit(60)))
+           .unionByName(row(quality.filter(F.col("missing_pct") > 10), F.lit("improve_collection"),
+                            level(F.col("missing_pct") > 30), F.lit(70))))
     if best is not None:
-        parts.append(best.select(F.lit("deploy_model").alias("rule"), F.lit("moyenne").alias("priority"),
-                                 (F.col("test_score") * 100).alias("impact")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(row(best, F.lit("deploy_model"), level(F.col("rank_score") > 0.7), F.floor(F.col("rank_score") * 100)))
     w = Window.orderBy(priority_rank(F.col("priority")), F.col("impact").desc(), F.col("rule"))
     return out.withColumn("order", F.row_number().over(w))
 
 
 def report_summary(insights: DataFrame, recs: DataFrame) -> DataFrame:
-    """Counts of insights, recommendations and high-priority items."""
-    a = insights.agg(F.count(F.lit(1)).alias("n_insights"), F.count_if(F.col("priority") == "haute").alias("hi_i"))
-    b = recs.agg(F.count(F.lit(1)).alias("n_recommendations"), F.count_if(F.col("priority") == "haute").alias("hi_r"))
-    return a.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k").select(
-        "n_insights", "n_recommendations", (F.col("hi_i") + F.col("hi_r")).alias("n_high_priority"))
+    """Counts of insights, recommendations and recommendations of high priority."""
+    a = insights.agg(F.count(F.lit(1)).alias("n_insights"))
+    b = recs.agg(F.count(F.lit(1)).alias("n_recommendations"), F.count_if(F.col("priority") == "haute").alias("n_high_priority"))
+    return a.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k").drop("k")
+
+
+def headline(quality: DataFrame, target: str | None, pairs: DataFrame, tests: DataFrame, runs: DataFrame | None = None,
+             best: DataFrame | None = None, importance: DataFrame | None = None, top: int = 5) -> DataFrame:
+    """The headline metrics of an analysis as (metric, value) rows of text: rows, columns, missing
+    percent, target, best k and its silhouette (``runs``: k, silhouette, choice_rank), strong pairs, tests
+    and significant tests, best model and score, and the ``top`` features by importance."""
+    text = lambda c: c.cast("string").alias("value")
+    one = lambda df, name, value: df.select(F.lit(name).alias("metric"), text(value))
+    out = (one(quality, "rows", F.col("rows")).unionByName(one(quality, "columns", F.col("columns")))
+           .unionByName(one(quality, "missing_pct", F.round("missing_pct", 2)))
+           .unionByName(one(quality, "target", F.lit(target)))
+           .unionByName(one(pairs.agg(F.count_if(F.col("strength") == "strong").alias("n")), "strong_pairs", F.col("n")))
+           .unionByName(one(tests.agg(F.count(F.lit(1)).alias("n")), "tests", F.col("n")))
+           .unionByName(one(tests.agg(F.count_if(F.col("p_value") < 0.05).alias("n")), "significant_tests", F.col("n"))))
+    if runs is not None:
+        chosen = runs.filter("choice_rank = 1")
+        out = out.unionByName(one(chosen, "best_k", F.col("k"))).unionByName(one(chosen, "best_silhouette", F.round("silhouette", 4)))
+    if best is not None:
+        out = out.unionByName(one(best, "best_model", F.col("model"))).unionByName(one(best, "best_score", F.round("rank_score", 4)))
+        if importance is not None:
+            feats = importance.join(best.select("model"), "model").filter(F.col("rank") <= top)
+            out = out.unionByName(feats.select(F.concat(F.lit("top_feature_"), F.col("rank").cast("string")).alias("metric"), text(F.col("feature"))))
+    return out
 
 
 def digest(num_summary: DataFrame, cat_summary: DataFrame, tests: DataFrame, pairs: DataFrame,

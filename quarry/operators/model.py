@@ -126,10 +126,11 @@ def split_metrics(pred: DataFrame, model: str = "model", label: str = "label", p
 
 
 def best_model(runs: DataFrame, metric: str = "val_score") -> DataFrame:
-    """Best run by the validation metric (ties by name); exact 1.0 flags a leak."""
+    """Best run by the validation metric (ties by name); exact 1.0 flags a leak. The metric's
+    value also leaves as rank_score."""
     w = Window.orderBy(F.col(metric).desc(), F.col("model"))
     return (runs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") == 1)
-            .withColumn("leak_warning", F.col(metric) >= 1.0).drop("rank"))
+            .withColumn("leak_warning", F.col(metric) >= 1.0).withColumn("rank_score", F.col(metric)).drop("rank"))
 
 
 # ---------------------------------------------------------------- M17 / M18 / M19

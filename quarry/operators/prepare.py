@@ -21,20 +21,13 @@ from quarry.operators.schema import NUMERIC, categorical_columns, column_kinds,
 WS = r"[\s\u00A0]"
 
 
-def distinct_counts(df: DataFrame, cols: list[str], exact_upto: int = 1000) -> dict[str, int]:
-    """Exact distinct counts where they are small (<= exact_upto by HLL, then exact
-    count_distinct), the HLL estimate above that -- callers only compare against small
-    thresholds (2, 5, 8, 10, 30, 50)."""
+def distinct_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
+    """Exact distinct counts from the value-frequency table (one row per value before the count)."""
     if not cols:
         return {}
-    row = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"a{i}") for i, c in enumerate(cols)]).first()
-    approx = {c: row[f"a{i}"] for i, c in enumerate(cols)}
-    small = [c for c in cols if approx[c] <= exact_upto]
-    out = dict(approx)
-    if small:
-        row = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(small)]).first()
-        out.update({c: row[f"d{i}"] for i, c in enumerate(small)})
-    return out
+    from quarry.operators.profile import value_freq
+    got = value_freq(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()
+    return {c: 0 for c in cols} | {r["column"]: r["d"] for r in got}
 
 
 # ---------------------------------------------------------------- F1 / F2 / F3 / F4

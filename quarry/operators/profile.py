@@ -42,13 +42,11 @@ def value_freq(df: DataFrame, cols: list[str], value_type: str = "string",
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the input over all cores when it arrives in fewer partitions (a small
-    file with few row groups) and the next step multiplies rows (unpivot). On a cluster
-    the scan already has far more splits than cores, so this is a no-op there."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """The input dealt over ``spark.quarry.inputPartitions`` partitions, where the session sets that:
+    for single small files on one machine, whose row groups cannot be split. Unset on a cluster, where
+    the split size (spark.sql.files.maxPartitionBytes) rules and nothing is shuffled."""
+    n = df.sparkSession.conf.get("spark.quarry.inputPartitions", None)
+    return df.repartition(int(n)) if n else df
 
 
 def mode_per_column(vf: DataFrame) -> DataFrame:
@@ -291,8 +289,9 @@ def data_quality(df: DataFrame) -> DataFrame:
     cells = rows * ncols
     missing_ratio = total_missing / cells if cells else 0.0
     completeness = 100.0 * (1 - missing_ratio)
-    band = ("excellent" if completeness >= 95 else "bonne" if completeness >= 85 else
-            "moyenne" if completeness >= 70 else "faible" if completeness >= 50 else "critique")
+    # The names of the bands.
+    band = ("excellente" if completeness >= 95 else "bonne" if completeness >= 85 else
+            "acceptable" if completeness >= 70 else "moyenne" if completeness >= 50 else "faible")
     return df.sparkSession.createDataFrame(
         [(rows, ncols, total_missing, 100.0 * missing_ratio, completeness, band)],
         "rows long, columns long, total_missing long, missing_pct double, "
@@ -317,25 +316,21 @@ def theme_of(name: str) -> str:
     return "Autres"
 
 
-def column_profile(df: DataFrame, stage: str = "raw", exact: bool = True, with_quantiles: bool = True,
-                   distinct: str = "exact") -> DataFrame:
+def column_profile(df: DataFrame, stage: str = "raw", exact: bool = True, with_quantiles: bool = True) -> DataFrame:
     """P11/P13/P16 + the shared profile: one row per column.
 
     (stage, column, ordinal, kind, theme, n, n_null, n_distinct, mean, sd, var, min, max,
      q1, median, q3, skew, kurt)
 
-    with_quantiles=False skips the quantile rounds (selection rules do not read them).
-    distinct="bounded" counts distinct values exactly only where HLL says they are few
-    (<= 1000) -- every selection rule compares against thresholds <= 50 -- instead of a
-    full value-frequency shuffle of every continuous column."""
+    with_quantiles=False skips the quantile rounds (selection rules do not read them)."""
     spark = df.sparkSession
     kinds = column_kinds(df)
     cols = [c for c, _ in kinds]
     nums = [c for c, k in kinds if k == NUMERIC]
-    # one scan: counts of every column, sum / min / max of the numerics, HLL distincts
+    # one scan: counts of every column, sum / min / max of the numerics
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(cols):
-        aggs += [F.count(F.col(f"`{c}`")).alias(f"n{i}"), F.approx_count_distinct(F.col(f"`{c}`")).alias(f"a{i}")]
+        aggs.append(F.count(F.col(f"`{c}`")).alias(f"n{i}"))
     for j, c in enumerate(nums):
         x = F.col(f"`{c}`").cast("double")
         aggs += [F.sum(x).alias(f"s{j}"), F.min(x).alias(f"lo{j}"), F.max(x).alias(f"hi{j}")]
@@ -349,16 +344,8 @@ def column_profile(df: DataFrame, stage: str = "raw", exact: bool = True, with_q
     q = (quantiles(df, [c for c in nums if bs[c]["n"] > 0], [0.25, 0.5, 0.75], stats=bs, exact=exact)
          if with_quantiles else {})
     cs = central_sums(df, nums, {c: bs[c]["mean"] for c in nums})
-    if distinct == "exact":
-        distinct = {r["column"]: r["d"] for r in
-                    value_freq(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
-    else:
-        approx = {c: crow[f"a{i}"] for i, c in enumerate(cols)}
-        small = [c for c in cols if approx[c] <= 1000]
-        distinct = dict(approx)
-        if small:
-            r2 = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(small)]).first()
-            distinct.update({c: r2[f"d{i}"] for i, c in enumerate(small)})
+    distinct = {r["column"]: r["d"] for r in
+                value_freq(df, cols).groupBy("column").agg(F.count(F.lit(1)).alias("d")).collect()}
     data = []
     for i, (c, k) in enumerate(kinds):
         n = crow[f"n{i}"]

@@ -111,18 +111,28 @@ def separation_band(x: float) -> str:
     return "forte" if x > 0.5 else "moderee" if x > 0.25 else "faible" if x > 0 else "nulle"
 
 
-def heatmap_radar(dna: DataFrame, max_heat: int = 10, max_radar: int = 8) -> DataFrame:
-    """Heatmap (z of the first 10 features) and radar (cluster means of the first 8,
-    min-max normalised across clusters) in long form. (view, cluster, feature, value)"""
-    heat = dna.filter(F.col("ordinal") < max_heat).select(F.lit("heatmap").alias("view"), "cluster", "feature",
-                                                          F.col("z").alias("value"))
-    w = Window.partitionBy("feature")
-    rad = dna.filter(F.col("ordinal") < max_radar)
-    rng = F.max("cluster_mean").over(w) - F.min("cluster_mean").over(w)
-    radar = rad.select(F.lit("radar").alias("view"), "cluster", "feature",
-                       F.when(rng > 0, (F.col("cluster_mean") - F.min("cluster_mean").over(w)) / rng)
-                       .otherwise(F.lit(0.5)).alias("value"))
-    return heat.unionByName(radar)
+def heatmap_radar(dna: DataFrame, max_heat: int | None = None, max_radar: int | None = None) -> DataFrame:
+    """Heatmap and radar (both the z-scores, 0 where missing) and the distribution of the clusters
+    (percent), in long form; all features unless a limit is set. (view, cluster, feature, value)"""
+    z = F.when(F.col("z").isNull() | F.isnan("z"), 0.0).otherwise(F.col("z"))
+
+    def view(name, most):
+        rows = dna if most is None else dna.filter(F.col("ordinal") < most)
+        return rows.select(F.lit(name).alias("view"), "cluster", "feature", z.alias("value"))
+
+    share = dna.select(F.lit("distribution").alias("view"), "cluster", F.lit(None).cast("string").alias("feature"),
+                       F.col("pct").alias("value")).distinct()
+    return view("heatmap", max_heat).unionByName(view("radar", max_radar)).unionByName(share)
+
+
+def sweep_summary(runs: DataFrame) -> DataFrame:
+    """Over all segmentations of a sweep: their number, mean and total groups, the best by silhouette
+    (smallest k on ties; none if no silhouette is above 0) and its silhouette."""
+    scored = F.when(F.col("silhouette") > 0, F.struct("silhouette", (-F.col("k")).alias("minus_k")))
+    return (runs.agg(F.count(F.lit(1)).alias("n_segmentations"), F.avg(F.col("k").cast("double")).alias("mean_groups"),
+                     F.sum("k").alias("total_groups"), F.max(scored).alias("b"))
+            .select("n_segmentations", "mean_groups", "total_groups", (-F.col("b.minus_k")).alias("best_k"),
+                    F.col("b.silhouette").alias("best_silhouette")))
 
 
 # ---------------------------------------------------------------- K3 / K4 / K5 / K13
@@ -245,12 +255,12 @@ def sweep(df: DataFrame, cols: list[str], key: str, ks=(2, 3, 4, 5), seeds=(42,
             continue
         pred, info = kmeans_best(vec, k, seeds, max_iter)
         if pred is None or (info["silhouette"] is not None and info["silhouette"] < gmm_below):
-            try:
-                g, gs = gaussian_mixture(vec, k)
-                if g.select("prediction").distinct().count() == k and (info["silhouette"] is None or gs > info["silhouette"]):
+            g, _ = gaussian_mixture(vec, k)
+            g = rebalance(g, "prediction", 0.05)
+            if g.select("prediction").distinct().count() >= 2:  # two groups are enough once small ones are merged
+                gs = _silhouette(g)
+                if info["silhouette"] is None or gs > info["silhouette"]:
                     pred, info = g, dict(info, silhouette=gs, method="gmm")
-            except Exception:  # noqa: BLE001 - a failed mixture fit keeps the k-means result
-                pass
         if pred is None:
             pred = quartile_split(vec, cols[0], k)
             info = dict(info, method="quartile", silhouette=_silhouette(pred))

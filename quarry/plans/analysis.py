@@ -18,22 +18,10 @@ from quarry.operators import select as S
 from quarry.operators import segment as K
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (parquet footers give it for scans)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate: treat as large
-        return 1 << 62
-
-
 def complete_analysis(df: DataFrame, key: str | None = None, prompt: str = "", target: str | None = None,
-                      cluster: bool = False, cache_below_bytes: int = 2 << 30) -> dict[str, DataFrame]:
-    # every stage is an aggregate pass over the input. A small input is cached once
-    # (size checked from the plan statistics); a large one is re-scanned with column pruning
-    # rather than pinned in executor memory.
-    if estimated_bytes(df) < cache_below_bytes:
-        df = df.persist()
-    prof = P.column_profile(df, with_quantiles=False, distinct="bounded")
+                      cluster: bool = False) -> dict[str, DataFrame]:
+    # every stage is an aggregate pass over the input with column pruning; nothing is pinned in memory
+    prof = P.column_profile(df, with_quantiles=False)
     tgt, method = S.detect_target(df, prompt, target, prof)
     sel = S.selected_variables(prof, target=tgt)
     nums, cats = sel["numeric_analysis"], sel["categorical_analysis"]
@@ -60,18 +48,20 @@ def complete_analysis(df: DataFrame, key: str | None = None, prompt: str = "", t
             seg_dna, _ = K.cluster_dna(df.join(labels, key), cvars)
     quality = I.quality_insight(out["data_quality"])
     spark = df.sparkSession
-    segs = (I.segment_insights(seg_dna, silhouette) if seg_dna is not None else
-            spark.createDataFrame([], "cluster int, size long, pct double, feature_rank int, feature string, "
-                                      "z double, direction string, priority string"))
+    none = spark.createDataFrame([], "cluster int, feature string, ordinal long, size long, pct double, z double, direction string")
+    dna = seg_dna if seg_dna is not None else none
+    segmentation, segs = I.segmentation_insight(dna, silhouette), I.segment_insights(dna)
     corr_i = (I.correlation_insights(out["correlations"], out["target_correlations"])
               if out["correlations"] is not None else
               spark.createDataFrame([], "kind string, rank int, var1 string, var2 string, r double, "
                                         "shared_variance double"))
     tests_i = I.test_insights(out["tests"]) if "p_value" in out["tests"].columns else \
-        spark.createDataFrame([], "variable1 string, variable2 string, test_type string, statistic double, "
+        spark.createDataFrame([], "ordinal int, variable1 string, variable2 string, test_type string, statistic double, "
                                   "p_value double, priority string")
-    out["insights"] = I.insight_table(quality, segs, corr_i, tests_i, None)
+    out["insights"] = I.insight_table(quality, segmentation, segs, corr_i, tests_i, None)
     out["recommendations"] = I.recommendations(segs, corr_i, tests_i, out["data_quality"], None)
+    if "p_value" in out["tests"].columns and out["correlations"] is not None:
+        out["headline"] = I.headline(out["data_quality"], tgt, out["correlations"], out["tests"], out.get("clusterings"))
     out["summary"] = I.report_summary(out["insights"], out["recommendations"])
     out["digest"] = I.digest(out["univariate_numeric"], out["univariate_categorical"], out["tests"],
                              out["correlations"] if out["correlations"] is not None else

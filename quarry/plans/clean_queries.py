@@ -189,7 +189,7 @@ def profile_sql(table, kinds):
 
 def _li_profile(spark, sf):
     return column_profile(load(spark, sf, "lineitem").select(*[c for c, _ in LI_KINDS]),
-                          with_quantiles=False, distinct="bounded")
+                          with_quantiles=False)
 
 
 @register("target_candidates", oracle_finish(f"""
@@ -234,7 +234,7 @@ SELECT "column", ordinal, score, "rank" FROM (
 WHERE "rank" <= 8""", ["score"]))
 def q_clustering_variables(spark, sf):
     li = load(spark, sf, "lineitem").select(*[c for c, _ in LI_KINDS])
-    return finish(S.clustering_variables(li, column_profile(li, with_quantiles=False, distinct="bounded")))
+    return finish(S.clustering_variables(li, column_profile(li, with_quantiles=False)))
 
 
 @register("interaction_candidates", oracle_finish(f"""
@@ -362,7 +362,7 @@ WITH req AS (
               ELSE lower(n_name) || ' zone' END AS text
   FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 flags AS (SELECT key, ({national}) AS national, text FROM req),
-words AS (SELECT key, national, unnest(regexp_split_to_array(regexp_replace(lower(trim(text)), ',', ' ', 'g'), '\s+')) AS word
+words AS (SELECT key, national, unnest(regexp_split_to_array(regexp_replace(lower(trim(text)), ',', ' ', 'g'), '\\s+')) AS word
           FROM flags),
 amap(word, apos, term) AS (VALUES {aliases}),
 terms AS (SELECT DISTINCT w.key, coalesce(a.term, w.word) AS term FROM words w LEFT JOIN amap a ON w.word = a.word
@@ -379,7 +379,7 @@ cand AS (
   UNION ALL SELECT f.key, p.* FROM flags f, npool p WHERE f.national
   UNION ALL SELECT f.key, p.* FROM flags f, dpool p
             WHERE NOT f.national AND f.key NOT IN (SELECT key FROM hits)),
-picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5(ADM3_PCODE || '|' || CAST(key AS VARCHAR))) AS r
+picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY md5(ADM3_PCODE), ADM3_PCODE) AS r
                           FROM cand) x WHERE r <= 5)
 SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY ADM3_EN, ADM3_PCODE) AS INTEGER) AS "rank",
        ADM3_PCODE AS pcode, ADM3_EN AS name, ADM1_EN AS adm1, ADM2_EN AS adm2

@@ -26,12 +26,12 @@ def _quality(spark, sf):
     return data_quality(null_tokens_to_null(FX.dirty_customer(spark, sf)))
 
 
-@register("quality_insight", FX.with_views(oracle_finish(f"""
-SELECT 'data_quality' AS id, 'Qualité des Données' AS category, 'Qualité des données: ' || quality AS title,
-       completeness AS metric, CASE WHEN missing_pct > 20 THEN 'haute' ELSE 'moyenne' END AS priority,
-       missing_pct > 10 AS action_required
-FROM ({_quality_body()}) q""",
-    ["metric"]), "dirty_customer"))
+QUALITY_ROW_SQL = f"""SELECT 'data_quality' AS id, 'quality' AS category, quality AS subject, completeness AS metric,
+       CASE WHEN missing_pct > 20 THEN 'haute' ELSE 'moyenne' END AS priority, missing_pct > 10 AS action_required
+FROM ({_quality_body()}) q"""
+
+
+@register("quality_insight", FX.with_views(oracle_finish(QUALITY_ROW_SQL, ["metric"]), "dirty_customer"))
 def q_quality_insight(spark, sf):
     return finish(I.quality_insight(_quality(spark, sf)))
 
@@ -66,24 +66,61 @@ BANDED_SQL = ("SELECT l_quantity, l_extendedprice, l_discount, l_tax, CAST(CASE
               "WHEN l_quantity < 34 THEN 1 ELSE 2 END AS INTEGER) AS cluster FROM lineitem")
 
 
-@register("segment_insights", oracle_finish(
-    "WITH given_labels AS (" + BANDED_SQL + ")\n"
-    "SELECT cluster, size, pct, feature_rank, feature, z, direction, 'moyenne' AS priority FROM ("
-    "SELECT *, CAST(row_number() OVER (PARTITION BY cluster ORDER BY abs(z) DESC, ordinal) AS BIGINT) AS feature_rank "
-    "FROM (" + _dna_sql() + ") d WHERE abs(z) > 0.3) t WHERE feature_rank <= 5",
-    ["pct", "z"], ["cluster"]))
+SEGMENTS_SQL = ("SELECT cluster, size, pct, feature_rank, feature, z, direction, 'moyenne' AS priority FROM ("
+                "SELECT *, CAST(row_number() OVER (PARTITION BY cluster ORDER BY abs(z) DESC, ordinal) AS BIGINT) AS feature_rank "
+                "FROM (" + _dna_sql() + ") d WHERE abs(z) > 0.3) t")
+
+
+@register("segment_insights", oracle_finish("WITH given_labels AS (" + BANDED_SQL + ")\n" + SEGMENTS_SQL, ["pct", "z"], ["cluster"]))
 def q_segment_insights(spark, sf):
     dna, _ = K.cluster_dna(_banded(spark, sf), FEATS)
-    return finish(I.segment_insights(dna, None))
+    return finish(I.segment_insights(dna))
+
+
+#: The share of quantity variance that lies between the bands stands for the silhouette.
+SEPARATION_SQL = """SELECT sum(n * (mean - gm) * (mean - gm)) / sum(n) / min(total) AS s
+FROM (SELECT cluster, count(*) AS n, avg(l_quantity) AS mean FROM given_labels GROUP BY cluster) b,
+     (SELECT avg(l_quantity) AS gm, var_pop(l_quantity) AS total FROM given_labels) g"""
+SEGMENTATION_SQL = f"""SELECT n_clusters, s AS silhouette,
+       CASE WHEN s > 0.5 THEN 'well_separated' WHEN s > 0.25 THEN 'separated' WHEN s > 0 THEN 'overlapping' ELSE 'indicative' END AS separation,
+       CASE WHEN s > 0.2 THEN 'haute' ELSE 'moyenne' END AS priority
+FROM (SELECT count(DISTINCT cluster) AS n_clusters FROM given_labels) c, ({SEPARATION_SQL}) x WHERE n_clusters >= 2"""
+
+
+def _segmentation(spark, sf):
+    df = _banded(spark, sf)
+    total = df.agg(F.avg("l_quantity").alias("gm"), F.var_pop("l_quantity").alias("total")).first()
+    s = (df.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("mean"))
+         .agg(F.sum(F.col("n") * (F.col("mean") - total["gm"]) ** 2) / F.sum("n") / total["total"])).first()[0]
+    dna, _ = K.cluster_dna(df, FEATS)
+    return I.segmentation_insight(dna, s), dna
+
+
+@register("segmentation_insight", oracle_finish("WITH given_labels AS (" + BANDED_SQL + ")\n" + SEGMENTATION_SQL, ["silhouette"]))
+def q_segmentation_insight(spark, sf):
+    return finish(_segmentation(spark, sf)[0])
+
+
+#: p-values from the statistic alone (exp(-|t|)), so that both engines reach every branch of R4 to R8;
+#: the distributions behind the real ones are tested by themselves.
+def _tests_plain_sql():
+    from quarry.plans.relate_queries import _tests_sql
+    return f"SELECT *, exp(-4 * abs(statistic)) AS p_value FROM ({_tests_sql()}) st"
 
 
 def _tests(spark, sf):
-    return R.statistical_tests(FX.corr_lineitem(spark, sf), TARGET, TEST_NUM, TEST_CAT)
+    t = R.statistical_tests(FX.corr_lineitem(spark, sf), TARGET, TEST_NUM, TEST_CAT, with_p=False)
+    return t.withColumn("p_value", F.exp(-4 * F.abs(F.col("statistic"))))
 
 
-@register("test_insights")
+TEST_INSIGHTS_SQL = """SELECT ordinal, variable1, variable2, test_type, statistic, p_value,
+       CASE WHEN p_value < 0.01 THEN 'haute' ELSE 'moyenne' END AS priority
+FROM tests WHERE test_type IN ('ttest', 'anova') AND p_value < 0.05"""
+
+
+@register("test_insights", oracle_finish(f"WITH tests AS ({_tests_plain_sql()}) {TEST_INSIGHTS_SQL}", ["statistic", "p_value"]))
 def q_test_insights(spark, sf):
-    """R4 (needs p-values; rows-only)."""
+    """R4."""
     return finish(I.test_insights(_tests(spark, sf)))
 
 
@@ -94,45 +131,113 @@ def _report_parts(spark, sf):
     corr_i = I.correlation_insights(pairs, tc)
     tests = _tests(spark, sf)
     tests_i = I.test_insights(tests)
-    dna, _ = K.cluster_dna(_banded(spark, sf), FEATS)
-    segs = I.segment_insights(dna, None)
+    segmentation, dna = _segmentation(spark, sf)
+    segs = I.segment_insights(dna)
     quality = _quality(spark, sf)
     from quarry.operators.model import best_model, split_metrics
     best = best_model(split_metrics(FX.predictions(spark, sf)))
-    return pairs, tc, corr_i, tests, tests_i, segs, quality, best
+    return {"pairs": pairs, "target": tc, "corr": corr_i, "tests": tests, "tests_i": tests_i, "segmentation": segmentation,
+            "segments": segs, "quality": quality, "best": best}
+
+
+def _insights(p, best=True):
+    return I.insight_table(I.quality_insight(p["quality"]), p["segmentation"], p["segments"], p["corr"], p["tests_i"],
+                           p["best"] if best else None)
+
 
+def _recommendations(p):
+    return I.recommendations(p["segments"], p["corr"], p["tests_i"], p["quality"], p["best"])
 
-@register("insight_table")
+
+def _report_ctes():
+    from quarry.plans.model_queries import RUNS_SQL
+    from quarry.plans.relate_queries import _pairs_inner, _target_inner
+    return f"""WITH given_labels AS ({BANDED_SQL}),
+quality AS ({QUALITY_ROW_SQL}), quality_raw AS ({_quality_body()}), segmentation AS ({SEGMENTATION_SQL}), segments AS ({SEGMENTS_SQL}),
+pairs AS ({_pairs_inner()}), target AS ({_target_inner()}), tests AS ({_tests_plain_sql()}), tests_i AS ({TEST_INSIGHTS_SQL}),
+best AS (SELECT model, val_score AS rank_score FROM ({RUNS_SQL}) r ORDER BY val_score DESC, model LIMIT 1),
+corr AS (SELECT 'strong_pair' AS kind, strength_rank AS rnk, var1, var2, r FROM pairs WHERE strength = 'strong' AND strength_rank <= 5
+         UNION ALL SELECT 'target_driver', "rank", variable, NULL, r FROM target WHERE abs(r) > 0.3 AND "rank" <= 3),
+insights AS (
+  SELECT id, category, subject, metric, priority FROM quality
+  UNION ALL SELECT 'clustering_global', 'segmentation', separation, silhouette, priority FROM segmentation
+  UNION ALL SELECT 'segment_' || cluster, 'segment', CAST(cluster AS VARCHAR), CAST(count(*) AS DOUBLE), 'moyenne' FROM segments GROUP BY cluster
+  UNION ALL SELECT kind || '_' || rnk, 'relation', CASE WHEN var2 IS NULL THEN var1 ELSE var1 || ' - ' || var2 END, r * r, 'haute'
+            FROM corr WHERE kind = 'target_driver' OR abs(r) > 0.7
+  UNION ALL SELECT 'test_' || ordinal, 'test', variable1 || ' / ' || variable2, p_value, priority FROM tests_i
+  UNION ALL SELECT 'model', 'model', model, rank_score, 'haute' FROM best),
+recs AS (
+  SELECT 'use_segmentation' AS rule, 'haute' AS priority, 85 AS impact FROM segmentation
+  UNION ALL SELECT 'target_largest_segment', 'haute', 75 FROM segmentation
+  UNION ALL SELECT 'exploit_relation_' || var1 || '_' || var2, CASE WHEN abs(r) > 0.8 THEN 'haute' ELSE 'moyenne' END,
+            CAST(floor(abs(r) * 100) AS BIGINT) FROM corr WHERE kind = 'strong_pair' AND rnk <= 2 AND abs(r) > 0.7
+  UNION ALL SELECT 'act_on_' || variable1, 'moyenne', 60 FROM (SELECT * FROM tests_i ORDER BY ordinal LIMIT 2) t
+  UNION ALL SELECT 'improve_collection', CASE WHEN missing_pct > 30 THEN 'haute' ELSE 'moyenne' END, 70 FROM quality_raw WHERE missing_pct > 10
+  UNION ALL SELECT 'deploy_model', CASE WHEN rank_score > 0.7 THEN 'haute' ELSE 'moyenne' END, CAST(floor(rank_score * 100) AS BIGINT) FROM best)
+"""
+
+
+def _report_sql(body, doubles=(), ints=()):
+    return FX.with_views(oracle_finish(_report_ctes() + body, list(doubles), list(ints)), "corr_lineitem", "dirty_customer", "predictions")
+
+
+@register("insight_table", _report_sql("SELECT * FROM insights", ["metric"]))
 def q_insight_table(spark, sf):
-    """R5 (rows-only)."""
-    pairs, tc, corr_i, tests, tests_i, segs, quality, best = _report_parts(spark, sf)
-    return finish(I.insight_table(I.quality_insight(quality), segs, corr_i, tests_i, best))
+    """R5."""
+    return finish(_insights(_report_parts(spark, sf)))
 
 
-@register("recommendations")
-def q_recommendations(spark, sf):
-    """R6 (rows-only)."""
-    pairs, tc, corr_i, tests, tests_i, segs, quality, best = _report_parts(spark, sf)
-    return finish(I.recommendations(segs, corr_i, tests_i, quality, best))
+@register("insight_table_without_model", _report_sql(
+    "SELECT * FROM insights WHERE id <> 'model' UNION ALL SELECT 'model_not_applicable', 'model', NULL, NULL, 'basse'", ["metric"]))
+def q_insight_table_without_model(spark, sf):
+    """R5 where no model can be trained."""
+    return finish(_insights(_report_parts(spark, sf), best=False))
 
 
-@register("report_summary")
-def q_report_summary(spark, sf):
-    """R7 (rows-only)."""
-    pairs, tc, corr_i, tests, tests_i, segs, quality, best = _report_parts(spark, sf)
-    ins = I.insight_table(I.quality_insight(quality), segs, corr_i, tests_i, best)
-    return I.report_summary(ins, I.recommendations(segs, corr_i, tests_i, quality, best))
+@register("recommendations", _report_sql("""SELECT rule, priority, CAST(impact AS BIGINT) AS impact,
+       row_number() OVER (ORDER BY CASE priority WHEN 'haute' THEN 0 WHEN 'moyenne' THEN 1 ELSE 2 END, impact DESC, rule) AS "order" FROM recs"""))
+def q_recommendations(spark, sf):
+    """R6."""
+    return finish(_recommendations(_report_parts(spark, sf)))
 
 
-@register("digest")
+@register("report_summary", _report_sql("""SELECT (SELECT count(*) FROM insights) AS n_insights, count(*) AS n_recommendations,
+       count_if(priority = 'haute') AS n_high_priority FROM recs"""))
+def q_report_summary(spark, sf):
+    """R7."""
+    p = _report_parts(spark, sf)
+    return I.report_summary(_insights(p), _recommendations(p))
+
+
+@register("headline_metrics", _report_sql(f"""
+SELECT 'rows' AS metric, CAST("rows" AS VARCHAR) AS value FROM quality_raw
+UNION ALL SELECT 'columns', CAST("columns" AS VARCHAR) FROM quality_raw
+UNION ALL SELECT 'target', '{TARGET}'
+UNION ALL SELECT 'strong_pairs', CAST(count_if(strength = 'strong') AS VARCHAR) FROM pairs
+UNION ALL SELECT 'tests', CAST(count(*) AS VARCHAR) FROM tests
+UNION ALL SELECT 'significant_tests', CAST(count_if(p_value < 0.05) AS VARCHAR) FROM tests
+UNION ALL SELECT 'best_model', model FROM best"""))
+def q_headline_metrics(spark, sf):
+    """R8 without the rounded figures, which are checked where they arise."""
+    p = _report_parts(spark, sf)
+    out = I.headline(p["quality"], TARGET, p["pairs"], p["tests"], best=p["best"])
+    return out.filter(~F.col("metric").isin("missing_pct", "best_score"))
+
+
+@register("digest", _report_sql(f"""SELECT count(*) AS tests_total, count_if(p_value < 0.05) AS tests_significant,
+       CAST(count_if(p_value < 0.05) AS DOUBLE) / count(*) AS test_rate,
+       (SELECT count_if(strength = 'strong') FROM pairs) AS strong_pairs, (SELECT count_if(strength = 'moderate') FROM pairs) AS moderate_pairs,
+       (SELECT count(*) FROM target) AS target_pairs, CAST({len(TEST_NUM)} AS BIGINT) AS n_numeric, CAST({len(TEST_CAT)} AS BIGINT) AS n_categorical
+FROM tests""", ["test_rate"]))
 def q_digest(spark, sf):
-    """R8/R9 one-row digest (rows-only)."""
+    """R9 counts of variables, tests and pairs."""
     df = FX.corr_lineitem(spark, sf)
     from quarry.operators.profile import categorical_summary
     nums = numeric_summary(df, TEST_NUM)
     cats = categorical_summary(df, TEST_CAT)
-    return finish(I.digest(nums, cats, _tests(spark, sf), R.correlation_pairs(df, CORR_COLS),
-                           R.target_correlations(df, CORR_COLS, TARGET)))
+    d = I.digest(nums, cats, _tests(spark, sf), R.correlation_pairs(df, CORR_COLS), R.target_correlations(df, CORR_COLS, TARGET))
+    return finish(d.select("tests_total", "tests_significant", "test_rate", "strong_pairs", "moderate_pairs", "target_pairs",
+                           "n_numeric", "n_categorical"))
 
 
 @register("complete_analysis")

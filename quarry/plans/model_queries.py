@@ -71,9 +71,9 @@ def q_model_runs(spark, sf):
 
 
 @register("best_model", P(oracle_finish(f"""
-SELECT * EXCLUDE (rnk), val_score >= 1.0 AS leak_warning FROM (
+SELECT * EXCLUDE (rnk), val_score >= 1.0 AS leak_warning, val_score AS rank_score FROM (
   SELECT *, row_number() OVER (ORDER BY val_score DESC, model) AS rnk FROM ({RUNS_SQL}) r) t WHERE rnk = 1""",
-    RUN_DOUBLES)))
+    RUN_DOUBLES + ["rank_score"])))
 def q_best_model(spark, sf):
     return finish(M.best_model(_runs(spark, sf)))
 
@@ -160,7 +160,7 @@ UNION ALL {const}""", ["value"])
 @register("overfitting_risks", _risks_sql())
 def q_overfitting_risks(spark, sf):
     li = load(spark, sf, "lineitem").select(*LI_FEATS, "l_returnflag")
-    prof = column_profile(li, with_quantiles=False, distinct="bounded")
+    prof = column_profile(li, with_quantiles=False)
     tp = M.target_profile(li, "l_returnflag")
     rows = li.count()
     return finish(M.overfitting_risks(prof, "l_returnflag", LI_FEATS, rows, (tp["min_class"], tp["max_class"])))

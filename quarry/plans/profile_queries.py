@@ -187,11 +187,11 @@ def _quality_body():
 SELECT nrows AS "rows", CAST({n} AS BIGINT) AS "columns", total_missing,
        100.0 * total_missing / (nrows * {n}) AS missing_pct,
        100.0 * (1 - total_missing / (nrows * {n})) AS completeness,
-       CASE WHEN 100.0 * (1 - total_missing / (nrows * {n})) >= 95 THEN 'excellent'
+       CASE WHEN 100.0 * (1 - total_missing / (nrows * {n})) >= 95 THEN 'excellente'
             WHEN 100.0 * (1 - total_missing / (nrows * {n})) >= 85 THEN 'bonne'
-            WHEN 100.0 * (1 - total_missing / (nrows * {n})) >= 70 THEN 'moyenne'
-            WHEN 100.0 * (1 - total_missing / (nrows * {n})) >= 50 THEN 'faible'
-            ELSE 'critique' END AS quality
+            WHEN 100.0 * (1 - total_missing / (nrows * {n})) >= 70 THEN 'acceptable'
+            WHEN 100.0 * (1 - total_missing / (nrows * {n})) >= 50 THEN 'moyenne'
+            ELSE 'faible' END AS quality
 FROM (SELECT count(*) AS nrows, CAST({miss} AS BIGINT) AS total_missing FROM dirty_customer) t""",
         ["missing_pct", "completeness"])
 

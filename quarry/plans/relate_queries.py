@@ -71,7 +71,7 @@ def _tests_sql():
          count({y}) AS n, avg({y}) AS mean, var_samp({y}) AS var
   FROM corr_lineitem WHERE {c} IS NOT NULL AND {y} IS NOT NULL GROUP BY {c}""")
     groups = " UNION ALL ".join(group_parts)
-    pairs = [(a, b) for i, a in enumerate(TEST_NUM[:5]) for b in TEST_NUM[i + 1:6]]
+    pairs = [(a, b) for i, a in enumerate(TEST_NUM) for b in TEST_NUM[i + 1:]]
     pear = " UNION ALL ".join(
         f"SELECT '{a}' AS variable1, '{b}' AS variable2, CAST({k} AS BIGINT) AS k, count({a} + {b}) AS n, "
         f"corr({a}, {b}) AS r FROM corr_lineitem" for k, (a, b) in enumerate(pairs))
@@ -101,9 +101,7 @@ allt AS (
   UNION ALL
   SELECT variable1, variable2, 'pearson', r, 1000 + k FROM ({pear}) p
   WHERE n >= 5 AND r IS NOT NULL AND NOT isnan(r) AND abs(r) > 0.2)
-SELECT * FROM (
-  SELECT CAST(row_number() OVER (ORDER BY sk) AS BIGINT) AS ordinal, variable1, variable2, test_type, statistic
-  FROM allt) o WHERE ordinal <= 20"""
+SELECT CAST(row_number() OVER (ORDER BY sk) AS BIGINT) AS ordinal, variable1, variable2, test_type, statistic FROM allt"""
     return FX.with_views(oracle_finish(inner, ["statistic"]), "corr_lineitem")
 
 

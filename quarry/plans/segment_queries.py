@@ -86,16 +86,39 @@ def q_distinctive_features(spark, sf):
 
 
 @register("cluster_heatmap_radar", FX.with_views(oracle_finish(
-    "SELECT 'heatmap' AS view, cluster, feature, z AS value FROM (" + _dna_sql() + ") d WHERE ordinal < 10 "
-    "UNION ALL SELECT 'radar', cluster, feature, CASE WHEN max(cluster_mean) OVER w > min(cluster_mean) OVER w "
-    "THEN (cluster_mean - min(cluster_mean) OVER w) / (max(cluster_mean) OVER w - min(cluster_mean) OVER w) "
-    "ELSE 0.5 END FROM (" + _dna_sql() + ") d2 WHERE ordinal < 8 WINDOW w AS (PARTITION BY feature)",
+    "WITH d AS (" + _dna_sql() + ") SELECT 'heatmap' AS view, cluster, feature, z AS value FROM d "
+    "UNION ALL SELECT 'radar', cluster, feature, z FROM d "
+    "UNION ALL SELECT DISTINCT 'distribution', cluster, CAST(NULL AS VARCHAR), pct FROM d",
     ["value"], ["cluster"]), "given_labels"))
 def q_cluster_heatmap_radar(spark, sf):
     dna, _ = K.cluster_dna(FX.given_labels(spark, sf), FEATS)
     return finish(K.heatmap_radar(dna))
 
 
+#: Segmentations whose quality SQL can compute: lines dealt by line number into 2 to 5 groups, with the
+#: share of quantity variance that lies between the groups in the place of the silhouette.
+_GROUPINGS = " UNION ALL ".join(f"SELECT {k} AS k, l_linenumber % {k} AS g, l_quantity AS q FROM lineitem" for k in range(2, 6))
+
+
+@register("sweep_summary", oracle_finish(f"""
+WITH x AS ({_GROUPINGS}),
+m AS (SELECT k, avg(q) AS gm, var_pop(q) AS total FROM x GROUP BY k),
+b AS (SELECT x.k, g, count(*) AS n, avg(q) AS mean FROM x GROUP BY x.k, g),
+r AS (SELECT b.k, sum(n * (mean - gm) * (mean - gm)) / sum(n) / min(total) AS silhouette FROM b JOIN m USING (k) GROUP BY b.k)
+SELECT count(*) AS n_segmentations, avg(k) AS mean_groups, CAST(sum(k) AS BIGINT) AS total_groups,
+       CAST(arg_max(k, silhouette) AS BIGINT) AS best_k, max(silhouette) AS best_silhouette FROM r""", ["mean_groups", "best_silhouette"]))
+def q_sweep_summary(spark, sf):
+    """K15 over four groupings of the lines."""
+    li = load(spark, sf, "lineitem").select("l_linenumber", F.col("l_quantity").alias("q"))
+    x = (li.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(2, 6)])))
+         .withColumn("g", F.col("l_linenumber") % F.col("k")))
+    total = x.groupBy("k").agg(F.avg("q").alias("gm"), F.var_pop("q").alias("total"))
+    groups = x.groupBy("k", "g").agg(F.count(F.lit(1)).alias("n"), F.avg("q").alias("mean"))
+    runs = (groups.join(total, "k").groupBy("k")
+            .agg((F.sum(F.col("n") * (F.col("mean") - F.col("gm")) ** 2) / F.sum("n") / F.min("total")).alias("silhouette")))
+    return finish(K.sweep_summary(runs))
+
+
 @register("median_split", """
 SELECT l_orderkey, l_linenumber,
        CAST(CASE WHEN l_extendedprice > (SELECT quantile_cont(l_extendedprice, 0.5) FROM lineitem) THEN 1 ELSE 0 END
