@@ -470,25 +470,38 @@ def clustering_model(vec: DataFrame, k_max: int = 5, seed: int = 42) -> DataFram
     return t.withColumn("best", F.row_number().over(Window.orderBy(F.col("silhouette").desc(), F.col("k"))) == 1)
 
 
-def permutation_importance(model, data: DataFrame, features: list[str], key: str, evaluator,
+def permutation_importance(model, data: DataFrame, features: list[str], key: str, score: Column | None = None,
                            repeats: int = 10, seed: int = 42) -> DataFrame:
-    """Score drop when one feature column is permuted. The permutation is a join on
-    a hash-ordered rank: rows ranked by hash(key, seed, r) receive the value of the row
-    with the same rank in hash(key) order -- two range-partitioned sorts, no collect."""
+    """Mean drop of a score when one feature is permuted (``score``: an aggregate over __y and
+    prediction, accuracy unless given).
+
+    Rows are ranked once by a hash of the key (one sort, written once). A repeat's permutation is an affine
+    map of the rank modulo n, so it is one equi-join that brings every feature's permuted value; a copy
+    of the row for each feature, with that value in its place, is scored in the same pass."""
+    import math
+
     from quarry.operators.prepare import row_index
-    base = evaluator.evaluate(model.transform(data))
-    spark = data.sparkSession
-    dst = row_index(data, F.xxhash64(F.col(f"`{key}`"), F.lit(seed)), "__r").persist()
-    rows = []
-    for f in features:
-        drops = []
-        for r in range(repeats):
-            src = row_index(data.select(key, f), F.xxhash64(F.col(f"`{key}`"), F.lit(seed + r + 1)), "__r") \
-                .select("__r", F.col(f"`{f}`").alias("__v"))
-            shuffled = dst.drop(f).join(src, "__r").withColumnRenamed("__v", f).drop("__r")
-            drops.append(base - evaluator.evaluate(model.transform(shuffled)))
-        rows.append((f, float(sum(drops) / len(drops))))
-    t = spark.createDataFrame(rows, "feature string, importance double")
+    score = score if score is not None else F.avg((F.col("__y") == F.col("prediction")).cast("double"))
+    base = model.transform(data).agg(score).first()[0]
+    ranked = row_index(data, F.xxhash64(F.col(f"`{key}`"), F.lit(seed)), "__r").persist()
+    n = ranked.count()
+    drops = {f: [] for f in features}
+    for r in range(repeats if n > 1 else 0):
+        a = (2654435761 * (r + 1) + seed) % n | 1
+        while math.gcd(a, n) != 1:
+            a += 2
+        b = (40503 * (r + 1) + seed) % n
+        src = ranked.select(F.pmod(F.col("__r") * F.lit(a % n) + F.lit(b), F.lit(n)).alias("__r"),
+                            *[F.col(f"`{f}`").alias(f"__p{i}") for i, f in enumerate(features)])
+        rows = ranked.join(src, "__r").withColumn("__f", F.explode(F.array(*[F.lit(i) for i in range(len(features))])))
+        for i, f in enumerate(features):
+            rows = rows.withColumn(f, F.when(F.col("__f") == i, F.col(f"__p{i}")).otherwise(F.col(f"`{f}`")))
+        got = model.transform(rows.drop("__r", *[f"__p{i}" for i in range(len(features))])).groupBy("__f").agg(score.alias("s"))
+        for row in got.collect():
+            drops[features[row["__f"]]].append(base - row["s"])
+    ranked.unpersist()
+    rows = [(f, float(sum(d) / len(d)) if d else 0.0) for f, d in drops.items()]
+    t = data.sparkSession.createDataFrame(rows, "feature string, importance double")
     total = sum(max(v, 0.0) for _, v in rows)
     return t.withColumn("normalized", F.when(F.lit(total) > 0, F.greatest(F.col("importance"), F.lit(0.0)) / F.lit(total or 1.0)))
 

@@ -204,15 +204,16 @@ def dense_index(values: DataFrame, col: str, out: str = "code") -> DataFrame:
 
 
 def label_encode(df: DataFrame, col: str, out: str | None = None, null_code: int | None = None,
-                 bounded: bool = True) -> DataFrame:
+                 bounded: bool = True, most: int = 10_000) -> DataFrame:
     """code = position of str(value) among the sorted distinct values.
-    bounded: the caller guarantees few distinct values, so the mapping is broadcast."""
+    bounded: the mapping is broadcast if it is found to hold at most ``most`` values; else, and without
+    it, the codes are numbered over range partitions and joined."""
     out = out or col
     s = df.withColumn("__s", F.col(f"`{col}`").cast("string"))
-    if bounded:
-        d = s.select("__s").filter(F.col("__s").isNotNull()).distinct()
-        mapping = d.withColumn("__code", F.row_number().over(Window.orderBy("__s")) - 1)
-        mapping = F.broadcast(mapping)
+    few = s.select("__s").filter(F.col("__s").isNotNull()).distinct().limit(most + 1).collect() if bounded else []
+    if bounded and len(few) <= most:
+        codes = [(v, i) for i, v in enumerate(sorted((r[0] for r in few), key=lambda x: x.encode()))]
+        mapping = F.broadcast(df.sparkSession.createDataFrame(codes, "__s string, __code long"))
     else:
         mapping = dense_index(s, "__s", "__code")
     j = s.join(mapping, "__s", "left")

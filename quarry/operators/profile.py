@@ -245,9 +245,9 @@ def histogram(df: DataFrame, cols: list[str] | None = None, max_bins: int = 30,
                     (F.lit(100.0) * F.coalesce("n", F.lit(0)) / F.col("total")).alias("pct")))
 
 
-def pie(df: DataFrame, cols: list[str] | None = None, max_columns: int = 5,
+def pie(df: DataFrame, cols: list[str] | None = None, max_columns: int | None = None,
         min_distinct: int = 2, max_distinct: int = 10, name_width: int = 50) -> DataFrame:
-    """Value shares for the first categoricals with 2..10 distinct values."""
+    """Value shares of the categoricals with 2..10 distinct values."""
     cols = (list(cols) if cols is not None else categorical_columns(df))[:max_columns]
     vf = value_freq(df, cols)
     # per-column totals as an aggregate (k rows, broadcast), not a window over every
@@ -368,49 +368,48 @@ def column_profile(df: DataFrame, stage: str = "raw", exact: bool = True, with_q
 
 
 def scatter_sample(df: DataFrame, target: str, cols: list[str], key: str,
-                   max_points: int = 500, max_pairs: int = 5, min_pairs: int = 5) -> DataFrame:
-    """Per (target, var) pair, a deterministic hash-ordered sample of <= max_points
-    complete rows plus the correlation of that sample. A sampling operator: the limit is
-    the feature. (pair, key, x, y, sample_r)"""
+                   max_points: int = 500, max_pairs: int | None = None, min_pairs: int = 5) -> DataFrame:
+    """Per (target, var) pair, the complete rows of the <= max_points least md5 of (var, key),
+    ranked in that order, plus the correlation of that sample. A sampling operator: the limit is
+    the feature. (var, key, x, y, rank, sample_r)"""
     others = [c for c in cols if c != target][:max_pairs]
     spark = df.sparkSession
     if not others:
-        return spark.createDataFrame([], "var string, key long, x double, y double, sample_r double")
+        return spark.createDataFrame([], "var string, key long, x double, y double, rank int, sample_r double")
     parts = [F.when(F.col(c).isNotNull() & F.col(target).isNotNull(),
                     F.struct(F.lit(c).alias("var"), F.col(c).cast("double").alias("x")))
              for c in others]
     long = (df.select(F.col(key).alias("key"), F.col(target).cast("double").alias("y"),
                       F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("s"))
             .select("s.var", "key", "s.x", "y")
-            .withColumn("h", F.xxhash64("var", "key")))
+            .withColumn("h", F.md5(F.concat_ws("|", F.col("var"), F.col("key").cast("string")))))
     w = Window.partitionBy("var").orderBy("h", "key")
-    sampled = long.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= max_points)
+    sampled = long.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_points)
     pw = Window.partitionBy("var")
     sampled = (sampled.withColumn("cnt", F.count(F.lit(1)).over(pw))
                .filter(F.col("cnt") >= min_pairs)
                .withColumn("sample_r", F.corr("x", "y").over(pw)))
-    return sampled.select("var", "key", "x", "y", "sample_r")
+    return sampled.select("var", "key", "x", "y", "rank", "sample_r")
 
 
-def date_columns(df: DataFrame, cols: list[str] | None = None, probe: int = 100,
+def date_columns(df: DataFrame, cols: list[str] | None = None,
                  threshold: float = 0.8, formats: tuple[str, ...] = (
                      "yyyy-MM-dd", "dd/MM/yyyy", "yyyy-MM-dd HH:mm:ss", "dd-MM-yyyy",
                      "MM/dd/yyyy")) -> DataFrame:
-    """U8: temporal-typed columns, plus string columns where > threshold of the first
-    ``probe`` non-null values parse as dates. (column, kind, parsed_share, is_date)"""
-    kinds = column_kinds(df)
-    cols = list(cols) if cols is not None else [c for c, _ in kinds]
-    spark = df.sparkSession
-    out = []
-    for c, k in kinds:
-        if c not in cols:
-            continue
-        if k == TEMPORAL:
-            out.append((c, k, 1.0, True))
-        elif k == CATEGORICAL:
-            probe_df = df.select(F.col(c)).filter(F.col(c).isNotNull()).limit(probe)
-            parsed = F.coalesce(*[F.try_to_timestamp(F.col(c), F.lit(f)) for f in formats])
-            share = probe_df.agg(F.avg(parsed.isNotNull().cast("double")).alias("s")).first()["s"]
-            share = share or 0.0
-            out.append((c, k, share, share > threshold))
-    return spark.createDataFrame(out, "column string, kind string, parsed_share double, is_date boolean")
+    """U8: temporal-typed columns, plus string columns of whose non-null values more than
+    ``threshold`` parse as dates; one aggregate over all string columns and rows.
+    (column, kind, parsed_share, is_date)"""
+    kinds = [(c, k) for c, k in column_kinds(df) if cols is None or c in cols]
+    strings = [c for c, k in kinds if k == CATEGORICAL]
+    share = {}
+    if strings:
+        aggs = []
+        for i, c in enumerate(strings):
+            v = F.col(f"`{c}`")
+            parsed = F.coalesce(*[F.try_to_timestamp(v, F.lit(f)) for f in formats])
+            aggs.append(F.avg(F.when(v.isNotNull(), parsed.isNotNull().cast("double"))).alias(f"s{i}"))
+        row = df.agg(*aggs).first()
+        share = {c: row[f"s{i}"] or 0.0 for i, c in enumerate(strings)}
+    out = [(c, k, 1.0 if k == TEMPORAL else share[c], k == TEMPORAL or share[c] > threshold)
+           for c, k in kinds if k == TEMPORAL or c in share]
+    return df.sparkSession.createDataFrame(out, "column string, kind string, parsed_share double, is_date boolean")

@@ -240,7 +240,7 @@ def dispersion(points: DataFrame) -> dict:
 
 
 def sweep(df: DataFrame, cols: list[str], key: str, ks=(2, 3, 4, 5), seeds=(42, 59, 76),
-          gmm_below: float = 0.2, max_iter: int = 100) -> tuple[DataFrame, DataFrame]:
+          gmm_below: float = 0.2, max_iter: int = 500) -> tuple[DataFrame, DataFrame]:
     """K13 (+K3/K4/K5/K7/K12/K15/K16): one clustering per k (skip when rows < max(3k, 10)).
     Returns (points (k, key, cluster, x, y, z), runs table)."""
     vec, _ = standardize(df, cols, key)
@@ -271,6 +271,7 @@ def sweep(df: DataFrame, cols: list[str], key: str, ks=(2, 3, 4, 5), seeds=(42,
                      sizes["balance"], disp["dispersion"], disp["quality_3d"]))
         p = pts.withColumn("k", F.lit(k)).withColumnRenamed("prediction", "cluster")
         points = p if points is None else points.unionByName(p)
+    # the vectors stay cached for the returned points, which are lazy; the caller's session drops them
     table = spark.createDataFrame(runs, "k int, method string, silhouette double, min_size long, "
                                         "max_size long, balance double, dispersion double, quality_3d double")
     table = table.withColumn("composite", 0.7 * F.col("silhouette") + 0.3 * F.col("balance"))

@@ -266,20 +266,34 @@ def q_preview(spark, sf):
 # ---------------------------------------------------------------- U7 / U8 / P3
 
 
-@register("scatter_sample")
+@register("scatter_sample", oracle_finish("""
+WITH long AS (
+  SELECT 'o_custkey' AS var, o_orderkey AS key, CAST(o_custkey AS DOUBLE) AS x, o_totalprice AS y FROM orders
+  UNION ALL SELECT 'o_orderkey', o_orderkey, CAST(o_orderkey AS DOUBLE), o_totalprice FROM orders),
+s AS (SELECT *, CAST(row_number() OVER (PARTITION BY var ORDER BY md5(var || '|' || key), key) AS BIGINT) AS "rank" FROM long
+      WHERE x IS NOT NULL AND y IS NOT NULL QUALIFY "rank" <= 500)
+SELECT var, key, x, y, "rank", corr(x, y) OVER (PARTITION BY var) AS sample_r FROM s""", ["x", "y", "sample_r"]))
 def q_scatter_sample(spark, sf):
-    """Hash-ordered sample of <= 500 complete pairs per variable and the sample's r
-    (a sampling operator: the limit is the feature; rows-only)."""
-    from quarry.sources.tables import with_row_key
-    li = with_row_key(load(spark, sf, "lineitem"))
-    return P.scatter_sample(li, "l_extendedprice", LINEITEM_NUM, "row_key")
+    """The 500 complete pairs per variable of least md5, and the sample's r (the limit is the feature)."""
+    return finish(P.scatter_sample(load(spark, sf, "orders"), "o_totalprice", ["o_custkey", "o_orderkey"], "o_orderkey"))
 
 
-@register("date_detection")
+def _date_detection_sql():
+    parsed = " OR ".join(f"try_strptime({{c}}, '{f}') IS NOT NULL"
+                         for f in ("%Y-%m-%d", "%d/%m/%Y", "%Y-%m-%d %H:%M:%S", "%d-%m-%Y", "%m/%d/%Y"))
+    rows = " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", avg(CASE WHEN {c} IS NULL THEN NULL WHEN {parsed.format(c=c)} THEN 1.0 ELSE 0.0 END) AS share "
+        f"FROM text_orders" for c in ("priority_text", "order_date"))
+    return FX.with_views(oracle_finish(f"""
+SELECT "column", 'categorical' AS kind, coalesce(share, 0) AS parsed_share, coalesce(share, 0) > 0.8 AS is_date FROM ({rows}) t
+UNION ALL SELECT 'o_orderdate', 'temporal', 1.0, TRUE""", ["parsed_share"]), "text_orders")
+
+
+@register("date_detection", _date_detection_sql())
 def q_date_detection(spark, sf):
-    """U8: typed date columns plus string columns whose first 100 values mostly parse."""
-    return P.date_columns(FX.text_orders(spark, sf).join(
-        load(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey"))
+    """U8: typed date columns plus string columns whose values mostly parse."""
+    return finish(P.date_columns(FX.text_orders(spark, sf).join(
+        load(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")))
 
 
 @register("drop_empty", FX.with_views("""

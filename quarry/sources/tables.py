@@ -28,8 +28,10 @@ def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
 
 
 def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
-    """A row key for tables without a unique business key, taken directly at the scan:
-    monotonically_increasing_id is a function of (file split, row position), both fixed
-    for a given input layout, so recomputation and task retries reproduce the same ids."""
+    """A row key for tables without a unique business key. monotonically_increasing_id follows the packing of
+    splits, which a changed parallelism changes, so the keyed frame is written once (a reliable
+    checkpoint in the shared folder) and every later read sees the same keys."""
     from pyspark.sql import functions as F
-    return df.withColumn(name, F.monotonically_increasing_id())
+
+    from quarry.session import cut_lineage
+    return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))
