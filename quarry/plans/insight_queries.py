@@ -299,10 +299,12 @@ def _ingest_sql():
 
 @register("file_ingest", _ingest_sql())
 def q_file_ingest(spark, sf):
-    """The orders file drained through the streaming clean + profile job (one micro-batch)."""
-    from quarry.streaming.ingest import ingest_available
-    base = ingest_available(spark, sf, "orders.parquet")
-    return finish(spark.read.parquet(f"{base}/profile"))
+    """Orders as a CSV file in a landing folder, drained through the streaming clean and profile job."""
+    from quarry.sources.sinks import write_csv
+    from quarry.streaming.ingest import ingest_available, ingested
+    landing = f"{checkpoint_dir(spark)}/landing_{uuid.uuid4().hex[:8]}"
+    write_csv(load(spark, sf, "orders"), landing)
+    return finish(ingested(spark, ingest_available(spark, landing), "profile"))
 
 
 @register("result_store", "SELECT *, 'orders' AS file_id FROM (" + numeric_summary_sql("orders", [("o_totalprice", 0)])

@@ -19,11 +19,19 @@ def _header_columns(spark: SparkSession, path: str, sep: str, encoding: str) ->
     return len(head[0][0].split(sep))
 
 
+def _is_utf8(spark: SparkSession, path: str) -> bool:
+    """Whether every line decodes: one scan that stops at the first line that does not."""
+    bad = spark.read.text(path).filter(~F.is_valid_utf8("value") | F.col("value").contains("\ufffd"))
+    return bad.limit(1).count() == 0
+
+
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                    infer: bool = False) -> DataFrame:
-    """S1: ',' + UTF-8, else ';' + ISO-8859-1 (Spark 4 rejects the alias 'latin1')."""
+    """S1: ',' + UTF-8; ';' + ISO-8859-1 (Spark 4 rejects the alias 'latin1') where the file is no UTF-8 or
+    its header has one column under ',' and more under ';'."""
     sep, enc = ",", "UTF-8"
-    if _header_columns(spark, path, ",", "UTF-8") <= 1 and _header_columns(spark, path, ";", "ISO-8859-1") > 1:
+    one = _header_columns(spark, path, ",", "UTF-8") <= 1 and _header_columns(spark, path, ";", "ISO-8859-1") > 1
+    if one or not _is_utf8(spark, path):
         sep, enc = ";", "ISO-8859-1"
     reader = (spark.read.option("header", True).option("sep", sep).option("encoding", enc)
               .option("mode", "PERMISSIVE").option("multiLine", False))

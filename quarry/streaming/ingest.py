@@ -1,7 +1,7 @@
-"""File-arrival ingest. New files in a landing folder are cleaned (P1-P5, P12) and
-profiled per micro-batch with foreachBatch; clean rows and the profile land as Parquet.
-trigger(availableNow) processes what has arrived and stops; the checkpoint makes a
-restart resume after the last committed batch (exactly-once per file)."""
+"""File-arrival ingest. Every new file in a landing folder is one micro-batch: it is cleaned
+and profiled, and its clean rows and profile land as Parquet in a folder of the batch's own, which a
+replay after a failure overwrites. trigger(availableNow) processes what has arrived and stops; the
+checkpoint makes a restart resume after the last committed batch, so each file counts once."""
 
 from __future__ import annotations
 
@@ -9,26 +9,41 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.operators.clean import nonfinite_to_null, null_tokens_to_null
+from quarry.operators.clean import drop_empty_columns, nonfinite_to_null, null_tokens_to_null, smart_clean
 from quarry.operators.profile import missing_profile
 from quarry.session import checkpoint_dir
 
 
-def ingest_available(spark: SparkSession, landing_dir: str, glob: str, out_dir: str | None = None) -> str:
-    """Process the files present now; returns the output folder (clean/ and profile/)."""
-    schema = spark.read.parquet(f"{landing_dir}/{glob}").schema
+def _source(spark: SparkSession, landing_dir: str, glob: str, kind: str):
+    """File stream of one file a batch. CSV columns are strings, named by the header of a file at hand."""
+    if kind == "csv":
+        names = spark.read.option("header", True).option("pathGlobFilter", glob).csv(landing_dir).columns
+        stream = spark.readStream.schema(T.StructType([T.StructField(c, T.StringType()) for c in names])).option("header", True)
+    else:
+        stream = spark.readStream.schema(spark.read.option("pathGlobFilter", glob).format(kind).load(landing_dir).schema)
+    return stream.option("pathGlobFilter", glob).option("maxFilesPerTrigger", 1).format(kind).load(landing_dir)
+
+
+def ingest_available(spark: SparkSession, landing_dir: str, glob: str = "*.csv", out_dir: str | None = None, kind: str = "csv") -> str:
+    """Process the files present now; returns the output folder (clean/batch=N and profile/batch=N)."""
     base = out_dir or f"{checkpoint_dir(spark)}/ingest_{uuid.uuid4().hex[:8]}"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(landing_dir)
 
     def batch(df: DataFrame, epoch: int) -> None:
-        clean = nonfinite_to_null(null_tokens_to_null(df)).persist()
-        clean.write.mode("append").parquet(f"{base}/clean")
-        (missing_profile(clean).withColumn("batch", F.lit(epoch))
-         .write.mode("append").parquet(f"{base}/profile"))
-        clean.unpersist()
-
-    q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/_checkpoint")
+        raw = nonfinite_to_null(null_tokens_to_null(df)).persist()
+        kept, _ = drop_empty_columns(raw)
+        clean, _ = smart_clean(kept)
+        clean.write.mode("overwrite").parquet(f"{base}/clean/batch={epoch}")
+        missing_profile(raw).write.mode("overwrite").parquet(f"{base}/profile/batch={epoch}")
+        raw.unpersist()
+
+    q = (_source(spark, landing_dir, glob, kind).writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return base
+
+
+def ingested(spark: SparkSession, base: str, part: str) -> DataFrame:
+    """The clean rows or the profiles of all batches; columns that a file lacks are null."""
+    return spark.read.option("mergeSchema", True).parquet(f"{base}/{part}").withColumn("batch", F.col("batch").cast("long"))

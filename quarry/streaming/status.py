@@ -38,15 +38,18 @@ def progress_stream(events: DataFrame, watermark: str = "1 day") -> DataFrame:
 
 
 def run_progress_now(spark: SparkSession, events_dir: str) -> DataFrame:
-    """Drain the available files once (availableNow) into a memory table and return the
-    latest state per file. The checkpoint lives in the shared checkpoint folder."""
-    name = f"run_progress_{uuid.uuid4().hex[:8]}"
-    ckpt = f"{checkpoint_dir(spark)}/{name}"
-    q = (progress_stream(stage_events_stream(spark, events_dir)).writeStream
-         .outputMode("update").format("memory").queryName(name)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    """Drain the available files once (availableNow) and return the latest state per file. Each epoch's
+    rows are a Parquet folder in the shared folder, overwritten if the epoch is replayed; nothing is
+    held in the driver."""
+    base = f"{checkpoint_dir(spark)}/run_progress_{uuid.uuid4().hex[:8]}"
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{base}/state/epoch={epoch}")
+
+    q = (progress_stream(stage_events_stream(spark, events_dir)).writeStream.outputMode("update").foreachBatch(batch)
+         .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    out = spark.table(name)
+    out = spark.read.parquet(f"{base}/state")
     # update mode may emit a key in several micro-batches; progress only grows
     return out.groupBy("file_id").agg(*[F.max(f"{s}_completed").alias(f"{s}_completed") for s in STAGE_WEIGHTS],
                                       F.max("progress").alias("progress"))
