@@ -31,8 +31,8 @@ def _alnum(name: str, n: int) -> str:
 
 
 def temporal_features(df: DataFrame, cols: list[str] | None = None, as_of: str = "2025-01-01",
-                      max_columns: int = 5, min_values: int = 10) -> tuple[DataFrame, list[dict]]:
-    """G1: per date column (<= 5, >= 10 parsed values): {base}_annee, _mois, _jour_semaine
+                      max_columns: int | None = None, min_values: int = 10) -> tuple[DataFrame, list[dict]]:
+    """G1: per date column (>= 10 parsed values): {base}_annee, _mois, _jour_semaine
     (Mon=0), _is_weekend (null -> 0), _anciennete_jours (days from the date to ``as_of``)."""
     cols = (list(cols) if cols is not None else temporal_columns(df))[:max_columns]
     parsed = {c: F.col(f"`{c}`").cast("timestamp") for c in cols}
@@ -61,9 +61,9 @@ def temporal_features(df: DataFrame, cols: list[str] | None = None, as_of: str =
 # ---------------------------------------------------------------- G3
 
 
-def interaction_features(df: DataFrame, cols: list[str], max_interactions: int = 10) -> tuple[DataFrame, list[dict]]:
+def interaction_features(df: DataFrame, cols: list[str], max_interactions: int | None = None) -> tuple[DataFrame, list[dict]]:
     """For pairs (i < j) of ``cols``: ratio_{a}_vs_{b} when more than half of b is
-    non-zero (NULL counts as non-zero, 0 -> NULL divisor), diff_{a}_vs_{b}; stops once
+    non-zero (NULL counts as non-zero, 0 -> NULL divisor), diff_{a}_vs_{b}; all pairs, or until
     ``max_interactions`` features exist (checked before each pair)."""
     pairs = [(a, b) for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
     if not pairs:
@@ -73,7 +73,7 @@ def interaction_features(df: DataFrame, cols: list[str], max_interactions: int =
     nz = {b: row[f"z{k}"] for k, b in enumerate(cols)}
     created, report, new = 0, [], {}
     for a, b in pairs:
-        if created >= max_interactions:
+        if max_interactions is not None and created >= max_interactions:
             break
         ba, bb = _alnum(a, 10), _alnum(b, 10)
         feats = []
@@ -93,10 +93,10 @@ def interaction_features(df: DataFrame, cols: list[str], max_interactions: int =
 
 
 def group_mean_features(df: DataFrame, numeric: list[str], categorical: list[str],
-                        max_cats: int = 2, max_nums: int = 3, lo: int = 2, hi: int = 30
+                        max_cats: int | None = None, max_nums: int | None = None, lo: int = 2, hi: int = 30
                         ) -> tuple[DataFrame, list[dict]]:
-    """{num}_mean_by_{cat} and {num}_ecart_{cat} for <= 2 categoricals with 2..30 values
-    and <= 3 numerics; a NULL group gets NULL."""
+    """{num}_mean_by_{cat} and {num}_ecart_{cat} for categoricals with 2..30 values
+    and numerics; a NULL group gets NULL."""
     cats = categorical[:max_cats]
     nums = numeric[:max_nums]
     dc = distinct_counts(df, cats)
@@ -122,7 +122,7 @@ def group_mean_features(df: DataFrame, numeric: list[str], categorical: list[str
 # ---------------------------------------------------------------- G5 / G6 / G7
 
 
-def encoding_plan(df: DataFrame, cols: list[str] | None = None, max_columns: int = 15) -> DataFrame:
+def encoding_plan(df: DataFrame, cols: list[str] | None = None, max_columns: int | None = None) -> DataFrame:
     """(column, n_distinct, action) with action one_hot (<= 8), label (9..50), skipped (> 50)."""
     cols = (list(cols) if cols is not None else categorical_columns(df))[:max_columns]
     dc = distinct_counts(df, cols)
@@ -150,8 +150,8 @@ def encode_categoricals(df: DataFrame, cols: list[str] | None = None) -> tuple[D
 # ---------------------------------------------------------------- G8 / G9
 
 
-def scaling_plan(df: DataFrame, cols: list[str] | None = None, max_scan: int = 50,
-                 max_scaled: int = 30) -> DataFrame:
+def scaling_plan(df: DataFrame, cols: list[str] | None = None, max_scan: int | None = None,
+                 max_scaled: int | None = None) -> DataFrame:
     """G8 decisions: eligible when >= 20 values, not already within [0, 1], and not already
     standard-like (|mean| < .5 and |sd - 1| < .5); robust if > 10% IQR outliers, else
     standard if |skew| < 1, else minmax. (column, method, mean, sd_pop, min, max, median, q1, q3)"""
@@ -208,7 +208,7 @@ def apply_scaling(df: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def log_transforms(df: DataFrame, cols: list[str] | None = None, min_values: int = 30,
-                   min_skew: float = 2.0, max_transforms: int = 10) -> tuple[DataFrame, DataFrame]:
+                   min_skew: float = 2.0, max_transforms: int | None = None) -> tuple[DataFrame, DataFrame]:
     """log1p into {col[:15]}_log when >= 30 values, skew > 2 and min > 0; reports skew
     before and after. (column, original_skew, new_skew)"""
     cols = list(cols) if cols is not None else numeric_columns(df)
@@ -222,7 +222,7 @@ def log_transforms(df: DataFrame, cols: list[str] | None = None, min_values: int
         sk = moments_from_sums(n, cs[f"m2_{i}"], cs[f"m3_{i}"], cs[f"m4_{i}"])["skew"]
         if sk is not None and sk > min_skew and bs[c]["min"] > 0:
             chosen.append((c, sk))
-        if len(chosen) >= max_transforms:
+        if max_transforms is not None and len(chosen) >= max_transforms:
             break
     new = {f"{c[:15]}_log": F.log1p(F.col(f"`{c}`").cast("double")) for c, _ in chosen}
     out = df.withColumns(new) if new else df
@@ -282,7 +282,7 @@ def pca_features(df: DataFrame, cols: list[str], variance_threshold: float = 0.8
 # ---------------------------------------------------------------- G11 / G12 / G13
 
 
-def selection_report(df: DataFrame, cols: list[str] | None = None, max_features: int = 100,
+def selection_report(df: DataFrame, cols: list[str] | None = None, max_features: int | None = None,
                      var_threshold: float = 0.01, corr_threshold: float = 0.95) -> DataFrame:
     """Low-variance (population variance after median impute <= 0.01; only with
     >= 5 columns), redundant (|r| > 0.95 with any earlier column, the first of them up to a third of the
@@ -309,7 +309,7 @@ def selection_report(df: DataFrame, cols: list[str] | None = None, max_features:
         for b in found[:len(remaining) // 3]:
             reasons[b] = "redundant"
     kept = [c for c in cols if c not in reasons]
-    for c in kept[max_features:]:
+    for c in kept[max_features:] if max_features is not None else []:
         reasons[c] = "over_cap"
     rows = [(c, i, var_pop[c], reasons.get(c, "kept")) for i, c in enumerate(cols)]
     return spark.createDataFrame(rows, "column string, ordinal long, var_pop double, reason string")
@@ -319,7 +319,7 @@ def selection_report(df: DataFrame, cols: list[str] | None = None, max_features:
 
 
 def forge_features(df: DataFrame, as_of: str = "2025-01-01", target: str | None = None,
-                   apply_pca: bool = False, max_features: int = 100) -> tuple[DataFrame, dict]:
+                   apply_pca: bool = False, max_features: int | None = None) -> tuple[DataFrame, dict]:
     """Temporal -> interactions -> aggregations -> encoding -> log -> scaling -> PCA ->
     selection. Interactions and aggregations use the *initial* numeric list."""
     report = {}

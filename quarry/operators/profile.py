@@ -188,7 +188,7 @@ def top_values(df: DataFrame, cols: list[str] | None = None, k: int = 10) -> Dat
 
 
 def category_samples(df: DataFrame, cols: list[str] | None = None, k: int = 3,
-                     max_columns: int = 40, width: int = 50) -> DataFrame:
+                     max_columns: int | None = None, width: int = 50) -> DataFrame:
     """First ``max_columns`` columns, ``k`` smallest distinct non-null values, ``width`` chars."""
     cols = (list(cols) if cols is not None else df.columns)[:max_columns]
     vf = (df.select(*[F.col(c).cast("string").alias(c) for c in cols])
@@ -203,7 +203,7 @@ def category_samples(df: DataFrame, cols: list[str] | None = None, k: int = 3,
 
 
 def histogram(df: DataFrame, cols: list[str] | None = None, max_bins: int = 30,
-              max_columns: int = 10, min_values: int = 3) -> DataFrame:
+              max_columns: int | None = None, min_values: int = 3) -> DataFrame:
     """U4: equal-width bins (min(max_bins, floor(sqrt(n)))), last bin closed; empty bins kept.
 
     Output (column, bin, lo, hi, n, pct)."""

@@ -65,10 +65,11 @@ def detect_target(df: DataFrame, prompt: str = "", explicit: str | None = None,
     return (df.columns[0] if df.columns else None), "first_column"
 
 
-def key_variables(prof: DataFrame, focus: list[str] = (), n_numeric: int = 15,
-                  n_categorical: int = 8) -> DataFrame:
-    """Numeric 0.4 min(cv,3)/3 + 0.3 completeness + 0.3 [focus] (>= 2 distinct, >= 5 values),
-    top 15; categorical (2..20 distinct) 0.4 (1 - u/20) + 0.4 completeness + 0.3 [focus], top 8.
+def key_variables(prof: DataFrame, focus: list[str] = (), n_numeric: int | None = None,
+                  n_categorical: int | None = None) -> DataFrame:
+    """Numeric 0.4 min(cv,3)/3 + 0.3 completeness + 0.3 [focus] (>= 2 distinct, >= 5 values);
+    categorical (2..20 distinct) 0.4 (1 - u/20) + 0.4 completeness + 0.3 [focus]; ranked, and cut
+    where a number is given.
     (column, kind, ordinal, score, rank)."""
     focus_b = F.col("column").isin(list(focus)) if focus else F.lit(False)
     bonus = F.when(focus_b, 0.3).otherwise(0.0)
@@ -83,8 +84,10 @@ def key_variables(prof: DataFrame, focus: list[str] = (), n_numeric: int = 15,
                    .alias("score")))
     w = Window.partitionBy("kind").orderBy(F.col("score").desc(), F.col("ordinal"))
     both = num.unionByName(cat).withColumn("rank", F.row_number().over(w))
-    return both.filter(((F.col("kind") == "numeric") & (F.col("rank") <= n_numeric))
-                       | ((F.col("kind") == "categorical") & (F.col("rank") <= n_categorical)))
+    for kind, most in (("numeric", n_numeric), ("categorical", n_categorical)):
+        if most is not None:
+            both = both.filter((F.col("kind") != kind) | (F.col("rank") <= most))
+    return both
 
 
 def selected_variables(prof: DataFrame, focus: list[str] = (), target: str | None = None) -> dict:
@@ -94,19 +97,19 @@ def selected_variables(prof: DataFrame, focus: list[str] = (), target: str | Non
     cats = [r["column"] for r in kv if r["kind"] == "categorical"]
     allp = prof.orderBy("ordinal").select("column", "kind").collect()
     if not nums:
-        nums = [r[0] for r in allp if r[1] == "numeric"][:15]
+        nums = [r[0] for r in allp if r[1] == "numeric"]
     if not cats:
-        cats = [r[0] for r in allp if r[1] == "categorical"][:8]
+        cats = [r[0] for r in allp if r[1] == "categorical"]
     tgt = target if target else (nums[0] if nums else (allp[0][0] if allp else None))
     return {"target": tgt, "numeric_analysis": nums, "categorical_analysis": cats,
-            "grouping_candidates": cats[:3], "correlation_vars": nums[:10]}
+            "grouping_candidates": cats, "correlation_vars": nums}
 
 
 def clustering_variables(df: DataFrame, prof: DataFrame, cols: list[str] | None = None,
-                         top: int = 8) -> DataFrame:
+                         top: int | None = None) -> DataFrame:
     """K1: filters (>= 10 values, var >= 0.001, binary with max share <= 95%, not
     (distinct < 3 and var < 0.1)) and score .35 var_score + .25 completeness
-    + .20 min(u/15, .5) + .10 balance + .10 (1 - min(|skew|/6, .3)); top 8."""
+    + .20 min(u/15, .5) + .10 balance + .10 (1 - min(|skew|/6, .3)); ranked, the first ``top`` if set."""
     p = prof.filter(F.col("kind") == "numeric")
     if cols is not None:
         p = p.filter(F.col("column").isin(list(cols)))
@@ -128,13 +131,15 @@ def clustering_variables(df: DataFrame, prof: DataFrame, cols: list[str] | None
           & ~((F.col("n_distinct") == 2) & (F.col("p_max") > 0.95))
           & ~((F.col("n_distinct") < 3) & (F.col("var") < 0.1)))
     w = Window.orderBy(F.col("score").desc(), F.col("ordinal"))
-    return (p.filter(ok).select("column", "ordinal", score.alias("score"))
-            .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top))
+    out = p.filter(ok).select("column", "ordinal", score.alias("score")).withColumn("rank", F.row_number().over(w))
+    return out if top is None else out.filter(F.col("rank") <= top)
 
 
-def interaction_candidates(prof: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def interaction_candidates(prof: DataFrame, cols: list[str] | None = None, pool: int | None = None,
+                           top: int | None = None) -> DataFrame:
     """Numeric columns unique after stripping [^a-z0-9], >= 20 values, sd >= 0.01;
-    first 15 of those; top 6 by var * completeness. (column, ordinal, score, rank)"""
+    the first ``pool`` of those; ranked by var * completeness, the ``top`` of them (all unless set).
+    (column, ordinal, score, rank)"""
     p = prof.filter(F.col("kind") == "numeric").orderBy("ordinal").select(
         "column", "ordinal", "n", "n_null", "sd", "var").collect()
     seen, keep = set(), []
@@ -146,12 +151,12 @@ def interaction_candidates(prof: DataFrame, cols: list[str] | None = None) -> Da
             continue
         seen.add(base)
         keep.append(r["column"])
-    keep = keep[:15]
+    keep = keep[:pool]
     cand = prof.filter(F.col("column").isin(keep))
     score = F.when(F.col("var") > 0, F.col("var") * _completeness(cand)).otherwise(F.lit(0.0))
     w = Window.orderBy(F.col("score").desc(), F.col("ordinal"))
-    return (cand.select("column", "ordinal", score.alias("score"))
-            .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 6))
+    out = cand.select("column", "ordinal", score.alias("score")).withColumn("rank", F.row_number().over(w))
+    return out if top is None else out.filter(F.col("rank") <= top)
 
 
 def _any_contains(text: Column, words: list[str]) -> Column:

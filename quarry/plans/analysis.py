@@ -37,8 +37,9 @@ def complete_analysis(df: DataFrame, key: str | None = None, prompt: str = "", t
     out["tests"] = R.statistical_tests(df, tgt, nums, cats, numeric_target=numeric_target)
     seg_dna = None
     silhouette = None
-    if cluster and key and len(nums) >= 2:
-        cvars = [r["column"] for r in S.clustering_variables(df, prof, nums).orderBy("rank").collect()] or nums[:8]
+    if cluster and key and len([c for c in nums if c != key]) >= 2:
+        cvars = [r["column"] for r in S.clustering_variables(df, prof, nums).orderBy("rank").collect()] or nums
+        cvars = [c for c in cvars if c != key]
         pts, runs = K.sweep(df.select(key, *cvars), cvars, key)
         out["clusterings"] = runs
         best = runs.orderBy("choice_rank").first()

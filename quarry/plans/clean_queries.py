@@ -215,23 +215,19 @@ s AS (
          0.4 * (1 - n_distinct / 20.0) + 0.4 * (n * 1.0 / (n + n_null))
          + CASE WHEN "column" IN ('l_discount') THEN 0.3 ELSE 0.0 END
   FROM p WHERE kind = 'categorical' AND n_distinct BETWEEN 2 AND 20)
-SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY score DESC, ordinal) AS BIGINT) AS "rank"
-               FROM s) r
-WHERE (kind = 'numeric' AND "rank" <= 15) OR (kind = 'categorical' AND "rank" <= 8)""", ["score"]))
+SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY score DESC, ordinal) AS BIGINT) AS "rank" FROM s""", ["score"]))
 def q_key_variables(spark, sf):
     return finish(S.key_variables(_li_profile(spark, sf), focus=["l_discount"]))
 
 
 @register("clustering_variables", oracle_finish(f"""
 WITH p AS ({profile_sql('lineitem', LI_KINDS)})
-SELECT "column", ordinal, score, "rank" FROM (
-  SELECT "column", ordinal, score, CAST(row_number() OVER (ORDER BY score DESC, ordinal) AS BIGINT) AS "rank"
+SELECT "column", ordinal, score, CAST(row_number() OVER (ORDER BY score DESC, ordinal) AS BIGINT) AS "rank"
   FROM (SELECT "column", ordinal,
                CASE WHEN abs(mean) > 1e-6 THEN least(sqrt(var) / abs(mean), 1.0) ELSE least(var, 1.0) END * 0.35
                + (n * 1.0 / (n + n_null)) * 0.25 + least(n_distinct / 15.0, 0.5) * 0.20 + 1.0 * 0.10
                + (1 - least(abs(CASE WHEN n > 2 THEN coalesce(skew, 0.0) ELSE 0.0 END) / 6.0, 0.3)) * 0.10 AS score
-        FROM p WHERE kind = 'numeric' AND n >= 10 AND var >= 0.001 AND NOT (n_distinct < 3 AND var < 0.1)) s) r
-WHERE "rank" <= 8""", ["score"]))
+        FROM p WHERE kind = 'numeric' AND n >= 10 AND var >= 0.001 AND NOT (n_distinct < 3 AND var < 0.1)) s""", ["score"]))
 def q_clustering_variables(spark, sf):
     li = load(spark, sf, "lineitem").select(*[c for c, _ in LI_KINDS])
     return finish(S.clustering_variables(li, column_profile(li, with_quantiles=False)))
@@ -239,10 +235,9 @@ def q_clustering_variables(spark, sf):
 
 @register("interaction_candidates", oracle_finish(f"""
 WITH p AS ({profile_sql('lineitem', LI_KINDS)})
-SELECT * FROM (
-  SELECT "column", ordinal, score, CAST(row_number() OVER (ORDER BY score DESC, ordinal) AS BIGINT) AS "rank"
-  FROM (SELECT "column", ordinal, CASE WHEN var > 0 THEN var * (n * 1.0 / (n + n_null)) ELSE 0.0 END AS score
-        FROM p WHERE kind = 'numeric' AND n >= 20 AND sd >= 0.01) s) r WHERE "rank" <= 6""", ["score"]))
+SELECT "column", ordinal, score, CAST(row_number() OVER (ORDER BY score DESC, ordinal) AS BIGINT) AS "rank"
+FROM (SELECT "column", ordinal, CASE WHEN var > 0 THEN var * (n * 1.0 / (n + n_null)) ELSE 0.0 END AS score
+      FROM p WHERE kind = 'numeric' AND n >= 20 AND sd >= 0.01) s""", ["score"]))
 def q_interaction_candidates(spark, sf):
     return finish(S.interaction_candidates(_li_profile(spark, sf)))
 

@@ -242,9 +242,9 @@ def q_digest(spark, sf):
 
 @register("complete_analysis")
 def q_complete_analysis(spark, sf):
-    """3.2 flagship chain on orders (insight table; rows-only)."""
+    """3.2 flagship chain on orders with its segmentation (insight table; rows-only)."""
     from quarry.plans.analysis import complete_analysis
-    res = complete_analysis(load(spark, sf, "orders"), key="o_orderkey", prompt="")
+    res = complete_analysis(load(spark, sf, "orders"), key="o_orderkey", prompt="", cluster=True)
     return finish(res["insights"])
 
 
