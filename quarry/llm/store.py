@@ -12,6 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.session import checkpoint_dir
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, unless the session has set its own.
+BATCH_BYTES = "4m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts vary from nothing to megabytes, so batches are cut by bytes as well as by rows: a worker then
+    holds a few MB, however long the texts are. A session that has set the limit keeps its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """Scan of one input table, with the named columns only."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import units as U
 from quarry.llm import words as W
+from quarry.llm.store import bounded_batches
 
 
 def _byte_letters() -> dict[str, int]:
@@ -50,7 +51,8 @@ def _counts(proof, path: str, limit: int):
                 count = (whole[near] == distinct).astype(np.int64)
                 rest = at[count == 0]
                 part = W.Words(w.start[rest], w.end[rest], w.ident[rest], w.bound)
-                count[count == 0] = codes.many[codes.places(buf, part, plain[rest])]
+                place = codes.places(buf, part, plain[rest])  # may replace codes.many by a larger table
+                count[count == 0] = codes.many[place]
                 total = np.concatenate([[0], np.cumsum(count[back])])
                 n = total[w.bound[1:]] - total[w.bound[:-1]]
                 yield pa.RecordBatch.from_pydict({
@@ -62,6 +64,7 @@ def _counts(proof, path: str, limit: int):
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  tokenizer: str = U.DEFAULT_TOKENIZER, limit: int = 2048) -> DataFrame:
     """Per row: the id, n_bytes, n_tokens and whether n_tokens exceeds ``limit``."""
+    bounded_batches(docs.sparkSession)
     path = U.tokenizer_path(tokenizer)
     proof = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
     kind = docs.schema[id_col].dataType.simpleString()

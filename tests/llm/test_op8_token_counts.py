@@ -28,6 +28,12 @@ def test_counts_equal_the_library(tiny, edge, empty):
     assert token_counts(empty).count() == 0
 
 
+def test_more_units_than_the_first_tables_hold(spark):
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcdefghiklmnoprstuwz", k=9)) for _ in range(30_000)) for _ in range(4)]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
+
+
 def test_units_on_odd_texts():
     rng = random.Random(3)
     parts = ["'", "'s", "'re", "'LL", "s", "t", "A", "b", "É", "é", "ß", "İ", "Σ", "σς", "́", "̸", "=", "<", "|", ">", "<|", "|>",
