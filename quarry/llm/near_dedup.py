@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from quarry.llm import words as W
 from quarry.llm.bitmap import sieve, sieved
 from quarry.llm.components import components
-from quarry.llm.store import materialize
+from quarry.llm.store import bounded_batches, materialize
 
 BANDS, ROWS = 72, 8
 REGISTERS = BANDS * ROWS
@@ -174,6 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     percent: int = 80) -> DataFrame:
     """Per row: the id, n_shingles, component_id (smallest id reachable over links of at least
     ``percent`` similarity of the shingle sets) and kept (the id is its component's)."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(texts.mapInArrow(_sketches(shingle), "doc_id long, n_shingles long, h1 long, h2 long, sketch binary"), "sketches")
     classes = materialize(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm import words as W
+from quarry.llm.store import bounded_batches, materialize
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RATES = ["mean_word", "symbol_rate", "upper_rate", "bang_rate", "digit_rate", "bar_rate", "stop_rate", "dup_line_rate",
@@ -96,6 +97,7 @@ def _add(batches):
 
 def with_stats(docs: DataFrame, keep: list[str], text_col: str = "text", with_text: bool = False) -> tuple[DataFrame, list[str]]:
     """The rows with their statistics and the columns ``keep`` under working names, which are returned."""
+    bounded_batches(docs.sparkSession)
     names = [f"k{i}" if c != text_col else "text" for i, c in enumerate(keep)]
     df = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names) if n != "text"], F.col(text_col).alias("text"))
     shape = T.StructType([*df.schema.fields, *[T.StructField(c, T.LongType()) for c in COUNTS],
@@ -104,14 +106,22 @@ def with_stats(docs: DataFrame, keep: list[str], text_col: str = "text", with_te
     return (df if with_text else df.drop("text")), names
 
 
+_HASHES = 1 << 40
+
+
 def learning_sample(stats: DataFrame, labels: DataFrame, label: str, id_col: str, label_id: str = "doc_id", most: int = 20_000):
     """(inputs, labels, ids' crc32) of at most ``most`` labelled rows of ``stats``, those least by a hash
     of the id, on the driver. A document with several labels has their majority; nulls are no labels."""
     one = (labels.select(F.col(label_id).alias("label_id"), F.col(label).cast("double").alias("y")).filter("y is not null")
            .groupBy("label_id").agg((F.avg("y") >= 0.5).cast("int").alias("y")))
     rows = (stats.join(one, F.col(id_col) == F.col("label_id")).withColumn("crc", F.crc32(F.col(id_col).cast("string")))
-            .select(*INPUTS, "y", "crc", F.col(id_col).alias("id")).dropDuplicates(["id"])
-            .orderBy(F.xxhash64("id"), "id").limit(most).collect())
+            .select(*INPUTS, "y", "crc", F.col(id_col).alias("id"), F.pmod(F.xxhash64(id_col), F.lit(_HASHES)).alias("h"))
+            .dropDuplicates(["id"]))
+    rows = materialize(rows, "labelled")
+    n = rows.count()
+    # all rows under this hash are about twice what is wanted, so tasks send the driver little more
+    some = rows.filter(F.col("h") < int(_HASHES * 2 * most / n)) if n > 2 * most else rows
+    rows = (rows if n > 2 * most and some.count() < most else some).orderBy("h", "id").limit(most).collect()
     x = np.array([[float(r[c]) for c in INPUTS] for r in rows]).reshape(len(rows), len(INPUTS))
     return x, np.array([r["y"] for r in rows], np.int64), np.array([r["crc"] for r in rows], np.int64)
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import words as W
 from quarry.llm.bitmap import sieve, sieved
-from quarry.llm.store import materialize
+from quarry.llm.store import bounded_batches, materialize
 
 LENGTH = 100
 GRAM = 24
@@ -324,6 +324,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``length`` is under 2,048 and ``gram`` at least 8."""
     if not 8 <= gram < length < 2048:
         raise ValueError("8 <= gram < length < 2048")
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = texts.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST)))
     found = materialize(_judged(keyed.select("doc", "text").mapInArrow(_run_rows(length, gram), _FOLDED), hot_runs), "places")

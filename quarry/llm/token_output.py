@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quarry.llm import units as U
 from quarry.llm import words as W
 from quarry.llm.shards import commit_file, range_bounds, shard_of
-from quarry.llm.store import materialize, scratch
+from quarry.llm.store import bounded_batches, materialize, scratch
 
 MAGIC = b"QTOKENS1"
 END_ID = 2
@@ -168,6 +168,7 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
                  tokenizer: str = U.DEFAULT_TOKENIZER, end_id: int = END_ID, file_ids: int = FILE_IDS,
                  shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write all documents as token files into ``folder``; returns the manifest (shard, seq, n_ids, n_docs)."""
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bounds = range_bounds(slim.select("doc_id", F.octet_length("text").alias("w")), "doc_id", F.col("w") + 64, shard_bytes)
     dealt = (slim.withColumn("shard", shard_of("doc_id", bounds)).repartitionById(len(bounds) + 1, F.col("shard"))

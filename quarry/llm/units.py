@@ -87,6 +87,12 @@ def units(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, W.Words, np.nd
     return buf, W.Words(start, end, W.span_ident(buf, start, end), np.searchsorted(start, offs)), plain
 
 
+def _merged(a: tuple, b: tuple) -> tuple:
+    keys = np.concatenate([a[0], b[0]])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], np.concatenate([a[1], b[1]])[order]
+
+
 class UnitCodes:
     """Token ids of distinct units, encoded by the tokenizers library when first met."""
 
@@ -100,38 +106,52 @@ class UnitCodes:
         self._clear()
 
     def _clear(self):
-        self.known: dict[int, int] = {}
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.tables = [none, none]  # (sorted identifiers, their places): the bulk, and the latest
+        self.count, self.used = 0, 0
         self.first, self.many = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
-
-    def _add(self, idents: list[int], ids: np.ndarray, many: np.ndarray):
-        n, k = len(self.known), len(idents)
+        self.ids = np.zeros(1 << 18, np.uint32 if self.size > 1 << 16 else np.uint16)
+
+    def _find(self, idents: np.ndarray) -> np.ndarray:
+        """Places of known units, -1 for others."""
+        out = np.full(len(idents), -1, np.int64)
+        for keys, places in self.tables:
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, idents), len(keys) - 1)
+                hit = keys[i] == idents
+                out[hit] = places[i[hit]]
+        return out
+
+    def _add(self, idents: np.ndarray, ids: np.ndarray, many: np.ndarray):
+        n, k = self.count, len(idents)
         for name, need in (("first", n + k), ("many", n + k), ("ids", self.used + len(ids))):
             have = getattr(self, name)
             if need > len(have):
-                setattr(self, name, np.concatenate([have, np.zeros(max(need - len(have), len(have)), have.dtype)]))
+                setattr(self, name, np.concatenate([have, np.zeros(max(need - len(have), len(have) // 2), have.dtype)]))
         self.ids[self.used:self.used + len(ids)] = ids
         self.many[n:n + k] = many
         self.first[n:n + k] = self.used + np.cumsum(many) - many
-        self.used += len(ids)
-        self.known.update(zip(idents, range(n, n + k)))
+        self.used, self.count = self.used + len(ids), n + k
+        bulk, latest = self.tables
+        latest = _merged(latest, (idents, np.arange(n, n + k, dtype=np.int32)))
+        if len(latest[0]) > 1 << 17:
+            bulk, latest = _merged(bulk, latest), (latest[0][:0], latest[1][:0])
+        self.tables = [bulk, latest]
 
     def places(self, buf: np.ndarray, w: W.Words, plain: np.ndarray) -> np.ndarray:
         """For each unit its place in the table (self.first, self.many, self.ids)."""
         distinct, at, back = np.unique(w.ident, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > self.limit:
+        if self.count + len(distinct) > self.limit:
             self._clear()
-        names = distinct.tolist()
-        got = list(map(self.known.get, names))
-        missing = [i for i, g in enumerate(got) if g is None]
-        if missing:
-            data = buf.tobytes()
+        got = self._find(distinct)
+        missing = np.flatnonzero(got < 0)
+        if len(missing):
             first = at[missing]
-            text = [data[a:b].decode("utf-8", "replace") for a, b in zip(w.start[first].tolist(), w.end[first].tolist())]
+            text = [buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(w.start[first].tolist(), w.end[first].tolist())]
             simple = plain[first]
             for one_run in (True, False):
-                own = np.flatnonzero(simple == one_run).tolist()
-                if not own:
+                own = np.flatnonzero(simple == one_run)
+                if not len(own):
                     continue
                 if one_run:  # one pre-token each: the ends of words part them
                     ids = np.array(self.tokenizer.encode_batch_fast([" ".join([text[i] for i in own])], add_special_tokens=False)[0].ids, np.uint32)
@@ -142,9 +162,9 @@ class UnitCodes:
                     ids = np.array([x for e in each for x in e], np.uint32)
                 if len(many) != len(own) or many.sum() != len(ids):
                     raise ValueError("the tokenizer does not code units on their own")
-                self._add([names[missing[i]] for i in own], ids, many)
-            got = list(map(self.known.__getitem__, names))
-        return np.array(got, np.int64)[back] if len(got) else np.zeros(0, np.int64)
+                got[missing[own]] = self.count + np.arange(len(own))
+                self._add(distinct[missing[own]], ids, many)
+        return got[back]
 
     def encode(self, buf: np.ndarray, w: W.Words, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents of a block in order, ids per document)."""

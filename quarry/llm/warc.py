@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.bitmap import sieve, sieved
 from quarry.llm.shards import commit_file, range_bounds, shard_of
-from quarry.llm.store import materialize, scratch
+from quarry.llm.store import bounded_batches, materialize, scratch
 
 LEAST_REVISIT = 100
 FILE_BYTES = 16 << 20
@@ -153,6 +153,7 @@ def _reader(batches):
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                    least: int = LEAST_REVISIT, file_bytes: int = FILE_BYTES, shard_bytes: int = SHARD_BYTES, date: str = DATE) -> DataFrame:
     """Write the pages into ``folder``; returns the manifest (file, records, bytes, sha256)."""
+    bounded_batches(pages.sparkSession)
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = (pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
             .withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)))

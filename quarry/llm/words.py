@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 #: Bytes of text that one numpy pass works on; a longer document is a block of its own.
 BLOCK_BYTES = 256 << 10
 
+KEPT_POWERS = 1 << 20
+
 _BYTES = np.arange(256)
 #: Bytes of words ``[^\x20\x09-\x0D]+``. Bytes of one code point are all inside or all outside.
 SPACED = ~((_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D)))
@@ -42,15 +44,15 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, 0 to n. Kept up to the block size only."""
+    """Powers of the base and of its inverse, 0 to n. Kept up to KEPT_POWERS only."""
     if len(_powers[0]) > n:
         return _powers[0], _powers[1]
     got = []
     for base in (_BASE, _BASE_INVERSE):
-        p = np.full(max(n, BLOCK_BYTES) + 1, base, np.uint64)
+        p = np.full(max(n, KEPT_POWERS) + 1, base, np.uint64)
         p[0] = 1
         got.append(np.cumprod(p, dtype=np.uint64))
-    if n <= BLOCK_BYTES:
+    if n <= KEPT_POWERS:
         _powers[:] = got
     return got[0], got[1]
 
