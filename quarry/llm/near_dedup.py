@@ -199,8 +199,8 @@ def _links(texts: DataFrame, classes: DataFrame, shingle: int, percent: int) ->
     hubs = (cand.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("minus"), "n")).alias("h"))
             .select("key", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n")))
     cand = materialize(cand.join(hubs, "key").filter("rep != hub"), "hubs")
-    first = materialize(cand.filter(f"100L * least(n, hub_n) >= {percent}L * greatest(n, hub_n)")
-                        .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "hub-pairs")
+    first = (cand.filter(f"100L * least(n, hub_n) >= {percent}L * greatest(n, hub_n)")
+             .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
     near = materialize(_with_both(first, classes.select("rep", "sketch", "n"), "sketch")
                        .mapInArrow(_estimated(LEAST_ESTIMATE), "a long, b long"), "estimated")
     sets = _sets(texts, near.select(F.col("a").alias("rep")).union(near.select("b")), shingle)
@@ -214,13 +214,13 @@ def _links(texts: DataFrame, classes: DataFrame, shingle: int, percent: int) ->
                             .distinct(), "plausible")
     sets = _sets(texts, plausible.select("rep"), shingle).withColumnRenamed("set", "data")
     rest = _paired(open_.join(plausible, ["hub", "rep"], "left_semi"), sets, _rest_links(percent), "a long, b long")
-    return links.union(materialize(rest.distinct(), "rest-links"))
+    return links.union(rest.distinct())
 
 
 def _sets(texts: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
     """(rep, set) of the named documents. Only texts that pass the sieve of ids move."""
     needed = materialize(reps.select(F.col("rep").alias("doc_id")).distinct(), "needed")
-    some = sieved(texts.filter("doc_id is not null"), "doc_id", materialize(sieve(needed, "doc_id"), "sieve")).filter("may_have")
+    some = sieved(texts.filter("doc_id is not null"), "doc_id", sieve(needed, "doc_id")).filter("may_have")
     return materialize(some.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
                        .mapInArrow(_set_rows(shingle), "rep long, set binary"), "sets")
 
@@ -324,8 +324,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = names[docs.columns.index(id_col)]
     rows = docs.toDF(*names).withColumn("own_id", F.col(key).cast("long"))
     gone = materialize(near_duplicates(docs, id_col, text_col, shingle, percent).filter("not kept").select(F.col("doc_id").alias("own_id")).distinct(), "gone")
-    twice = materialize(rows.filter("own_id is not null").groupBy("own_id").count().filter("count > 1").select("own_id"), "twice")
-    seen = sieved(rows, "own_id", materialize(sieve(gone.union(twice), "own_id"), "sieve"))
+    twice = rows.filter("own_id is not null").groupBy("own_id").count().filter("count > 1").select("own_id")
+    seen = sieved(rows, "own_id", sieve(gone.union(twice), "own_id"))
     clear = seen.filter("not may_have or own_id is null").select(*names)
     rest = seen.filter("may_have and own_id is not null").join(gone, "own_id", "left_anti").dropDuplicates(["own_id"]).select(*names)
     return clear.union(rest).toDF(*docs.columns)

@@ -331,7 +331,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     opened = found.filter("open")
     by_doc = opened.groupBy("doc").agg(F.collect_list(F.struct("k1", "place", "hot")).alias("places"))
-    holders = sieved(keyed, "doc", materialize(sieve(opened, "doc"), "sieve")).filter("may_have")
+    holders = sieved(keyed, "doc", sieve(opened, "doc")).filter("may_have")
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "place"), F.lit(64))).otherwise(F.lit(0))
     segments = (holders.join(by_doc, "doc").select("doc", "text", "places")
                 .mapInArrow(_segments(length), "k1 long, hot boolean, doc long, place long, bytes binary")
@@ -344,7 +344,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                                       F.shiftright("place", 12).bitwiseAND(0xFFF).alias("many"))
         .union(refined_.filter("k1 = 0 and k2 = 0").select("doc", "first", "many"))
         .union(unsolved.filter("repeat").select("doc", F.col("place").alias("first"), F.lit(1).cast("long").alias("many"))), "gone")
-    touched = sieved(keyed, "doc", materialize(sieve(gone, "doc"), "sieve"))
+    touched = sieved(keyed, "doc", sieve(gone, "doc"))
     whole = touched.filter("not may_have").select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.col("text").alias("kept"))

@@ -161,7 +161,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     firsts = materialize(slim.filter(F.col("bytes") >= least).groupBy("digest")
                          .agg(F.min(F.coalesce("page_id", F.lit(_LAST))).alias("first"), F.count("*").alias("n"))
                          .filter("n > 1").select("digest", "first"), "firsts")
-    seen = sieved(rows, "digest", materialize(sieve(firsts, "digest"), "sieve"))
+    seen = sieved(rows, "digest", sieve(firsts, "digest"))
     columns = ["page_id", "url", "html", "bytes", "digest"]
     single = seen.filter("not may_have").select(*columns, F.lit(None).cast("long").alias("first"))
     copied = seen.filter("may_have").select(*columns).join(firsts, "digest", "left")
