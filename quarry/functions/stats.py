@@ -33,8 +33,14 @@ def finite_or_zero(c: Column) -> Column:
 
 # ---------------------------------------------------------------- quantiles
 
+def finite(c: Column) -> Column:
+    """The value as a double; NaN and infinities count as missing (no comparison with them is true)."""
+    x = c.cast("double")
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
+
+
 def _as_double(c: str) -> Column:
-    return F.col(f"`{c}`").cast("double")
+    return finite(F.col(f"`{c}`"))
 
 
 def basic_stats(df: DataFrame, cols: list[str]) -> dict:

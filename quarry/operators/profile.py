@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.stats import (basic_stats, central_sums, freq_central_sums, freq_stats,
+from quarry.functions.stats import (basic_stats, central_sums, finite, freq_central_sums, freq_stats,
                                     moments_from_sums, quantiles)
 from quarry.operators.schema import (CATEGORICAL, NUMERIC, TEMPORAL, categorical_columns,
                                      column_kinds, numeric_columns)
@@ -34,7 +34,8 @@ def value_freq(df: DataFrame, cols: list[str], value_type: str = "string",
     if not cols:
         schema = f"column string, value {value_type}, n long"
         return df.sparkSession.createDataFrame([], schema)
-    casted = spread(df.select(*[F.col(c).cast(value_type).alias(c) for c in cols]))
+    cast = lambda c: finite(F.col(c)) if value_type == "double" else F.col(c).cast(value_type)
+    casted = spread(df.select(*[cast(c).alias(c) for c in cols]))
     long = casted.unpivot([], cols, "column", "value")
     if not keep_null:
         long = long.filter(F.col("value").isNotNull())
@@ -113,7 +114,7 @@ def numeric_stats(df: DataFrame, cols: list[str] | None = None, exact: bool = Tr
         q1, _, q3 = q[c]
         fences[c] = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
         if with_outliers and vf is None:
-            x = F.col(f"`{c}`").cast("double")
+            x = finite(F.col(f"`{c}`"))
             extra.append(F.count_if((x < F.lit(fences[c][0])) | (x > F.lit(fences[c][1])))
                          .alias(f"out_{c}"))
     means = {c: bs[c]["mean"] for c in keep}
@@ -332,7 +333,7 @@ def column_profile(df: DataFrame, stage: str = "raw", exact: bool = True, with_q
     for i, c in enumerate(cols):
         aggs.append(F.count(F.col(f"`{c}`")).alias(f"n{i}"))
     for j, c in enumerate(nums):
-        x = F.col(f"`{c}`").cast("double")
+        x = finite(F.col(f"`{c}`"))
         aggs += [F.sum(x).alias(f"s{j}"), F.min(x).alias(f"lo{j}"), F.max(x).alias(f"hi{j}")]
     crow = df.agg(*aggs).first()
     rows = crow["__rows"]

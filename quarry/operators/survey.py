@@ -185,9 +185,21 @@ def extract_json_candidates(text: Column) -> dict[str, Column]:
     return {"whole": t, "array": arr, "object": obj, "repaired": repaired}
 
 
+def _dict_of_lists(s: Column) -> Column:
+    """An object of lists under names of its own: each name is a category with its questions."""
+    known = [f.name for f in RAW_CATEGORY.fields] + [f.name for f in RAW_CONTAINER.fields]
+    lists = F.from_json(s, T.MapType(T.StringType(), T.ArrayType(RAW_QUESTION)))
+    none = F.lit(None).cast("string")
+    own = F.filter(F.map_entries(lists), lambda e: e["value"].isNotNull() & ~e["key"].isin(known))
+    cats = F.transform(own, lambda e: F.struct(e["key"].alias("category_name"), none.alias("name"), none.alias("title"), none.alias("category"),
+                                               none.alias("categorie"), e["value"].alias("questions")))
+    return F.when(F.ltrim(s).startswith("{") & (F.size(cats) > 0), cats)
+
+
 def parse_categories(text: Column) -> Column:
     """Q7 + Q8: array<RAW_CATEGORY> from free text, first parse that succeeds: a list, a
-    container object's categories / questions / data / survey list, or a single object."""
+    container object's categories / questions / data / survey list, an object of lists, or a
+    single object."""
     c = extract_json_candidates(text)
     tries = []
     for k in ("whole", "array", "object", "repaired"):
@@ -195,7 +207,7 @@ def parse_categories(text: Column) -> Column:
         as_list = F.when(F.ltrim(s).startswith("["), F.from_json(s, T.ArrayType(RAW_CATEGORY)))
         cont = F.when(F.ltrim(s).startswith("{"), F.from_json(s, RAW_CONTAINER))
         single = F.when(F.ltrim(s).startswith("{"), F.array(F.from_json(s, RAW_CATEGORY)))
-        tries += [as_list, F.coalesce(cont["categories"], cont["questions"], cont["data"], cont["survey"]), single]
+        tries += [as_list, F.coalesce(cont["categories"], cont["questions"], cont["data"], cont["survey"]), _dict_of_lists(s), single]
     return F.coalesce(*tries)
 
 

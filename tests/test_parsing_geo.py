@@ -49,3 +49,12 @@ def test_alias_search_matches_brute_force(spark):
     assert len([g for g in got if g["key"] == 2]) == 5
     africa = {r["ADM3_PCODE"] for r in rows if "africa" in r["ADM1_EN"].lower()}
     assert all(g["pcode"] in africa for g in got if g["key"] == 3)
+
+
+def test_object_of_lists(spark):
+    from quarry.operators.survey import normalize_responses
+    text = '{"Santé": [{"question": "Q1", "type": "radio"}], "Eau": [{"text": "Q2"}, {"label": "Q3"}]}'
+    plain = '{"category_name": "Seule", "questions": [{"question": "Q4"}]}'
+    df = spark.createDataFrame([(1, text, ["A"]), (2, plain, ["A"])], "k long, t string, req array<string>")
+    got = {(r["k"], r["category_name"], r["question_text"]) for r in normalize_responses(df, "k", "t", "req").collect()}
+    assert got == {(1, "Santé", "Q1"), (1, "Eau", "Q2"), (1, "Eau", "Q3"), (2, "A", "Q4")}  # a questions list is a flat list

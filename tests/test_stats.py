@@ -54,3 +54,11 @@ def test_moments_match_pandas(spark):
         assert m["var"] == pytest.approx(s.var(), rel=1e-10)
         assert m["skew"] == pytest.approx(s.skew(), rel=1e-8, abs=1e-12)
         assert m["kurt"] == pytest.approx(s.kurtosis(), rel=1e-8, abs=1e-12)
+
+
+def test_nan_and_infinity_count_as_missing(spark):
+    from quarry.operators.profile import numeric_stats
+    df = spark.createDataFrame([(float(i),) for i in range(1, 10)] + [(float("nan"),), (float("inf"),), (None,)], "x double")
+    for with_mode in (True, False):
+        s = numeric_stats(df, ["x"], with_mode=with_mode)[0]
+        assert (s["count"], s["missing"], s["mean"], s["median"], s["max"], s["q1"]) == (9, 3, 5.0, 5.0, 9.0, 3.0)
