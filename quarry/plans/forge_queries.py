@@ -258,7 +258,7 @@ def q_encode_categoricals(spark, sf):
 SCALE_COLS = ["event_id", "user_id", "value", "value3"]
 
 
-def _scaling_sql():
+def _scaling_inner():
     parts = []
     for i, c in enumerate(SCALE_COLS):
         parts.append(f"""
@@ -269,14 +269,17 @@ def _scaling_sql():
           FROM skew_events, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM skew_events) s
           WHERE {c} IS NOT NULL) AS share
   FROM skew_events""")
-    inner = f"""
+    return f"""
 SELECT "column", CASE WHEN share > 0.1 THEN 'robust' WHEN (CASE WHEN n > 20 THEN abs(skew) ELSE 0 END) < 1
                       THEN 'standard' ELSE 'minmax' END AS method,
        share AS outlier_share, CASE WHEN n > 20 THEN abs(skew) ELSE 0 END AS abs_skew, mean, sd_pop,
        mn AS "min", mx AS "max", median, q1, q3
 FROM ({' UNION ALL '.join(parts)}) t
 WHERE n >= 20 AND NOT (mn >= 0 AND mx <= 1) AND NOT (abs(mean) < 0.5 AND abs(sd - 1) < 0.5)"""
-    return FX.with_views(oracle_finish(inner, ["outlier_share", "abs_skew", "mean", "sd_pop", '"min"', '"max"',
+
+
+def _scaling_sql():
+    return FX.with_views(oracle_finish(_scaling_inner(), ["outlier_share", "abs_skew", "mean", "sd_pop", '"min"', '"max"',
                                                "median", "q1", "q3"]), "skew_events")
 
 
@@ -285,11 +288,27 @@ def q_scaling_plan(spark, sf):
     return finish(G.scaling_plan(FX.skew_events(spark, sf), SCALE_COLS))
 
 
-@register("scaled_values")
+def _scaled_sql():
+    """The scaled values of every planned column in long form: event_id, column, scaled value."""
+    parts = []
+    for c in SCALE_COLS:
+        parts.append(f"""
+  SELECT e.event_id, '{c}' AS "column",
+         CASE p.method WHEN 'standard' THEN (coalesce({c}, p.median) - p.mean) / p.sd_pop
+                       WHEN 'minmax' THEN (coalesce({c}, p.median) - p."min") / (p."max" - p."min")
+                       ELSE (coalesce({c}, p.median) - p.median) / (p.q3 - p.q1) END AS scaled
+  FROM skew_events e JOIN plan p ON p."column" = '{c}'""")
+    return FX.with_views(oracle_finish(f"WITH plan AS ({_scaling_inner()}) " + " UNION ALL ".join(parts), ["scaled"], digits=9), "skew_events")
+
+
+@register("scaled_values", _scaled_sql())
 def q_scaled_values(spark, sf):
-    """G8 transform (rows-only; the plan it applies is checked by scaling_plan)."""
+    """G8 transform: every scaled column's values in long form."""
     df = FX.skew_events(spark, sf)
-    return G.apply_scaling(df, G.scaling_plan(df, SCALE_COLS))
+    out = G.apply_scaling(df, G.scaling_plan(df, SCALE_COLS))
+    made = [c for c in out.columns if c.endswith("_scaled")]
+    long = out.select("event_id", F.explode(F.array(*[F.struct(F.lit(c[:-7]).alias("column"), F.col(c).alias("scaled")) for c in made])).alias("s"))
+    return finish(long.select("event_id", "s.column", "s.scaled"), 9)
 
 
 @register("log_transform", FX.with_views(oracle_finish("""
@@ -316,9 +335,29 @@ def q_pca_variance(spark, sf):
     return table
 
 
-@register("feature_selection")
+def _selection_sql():
+    """Low variance first; of what remains (more than five columns) the columns that correlate above 0.95 with
+    any earlier remaining one, the first third of the remaining at most."""
+    var = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({i} AS BIGINT) AS ordinal, "
+                             f"var_pop(coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM corr_lineitem))) AS var_pop FROM corr_lineitem"
+                             for i, c in enumerate(F2_COLS))
+    med = ", ".join(f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM corr_lineitem)) AS {c}" for c in F2_COLS)
+    pairs = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {i} AS i, {j} AS j, abs(corr({a}, {b})) AS r FROM filled"
+                               for j, b in enumerate(F2_COLS) for i, a in enumerate(F2_COLS[:j]))
+    return FX.with_views(oracle_finish(f"""
+WITH filled AS (SELECT {med} FROM corr_lineitem), v AS ({var}),
+rest AS (SELECT * FROM v WHERE var_pop > 0.01), pr AS ({pairs}),
+found AS (SELECT DISTINCT rb.ordinal, rb."column" FROM pr JOIN rest ra ON ra."column" = pr.a JOIN rest rb ON rb."column" = pr.b
+          WHERE NOT isnan(r) AND r > 0.95),
+redundant AS (SELECT "column" FROM found WHERE (SELECT count(*) FROM rest) > 5
+              QUALIFY row_number() OVER (ORDER BY ordinal) <= floor((SELECT count(*) FROM rest) / 3))
+SELECT v."column", ordinal, var_pop, CASE WHEN var_pop <= 0.01 THEN 'low_variance'
+       WHEN v."column" IN (SELECT "column" FROM redundant) THEN 'redundant' ELSE 'kept' END AS reason FROM v""", ["var_pop"]), "corr_lineitem")
+
+
+@register("feature_selection", _selection_sql())
 def q_feature_selection(spark, sf):
-    """G11-G13 reasons table (sequential greedy rule; rows-only)."""
+    """G11-G13 reasons table."""
     return finish(G.selection_report(FX.corr_lineitem(spark, sf), F2_COLS))
 
 

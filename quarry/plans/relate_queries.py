@@ -117,8 +117,24 @@ def q_stat_tests_pvalues(spark, sf):
     return finish(R.statistical_tests(FX.corr_lineitem(spark, sf), TARGET, TEST_NUM, TEST_CAT))
 
 
-@register("key_relation")
+def _key_relation_sql():
+    y = TARGET
+    return FX.with_views(oracle_finish(f"""
+WITH t AS (SELECT *, exp(-4 * abs(statistic)) AS p_value FROM ({_tests_sql()}) st),
+s AS (
+  SELECT ordinal, variable1, variable2, test_type, statistic, p_value,
+         CASE WHEN variable1 = '{y}' OR variable2 = '{y}' THEN 200 ELSE 100 END
+         + CASE WHEN p_value < 0.01 THEN 120 WHEN p_value < 0.05 THEN 100 WHEN p_value < 0.15 THEN 50 ELSE 0 END
+         + CASE WHEN abs(statistic) > 0.5 THEN 70 WHEN abs(statistic) > 0.3 THEN 50 ELSE 0 END
+         + CASE test_type WHEN 'pearson' THEN 40 + 30 WHEN 'anova' THEN 30 WHEN 'ttest' THEN -20 ELSE 0 END + 20 AS score
+  FROM t)
+SELECT ordinal, variable1, variable2, test_type, statistic, p_value, CAST(score AS BIGINT) AS score,
+       row_number() OVER (ORDER BY score DESC, ordinal) AS key_rank FROM s""", ["statistic", "p_value"]), "corr_lineitem")
+
+
+@register("key_relation", _key_relation_sql())
 def q_key_relation(spark, sf):
-    """T6 over the full test list; rank 1 is the key relation."""
-    t = R.statistical_tests(FX.corr_lineitem(spark, sf), TARGET, TEST_NUM, TEST_CAT)
-    return finish(R.key_relation_scores(t, TARGET, "regression", "effect of discount on l_extendedprice"))
+    """T6 over the full test list with plain p-values; rank 1 is the key relation."""
+    t = R.statistical_tests(FX.corr_lineitem(spark, sf), TARGET, TEST_NUM, TEST_CAT, with_p=False)
+    t = t.withColumn("p_value", F.exp(-4 * F.abs(F.col("statistic")))).withColumn("conclusion", F.lit(None).cast("string"))
+    return finish(R.key_relation_scores(t, TARGET, "regression", "effect of discount on l_extendedprice").drop("conclusion", "reasons"))
