@@ -1,6 +1,6 @@
 """Range shards of equal weight, and shard files in the shared folder.
 
-Shard bounds come from histograms of the key alone (counted by Spark, 1024 bins at a time), so they
+Shard bounds come from histograms of the key alone (counted by Spark, 16,384 bins at a time), so they
 are the same on every run; bins that hold too much are cut again. Files are written under a temporary
 name and renamed, so that a task that is run again leaves one whole copy of the same content."""
 
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BINS = 1024
+BINS = 1 << 14
 #: Most shards of one run (the tables of bounds and totals have this size).
 MOST_SHARDS = 4096
 
@@ -40,8 +40,12 @@ def range_bounds(df: DataFrame, key: str, weight: Column, share: float) -> list[
         rows = slim.withColumn("at", expr).filter("at is not null").groupBy("at.i", "at.bin").agg(F.sum("w").alias("w")).collect()
         again = []
         for r in rows:
-            a, step = open_[r["i"]][0] + r["bin"] * wide[r["i"]], wide[r["i"]]
-            (again.append((a, a + step)) if r["w"] > share and step > 1 else pieces.append((a, a + step, r["w"])))
+            (lo, hi), step = open_[r["i"]], wide[r["i"]]
+            a, b = lo + r["bin"] * step, min(lo + (r["bin"] + 1) * step, hi)
+            if r["w"] > share and b - a > 1:
+                again.append((a, b))
+            else:
+                pieces.append((a, b, r["w"]))
         open_ = sorted(again)
     pieces += [(a, b, 0) for a, b in open_]
     bounds, acc = [], 0
