@@ -318,11 +318,21 @@ def selection_report(df: DataFrame, cols: list[str] | None = None, max_features:
 # ---------------------------------------------------------------- G14
 
 
+def parse_date_strings(df: DataFrame) -> DataFrame:
+    """String columns that U8 takes for dates become timestamps; values that do not parse become null."""
+    from quarry.operators.profile import DATE_FORMATS, date_columns
+    strings = [r["column"] for r in date_columns(df).collect() if r["is_date"] and r["kind"] == "categorical"]
+    return df.withColumns({c: F.coalesce(*[F.try_to_timestamp(F.col(f"`{c}`"), F.lit(f)) for f in DATE_FORMATS]) for c in strings}) \
+        if strings else df
+
+
 def forge_features(df: DataFrame, as_of: str = "2025-01-01", target: str | None = None,
                    apply_pca: bool = False, max_features: int | None = None) -> tuple[DataFrame, dict]:
-    """Temporal -> interactions -> aggregations -> encoding -> log -> scaling -> PCA ->
-    selection. Interactions and aggregations use the *initial* numeric list."""
+    """Date strings and dates -> interactions -> aggregations -> encoding -> log -> scaling -> PCA ->
+    selection. Interactions and aggregations use the initial numeric list; log, scaling and PCA the
+    numerics there are when they run."""
     report = {}
+    df = parse_date_strings(df)
     nums0 = [c for c in numeric_columns(df) if c != target]
     cats0 = [c for c in categorical_columns(df) if c != target]
     out, report["temporal"] = temporal_features(df, as_of=as_of)
@@ -334,12 +344,15 @@ def forge_features(df: DataFrame, as_of: str = "2025-01-01", target: str | None
     out, report["encoding"] = encode_categoricals(out, cats0)
     # the later steps each aggregate over this frame: materialise it once
     out = out.persist()
-    out, report["log"] = log_transforms(out, nums0)
-    plan = scaling_plan(out, nums0)
+    nums = [c for c in numeric_columns(out) if c != target]
+    out, report["log"] = log_transforms(out, nums)
+    plan = scaling_plan(out, nums)
     out = apply_scaling(out, plan)
     report["scaling"] = plan
-    if apply_pca and len(nums0) > 20:
-        report["pca"] = pca_features(out, nums0)[1]
+    if apply_pca:
+        now = [c for c in numeric_columns(out) if c != target]
+        if len(now) > 20:
+            report["pca"] = pca_features(out, now)[1]
     final_nums = [c for c in numeric_columns(out) if c != target]
     report["selection"] = selection_report(out, final_nums, max_features)
     return out, report

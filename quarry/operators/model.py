@@ -80,6 +80,24 @@ def hash_split(df: DataFrame, key: str, seed: int = 42, train: float = 0.6, val:
     return df.withColumn("split", F.when(u < train, "train").when(u < train + val, "val").otherwise("test"))
 
 
+def stratified_split(df: DataFrame, key: str, label: str, seed: int = 42, train: float = 0.6, val: float = 0.2) -> DataFrame:
+    """M3 for classes: each class's rows in the order of a hash of the key, cut at 60 % and 80 %, so a class of
+    five rows or more is in every split. Ranks are counts over 4,096 hash cells per class plus a rank
+    inside the cell: no window holds a whole class. Null labels are a class of their own."""
+    h = F.md5(F.concat_ws("|", F.col(f"`{key}`").cast("string"), F.lit(str(seed))))
+    rows = df.withColumn("__h", h).withColumn("__cell", F.substring("__h", 1, 3)).withColumn("__c", F.col(f"`{label}`"))
+    cells = rows.groupBy("__c", "__cell").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("__c").orderBy("__cell")
+    cells = cells.select(F.col("__c").alias("c2"), F.col("__cell").alias("cell2"), (F.sum("n").over(upto) - F.col("n")).alias("__before"),
+                         F.sum("n").over(Window.partitionBy("__c")).alias("__n"))
+    rank = F.col("__before") + F.row_number().over(Window.partitionBy("__c", "__cell").orderBy("__h", F.col(f"`{key}`")))
+    at = (F.col("__rank") - 0.5) / F.col("__n")
+    return (rows.join(cells, F.col("__c").eqNullSafe(F.col("c2")) & (F.col("__cell") == F.col("cell2")))
+            .withColumn("__rank", rank)
+            .withColumn("split", F.when(at < train, "train").when(at < train + val, "val").otherwise("test"))
+            .drop("__h", "__cell", "__c", "c2", "cell2", "__before", "__n", "__rank"))
+
+
 # ---------------------------------------------------------------- M13 / M14
 
 
@@ -298,7 +316,8 @@ def _prep_pipeline(features: list[str]):
 
 def train_classifiers(df: DataFrame, features: list[str], label: str, key: str, seed: int = 42,
                       n_classes: int | None = None, with_predictions: bool = False):
-    """M3 + M6 + M11 + M15: imputer / scaler fitted on train only, logistic regression,
+    """M3 + M6 + M11 + M15: stratified split, balanced class weights where the smallest class has under
+    0.3 of the largest's rows, imputer / scaler fitted on train only, logistic regression,
     decision tree (depth 5), random forest (100 trees, depth 5), linear SVM (one-vs-rest
     beyond two classes). Returns (metrics table, importances table) and, if asked, each model's
     predictions (__y, prediction, split)."""
@@ -308,27 +327,34 @@ def train_classifiers(df: DataFrame, features: list[str], label: str, key: str,
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import StringIndexer
     spark = df.sparkSession
-    data = hash_split(df.filter(F.col(f"`{label}`").isNotNull()), key, seed).persist()
+    data = stratified_split(df.filter(F.col(f"`{label}`").isNotNull()), key, label, seed)
+    sizes = data.filter("split = 'train'").groupBy(F.col(f"`{label}`").alias("__wl")).agg(F.count(F.lit(1)).alias("__wn"))
+    lo, hi, k, n_train = sizes.agg(F.min("__wn"), F.max("__wn"), F.count(F.lit(1)), F.coalesce(F.sum("__wn"), F.lit(0))).first()
+    if k and k > 1 and lo / hi < 0.3:  # balanced weights: every class weighs the same in all
+        weights = sizes.select("__wl", (F.lit(float(n_train)) / (F.lit(float(k)) * F.col("__wn"))).alias("__w"))
+        data = data.join(weights, F.col(f"`{label}`") == F.col("__wl"), "left").drop("__wl").withColumn("__w", F.coalesce("__w", F.lit(1.0)))
+    else:
+        data = data.withColumn("__w", F.lit(1.0))
+    data = data.persist()
     idx = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc")
     train = data.filter(F.col("split") == "train")
-    n_train = train.count()
     models = {
-        "logistic_regression": LogisticRegression(featuresCol="features", labelCol="__y",
+        "logistic_regression": LogisticRegression(featuresCol="features", labelCol="__y", weightCol="__w",
                                                   regParam=1.0 / (0.1 * max(n_train, 1)), standardization=False),
-        "decision_tree": DecisionTreeClassifier(featuresCol="features", labelCol="__y", maxDepth=5, seed=seed),
-        "random_forest": RandomForestClassifier(featuresCol="features", labelCol="__y", numTrees=100, maxDepth=5,
+        "decision_tree": DecisionTreeClassifier(featuresCol="features", labelCol="__y", weightCol="__w", maxDepth=5, seed=seed),
+        "random_forest": RandomForestClassifier(featuresCol="features", labelCol="__y", weightCol="__w", numTrees=100, maxDepth=5,
                                                 seed=seed),
     }
-    svc = LinearSVC(featuresCol="features", labelCol="__y", regParam=1.0 / (0.1 * max(n_train, 1)))
+    svc = LinearSVC(featuresCol="features", labelCol="__y", weightCol="__w", regParam=1.0 / (0.1 * max(n_train, 1)))
     models["linear_svm"] = svc if n_classes == 2 else OneVsRest(classifier=svc, featuresCol="features",
-                                                                labelCol="__y", parallelism=max(2, n_classes or 2))
+                                                                labelCol="__y", weightCol="__w", parallelism=max(2, n_classes or 2))
     metrics, imps = [], []
     def fit(item):
         name, est = item
         pm = Pipeline(stages=[idx] + _prep_pipeline(features) + [est]).fit(train)
         return name, pm, classification_metrics(pm.transform(data))
 
-    raw = hash_split(df.filter(F.col(f"`{label}`").isNotNull()), key, seed)
+    raw = stratified_split(df.filter(F.col(f"`{label}`").isNotNull()), key, label, seed)
 
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=len(models)) as ex:  # independent fits run as concurrent jobs

@@ -393,10 +393,12 @@ def scatter_sample(df: DataFrame, target: str, cols: list[str], key: str,
     return sampled.select("var", "key", "x", "y", "rank", "sample_r")
 
 
+#: Patterns that a text may have as a date, tried in this order.
+DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "yyyy-MM-dd HH:mm:ss", "dd-MM-yyyy", "MM/dd/yyyy")
+
+
 def date_columns(df: DataFrame, cols: list[str] | None = None,
-                 threshold: float = 0.8, formats: tuple[str, ...] = (
-                     "yyyy-MM-dd", "dd/MM/yyyy", "yyyy-MM-dd HH:mm:ss", "dd-MM-yyyy",
-                     "MM/dd/yyyy")) -> DataFrame:
+                 threshold: float = 0.8, formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
     """U8: temporal-typed columns, plus string columns of whose non-null values more than
     ``threshold`` parse as dates; one aggregate over all string columns and rows.
     (column, kind, parsed_share, is_date)"""

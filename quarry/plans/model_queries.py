@@ -186,6 +186,19 @@ def _keyed(spark, sf):
     return with_row_key(load(spark, sf, "lineitem").select(*LI_FEATS, "l_returnflag"))
 
 
+@register("stratified_split", """
+SELECT label, split, count(*) AS n, CAST(sum(key) AS BIGINT) AS key_sum FROM (
+  SELECT o_orderstatus AS label, o_orderkey AS key,
+         CASE WHEN (r - 0.5) / n < 0.6 THEN 'train' WHEN (r - 0.5) / n < 0.8 THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT o_orderstatus, o_orderkey, count(*) OVER (PARTITION BY o_orderstatus) AS n,
+               row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(o_orderkey || '|42'), o_orderkey) AS r FROM orders) x) y
+GROUP BY label, split""")
+def q_stratified_split(spark, sf):
+    """M3: rows and key sum of every class in every split."""
+    o = M.stratified_split(load(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus")
+    return o.groupBy(F.col("o_orderstatus").alias("label"), "split").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("key_sum"))
+
+
 @register("train_classifiers")
 def q_train_classifiers(spark, sf):
     """Four classifiers on lineitem, metrics per split (rows-only)."""
