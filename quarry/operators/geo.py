@@ -173,6 +173,21 @@ def hierarchy_index(dim: DataFrame) -> DataFrame:
         F.sum("n_localities").alias("n_localities")))
 
 
+def district_localities(dim: DataFrame) -> DataFrame:
+    """The localities of every district, one distinct row each (adm2, pcode, name, adm1); rows without a
+    region or district name are left out. A long table: a district's list may be of any length."""
+    named = (F.coalesce(F.col("ADM1_EN"), F.lit("")) != "") & (F.coalesce(F.col("ADM2_EN"), F.lit("")) != "")
+    return dim.filter(named).select(F.col("ADM2_EN").alias("adm2"), F.col("ADM3_PCODE").alias("pcode"), F.col("ADM3_EN").alias("name"),
+                                    F.col("ADM1_EN").alias("adm1")).distinct()
+
+
+def locality_details(dim: DataFrame) -> DataFrame:
+    """One entry per locality name (adm3, pcode, adm1, adm2); of several the one of the smallest code."""
+    rows = district_localities(dim)
+    return (rows.groupBy(F.col("name").alias("adm3")).agg(F.min(F.struct("pcode", "adm1", "adm2")).alias("e"))
+            .select("adm3", "e.pcode", "e.adm1", "e.adm2"))
+
+
 # ---------------------------------------------------------------- A5
 
 

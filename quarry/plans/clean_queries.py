@@ -321,6 +321,20 @@ def _contexts(spark, sf):
     return o.select(F.col("o_orderkey").alias("key"), txt.alias("text"))
 
 
+@register("adm_district_localities", FX.with_views("""
+SELECT DISTINCT ADM2_EN AS adm2, ADM3_PCODE AS pcode, ADM3_EN AS name, ADM1_EN AS adm1 FROM geo_dim
+WHERE coalesce(ADM1_EN, '') <> '' AND coalesce(ADM2_EN, '') <> ''""", "geo_dim"))
+def q_adm_district_localities(spark, sf):
+    return G.district_localities(FX.geo_dim(spark, sf))
+
+
+@register("adm_locality_details", FX.with_views("""
+SELECT ADM3_EN AS adm3, min(ADM3_PCODE) AS pcode, arg_min(ADM1_EN, ADM3_PCODE) AS adm1, arg_min(ADM2_EN, ADM3_PCODE) AS adm2
+FROM geo_dim WHERE coalesce(ADM1_EN, '') <> '' AND coalesce(ADM2_EN, '') <> '' GROUP BY ADM3_EN""", "geo_dim"))
+def q_adm_locality_details(spark, sf):
+    return G.locality_details(FX.geo_dim(spark, sf))
+
+
 @register("adm_context_search", FX.with_views("""
 WITH f AS (SELECT ADM3_PCODE, arg_min(ADM3_EN, ADM2_PCODE) AS ADM3_EN, arg_min(ADM2_EN, ADM2_PCODE) AS ADM2_EN,
                   arg_min(ADM1_EN, ADM2_PCODE) AS ADM1_EN, arg_min(ADM2_TYPE, ADM2_PCODE) AS ADM2_TYPE
