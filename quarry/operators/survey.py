@@ -118,6 +118,16 @@ def xlsform_settings(surveys: DataFrame, key: str = "survey_id") -> DataFrame:
                           F.lit("kobo_id_v1").alias("form_id"), F.lit("French (fr)").alias("default_language"))
 
 
+def survey_metadata(surveys: DataFrame, key: str = "survey_id") -> DataFrame:
+    """Q4 information sheet: one row per survey with the fields of its metadata."""
+    return surveys.select(key, "metadata.*")
+
+
+def survey_locations(surveys: DataFrame, key: str = "survey_id") -> DataFrame:
+    """Q4 location sheet: one row per survey and location, numbered in order."""
+    return surveys.select(key, F.posexplode("locations").alias("loc_pos", "l")).select(key, "loc_pos", "l.*")
+
+
 def flatten_questions(surveys: DataFrame, key: str = "survey_id") -> DataFrame:
     cats = surveys.select(key, F.posexplode("categories").alias("cat_pos", "cat"))
     return cats.select(key, "cat_pos", F.posexplode("cat.questions").alias("q_pos", "q"))

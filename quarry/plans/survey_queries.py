@@ -67,6 +67,22 @@ def q_xlsform_settings(spark, sf):
     return Q.xlsform_settings(_surveys(spark, sf))
 
 
+@register("survey_metadata", """
+SELECT DISTINCT CAST(floor(p_partkey / 50) AS BIGINT) AS survey_id, 'Enquête ' || CAST(floor(p_partkey / 50) AS BIGINT) AS title,
+       'Introduction' AS introduction, '30 min' AS survey_total_duration, CAST(100 AS BIGINT) AS number_of_respondents,
+       CAST(5 AS BIGINT) AS number_of_investigators, CAST(1 AS BIGINT) AS number_of_locations FROM part""")
+def q_survey_metadata(spark, sf):
+    return finish(Q.survey_metadata(_surveys(spark, sf)))
+
+
+@register("survey_locations", """
+SELECT DISTINCT CAST(floor(p_partkey / 50) AS BIGINT) AS survey_id, CAST(0 AS BIGINT) AS loc_pos,
+       'L' || CAST(floor(p_partkey / 50) AS BIGINT) AS pcode, 'Lieu' AS name, 'R' AS adm1, 'D' AS adm2, CAST(NULL AS VARCHAR) AS adm3,
+       CAST(NULL AS DOUBLE) AS latitude, CAST(NULL AS DOUBLE) AS longitude FROM part""")
+def q_survey_locations(spark, sf):
+    return finish(Q.survey_locations(_surveys(spark, sf)))
+
+
 @register("form_items", f"""WITH {SQ},
 sz AS (SELECT survey_id, cat_pos, count(*) + 1 AS w, min(p_brand) AS brand FROM sq GROUP BY survey_id, cat_pos),
 off AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY survey_id ORDER BY cat_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM sz)
