@@ -461,6 +461,44 @@ def cross_validate(df: DataFrame, features: list[str], label: str, key: str, fol
     return df.sparkSession.createDataFrame(rows, "reg_param double, f1_mean double, f1_std double")
 
 
+def fold_scores(df: DataFrame, features: list[str], label: str, key: str, folds: int = 5, regression: bool = False,
+                seed: int = 42, estimator=None) -> DataFrame:
+    """The model fitted on all folds but one and scored on that one, for every fold: mean, standard
+    deviation (population), least and greatest score. Weighted F1 for classes, R2 for a number; folds by a
+    hash of the key; logistic or linear regression unless an estimator (features, __y) is given."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.regression import LinearRegression
+    fold = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(seed + 1)), F.lit(folds)).cast("int")
+    data = df.filter(F.col(f"`{label}`").isNotNull()).withColumn("split", fold)
+    if regression:
+        data = data.withColumn("__y", F.col(f"`{label}`").cast("double"))
+        estimator = estimator or LinearRegression(featuresCol="features", labelCol="__y")
+    else:  # indexed once, so that a fold without a class still knows it
+        data = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(data).transform(data)
+        estimator = estimator or LogisticRegression(featuresCol="features", labelCol="__y")
+    data = data.persist()
+
+    def one(f: int):
+        model = Pipeline(stages=_prep_pipeline(features) + [estimator]).fit(data.filter(F.col("split") != f))
+        pred = model.transform(data.filter(F.col("split") == f))
+        got = (regression_metrics if regression else classification_metrics)(pred)
+        return got[f]["r2" if regression else "f1"] if f in got else None
+
+    with ThreadPoolExecutor(max_workers=folds) as ex:
+        scores = [s for s in ex.map(one, range(folds)) if s is not None]
+    data.unpersist()
+    n = len(scores)
+    mean = sum(scores) / n if n else None
+    sd = (sum((s - mean) ** 2 for s in scores) / n) ** 0.5 if n else None
+    return df.sparkSession.createDataFrame(
+        [("r2" if regression else "f1", n, mean, sd, min(scores, default=None), max(scores, default=None))],
+        "metric string, folds int, mean double, std double, min double, max double")
+
+
 def clustering_model(vec: DataFrame, k_max: int = 5, seed: int = 42) -> DataFrame:
     """M8: k = 2..min(5, n/10) by silhouette; Davies-Bouldin and Calinski-Harabasz from two
     group-by aggregates; inertia from the training cost."""
@@ -567,6 +605,7 @@ def run_ml_pipeline(df: DataFrame, target: str | None, features: list[str], key:
         runs = metrics.select("model", F.col("train_accuracy").alias("train_score"), F.col("val_accuracy").alias("val_score"),
                               F.col("test_accuracy").alias("test_score"), "n_train", "n_features")
         out["cross_validation"] = cross_validate(df, feats, target, key)
+    out["folds"] = fold_scores(df, feats, target, key, regression=regression)
     rank_by = metrics.select("model", F.col("val_r2" if regression else "val_f1").alias("rank_score"))
     perfect = rank_by.agg(F.max("rank_score") == 1.0).first()[0]
     runs = runs.withColumn("overfit", F.lit(bool(high or perfect)))

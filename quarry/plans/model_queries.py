@@ -226,6 +226,14 @@ def q_cross_validation(spark, sf):
     return M.cross_validate(_keyed(spark, sf), LI_FEATS, "l_returnflag", "row_key")
 
 
+@register("fold_scores")
+def q_fold_scores(spark, sf):
+    """Five-fold scores of a classifier and of a regressor on lineitem (rows-only)."""
+    df = _keyed(spark, sf)
+    return (M.fold_scores(df, LI_FEATS, "l_returnflag", "row_key")
+            .unionByName(M.fold_scores(df, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "row_key", regression=True)))
+
+
 @register("clustering_model")
 def q_clustering_model(spark, sf):
     """M8: k by silhouette with Davies-Bouldin / Calinski-Harabasz / inertia (rows-only)."""

@@ -65,6 +65,8 @@ def test_pipeline_on_numbers_and_strings(spark):
                                  F.when(F.col("id") % 7 > 3, "x").otherwise("y").alias("kind"))
     df = df.withColumn("y", F.col("a") * 3 + F.col("b") + F.col("id") / 1000)
     num = M.run_ml_pipeline(df, "y", ["a", "b"], "id")
+    f = num["folds"].first()
+    assert f["metric"] == "r2" and f["folds"] == 5 and 0.99 < f["min"] <= f["mean"] <= f["max"] <= 1
     assert num["health"].count() == 6 and num["checks"].count() >= 18 and num["best"].count() == 1
     text = M.run_ml_pipeline(df, "kind", ["a", "b"], "id")
     assert text["health"].count() == 4 and text["errors"].first()["n"] > 0 and text["cross_validation"].count() > 0
