@@ -21,9 +21,12 @@ that certainly have none.
 A task folds equal runs of its own rows into one row (with the places of the others) before the
 shuffle, so that a passage in a third of the corpus is one row per task in its bucket.
 
-Defined cases: a null or empty text has no bytes; a null doc_id comes after all others; rows that
-repeat a doc_id are one document, a place in one being the same place in the other (spans found in
-any version of the text apply to all, cut to its length); extra columns are ignored."""
+A document is named by its id and 127 bits of hashes of its text, so that places and removals belong to
+one text only. Documents are ordered by id, then by the hashes.
+
+Defined cases: a null or empty text has no bytes; a null doc_id comes after all others; rows of one id (or
+none) with different texts are different documents, in the order of the hashes; rows equal in id and
+text are one document, of which every row loses the same; extra columns are ignored."""
 
 from __future__ import annotations
 
@@ -121,31 +124,57 @@ def runs(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.
     return b.gram[anchor], ident, first, last - first + 1, anchor - first
 
 
-_FOLDED = "k1 long, k2 long, doc long, place long, others binary"
+#: Names a document: its id and two hashes of its text.
+_KEY = ["doc", "va", "vb"]
+_KEYS = "doc long, va long, vb long"
+_FOLDED = f"k1 long, k2 long, {_KEYS}, place long, others binary"
+
+
+def _keys(batch) -> np.ndarray:
+    """The names of a batch's documents, a row each."""
+    return np.stack([np.asarray(batch.column(c)) for c in _KEY], axis=1)
+
+
+def _as_keys(keys: np.ndarray) -> dict:
+    return {c: pa.array(np.ascontiguousarray(keys[:, i])) for i, c in enumerate(_KEY)}
+
+
+def _ranked(keys: np.ndarray) -> np.ndarray:
+    """Each row's place in the order of names; equal names share one."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+    head = keys[new]
+    by = np.lexsort((head[:, 2], head[:, 1], head[:, 0]))
+    rank = np.zeros(len(head), np.int64)
+    rank[by[1:]] = np.cumsum((head[by[1:]] != head[by[:-1]]).any(axis=1))
+    return rank[np.cumsum(new) - 1]
 
 
-def _folded(k1, k2, doc, place) -> pa.RecordBatch:
-    """One row for each (k1, k2): its first place, and the rest packed as (doc, place) pairs."""
+def _folded(k1, k2, keys, place) -> pa.RecordBatch:
+    """One row for each (k1, k2): its first place, and the rest packed as (doc, va, vb, place) rows."""
+    doc = _ranked(keys)
     by = np.lexsort((place, doc, k2, k1))
-    k1, k2, doc, place = k1[by], k2[by], doc[by], place[by]
+    k1, k2, doc, keys, place = k1[by], k2[by], doc[by], keys[by], place[by]
     again = np.zeros(len(k1), bool)  # the same place of a document whose row is repeated
     again[1:] = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]) & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
-    k1, k2, doc, place = k1[~again], k2[~again], doc[~again], place[~again]
+    k1, k2, keys, place = k1[~again], k2[~again], keys[~again], place[~again]
     new = np.ones(len(k1), bool)
     new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
     first = np.flatnonzero(new)
     many = np.diff(np.append(first, len(k1)))
     others = [None] * len(first)
-    pairs = np.stack([doc, place], axis=1)
+    pairs = np.column_stack([keys, place])
     for i in np.flatnonzero(many > 1):
         others[i] = pairs[first[i] + 1:first[i] + many[i]].tobytes()
     as_long = lambda x: pa.array(x[first].view(np.int64) if x.dtype == np.uint64 else x[first])
-    return pa.RecordBatch.from_pydict({"k1": as_long(k1), "k2": as_long(k2), "doc": as_long(doc), "place": as_long(place),
+    return pa.RecordBatch.from_pydict({"k1": as_long(k1), "k2": as_long(k2), **_as_keys(keys[first]), "place": as_long(place),
                                        "others": pa.array(others, pa.binary())})
 
 
 def _fold(parts):
-    """Fold (k1, k2, doc, place) pieces, FOLD entries at a time."""
+    """Fold (k1, k2, keys, place) pieces, FOLD entries at a time."""
     held, n = [], 0
     for p in parts:
         held.append(p)
@@ -160,8 +189,8 @@ def _fold(parts):
 def _run_rows(length: int, gram: int):
     def parts(batches):
         for batch in batches:
-            docs = np.asarray(batch.column(0))
-            for lo, hi, buf, offs in W.blocks(batch.column(1)):
+            docs = _keys(batch)
+            for lo, hi, buf, offs in W.blocks(batch.column("text")):
                 g, ident, first, many, to_anchor = runs(buf, offs, length, gram)
                 d = np.searchsorted(offs, first, side="right") - 1
                 yield g, ident, docs[lo:hi][d], (first - offs[d]) << 24 | many << 12 | to_anchor
@@ -172,31 +201,31 @@ def _places(batches):
     """Unfold: every place of a repeated bucket; the others of a folded row are removed as a whole."""
     for batch in batches:
         packed = batch.column("others").to_pylist()
-        pairs = np.frombuffer(b"".join(p for p in packed if p), np.int64).reshape(-1, 2)
-        heads = batch.select(["k1", "doc", "place", "repeat", "open", "hot"])
+        pairs = np.frombuffer(b"".join(p for p in packed if p), np.int64).reshape(-1, 4)
+        heads = batch.select(["k1", *_KEY, "place", "repeat", "open", "hot"])
         yield heads.filter(pc.or_(batch.column("repeat"), batch.column("open")))
         for lo in range(0, len(pairs), FOLD):
             part = pairs[lo:lo + FOLD]
             no = np.zeros(len(part), bool)
             yield pa.RecordBatch.from_pydict({
-                "k1": pa.array(np.zeros(len(part), np.int64)), "doc": pa.array(part[:, 0]), "place": pa.array(part[:, 1]),
+                "k1": pa.array(np.zeros(len(part), np.int64)), **_as_keys(part), "place": pa.array(np.ascontiguousarray(part[:, 3])),
                 "repeat": pa.array(~no), "open": pa.array(no), "hot": pa.array(no)})
 
 
 def _judged(folded: DataFrame, hot_runs: int) -> DataFrame:
-    """Places (k1, doc, place, repeat, open, hot) of the buckets that hold more than one row or place.
+    """Places (k1, doc, va, vb, place, repeat, open, hot) of the buckets that hold more than one row or place.
     repeat: equal to an earlier one; open: the first of its kind in a bucket of several kinds; hot: the
     bucket has more than ``hot_runs`` of those."""
     bucket, exact = Window.partitionBy("k1"), Window.partitionBy("k1", "k2")
-    here = F.struct("doc", "place")
+    here = F.struct(*_KEY, "place")
     return (folded.withColumn("lo", F.min("k2").over(bucket)).withColumn("hi", F.max("k2").over(bucket))
             .withColumn("first", F.min(here).over(exact))
             .withColumn("repeat", here != F.col("first"))
             .withColumn("open", ~F.col("repeat") & (F.col("lo") < F.col("hi")))
             .withColumn("hot", F.sum(F.col("open").cast("int")).over(bucket) > hot_runs)
             .filter("repeat or open or others is not null")
-            .select("k1", "doc", "place", "others", "repeat", "open", "hot")
-            .mapInArrow(_places, "k1 long, doc long, place long, repeat boolean, open boolean, hot boolean"))
+            .select("k1", *_KEY, "place", "others", "repeat", "open", "hot")
+            .mapInArrow(_places, f"k1 long, {_KEYS}, place long, repeat boolean, open boolean, hot boolean"))
 
 
 def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,31 +233,36 @@ def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _segments(length: int):
-    """The bytes of the open runs of each document."""
+    """The bytes of the open runs of each document; neighbouring rows of one document give them once."""
     def run(batches):
+        last = None
         for batch in batches:
             buf, offs = W.raw(batch.column("text"))
-            docs, out = np.asarray(batch.column("doc")), [[], [], [], [], []]
+            keys, out = _keys(batch), [[], [], [], [], []]
             for i, ps in enumerate(batch.column("places").to_pylist()):
+                key, before = tuple(keys[i]), last
+                last = key
+                if key == before:
+                    continue
                 text = buf[offs[i]:offs[i + 1]].tobytes()
                 for p in ps:
                     first, many = p["place"] >> 24, (p["place"] >> 12) & 0xFFF
-                    if first + many - 1 + length <= len(text):  # another version of the text may be shorter
-                        for x, v in zip(out, (p["k1"], p["hot"], int(docs[i]), p["place"], text[first:first + many - 1 + length])):
-                            x.append(v)
+                    for x, v in zip(out, (p["k1"], p["hot"], i, p["place"], text[first:first + many - 1 + length])):
+                        x.append(v)
             yield pa.RecordBatch.from_pydict({"k1": pa.array(out[0], pa.int64()), "hot": pa.array(out[1], pa.bool_()),
-                                              "doc": pa.array(out[2], pa.int64()), "place": pa.array(out[3], pa.int64()),
+                                              **_as_keys(keys[np.array(out[2], np.int64)]), "place": pa.array(out[3], pa.int64()),
                                               "bytes": pa.array(out[4], pa.binary())})
     return run
 
 
-_OPENED = "doc long, first long, many long, k1 long, k2 long"
+_OPENED = f"{_KEYS}, first long, many long, k1 long, k2 long"
 
 
 def _refine(length: int, gram: int):
     """Rows sorted by bucket, document and place. Buckets of a bounded number of runs are refined here
     to full depth and give their repeated places; the suffixes of hot ones go on to be sorted."""
-    def solved(k1, hot, doc, place, column):
+    def solved(k1, hot, keys, place, column):
+        doc = _ranked(keys)
         done = np.flatnonzero(~hot)
         first, many, to_anchor = _unpacked(place)
         for part in (done, np.flatnonzero(hot)):
@@ -242,7 +276,7 @@ def _refine(length: int, gram: int):
             full, d = b.full[b.inside], doc[row]
             if part is not done:
                 g = np.repeat(b.gram[offs[:-1] + to_anchor[part]], n)
-                yield {"doc": d, "first": p, "many": np.ones(len(p), np.int64), "k1": full.view(np.int64), "k2": g.view(np.int64)}
+                yield {**_as_keys(keys[row]), "first": p, "many": np.ones(len(p), np.int64), "k1": full.view(np.int64), "k2": g.view(np.int64)}
                 continue
             key = W.mix(full + k1[row].view(np.uint64) * _U(W._BASE))
             order = np.lexsort((p, d, key))
@@ -256,7 +290,7 @@ def _refine(length: int, gram: int):
             stop = again.copy()
             stop[:-1] &= ~again[1:] | (row[1:] != row[:-1])
             a, z = np.flatnonzero(start), np.flatnonzero(stop)
-            yield {"doc": d[a], "first": p[a], "many": z - a + 1, "k1": np.zeros(len(a), np.int64), "k2": np.zeros(len(a), np.int64)}
+            yield {**_as_keys(keys[row[a]]), "first": p[a], "many": z - a + 1, "k1": np.zeros(len(a), np.int64), "k2": np.zeros(len(a), np.int64)}
 
     def run(batches):
         held = []
@@ -281,13 +315,13 @@ def _ripe(held, solved):
     column = lambda c: np.asarray(t.column(c))
     data = t.column("bytes")
     data = data.chunk(0) if data.num_chunks else pa.array([], pa.binary())
-    for out in solved(column("k1"), column("hot"), column("doc"), column("place"), data):
+    for out in solved(column("k1"), column("hot"), _keys(t), column("place"), data):
         yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in out.items()})
 
 
 def _refold(batches):
     return _fold((np.asarray(b.column("k1")).view(np.uint64), np.asarray(b.column("k2")).view(np.uint64),
-                  np.asarray(b.column("doc")), np.asarray(b.column("first"))) for b in batches)
+                  _keys(b), np.asarray(b.column("first"))) for b in batches)
 
 
 def _digests(length: int, with_text: bool):
@@ -326,30 +360,34 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("8 <= gram < length < 2048")
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = texts.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST)))
-    found = materialize(_judged(keyed.select("doc", "text").mapInArrow(_run_rows(length, gram), _FOLDED), hot_runs), "places")
-
-    opened = found.filter("open")
-    by_doc = opened.groupBy("doc").agg(F.collect_list(F.struct("k1", "place", "hot")).alias("places"))
-    holders = sieved(keyed, "doc", sieve(opened, "doc")).filter("may_have")
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "place"), F.lit(64))).otherwise(F.lit(0))
-    segments = (holders.join(by_doc, "doc").select("doc", "text", "places")
-                .mapInArrow(_segments(length), "k1 long, hot boolean, doc long, place long, bytes binary")
-                .repartition("k1", salt).sortWithinPartitions("k1", "doc", "place"))
+    # the sign of va puts a document without an id after the one whose id is the last
+    va = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    keyed = (texts.withColumn("doc", F.coalesce("doc_id", F.lit(_LAST)))
+             .withColumn("va", F.when(F.col("doc_id").isNull(), va).otherwise(F.bitwise_not(va)))
+             .withColumn("vb", F.xxhash64(F.lit(1), "text")).withColumn("who", F.xxhash64(*_KEY)))
+    found = materialize(_judged(keyed.select(*_KEY, "text").mapInArrow(_run_rows(length, gram), _FOLDED), hot_runs), "places")
+
+    opened = found.filter("open").withColumn("who", F.xxhash64(*_KEY))
+    by_doc = opened.groupBy(*_KEY).agg(F.collect_set(F.struct("k1", "place", "hot")).alias("places"))
+    holders = sieved(keyed, "who", sieve(opened, "who")).filter("may_have")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*_KEY, "place"), F.lit(64))).otherwise(F.lit(0))
+    segments = (holders.join(by_doc, _KEY).select(*_KEY, "text", "places")
+                .mapInArrow(_segments(length), f"k1 long, hot boolean, {_KEYS}, place long, bytes binary")
+                .repartition("k1", salt).sortWithinPartitions("k1", *_KEY, "place"))
     refined_ = materialize(segments.mapInArrow(_refine(length, gram), _OPENED), "refined")
     unsolved = _judged(refined_.filter("k1 != 0 or k2 != 0").mapInArrow(_refold, _FOLDED), hot_runs)
 
     gone = materialize(
-        found.filter("repeat").select("doc", F.shiftright("place", 24).alias("first"),
+        found.filter("repeat").select(*_KEY, F.shiftright("place", 24).alias("first"),
                                       F.shiftright("place", 12).bitwiseAND(0xFFF).alias("many"))
-        .union(refined_.filter("k1 = 0 and k2 = 0").select("doc", "first", "many"))
-        .union(unsolved.filter("repeat").select("doc", F.col("place").alias("first"), F.lit(1).cast("long").alias("many"))), "gone")
-    touched = sieved(keyed, "doc", sieve(gone, "doc"))
+        .union(refined_.filter("k1 = 0 and k2 = 0").select(*_KEY, "first", "many"))
+        .union(unsolved.filter("repeat").select(*_KEY, F.col("place").alias("first"), F.lit(1).cast("long").alias("many"))), "gone")
+    touched = sieved(keyed, "who", sieve(gone.withColumn("who", F.xxhash64(*_KEY)), "who"))
     whole = touched.filter("not may_have").select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.col("text").alias("kept"))
-    by_doc = gone.groupBy("doc").agg(F.collect_list(F.struct("first", "many")).alias("places"))
-    cut = (touched.filter("may_have").join(by_doc, "doc", "left").select("doc_id", "text", "places")
+    by_doc = gone.groupBy(*_KEY).agg(F.collect_set(F.struct("first", "many")).alias("places"))
+    cut = (touched.filter("may_have").join(by_doc, _KEY, "left").select("doc_id", "text", "places")
            .mapInArrow(_digests(length, with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"))
     out = whole.union(cut).withColumnRenamed("doc_id", id_col)
     return out if with_text else out.drop("kept")

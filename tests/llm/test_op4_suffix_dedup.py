@@ -64,3 +64,29 @@ def test_edges(spark, empty):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert got(df) == brute(docs)
     assert repeated_substrings(empty).count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    first, second, third, fourth = noise(150), noise(150), noise(130), noise(400)
+    docs = [(1, first + "A" + noise(200)), (2, second + noise(300)),
+            (None, first + "B" + noise(900)),     # loses its head, which no other text may lose
+            (None, noise(1000)), (None, noise(700) + "C" + second), (None, noise(30)),
+            (None, third + "D" + noise(40)), (None, third + "E" + noise(50)),  # a repeat at one place of two null ids
+            (3, noise(250) + "F" + first), (3, noise(600)), (3, noise(601)),  # one id, three texts
+            (4, fourth), (4, fourth), (4, fourth[:250] + "G" + noise(20)),    # equal rows and another version
+            ((1 << 63) - 1, noise(20) + "H" + fourth[100:300]), (None, fourth[100:300])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    out = [(r.doc_id, r.n_bytes, r.n_removed, r.kept) for r in repeated_substrings(df).collect()]
+    assert len(out) == len(docs)
+    kept = lambda d, t: [k for i, n, _, k in out if i == d and n == len(t)]
+    whole = [0, 1, 3, 5, 9, 10]
+    for i in whole:
+        assert docs[i][1] in kept(*docs[i])
+    assert kept(*docs[2]) == [docs[2][1][150:]] and kept(*docs[4]) == [docs[4][1][:701]] and kept(*docs[8]) == [docs[8][1][:251]]
+    assert sorted(len(k) for i in (6, 7) for k in kept(*docs[i])) in ([41, 181], [51, 171])
+    a, b = kept(*docs[11]), kept(*docs[13])
+    assert (a, b) in (([fourth, fourth], [docs[13][1][250:]]), ([fourth[250:]] * 2, [docs[13][1]]))
+    assert kept(*docs[14]) == [docs[14][1][:21]] and kept(*docs[15]) == [""]
+    assert got(df.coalesce(1)) == got(df) == got(df, hot_runs=1)
