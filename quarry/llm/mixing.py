@@ -8,7 +8,8 @@ shares of the sources map it to a source, and the slots of a source are ranked.
 documents, in the order of a hash of their id, form a stream of words that is read ``most`` times
 over and cut into blocks of ``block_words``. Rank k of a source joins block k of its stream; its last
 block is cut at the target. The sequence's counts miss the shares by a few slots: ranks beyond a
-source's blocks are dropped, missing ones follow at the end.
+source's blocks are dropped, missing ones follow at the end. ``mix`` names the slots of every document
+and ``pieces`` gives the blocks' texts: in the order of (slot, at) they are the mix, its sources interleaved.
 
 Ranks and offsets are sums over fixed chunks (8,192 slots; 4,096 hash buckets per source) plus a
 window inside a chunk, so no window holds all rows of a source.
@@ -32,6 +33,8 @@ CHUNK = 8192
 _PHI32 = 2654435769  # 2^32 divided by the golden ratio
 _ONE = 1 << 32
 _COARSE = 20  # bits of a point below its coarse cell
+_PIECE = "struct<slot:bigint,at:bigint,pass:int,first_word:bigint,words:bigint>"
+_FIELDS = ["slot", "at", "pass", "first_word", "words"]
 
 
 def n_words(text: Column) -> Column:
@@ -100,7 +103,9 @@ def _same(a: str, b: str, *columns: str) -> Column:
 
 def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, block_words: int = BLOCK_WORDS) -> DataFrame:
     """sizes: rows of ``sized``. Per row: doc_id, source, size, source_size, target, taken (words the
-    mix takes) and passes (words taken in each reading of the stream)."""
+    mix takes), passes (words taken in each reading of the stream) and slots: in the order of the schedule,
+    the pieces (slot, at, pass, first_word, words) of the document, ``at`` counting the words before it in
+    its block."""
     spark = sizes.sparkSession
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = materialize(sizes.withColumn("key", key).withColumn("bucket", F.substring("key", 1, 3)), "sized")
@@ -122,23 +127,26 @@ def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOS
                                                        F.floor((F.col("first") + F.col("size") - 1) / block_words).cast("long")))))
     words = (F.least(F.col("first") + F.col("size"), (F.col("rank") + 1) * F.lit(block_words), F.col("goal"))
              - F.greatest(F.col("first"), F.col("rank") * F.lit(block_words)))
-    taken = (blocks.withColumn("words", words).join(schedule(spark, goals, block_words).select("code", "rank"), ["code", "rank"])
+    from_ = F.greatest(F.col("first"), F.col("rank") * F.lit(block_words))
+    piece = F.struct("slot", (from_ - F.col("rank") * F.lit(block_words)).cast("long").alias("at"), "pass",
+                     (from_ - F.col("first")).cast("long").alias("first_word"), F.col("words").cast("long").alias("words"))
+    taken = (blocks.withColumn("words", words).join(schedule(spark, goals, block_words), ["code", "rank"])
              .filter("words > 0").groupBy("code", "offset")
-             .agg(*[F.sum(F.when(F.col("pass") == e, F.col("words")).otherwise(0)).alias(f"pass{e}") for e in range(most)]))
+             .agg(F.sort_array(F.collect_list(piece)).alias("slots"),
+                  *[F.sum(F.when(F.col("pass") == e, F.col("words")).otherwise(0)).alias(f"pass{e}") for e in range(most)]))
     passes = F.array(*[F.coalesce(F.col(f"t.pass{e}"), F.lit(0)).cast("long") for e in range(most)])
     return (placed.alias("d").join(taken.alias("t"), (F.col("d.code") == F.col("t.code")) & (F.col("d.offset") == F.col("t.offset"))
                                    & (F.col("d.size") > 0), "left")
-            .select("d.doc_id", "d.source", "d.size", "d.source_size", "d.target", passes.alias("passes"))
+            .select("d.doc_id", "d.source", "d.size", "d.source_size", "d.target", passes.alias("passes"),
+                    F.coalesce("t.slots", F.array().cast(f"array<{_PIECE}>")).alias("slots"))
             .withColumn("taken", F.aggregate("passes", F.lit(0).cast("long"), lambda a, x: a + x)))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """The mix as documents: a row for each reading of a document that takes words of it, with the
-    columns of ``docs`` (the text ends after the last word taken; n_chars follows it)."""
+def _planned(docs: DataFrame, id_col: str, source_col: str, text_col: str, **options) -> tuple[DataFrame, list[str]]:
+    """``docs`` as d, joined with the rows of ``mix`` that take words as p, and the names of its columns in d."""
     plan = mix(sized(docs, id_col, source_col, text_col), **options).filter("taken > 0")
-    columns = docs.columns
-    names = [f"c{i}" for i in range(len(columns))]
-    at = {c: n for c, n in zip(columns, names)}
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c: n for c, n in zip(docs.columns, names)}
     d = docs.toDF(*names).withColumn("size", n_words(F.col(at[text_col])))
     same = lambda i, s: Window.partitionBy(i, s, "size").orderBy(F.lit(1))  # noqa: E731  equal sizes are taken alike
     d = d.withColumn("nth", F.row_number().over(same(at[id_col], at[source_col])))
@@ -146,9 +154,23 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     both = d.alias("d").join(plan.alias("p"), F.col(f"d.{at[id_col]}").eqNullSafe(F.col("p.doc_id"))
                              & F.col(f"d.{at[source_col]}").eqNullSafe(F.col("p.source"))
                              & (F.col("d.size") == F.col("p.size")) & (F.col("d.nth") == F.col("p.nth")))
+    return both, names
+
+
+def _tokens(text: Column) -> Column:
+    """The words of a text, each with the white space before it."""
+    return F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """The mix as documents: a row for each reading of a document that takes words of it, with the
+    columns of ``docs`` (the text ends after the last word taken; n_chars follows it). Rows have no order;
+    ``pieces`` has the schedule's."""
+    both, names = _planned(docs, id_col, source_col, text_col, **options)
+    columns = docs.columns
+    at = {c: n for c, n in zip(columns, names)}
     rows = both.select(*[f"d.{n}" for n in names], "d.size", F.explode("p.passes").alias("words")).filter("words > 0")
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(at[text_col]), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)),
-                                F.lit(1), F.col("words").cast("int")), "")
+    head = F.array_join(F.slice(_tokens(F.col(at[text_col])), F.lit(1), F.col("words").cast("int")), "")
     rows = rows.withColumn("part", F.when(F.col("words") < F.col("size"), head).otherwise(F.col(at[text_col])))
     value = {text_col: F.col("part")}
     if "n_chars" in at:
@@ -157,6 +179,26 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     return rows.select(*[value.get(c, F.col(at[c])).alias(c) for c in columns])
 
 
+def pieces(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """The mix as scheduled blocks: a row for each piece of a document in a block, with slot, at, pass,
+    first_word, words and the columns of ``docs``, the text being the piece's (n_chars follows it). A piece has
+    the white space before its words; a document's last one also what follows. Blocks hold ``block_words``
+    words, the last of a source what its target leaves; the order of (slot, at) is that of the mix."""
+    both, names = _planned(docs, id_col, source_col, text_col, **options)
+    at = {c: n for c, n in zip(docs.columns, names)}
+    text = F.col(at[text_col])
+    # words and the end are named first, so that a text is split once and not for each of its pieces
+    split = both.select(*[F.col(f"d.{n}").alias(n) for n in names], F.col("d.size").alias("size"), "p.slots").withColumn(
+        "tokens", _tokens(text)).withColumn("end", F.substr(text, F.length(F.array_join("tokens", "")) + 1))
+    cut = lambda p: F.concat(F.array_join(F.slice("tokens", (p["first_word"] + 1).cast("int"), p["words"].cast("int")), ""),
+                             F.when(p["first_word"] + p["words"] == F.col("size"), F.col("end")).otherwise(""))
+    rows = split.withColumn("piece", F.explode(F.transform("slots", lambda p: F.struct(*[p[f].alias(f) for f in _FIELDS], cut(p).alias("part")))))
+    value = {text_col: F.col("piece.part")}
+    if "n_chars" in at:
+        value["n_chars"] = F.length("piece.part").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[F.col(f"piece.{f}").alias(f) for f in _FIELDS], *[value.get(c, F.col(at[c])).alias(c) for c in docs.columns])
+
+
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,

@@ -4,6 +4,7 @@ and the DuckDB SQL of those that SQL can express."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm import (decision_list, decontaminate, license_scan, mixing, near_dedup, rule_ensemble, suffix_dedup, token_counts,
                         token_output, warc)
@@ -27,6 +28,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op1_mixing"] = mixing.ORACLE
 
 
+@query
+def op1_mix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schedule itself: every piece of every block with its slot."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
+    return mixing.mix(mixing.sized(docs)).select("doc_id", "source", F.explode("slots").alias("p")).select("p.*", "doc_id", "source")
+
+
 @query
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_notices(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -76,3 +76,35 @@ def test_mixed_documents(spark, tiny, edge):
         for r in plan:
             want[(r["doc_id"], r["source"])] += r["taken"]
         assert +want == words
+
+
+def test_slots_and_pieces_follow_the_schedule(spark, tiny, edge):
+    for df, block in ((tiny, 64), (edge, 5)):
+        plan = rows(M.mix(M.sized(df), block_words=block))
+        assert all(sum(p.words for p in r["slots"]) == r["taken"] for r in plan)
+        assert all(sum(p.words for p in r["slots"] if p["pass"] == e) == n for r in plan for e, n in enumerate(r["passes"]))
+        out = rows(M.pieces(df, block_words=block))
+        keys = lambda x: sorted(x, key=str)
+        assert keys((r["slot"], r["at"], r["words"], r["doc_id"]) for r in out) == keys(
+            (p.slot, p.at, p.words, r["doc_id"]) for r in plan for p in r["slots"])
+        assert all(len(SPACED.findall(r["text"])) == r["words"] for r in out)
+        out.sort(key=lambda r: (r["slot"], r["at"]))
+        full, left = Counter(), {r["source"]: round(r["target"]) for r in plan}
+        source = {}
+        for r in out:  # blocks have no gap; one source each; only a source's last block is short
+            assert source.setdefault(r["slot"], r["source"]) == r["source"] and r["at"] == full[r["slot"]]
+            full[r["slot"]] += r["words"]
+        for slot, n in sorted(full.items()):
+            assert n == min(block, left[source[slot]])
+            left[source[slot]] -= n
+        assert not any(left.values())
+        # at every point of the mix each source has its share of the blocks
+        order, seen, blocks = [source[x] for x in sorted(full)], Counter(), Counter(source.values())
+        for i, x in enumerate(order, 1):
+            seen[x] += 1
+            assert all(abs(seen[x] - i * n / len(order)) < 8 for x, n in blocks.items())
+        text, readings = {r.doc_id: r.text for r in df.collect()}, defaultdict(str)
+        for r in sorted(out, key=lambda r: (r["pass"], r["first_word"])):
+            readings[(r["doc_id"], r["source"], r["pass"])] += r["text"]
+        assert all(text[d].startswith(t) for (d, _, _), t in readings.items() if d != 6)
+    assert M.pieces(df.limit(0)).count() == 0
