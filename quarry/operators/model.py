@@ -314,13 +314,117 @@ def _prep_pipeline(features: list[str]):
     return [imp, va, sc]
 
 
+#: M9: the reference's grids, in the order of its search (names sorted, the last varies fastest).
+GRIDS = {
+    "logistic_regression": {"C": [0.01, 0.1, 1.0]},
+    "decision_tree": {"max_depth": [3, 5, 7], "min_samples_split": [2, 5, 10]},
+    "random_forest": {"max_depth": [3, 5, 7], "n_estimators": [50, 100]},
+    "linear_svm": {"C": [0.1, 1.0]},
+}
+REGRESSION_GRIDS = {
+    "ridge": {"alpha": [0.1, 1.0, 10.0, 100.0]},
+    "lasso": {"alpha": [0.001, 0.01, 0.1, 1.0]},
+    "decision_tree": {"max_depth": [3, 5, 7]},
+    "random_forest": {"max_depth": [3, 5, 7], "n_estimators": [50, 100]},
+    "gradient_boosting": {"learning_rate": [0.01, 0.1], "max_depth": [3, 5], "n_estimators": [50, 100]},
+}
+SEARCH_FOLDS = 3
+
+
+def _grid_points(name: str, est, grid: dict, n: int, sd: float) -> list[tuple[str, dict]]:
+    """(text, parameter map) of every point of a model's grid, for a fit on ``n`` rows whose label has the
+    standard deviation ``sd``. Spark's penalties are per row, its ridge's also per standard deviation of the label."""
+    import itertools
+
+    from pyspark.ml.tuning import ParamGridBuilder
+    inner = est.getClassifier() if hasattr(est, "getClassifier") else est  # one-vs-rest passes its own on
+    spark_param = {
+        "C": lambda v: (inner.regParam, 1.0 / (v * n)),
+        "alpha": lambda v: (inner.regParam, v * sd / n if name == "ridge" else v),
+        "max_depth": lambda v: (inner.maxDepth, v),
+        "min_samples_split": lambda v: (inner.minInstancesPerNode, -(-v // 2)),
+        "n_estimators": lambda v: (inner.maxIter if name == "gradient_boosting" else inner.numTrees, v),
+        "learning_rate": lambda v: (inner.stepSize, v),
+    }
+    builder = ParamGridBuilder()
+    for p, values in grid.items():
+        pairs = [spark_param[p](v) for v in values]
+        builder = builder.addGrid(pairs[0][0], [v for _, v in pairs])
+    texts = [", ".join(f"{p}={v}" for p, v in zip(grid, vs)) for vs in itertools.product(*grid.values())]
+    return list(zip(texts, builder.build()))
+
+
+def grid_search(rows: DataFrame, key: str, models: dict, grids: dict, regression: bool, seed: int = 42) -> dict:
+    """M9: every point of every model's grid fitted on two of three folds and scored on the third. ``rows``
+    are prepared train rows (key, features, __y, __w). Score: F1 of class 1 for two classes, weighted F1 for
+    more, the negative mean squared error for a number. Folds by a hash of the key. Returns per model
+    {"est": the estimator with the best point (ties: the first) for a fit on all of ``rows``, "best": its text,
+    "points": (text, mean, population sd) of all}; a model without a grid, and every one where a fold
+    is empty, keeps its own parameters."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+    own = {name: {"est": est, "best": None, "points": []} for name, est in models.items()}
+    fold = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(seed + 2)), F.lit(SEARCH_FOLDS)).cast("int")
+    rows = rows.withColumn("__fold", fold).persist()
+    per = {r["__fold"]: r for r in rows.groupBy("__fold").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("__y").alias("s"), F.sum(F.col("__y") * F.col("__y")).alias("q"),
+        F.max("__y").alias("hi")).collect()}
+    if len(per) < SEARCH_FOLDS:
+        rows.unpersist()
+        return own
+
+    def shape(folds):
+        n, s, q = (sum(per[f][c] for f in folds) for c in ("n", "s", "q"))
+        return n, max(q / n - (s / n) ** 2, 0.0) ** 0.5
+
+    if regression:
+        score, sign = RegressionEvaluator(labelCol="__y", metricName="mse"), -1.0
+    elif max(r["hi"] for r in per.values()) > 1:
+        score, sign = MulticlassClassificationEvaluator(labelCol="__y", metricName="f1"), 1.0
+    else:
+        score, sign = MulticlassClassificationEvaluator(labelCol="__y", metricName="fMeasureByLabel", metricLabel=1.0), 1.0
+
+    def one(job):
+        name, f, at = job
+        rest = [x for x in per if x != f]
+        _, point = _grid_points(name, models[name], grids[name], *shape(rest))[at]
+        model = models[name].fit(rows.filter(F.col("__fold") != f), point)
+        return sign * score.evaluate(model.transform(rows.filter(F.col("__fold") == f)))
+
+    searched = {name: _grid_points(name, models[name], grids[name], *shape(per)) for name in models if name in grids}
+    jobs = [(name, f, at) for name, points in searched.items() for at in range(len(points)) for f in sorted(per)]
+    with ThreadPoolExecutor(max_workers=8) as ex:
+        got = dict(zip(jobs, ex.map(one, jobs)))
+    rows.unpersist()
+    for name, points in searched.items():
+        table = []
+        for at, (text, _) in enumerate(points):
+            xs = [got[(name, f, at)] for f in sorted(per)]
+            mean = sum(xs) / len(xs)
+            table.append((text, mean, (sum((x - mean) ** 2 for x in xs) / len(xs)) ** 0.5))
+        best = max(range(len(table)), key=lambda i: (table[i][1], -i))
+        own[name] = {"est": models[name].copy(points[best][1]), "best": table[best][0], "points": table}
+    return own
+
+
+_TUNED = ", best_params string, grid array<struct<params: string, score_mean: double, score_std: double>>"
+
+
+def grid_table(metrics: DataFrame) -> DataFrame:
+    """M9: a row for each point of each model's grid, from the metrics of a tuned training."""
+    return metrics.select("model", F.explode("grid").alias("p"), "best_params").select(
+        "model", "p.params", "p.score_mean", "p.score_std", (F.col("p.params") == F.col("best_params")).alias("best"))
+
+
 def train_classifiers(df: DataFrame, features: list[str], label: str, key: str, seed: int = 42,
-                      n_classes: int | None = None, with_predictions: bool = False):
+                      n_classes: int | None = None, with_predictions: bool = False, tune: bool = False):
     """M3 + M6 + M11 + M15: stratified split, balanced class weights where the smallest class has under
     0.3 of the largest's rows, imputer / scaler fitted on train only, logistic regression,
     decision tree (depth 5), random forest (100 trees, depth 5), linear SVM (one-vs-rest
-    beyond two classes). Returns (metrics table, importances table) and, if asked, each model's
-    predictions (__y, prediction, split)."""
+    beyond two classes). With ``tune`` every model is trained with the best point of its grid (M9), and the
+    metrics have best_params and grid. Returns (metrics table, importances table) and, if asked, each
+    model's predictions (__y, prediction, split)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                            RandomForestClassifier)
@@ -348,6 +452,11 @@ def train_classifiers(df: DataFrame, features: list[str], label: str, key: str,
     svc = LinearSVC(featuresCol="features", labelCol="__y", weightCol="__w", regParam=1.0 / (0.1 * max(n_train, 1)))
     models["linear_svm"] = svc if n_classes == 2 else OneVsRest(classifier=svc, featuresCol="features",
                                                                 labelCol="__y", weightCol="__w", parallelism=max(2, n_classes or 2))
+    found = None
+    if tune:
+        prep = Pipeline(stages=[idx] + _prep_pipeline(features)).fit(train)
+        found = grid_search(prep.transform(train).select(key, "features", "__y", "__w"), key, models, GRIDS, False, seed)
+        models = {name: f["est"] for name, f in found.items()}
     metrics, imps = [], []
     def fit(item):
         name, est = item
@@ -363,12 +472,12 @@ def train_classifiers(df: DataFrame, features: list[str], label: str, key: str,
         row = [name]
         for part in ("train", "val", "test"):
             row += [mm.get(part, {}).get(m) for m in ("accuracy", "precision", "recall", "f1")]
-        metrics.append(tuple(row) + (n_train, len(features)))
+        metrics.append(tuple(row) + (n_train, len(features)) + ((found[name]["best"], found[name]["points"]) if tune else ()))
         imps += [(name, f, float(v)) for f, v in zip(features, _importances(pm.stages[-1], len(features)))]
     data.unpersist()
     cols = ["model"] + [f"{p}_{m}" for p in ("train", "val", "test") for m in ("accuracy", "precision", "recall", "f1")]
     mt = spark.createDataFrame(metrics, ", ".join(f"{c} {'string' if c == 'model' else 'double'}" for c in cols)
-                               + ", n_train long, n_features long")
+                               + ", n_train long, n_features long" + (_TUNED if tune else ""))
     it = spark.createDataFrame(imps, "model string, feature string, importance double")
     w = Window.partitionBy("model").orderBy(F.col("importance").desc(), F.col("feature"))
     it = it.withColumn("rank", F.row_number().over(w))
@@ -394,8 +503,9 @@ def _importances(model, k: int) -> list[float]:
     return list(v / s) if s > 0 else list(v)
 
 
-def train_regressors(df: DataFrame, features: list[str], label: str, key: str, seed: int = 42) -> DataFrame:
-    """M7: OLS, ridge (alpha 1), lasso (alpha .1), tree, forest, GBT(100, .1, depth 3); rmse / mae / r2."""
+def train_regressors(df: DataFrame, features: list[str], label: str, key: str, seed: int = 42, tune: bool = False) -> DataFrame:
+    """M7: OLS, ridge (alpha 1), lasso (alpha .1), tree, forest, GBT(100, .1, depth 3); rmse / mae / r2. With
+    ``tune`` every model that has a grid is trained with its best point (M9): best_params and grid."""
     from pyspark.ml import Pipeline
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
@@ -415,6 +525,11 @@ def train_regressors(df: DataFrame, features: list[str], label: str, key: str, s
         "gradient_boosting": GBTRegressor(featuresCol="features", labelCol="__y", maxIter=100, stepSize=0.1,
                                           maxDepth=3, seed=seed),
     }
+    found = None
+    if tune:
+        prep = Pipeline(stages=_prep_pipeline(features)).fit(train)
+        found = grid_search(prep.transform(train).select(key, "features", "__y"), key, models, REGRESSION_GRIDS, True, seed)
+        models = {name: f["est"] for name, f in found.items()}
     out = []
     def fit(item):
         name, est = item
@@ -428,17 +543,17 @@ def train_regressors(df: DataFrame, features: list[str], label: str, key: str, s
         row = [name]
         for part in ("train", "val", "test"):
             row += [mm.get(part, {}).get(m) for m in ("rmse", "mae", "r2")]
-        out.append(tuple(row) + (n, len(features)))
+        out.append(tuple(row) + (n, len(features)) + ((found[name]["best"], found[name]["points"]) if tune else ()))
     data.unpersist()
     cols = ["model"] + [f"{p}_{m}" for p in ("train", "val", "test") for m in ("rmse", "mae", "r2")]
     return spark.createDataFrame(out, ", ".join(f"{c} {'string' if c == 'model' else 'double'}" for c in cols)
-                                 + ", n_train long, n_features long")
+                                 + ", n_train long, n_features long" + (_TUNED if tune else ""))
 
 
 def cross_validate(df: DataFrame, features: list[str], label: str, key: str, folds: int = 5,
                    seed: int = 42) -> DataFrame:
-    """K-fold cross-validation with a hash fold column (stratified in expectation);
-    a small regularisation grid for logistic regression; F1 mean / sd / min / max."""
+    """Cross-validation of a logistic regression at two penalties, with a hash fold column (stratified in
+    expectation): F1 mean and sd. M9's grids are in ``grid_search``, M10's fold scores in ``fold_scores``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -570,8 +685,8 @@ def permutation_importance(model, data: DataFrame, features: list[str], key: str
     return t.withColumn("normalized", F.when(F.lit(total) > 0, F.greatest(F.col("importance"), F.lit(0.0)) / F.lit(total or 1.0)))
 
 
-def run_ml_pipeline(df: DataFrame, target: str | None, features: list[str], key: str) -> dict[str, DataFrame]:
-    """Pre-train risks, validity, problem type, reduction, training, best model by validation F1 (R2
+def run_ml_pipeline(df: DataFrame, target: str | None, features: list[str], key: str, tune: bool = True) -> dict[str, DataFrame]:
+    """Pre-train risks, validity, problem type, reduction, training on each model's best grid point (unless ``tune`` is off), best model by validation F1 (R2
     for a number), cross-validation, error analysis of the best model, health, checks, confidence and
     actions. Returns the result tables."""
     spark = df.sparkSession
@@ -597,14 +712,16 @@ def run_ml_pipeline(df: DataFrame, target: str | None, features: list[str], key:
     regression = ptype == "regression"
     feats = auto_reduce(df, features, target, tp["n"], regression=regression)
     if regression:
-        metrics = train_regressors(df, feats, target, key)
+        metrics = train_regressors(df, feats, target, key, tune=tune)
         runs = metrics.select("model", F.col("train_r2").alias("train_score"), F.col("val_r2").alias("val_score"),
                               F.col("test_r2").alias("test_score"), "n_train", "n_features")
     else:
-        metrics, out["importance"], pred = train_classifiers(df, feats, target, key, n_classes=tp["distinct"], with_predictions=True)
+        metrics, out["importance"], pred = train_classifiers(df, feats, target, key, n_classes=tp["distinct"], with_predictions=True, tune=tune)
         runs = metrics.select("model", F.col("train_accuracy").alias("train_score"), F.col("val_accuracy").alias("val_score"),
                               F.col("test_accuracy").alias("test_score"), "n_train", "n_features")
         out["cross_validation"] = cross_validate(df, feats, target, key)
+    if tune:
+        out["grid"] = grid_table(metrics)
     out["folds"] = fold_scores(df, feats, target, key, regression=regression)
     rank_by = metrics.select("model", F.col("val_r2" if regression else "val_f1").alias("rank_score"))
     perfect = rank_by.agg(F.max("rank_score") == 1.0).first()[0]

@@ -1,5 +1,7 @@
 """The one-aggregate metrics equal Spark ML's evaluators on every split."""
 
+import itertools
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -37,3 +39,25 @@ def test_regression_metrics_match_evaluator(spark):
         for k in ("rmse", "mae", "r2"):
             ref = RegressionEvaluator(labelCol="__y", metricName=k).evaluate(q)
             assert abs(ref - mm[sp][k]) < 1e-9 * max(1.0, abs(ref))
+
+
+def test_every_grid_has_the_reference_points():
+    count = lambda g: {m: len(list(itertools.product(*v.values()))) for m, v in g.items()}
+    assert count(M.GRIDS) == {"logistic_regression": 3, "decision_tree": 9, "random_forest": 6, "linear_svm": 2}
+    assert count(M.REGRESSION_GRIDS) == {"ridge": 4, "lasso": 4, "decision_tree": 3, "random_forest": 6, "gradient_boosting": 8}
+
+
+def test_tuned_regressors_are_trained_with_their_best_point(spark, monkeypatch):
+    monkeypatch.setattr(M, "REGRESSION_GRIDS", {"lasso": {"alpha": [1e9, 0.1]}, "decision_tree": {"max_depth": [1, 4]},
+                                                "gradient_boosting": {"learning_rate": [0.1], "max_depth": [2], "n_estimators": [1, 2]},
+                                                "random_forest": {"max_depth": [2], "n_estimators": [2, 3]}})
+    li = spark.createDataFrame([(i, float(i % 17), float(i % 5), 3.0 * (i % 17) ** 2 + i % 5) for i in range(150)],
+                               "row_key long, a double, b double, y double").coalesce(1)
+    t = M.train_regressors(li, ["a", "b"], "y", "row_key", tune=True)
+    got = {r["model"]: r for r in t.collect()}
+    assert got["lasso"]["best_params"] == "alpha=0.1" and got["lasso"]["train_r2"] > 0.8  # 0 with alpha=1e9
+    assert got["decision_tree"]["best_params"] == "max_depth=4"
+    assert got["gradient_boosting"]["best_params"].endswith("n_estimators=2")
+    assert {m: len(r["grid"]) for m, r in got.items()} == {"linear_regression": 0, "ridge": 0, "lasso": 2, "decision_tree": 2,
+                                                          "random_forest": 2, "gradient_boosting": 2}
+    assert M.grid_table(t).filter("best").count() == 4
