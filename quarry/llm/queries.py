@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (decision_list, decontaminate, license_scan, mixing, near_dedup, rule_ensemble, suffix_dedup, token_counts,
-                        token_output, warc)
+from quarry.llm import (decision_list, decontaminate, lexical_search, license_scan, mixing, near_dedup, period_runs, rule_ensemble,
+                        sentence_pieces, suffix_dedup, token_counts, token_output, warc)
 from quarry.llm.store import table
 
 QUERIES: dict = {}
@@ -83,3 +83,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.verbatim_matches(
         table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"),
         keep=["doc_id"]).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
+
+
+@query
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.piece_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_documents(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+ORACLE["op12_lexical_search"] = lexical_search.ORACLE
+
+
+@query
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_runs.run_digests(period_runs.with_loops(table(spark, sf_dir, "documents", "doc_id", "text")))
