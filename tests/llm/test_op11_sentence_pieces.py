@@ -80,7 +80,7 @@ def test_compiled_maps_normalise_as_the_library(rule):
         assert len(source) == len(out) + 1 and sorted(source) == source
         plain, offsets = made.normalize(text, with_offsets=True)  # offsets of characters
         at, chars = ([0, *itertools.accumulate(len(c.encode()) for c in t)] for t in (plain, text))
-        assert [source[i] for i in at] == [chars[i] for i in offsets]
+        assert not plain or [source[i] for i in at] == [chars[i] for i in offsets]
 
 
 def test_malformed_bytes_are_lost_characters():
