@@ -5,6 +5,7 @@ that fails it has none of the keys; one that passes may still have none, and a j
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +33,21 @@ def sieved(rows: DataFrame, key: str, of: DataFrame) -> DataFrame:
                 "(cast(conv(hex(substring(sieve_bits, sieve_at div 8 + 1, 1)), 16, 10) as int)"
                 " div cast(power(2, sieve_at % 8) as int)) % 2 = 1"), F.lit(False)))
             .drop("sieve_part", "sieve_bits", "sieve_at"))
+
+
+def low_bits(keys: DataFrame, key: str) -> np.ndarray:
+    """The same bitmap for tasks' own use, over the low bits of keys that are hashes already: 2 MB on the driver."""
+    place = F.col(key).bitwiseAND((1 << BITS) - 1)
+    parts = (keys.select(place.alias("p")).distinct().groupBy(F.shiftright("p", 15).alias("part"))
+             .agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(_BUCKET - 1)).alias("bits")))
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    for r in parts.collect():
+        bits = np.frombuffer(r["bits"], np.uint8)
+        out[r["part"] * _BUCKET // 8:][:len(bits)] = bits
+    return out
+
+
+def among(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each of the unsigned 64-bit keys may be in the bitmap."""
+    place = (keys & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.store import materialize
+from quarry.llm.store import materialize, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     print_of = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = print_of(edges)
     while True:
-        edges = materialize(_star(_star(edges, True), False), "links")
+        old, edges = edges, materialize(_star(_star(edges, True), False), "links")
+        release(old)
         now = print_of(edges)
         if now == before:
             break

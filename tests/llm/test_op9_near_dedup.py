@@ -90,3 +90,41 @@ def test_single_word_differs_from_pair():
     buf = np.frombuffer(b"ababab c", np.uint8)
     s = N.shingle_sets(buf, np.array([0, 2, 4, 8]), 2)
     assert s[0] == s[1] and s[2] != s[0] and W.SPACED.sum() == 250
+
+
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(3)
+    t1, t2 = (" ".join(f"w{rng.randrange(900)}" for _ in range(120)) for _ in range(2))
+    docs = [(1, t1), (1, t2), (2, t2 + " more"), (3, t1 + " more"), (5, "other words here"), (5, "a text of its own"), (5, "a text of its own")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    out = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in rows(N.near_duplicates(df, shingle=2))}
+    assert out[(2, 120)] == (1, False) and out[(3, 120)] == (1, False) and out[(1, 119)] == (1, True)
+    left = sorted(tuple(r) for r in N.deduplicated(df, shingle=2).collect())
+    assert left == sorted([docs[0], docs[1], docs[4], docs[5]])
+    docs = [(5, t1), (5, t2), (2, t2 + " more"), (7, t1 + " more")]
+    left = N.deduplicated(spark.createDataFrame(docs, "doc_id long, text string"), shingle=2)
+    assert sorted(tuple(r) for r in left.collect()) == sorted([docs[0], docs[2]])
+
+
+def test_stars_in_parts_and_blocks_in_parts(spark, monkeypatch):
+    """A hub with more members than a part, open members in more than one block: same groups."""
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(3000)]
+    base = rng.choices(vocab, k=200)
+    docs = []
+    for i in range(120):
+        t = list(base)
+        for _ in range(rng.choice([2, 8, 14])):
+            t[rng.randrange(200)] = rng.choice(vocab)
+        docs.append((i, " ".join(t)))
+    monkeypatch.setattr(N, "STAR", 7)
+    monkeypatch.setattr(N, "BLOCK", 9)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert got(N.near_duplicates(df, shingle=2)) == brute(docs, 2)
+
+
+def test_columns_of_any_name(spark):
+    docs = [(1, "a b c d e f", 1, "r"), (2, "A b c d e f", 2, "s"), (3, "x", 3, "t")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, node int, rep string")
+    assert [r["component_id"] for r in N.near_duplicates(df, shingle=2).orderBy("doc_id").collect()] == [1, 1, 3]
+    assert sorted(tuple(r) for r in N.deduplicated(df, shingle=2).collect()) == [docs[0], docs[2]]
