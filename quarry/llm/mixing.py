@@ -212,12 +212,28 @@ levels AS (SELECT *, row_number() OVER (ORDER BY cap / weight, code) AS pos,
                   sum(weight) OVER (ORDER BY cap / weight, code ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM weighed),
 free AS (SELECT *, (budget - below) / rest AS lam FROM levels),
 first_free AS (SELECT min(pos) AS pos, arg_min(lam, pos) AS lam FROM free WHERE lam * weight < cap),
-goals AS (SELECT f.source, f.source_size, CASE WHEN ff.pos IS NULL OR f.pos < ff.pos THEN f.cap ELSE ff.lam * f.weight END AS target
+goals AS (SELECT f.source, f.source_size, f.code, CASE WHEN ff.pos IS NULL OR f.pos < ff.pos THEN f.cap ELSE ff.lam * f.weight END AS target
           FROM free f CROSS JOIN first_free ff),
-placed AS (SELECT s.doc_id, s.size, g.source_size, g.target, CAST(round(g.target) AS BIGINT) AS goal,
+need AS (SELECT code, source, CAST(round(target) AS BIGINT) AS goal, CAST(ceil(round(target) / 1024) AS BIGINT) AS blocks FROM goals),
+parts AS (SELECT code, blocks, sum(blocks) OVER () AS total, sum(blocks) OVER (ORDER BY code ROWS UNBOUNDED PRECEDING) AS upto FROM need WHERE blocks > 0),
+cells AS (SELECT code, blocks, CAST(floor((upto - blocks) * 4294967296.0::DOUBLE / total) AS BIGINT) AS lo,
+                 CAST(floor(upto * 4294967296.0::DOUBLE / total) AS BIGINT) AS hi FROM parts),
+slots AS (SELECT slot, ((slot % 65536) * 2654435769 + (((slot // 65536) % 65536) * 2654435769 % 65536) * 65536) % 4294967296 AS u
+          FROM (SELECT unnest(range((SELECT coalesce(max(total), 0)::BIGINT FROM parts))) AS slot) s),
+ranked AS (SELECT slot, code, blocks, row_number() OVER (PARTITION BY code ORDER BY slot) - 1 AS rank FROM slots JOIN cells ON lo <= u AND u < hi),
+have AS (SELECT code, count(*) AS n FROM ranked GROUP BY code),
+late AS (SELECT c.code, unnest(range(coalesce(h.n, 0), c.blocks)) AS rank FROM cells c LEFT JOIN have h USING (code)),
+schedule AS (SELECT code, rank, slot FROM ranked WHERE rank < blocks UNION ALL
+             SELECT code, rank, (SELECT max(total) FROM parts)::BIGINT + row_number() OVER (ORDER BY rank, code) - 1 FROM late),
+placed AS (SELECT row_number() OVER () AS row_id, s.doc_id, s.size, g.source_size, g.target, n.code, n.goal,
                   sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size AS first
-           FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(greatest(0, least(first + size, goal) - first)
-            + greatest(0, least(first + source_size + size, goal) - first - source_size) AS BIGINT) AS taken
-FROM placed"""
+           FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source JOIN need n ON n.code = g.code),
+reads AS (SELECT row_id, code, goal, size, first + pass * source_size AS begun FROM placed, (SELECT unnest([0, 1]) AS pass) p WHERE size > 0),
+blocks AS (SELECT row_id, code, goal, size, begun, unnest(range(CAST(begun // 1024 AS BIGINT), CAST((begun + size - 1) // 1024 + 1 AS BIGINT))) AS rank FROM reads),
+pieces AS (SELECT b.row_id, s.slot, least(b.begun + b.size, (b.rank + 1) * 1024, b.goal) - greatest(b.begun, b.rank * 1024) AS words
+           FROM blocks b JOIN schedule s ON s.code = b.code AND s.rank = b.rank),
+taken AS (SELECT row_id, CAST(sum(words) AS BIGINT) AS taken, count(*) AS n_pieces, min(slot) AS first_slot, max(slot) AS last_slot
+          FROM pieces WHERE words > 0 GROUP BY row_id)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, coalesce(taken, 0) AS taken, coalesce(n_pieces, 0) AS n_pieces,
+       first_slot, last_slot
+FROM placed LEFT JOIN taken USING (row_id)"""

@@ -22,7 +22,9 @@ def query(fn):
 @query
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
-    return mixing.mix(mixing.sized(docs)).select("doc_id", "size", "source_size", "target", "taken")
+    slot = F.transform("slots", lambda p: p["slot"])
+    return mixing.mix(mixing.sized(docs)).select("doc_id", "size", "source_size", "target", "taken", F.size("slots").cast("long").alias("n_pieces"),
+                                                 F.array_min(slot).alias("first_slot"), F.array_max(slot).alias("last_slot"))
 
 
 ORACLE["op1_mixing"] = mixing.ORACLE

@@ -7,9 +7,11 @@ The result is one Spark column expression over the statistics, which scores all
 The trees and weights are fitted on the driver on at most ``most`` labelled rows (20,000 unless set,
 the least by a hash of the id). Held-out rows never enter.
 
-Defined cases: a null or empty text has statistics of 0 and gets the score they give; without labels of
-both kinds every score is the labels' mean (0.5 without any); a null doc_id is not held out and cannot
-be learned from; a document labelled twice has its majority; extra columns are ignored or kept."""
+Defined cases: a null or empty text has statistics of 0 and gets the score they give; no rules are learned from
+fewer than LEAST_LABELS labelled rows, or from labels of one kind: every score is then the labels' mean (0.5
+without any, kept within 0.01 and 0.99), and ``accepted`` keeps all rows, as nothing tells good from bad; a null doc_id
+is not held out and cannot be learned from; a document labelled twice has its majority, one id with several texts
+the least statistics among them; extra columns are ignored or kept."""
 
 from __future__ import annotations
 
@@ -23,6 +25,8 @@ from quarry.llm.store import materialize
 TREES, DEPTH, BINS, RATE = 24, 3, 32, 0.3
 LASSO, STEPS = 0.001, 600
 LEARN_ROWS = 20_000
+#: Labelled rows below which no rules are learned.
+LEAST_LABELS = 10
 KEEP_SCORE = 0.7
 
 
@@ -112,7 +116,7 @@ class RuleModel:
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray) -> "RuleModel":
-        if len(y) < 10 or y.min() == y.max():
+        if len(y) < LEAST_LABELS or y.min() == y.max():
             share = min(max(float(y.mean()) if len(y) else 0.5, 0.01), 0.99)
             return cls(float(np.log(share / (1 - share))), [], [])
         seen, rules = set(), []
@@ -167,7 +171,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              label: str = "quality", most: int = LEARN_ROWS) -> DataFrame:
-    """The rows predicted good; columns as given."""
+    """The rows predicted good, or all rows where no rules could be learned; columns as given."""
     model, _ = fit(docs, labels, id_col, text_col, label, most)
+    if not model.rules:
+        return docs
     rows, names = with_stats(docs, docs.columns, text_col, with_text=True)
     return rows.filter(model.score() >= KEEP_SCORE).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

@@ -111,12 +111,13 @@ _HASHES = 1 << 40
 
 def learning_sample(stats: DataFrame, labels: DataFrame, label: str, id_col: str, label_id: str = "doc_id", most: int = 20_000):
     """(inputs, labels, ids' crc32) of at most ``most`` labelled rows of ``stats``, those least by a hash
-    of the id, on the driver. A document with several labels has their majority; nulls are no labels."""
+    of the id, on the driver. A document with several labels has their majority; nulls are no labels; of several texts of
+    an id the one with the least statistics counts."""
     one = (labels.select(F.col(label_id).alias("label_id"), F.col(label).cast("double").alias("y")).filter("y is not null")
            .groupBy("label_id").agg((F.avg("y") >= 0.5).cast("int").alias("y")))
     rows = (stats.join(one, F.col(id_col) == F.col("label_id")).withColumn("crc", F.crc32(F.col(id_col).cast("string")))
             .select(*INPUTS, "y", "crc", F.col(id_col).alias("id"), F.pmod(F.xxhash64(id_col), F.lit(_HASHES)).alias("h"))
-            .dropDuplicates(["id"]))
+            .groupBy("id").agg(F.min(F.struct(*INPUTS, "y", "crc", "h")).alias("least")).select("id", "least.*"))
     rows = materialize(rows, "labelled")
     n = rows.count()
     # all rows under this hash are about twice what is wanted, so tasks send the driver little more

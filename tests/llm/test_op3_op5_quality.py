@@ -100,3 +100,41 @@ def test_accepted_keeps_columns(small, labels):
     good = {d for d, r in by_id(R.quality_scores(small, labels)).items() if r["predicted"]}
     assert out.columns == docs.columns and {r["doc_id"] for r in rows(out)} == good
     assert {r["n_words"] for r in rows(out)} == {"x"} and TINY
+
+
+@pytest.mark.parametrize("kind", ["empty", "one-sided", "nine", "null"])
+def test_without_rules_nothing_is_rejected(spark, tiny, kind):
+    ids = [r["doc_id"] for r in tiny.select("doc_id").limit(40).collect()]
+    table = {"empty": [], "one-sided": [(i, 0) for i in ids], "nine": [(i, k % 2) for k, i in enumerate(ids[:9])], "null": [(i, None) for i in ids]}[kind]
+    labels = spark.createDataFrame(table, "doc_id long, quality int")
+    kept = R.accepted(tiny, labels)
+    assert kept.columns == tiny.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in tiny.collect())
+    assert R.quality_scores(tiny, labels).select("score").distinct().count() == 1
+
+
+def test_rules_and_weights_against_plain_loops():
+    """Every rule is a path of a tree, so no rule's cut lies outside its input's values; the lasso's weights
+    are at the minimum: no single weight or the intercept can be moved for a lower loss."""
+    rng = np.random.default_rng(4)
+    x = rng.random((300, len(INPUTS)))
+    y = ((x[:, 0] > 0.5) & (x[:, 1] < 0.7)).astype(int)
+    rules = R.tree_rules(x, y)
+    assert all(x[:, f].min() < cut < x[:, f].max() for r in rules for f, _, cut in r)
+    for r in rules[:40]:
+        plain = [all((row[f] > c) if above else (row[f] <= c) for f, above, c in r) for row in x]
+        assert holds(r, x).tolist() == plain
+    z = np.stack([holds(r, x) for r in rules[:25]], axis=1).astype(float)
+    b, w = R.lasso_logistic(z, y, 0.01, 4000)
+    dev = z.std(axis=0)
+
+    def loss(b, w):
+        p = 1 / (1 + np.exp(-(b + z @ w)))
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) + 0.01 * np.abs(w * np.where(dev > 0, dev, 1)).sum()
+
+    at = loss(b, w)
+    for j in range(len(w)):
+        for step in (-1e-3, 1e-3):
+            other = w.copy()
+            other[j] += step
+            assert loss(b, other) >= at - 1e-6
+    assert min(loss(b + 1e-3, w), loss(b - 1e-3, w)) >= at - 1e-6
