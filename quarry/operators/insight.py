@@ -105,15 +105,17 @@ def recommendations(segments: DataFrame, correlations: DataFrame, tests: DataFra
     """Rule rows (rule, priority, impact, order), ordered by priority then impact. Segmentation 85 and the
     largest segment 75, both haute; the first two strong pairs above 0.7 with |r| in percent, haute above
     0.8; the first two tests of the list that are significant 60, moyenne; quality 70 above 10 % missing,
-    haute above 30; the best model's score in percent, haute above 0.7."""
+    haute above 30; the best model's score in percent, haute above 0.7. r counts to three places, so that
+    a rounding error of an exact r does not reach the percent."""
     seg = segments.agg(F.countDistinct("cluster").alias("k")).filter(F.col("k") > 0)
     row = lambda df, rule, priority, impact: df.select(rule.alias("rule"), priority.alias("priority"), impact.cast("long").alias("impact"))
     level = lambda high: F.when(high, "haute").otherwise("moyenne")
-    pairs = correlations.filter((F.col("kind") == "strong_pair") & (F.col("rank") <= 2) & (F.abs(F.col("r")) > 0.7))
+    pairs = (correlations.filter((F.col("kind") == "strong_pair") & (F.col("rank") <= 2)).withColumn("r", F.round("r", 3))
+             .filter(F.abs(F.col("r")) > 0.7))
     out = (row(seg, F.lit("use_segmentation"), F.lit("haute"), F.lit(85))
            .unionByName(row(seg, F.lit("target_largest_segment"), F.lit("haute"), F.lit(75)))
            .unionByName(row(pairs, F.concat(F.lit("exploit_relation_"), F.col("var1"), F.lit("_"), F.col("var2")),
-                            level(F.abs(F.col("r")) > 0.8), F.floor(F.abs(F.col("r")) * 100)))
+                            level(F.abs(F.col("r")) > 0.8), F.floor(F.round(F.abs(F.col("r")) * 1000) / 10)))
            .unionByName(row(tests.withColumn("rn", F.row_number().over(Window.orderBy("ordinal"))).filter(F.col("rn") <= 2),
                             F.concat(F.lit("act_on_"), F.col("variable1")), F.lit("moyenne"), F.lit(60)))
            .unionByName(row(quality.filter(F.col("missing_pct") > 10), F.lit("improve_collection"),

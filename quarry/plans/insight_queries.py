@@ -169,8 +169,8 @@ insights AS (
 recs AS (
   SELECT 'use_segmentation' AS rule, 'haute' AS priority, 85 AS impact FROM segmentation
   UNION ALL SELECT 'target_largest_segment', 'haute', 75 FROM segmentation
-  UNION ALL SELECT 'exploit_relation_' || var1 || '_' || var2, CASE WHEN abs(r) > 0.8 THEN 'haute' ELSE 'moyenne' END,
-            CAST(floor(abs(r) * 100) AS BIGINT) FROM corr WHERE kind = 'strong_pair' AND rnk <= 2 AND abs(r) > 0.7
+  UNION ALL SELECT 'exploit_relation_' || var1 || '_' || var2, CASE WHEN abs(round(r, 3)) > 0.8 THEN 'haute' ELSE 'moyenne' END,
+            CAST(floor(round(abs(round(r, 3)) * 1000) / 10) AS BIGINT) FROM corr WHERE kind = 'strong_pair' AND rnk <= 2 AND abs(round(r, 3)) > 0.7
   UNION ALL SELECT 'act_on_' || variable1, 'moyenne', 60 FROM (SELECT * FROM tests_i ORDER BY ordinal LIMIT 2) t
   UNION ALL SELECT 'improve_collection', CASE WHEN missing_pct > 30 THEN 'haute' ELSE 'moyenne' END, 70 FROM quality_raw WHERE missing_pct > 10
   UNION ALL SELECT 'deploy_model', CASE WHEN rank_score > 0.7 THEN 'haute' ELSE 'moyenne' END, CAST(floor(rank_score * 100) AS BIGINT) FROM best)

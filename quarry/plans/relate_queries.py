@@ -30,9 +30,9 @@ def _pairs_inner():
                          f"CAST({j} AS BIGINT) AS j, count({a} + {b}) AS n, "
                          f"CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE greatest(-1.0, least(1.0, corr({a}, {b}))) END AS r FROM corr_lineitem")
     inner = f"""
-SELECT var1, var2, i, j, n, r, r * r AS r_squared, {BAND_SQL} AS band, strength,
+SELECT var1, var2, i, j, n, r, r * r AS r_squared, {BAND_SQL.replace('abs(r)', 'abs(round(r, 3))')} AS band, strength,
        CAST(row_number() OVER (PARTITION BY strength ORDER BY round(abs(r), 10) DESC, i, j) AS BIGINT) AS strength_rank
-FROM (SELECT *, CASE WHEN abs(r) > 0.7 THEN 'strong' WHEN abs(r) > 0.4 THEN 'moderate' ELSE 'weak' END AS strength
+FROM (SELECT *, CASE WHEN abs(round(r, 3)) > 0.7 THEN 'strong' WHEN abs(round(r, 3)) > 0.4 THEN 'moderate' ELSE 'weak' END AS strength
       FROM ({' UNION ALL '.join(parts)}) p WHERE r IS NOT NULL AND NOT isnan(r)) s"""
     return inner
 

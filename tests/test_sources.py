@@ -43,3 +43,22 @@ def test_ingest_once_per_file(spark, tmp_path):
     assert "e" not in rows.columns and sorted(r["k"] for r in rows.collect()) == ["1", "2", "3", "4"]
     prof = ingested(spark, out, "profile")
     assert prof.select("batch").distinct().count() == 3 and prof.filter("column = 'v'").agg({"missing": "sum"}).first()[0] == 1
+
+
+def test_unlike_files_keep_their_own_columns(spark, tmp_path):
+    landing, out = tmp_path / "in", str(tmp_path / "out")
+    write(landing / "a.csv", b"a,c\n1,x\n2,y\n")
+    write(landing / "b.csv", b"c,a,b\nz,3,q\n")
+    write(landing / "c.csv", "nom;a\nÉva;9\n".encode("latin-1"))
+    write(landing / "d.csv", b"")
+    write(landing / "e.csv", b"a,note\n" + b"".join(b"%d,%s\n" % (i, b"k" if i == 100 else b"") for i in range(100, 130)))
+    ingest_available(spark, str(landing), out_dir=out)
+    rows = ingested(spark, out, "clean")
+    assert set(rows.columns) == {"a", "b", "c", "nom", "batch"}  # the sparse note goes
+    got = {r["a"]: (r["c"], r["b"], r["nom"]) for r in rows.collect()}
+    assert got["1"] == ("x", None, None) and got["3"] == ("z", "q", None) and got["9"] == (None, None, "Éva")
+    files = {r["path"].rsplit("/", 1)[1]: r for r in ingested(spark, out, "files").collect()}
+    assert "d.csv" not in files  # a file without a byte is no arrival
+    assert files["e.csv"]["removed"] == ["note"] and files["b.csv"]["columns"] == ["c", "a", "b"]
+    prof = ingested(spark, out, "profile")
+    assert prof.filter("column = 'note'").first()["missing"] == 29 and prof.select("batch").distinct().count() == 4
