@@ -80,22 +80,35 @@ def hash_split(df: DataFrame, key: str, seed: int = 42, train: float = 0.6, val:
     return df.withColumn("split", F.when(u < train, "train").when(u < train + val, "val").otherwise("test"))
 
 
-def stratified_split(df: DataFrame, key: str, label: str, seed: int = 42, train: float = 0.6, val: float = 0.2) -> DataFrame:
-    """M3 for classes: each class's rows in the order of a hash of the key, cut at 60 % and 80 %, so a class of
-    five rows or more is in every split. Ranks are counts over 4,096 hash cells per class plus a rank
+def class_ranks(df: DataFrame, key: str, label: str | None, seed: int) -> DataFrame:
+    """The rows with __rank, their place (from 1) among their class's rows in the order of a hash of the key, and __n, the
+    class's rows; one class without a label. Ranks are counts over 4,096 hash cells per class plus a rank
     inside the cell: no window holds a whole class. Null labels are a class of their own."""
     h = F.md5(F.concat_ws("|", F.col(f"`{key}`").cast("string"), F.lit(str(seed))))
-    rows = df.withColumn("__h", h).withColumn("__cell", F.substring("__h", 1, 3)).withColumn("__c", F.col(f"`{label}`"))
+    rows = (df.withColumn("__h", h).withColumn("__cell", F.substring("__h", 1, 3))
+            .withColumn("__c", F.col(f"`{label}`") if label else F.lit(0)))
     cells = rows.groupBy("__c", "__cell").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("__c").orderBy("__cell")
     cells = cells.select(F.col("__c").alias("c2"), F.col("__cell").alias("cell2"), (F.sum("n").over(upto) - F.col("n")).alias("__before"),
                          F.sum("n").over(Window.partitionBy("__c")).alias("__n"))
     rank = F.col("__before") + F.row_number().over(Window.partitionBy("__c", "__cell").orderBy("__h", F.col(f"`{key}`")))
-    at = (F.col("__rank") - 0.5) / F.col("__n")
     return (rows.join(cells, F.col("__c").eqNullSafe(F.col("c2")) & (F.col("__cell") == F.col("cell2")))
-            .withColumn("__rank", rank)
-            .withColumn("split", F.when(at < train, "train").when(at < train + val, "val").otherwise("test"))
-            .drop("__h", "__cell", "__c", "c2", "cell2", "__before", "__n", "__rank"))
+            .withColumn("__rank", rank).drop("__h", "__cell", "__c", "c2", "cell2", "__before"))
+
+
+def stratified_split(df: DataFrame, key: str, label: str, seed: int = 42, train: float = 0.6, val: float = 0.2) -> DataFrame:
+    """M3 for classes: each class's rows in the order of a hash of the key, cut at 60 % and 80 %, so a class of
+    five rows or more is in every split."""
+    at = (F.col("__rank") - 0.5) / F.col("__n")
+    return (class_ranks(df, key, label, seed)
+            .withColumn("split", F.when(at < train, "train").when(at < train + val, "val").otherwise("test")).drop("__rank", "__n"))
+
+
+def folds_of(df: DataFrame, key: str, label: str | None, folds: int = 5, seed: int = 43, name: str = "fold") -> DataFrame:
+    """A fold from 0 for every row, dealt in turn by the rank inside its class (all rows are one class without a
+    label), so folds differ by one row of a class at most and none misses a class of ``folds`` rows or more."""
+    return (class_ranks(df, key, label, seed).withColumn(name, F.pmod(F.col("__rank") - 1, F.lit(folds)).cast("int"))
+            .drop("__rank", "__n"))
 
 
 # ---------------------------------------------------------------- M13 / M14
@@ -329,50 +342,77 @@ REGRESSION_GRIDS = {
     "gradient_boosting": {"learning_rate": [0.01, 0.1], "max_depth": [3, 5], "n_estimators": [50, 100]},
 }
 SEARCH_FOLDS = 3
+#: Rows of a partition when models are fitted: small tables are not dealt to more tasks than they fill.
+FIT_ROWS = 20_000
 
 
-def _grid_points(name: str, est, grid: dict, n: int, sd: float) -> list[tuple[str, dict]]:
-    """(text, parameter map) of every point of a model's grid, for a fit on ``n`` rows whose label has the
-    standard deviation ``sd``. Spark's penalties are per row, its ridge's also per standard deviation of the label."""
+def _packed(df: DataFrame, rows: int) -> DataFrame:
+    return df.coalesce(max(1, -(-rows // FIT_ROWS)))
+
+
+def _f1(cells: list[tuple[float, float, int]], weighted: bool) -> float:
+    """F1 of class 1, or of all classes weighted by their rows, from (label, prediction, n)."""
+    def of(k):
+        hit = sum(n for y, p, n in cells if y == p == k)
+        both = sum(n for y, p, n in cells if y == k) + sum(n for y, p, n in cells if p == k)
+        return 2 * hit / both if both else 0.0
+    if not weighted:
+        return of(1.0)
+    total = sum(n for _, _, n in cells)
+    return sum(of(k) * sum(n for y, _, n in cells if y == k) for k in {y for y, _, _ in cells}) / total if total else 0.0
+
+
+def _points(grid: dict) -> list[dict]:
+    """All points of a grid in the order of the search: names in order, the last varies fastest."""
     import itertools
+    return [dict(zip(grid, vs)) for vs in itertools.product(*grid.values())]
 
-    from pyspark.ml.tuning import ParamGridBuilder
-    inner = est.getClassifier() if hasattr(est, "getClassifier") else est  # one-vs-rest passes its own on
-    spark_param = {
-        "C": lambda v: (inner.regParam, 1.0 / (v * n)),
-        "alpha": lambda v: (inner.regParam, v * sd / n if name == "ridge" else v),
-        "max_depth": lambda v: (inner.maxDepth, v),
-        "min_samples_split": lambda v: (inner.minInstancesPerNode, -(-v // 2)),
-        "n_estimators": lambda v: (inner.maxIter if name == "gradient_boosting" else inner.numTrees, v),
-        "learning_rate": lambda v: (inner.stepSize, v),
-    }
-    builder = ParamGridBuilder()
-    for p, values in grid.items():
-        pairs = [spark_param[p](v) for v in values]
-        builder = builder.addGrid(pairs[0][0], [v for _, v in pairs])
-    texts = [", ".join(f"{p}={v}" for p, v in zip(grid, vs)) for vs in itertools.product(*grid.values())]
-    return list(zip(texts, builder.build()))
+
+def _set(name: str, est, point: dict, n: int, sd: float):
+    """The estimator at a point, for a fit on ``n`` rows whose label has the standard deviation ``sd``. Spark's
+    penalties are per row, its ridge's also per standard deviation of the label."""
+    if name == "linear_svm":
+        from quarry.operators.margin import LinearMargin
+        return LinearMargin(est.n_classes, point["C"])
+    param = {"C": lambda v: (est.regParam, 1.0 / (v * n)), "alpha": lambda v: (est.regParam, v * sd / n if name == "ridge" else v),
+             "max_depth": lambda v: (est.maxDepth, v), "min_samples_split": lambda v: (est.minInstancesPerNode, -(-v // 2)),
+             "n_estimators": lambda v: (est.maxIter if name == "gradient_boosting" else est.numTrees, v),
+             "learning_rate": lambda v: (est.stepSize, v)}
+    return est.copy(dict(param[p](v) for p, v in point.items()))
+
+
+#: What one fit covers: the values of these settings are read off the model grown to the largest of them.
+NESTED = {"decision_tree": ["max_depth"], "random_forest": ["max_depth", "n_estimators"], "gradient_boosting": ["n_estimators"]}
 
 
 def grid_search(rows: DataFrame, key: str, models: dict, grids: dict, regression: bool, seed: int = 42) -> dict:
-    """M9: every point of every model's grid fitted on two of three folds and scored on the third. ``rows``
+    """M9: every point of every model's grid scored on each of three folds, fitted on the other two. ``rows``
     are prepared train rows (key, features, __y, __w). Score: F1 of class 1 for two classes, weighted F1 for
-    more, the negative mean squared error for a number. Folds by a hash of the key. Returns per model
+    more, the negative mean squared error for a number. Folds are stratified by class.
+
+    Points share fits where models are nested: a tree cut at a depth, the first trees of a forest, the first rounds
+    of a boosted model; all linear machines are solved side by side. Returns per model
     {"est": the estimator with the best point (ties: the first) for a fit on all of ``rows``, "best": its text,
     "points": (text, mean, population sd) of all}; a model without a grid, and every one where a fold
     is empty, keeps its own parameters."""
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+
+    from quarry.operators import margin
+    from quarry.operators.staged import staged_scores
     own = {name: {"est": est, "best": None, "points": []} for name, est in models.items()}
-    fold = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(seed + 2)), F.lit(SEARCH_FOLDS)).cast("int")
-    rows = rows.withColumn("__fold", fold).persist()
+    rows = folds_of(rows, key, None if regression else "__y", SEARCH_FOLDS, seed + 2, "__fold").persist()
     per = {r["__fold"]: r for r in rows.groupBy("__fold").agg(
         F.count(F.lit(1)).alias("n"), F.sum("__y").alias("s"), F.sum(F.col("__y") * F.col("__y")).alias("q"),
         F.max("__y").alias("hi")).collect()}
     if len(per) < SEARCH_FOLDS:
         rows.unpersist()
         return own
+    total = sum(r["n"] for r in per.values())
+    packed = _packed(rows, total).persist()
+    packed.count()
+    weighted = max(r["hi"] for r in per.values()) > 1
 
     def shape(folds):
         n, s, q = (sum(per[f][c] for f in folds) for c in ("n", "s", "q"))
@@ -380,34 +420,79 @@ def grid_search(rows: DataFrame, key: str, models: dict, grids: dict, regression
 
     if regression:
         score, sign = RegressionEvaluator(labelCol="__y", metricName="mse"), -1.0
-    elif max(r["hi"] for r in per.values()) > 1:
+    elif weighted:
         score, sign = MulticlassClassificationEvaluator(labelCol="__y", metricName="f1"), 1.0
     else:
         score, sign = MulticlassClassificationEvaluator(labelCol="__y", metricName="fMeasureByLabel", metricLabel=1.0), 1.0
 
     def one(job):
-        name, f, at = job
-        rest = [x for x in per if x != f]
-        _, point = _grid_points(name, models[name], grids[name], *shape(rest))[at]
-        model = models[name].fit(rows.filter(F.col("__fold") != f), point)
-        return sign * score.evaluate(model.transform(rows.filter(F.col("__fold") == f)))
-
-    searched = {name: _grid_points(name, models[name], grids[name], *shape(per)) for name in models if name in grids}
-    jobs = [(name, f, at) for name, points in searched.items() for at in range(len(points)) for f in sorted(per)]
+        """{point as text: score} of one fit."""
+        name, f, point = job
+        grid, nested = grids[name], NESTED.get(name, [])
+        largest = point | {p: max(grid[p]) for p in nested}
+        model = _set(name, models[name], largest, *shape([x for x in per if x != f])).fit(packed.filter(F.col("__fold") != f))
+        test = packed.filter(F.col("__fold") == f)
+        if name == "gradient_boosting":
+            errors = model.evaluateEachIteration(test, "squared")
+            return {_say(name, point | {"n_estimators": v}, grids): -errors[min(v, len(errors)) - 1] for v in grid["n_estimators"]}
+        if not nested:
+            return {_say(name, point, grids): sign * score.evaluate(model.transform(test))}
+        out: dict = {}
+        counts = grid.get("n_estimators", [1])
+        cells = staged_scores(test, model, grid["max_depth"], counts)
+        for d in grid["max_depth"]:
+            for t in counts:
+                mine = [r for r in cells if r["depth"] == d and r["trees"] == t]
+                value = (-sum(r["error"] for r in mine) / max(sum(r["n"] for r in mine), 1) if regression
+                         else _f1([(r["y"], r["prediction"], r["n"]) for r in mine], weighted))
+                out[_say(name, point | {"max_depth": d} | ({"n_estimators": t} if "n_estimators" in grid else {}), grids)] = value
+        return out
+
+    def machines():
+        """Scores of the linear machines: all folds, penalties and classes in the same passes."""
+        est, cs = models["linear_svm"], grids["linear_svm"]["C"]
+        x = margin.prepared(packed, fold="__fold").persist()
+        problems = [(k, c, f) for f in sorted(per) for c in cs for k in est.classes()]
+        solved = margin.solve(x, problems, x.select(F.size("x")).first()[0])
+        weights = {(f, c): solved[[i for i, p in enumerate(problems) if p[1:] == (c, f)]] for f in per for c in cs}
+        got = margin.predicted(x, weights).collect()
+        x.unpersist()
+        return {(_say("linear_svm", {"C": c}, grids), f): _f1([(r["y"], r["prediction"], r["n"]) for r in got if r["fold"] == f and r["c"] == c], weighted)
+                for f in per for c in cs}
+
+    jobs = [(name, f, point) for name in models if name in grids and name != "linear_svm"
+            for point in _points({p: v for p, v in grids[name].items() if p not in NESTED.get(name, [])}) for f in sorted(per)]
+    jobs.sort(key=lambda j: j[0] != "gradient_boosting")  # the longest first
     with ThreadPoolExecutor(max_workers=8) as ex:
-        got = dict(zip(jobs, ex.map(one, jobs)))
+        svm = ex.submit(machines) if "linear_svm" in models and "linear_svm" in grids else None
+        done = list(ex.map(one, jobs))
+        svm = svm.result() if svm else {}
+    packed.unpersist()
     rows.unpersist()
-    for name, points in searched.items():
+    scores: dict = {}
+    for (name, f, _), got in zip(jobs, done):
+        for text, v in got.items():
+            scores.setdefault((name, text), {})[f] = v
+    for (text, f), v in svm.items():
+        scores.setdefault(("linear_svm", text), {})[f] = v
+    for name in models:
+        if name not in grids:
+            continue
+        points = _points(grids[name])
         table = []
-        for at, (text, _) in enumerate(points):
-            xs = [got[(name, f, at)] for f in sorted(per)]
+        for point in points:
+            xs = list(scores[(name, _say(name, point, grids))].values())
             mean = sum(xs) / len(xs)
-            table.append((text, mean, (sum((x - mean) ** 2 for x in xs) / len(xs)) ** 0.5))
+            table.append((_say(name, point, grids), mean, (sum((x - mean) ** 2 for x in xs) / len(xs)) ** 0.5))
         best = max(range(len(table)), key=lambda i: (table[i][1], -i))
-        own[name] = {"est": models[name].copy(points[best][1]), "best": table[best][0], "points": table}
+        own[name] = {"est": _set(name, models[name], points[best], *shape(per)), "best": table[best][0], "points": table}
     return own
 
 
+def _say(name: str, point: dict, grids: dict) -> str:
+    return ", ".join(f"{p}={point[p]}" for p in grids[name])
+
+
 _TUNED = ", best_params string, grid array<struct<params: string, score_mean: double, score_std: double>>"
 
 
@@ -421,15 +506,15 @@ def train_classifiers(df: DataFrame, features: list[str], label: str, key: str,
                       n_classes: int | None = None, with_predictions: bool = False, tune: bool = False):
     """M3 + M6 + M11 + M15: stratified split, balanced class weights where the smallest class has under
     0.3 of the largest's rows, imputer / scaler fitted on train only, logistic regression,
-    decision tree (depth 5), random forest (100 trees, depth 5), linear SVM (one-vs-rest
-    beyond two classes). With ``tune`` every model is trained with the best point of its grid (M9), and the
+    decision tree (depth 5), random forest (100 trees, depth 5), linear SVM (margin.py; each class against the
+    rest beyond two). With ``tune`` every model is trained with the best point of its grid (M9), and the
     metrics have best_params and grid. Returns (metrics table, importances table) and, if asked, each
     model's predictions (__y, prediction, split)."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest,
-                                           RandomForestClassifier)
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import StringIndexer
+
+    from quarry.operators.margin import LinearMargin
     spark = df.sparkSession
     data = stratified_split(df.filter(F.col(f"`{label}`").isNotNull()), key, label, seed)
     sizes = data.filter("split = 'train'").groupBy(F.col(f"`{label}`").alias("__wl")).agg(F.count(F.lit(1)).alias("__wn"))
@@ -439,7 +524,7 @@ def train_classifiers(df: DataFrame, features: list[str], label: str, key: str,
         data = data.join(weights, F.col(f"`{label}`") == F.col("__wl"), "left").drop("__wl").withColumn("__w", F.coalesce("__w", F.lit(1.0)))
     else:
         data = data.withColumn("__w", F.lit(1.0))
-    data = data.persist()
+    data = _packed(data, 2 * n_train).persist()
     idx = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc")
     train = data.filter(F.col("split") == "train")
     models = {
@@ -449,9 +534,7 @@ def train_classifiers(df: DataFrame, features: list[str], label: str, key: str,
         "random_forest": RandomForestClassifier(featuresCol="features", labelCol="__y", weightCol="__w", numTrees=100, maxDepth=5,
                                                 seed=seed),
     }
-    svc = LinearSVC(featuresCol="features", labelCol="__y", weightCol="__w", regParam=1.0 / (0.1 * max(n_train, 1)))
-    models["linear_svm"] = svc if n_classes == 2 else OneVsRest(classifier=svc, featuresCol="features",
-                                                                labelCol="__y", weightCol="__w", parallelism=max(2, n_classes or 2))
+    models["linear_svm"] = LinearMargin(n_classes or max(k, 2))
     found = None
     if tune:
         prep = Pipeline(stages=[idx] + _prep_pipeline(features)).fit(train)
@@ -512,7 +595,8 @@ def train_regressors(df: DataFrame, features: list[str], label: str, key: str, s
                                        RandomForestRegressor)
     spark = df.sparkSession
     data = hash_split(df.filter(F.col(f"`{label}`").isNotNull()), key, seed).withColumn(
-        "__y", F.col(f"`{label}`").cast("double")).persist()
+        "__y", F.col(f"`{label}`").cast("double")).withColumn("__w", F.lit(1.0))
+    data = _packed(data, data.count()).persist()
     train = data.filter(F.col("split") == "train")
     n = max(train.count(), 1)
     models = {
@@ -550,45 +634,19 @@ def train_regressors(df: DataFrame, features: list[str], label: str, key: str, s
                                  + ", n_train long, n_features long" + (_TUNED if tune else ""))
 
 
-def cross_validate(df: DataFrame, features: list[str], label: str, key: str, folds: int = 5,
-                   seed: int = 42) -> DataFrame:
-    """Cross-validation of a logistic regression at two penalties, with a hash fold column (stratified in
-    expectation): F1 mean and sd. M9's grids are in ``grid_search``, M10's fold scores in ``fold_scores``."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.feature import StringIndexer
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-    fold = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(seed + 1)), F.lit(folds))
-    data = df.filter(F.col(f"`{label}`").isNotNull()).withColumn("__fold", fold.cast("int"))
-    lr = LogisticRegression(featuresCol="features", labelCol="__y")
-    pipe = Pipeline(stages=[StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc")]
-                    + _prep_pipeline(features) + [lr])
-    grid = ParamGridBuilder().addGrid(lr.regParam, [0.01, 0.1]).build()
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, numFolds=folds, foldCol="__fold",
-                        evaluator=MulticlassClassificationEvaluator(labelCol="__y", metricName="f1"),
-                        parallelism=2, collectSubModels=False).fit(data)
-    import statistics
-    rows = []
-    for pm, avg in zip(grid, cv.avgMetrics):
-        std = list(cv.stdMetrics)[grid.index(pm)] if hasattr(cv, "stdMetrics") else None
-        rows.append((float(pm[lr.regParam]), float(avg), float(std) if std is not None else None))
-    return df.sparkSession.createDataFrame(rows, "reg_param double, f1_mean double, f1_std double")
-
-
-def fold_scores(df: DataFrame, features: list[str], label: str, key: str, folds: int = 5, regression: bool = False,
-                seed: int = 42, estimator=None) -> DataFrame:
-    """The model fitted on all folds but one and scored on that one, for every fold: mean, standard
-    deviation (population), least and greatest score. Weighted F1 for classes, R2 for a number; folds by a
-    hash of the key; logistic or linear regression unless an estimator (features, __y) is given."""
+def cross_validate(df: DataFrame, features: list[str], label: str, key: str, folds: int = 5, regression: bool = False,
+                   seed: int = 42, estimator=None) -> DataFrame:
+    """(metric, fold, n, score): the model fitted on all folds but one and scored on that one, for every fold.
+    Folds are stratified by class (``folds_of``). F1 of the second class for two classes, weighted F1 for more,
+    R2 for a number; logistic or linear regression unless an estimator (features, __y, __w) is given."""
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StringIndexer
     from pyspark.ml.regression import LinearRegression
-    fold = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(seed + 1)), F.lit(folds)).cast("int")
-    data = df.filter(F.col(f"`{label}`").isNotNull()).withColumn("split", fold)
+    data = folds_of(df.filter(F.col(f"`{label}`").isNotNull()), key, None if regression else label, folds, seed + 1, "split")
+    data = data.withColumn("__w", F.lit(1.0))
     if regression:
         data = data.withColumn("__y", F.col(f"`{label}`").cast("double"))
         estimator = estimator or LinearRegression(featuresCol="features", labelCol="__y")
@@ -596,22 +654,37 @@ def fold_scores(df: DataFrame, features: list[str], label: str, key: str, folds:
         data = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(data).transform(data)
         estimator = estimator or LogisticRegression(featuresCol="features", labelCol="__y")
     data = data.persist()
+    sizes = {r["split"]: r["n"] for r in data.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    kinds = 0 if regression or not sizes else int(data.agg(F.max("__y")).first()[0]) + 1
+    packed = _packed(data, sum(sizes.values())).persist()
 
     def one(f: int):
-        model = Pipeline(stages=_prep_pipeline(features) + [estimator]).fit(data.filter(F.col("split") != f))
-        pred = model.transform(data.filter(F.col("split") == f))
-        got = (regression_metrics if regression else classification_metrics)(pred)
-        return got[f]["r2" if regression else "f1"] if f in got else None
+        model = Pipeline(stages=_prep_pipeline(features) + [estimator]).fit(packed.filter(F.col("split") != f))
+        pred = model.transform(packed.filter(F.col("split") == f))
+        if regression:
+            return regression_metrics(pred)[f]["r2"]
+        cells = [(r["__y"], r["prediction"], r["n"]) for r in pred.groupBy("__y", "prediction").agg(F.count(F.lit(1)).alias("n")).collect()]
+        return _f1(cells, kinds > 2)
 
     with ThreadPoolExecutor(max_workers=folds) as ex:
-        scores = [s for s in ex.map(one, range(folds)) if s is not None]
+        scores = list(ex.map(one, sorted(sizes))) if len(sizes) > 1 else []
+    packed.unpersist()
     data.unpersist()
-    n = len(scores)
-    mean = sum(scores) / n if n else None
-    sd = (sum((s - mean) ** 2 for s in scores) / n) ** 0.5 if n else None
-    return df.sparkSession.createDataFrame(
-        [("r2" if regression else "f1", n, mean, sd, min(scores, default=None), max(scores, default=None))],
-        "metric string, folds int, mean double, std double, min double, max double")
+    name = "r2" if regression else "f1_weighted" if kinds > 2 else "f1"
+    return df.sparkSession.createDataFrame([(name, f, sizes[f], float(s)) for f, s in zip(sorted(sizes), scores)],
+                                           "metric string, fold int, n long, score double")
+
+
+def fold_scores(df: DataFrame, features: list[str], label: str, key: str, folds: int = 5, regression: bool = False,
+                seed: int = 42, estimator=None) -> DataFrame:
+    """Mean, standard deviation (population), least and greatest score of ``cross_validate``."""
+    return summed_folds(cross_validate(df, features, label, key, folds, regression, seed, estimator))
+
+
+def summed_folds(scores: DataFrame) -> DataFrame:
+    return scores.groupBy("metric").agg(
+        F.count(F.lit(1)).cast("int").alias("folds"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"),
+        F.min("score").alias("min"), F.max("score").alias("max"))
 
 
 def clustering_model(vec: DataFrame, k_max: int = 5, seed: int = 42) -> DataFrame:
@@ -719,10 +792,10 @@ def run_ml_pipeline(df: DataFrame, target: str | None, features: list[str], key:
         metrics, out["importance"], pred = train_classifiers(df, feats, target, key, n_classes=tp["distinct"], with_predictions=True, tune=tune)
         runs = metrics.select("model", F.col("train_accuracy").alias("train_score"), F.col("val_accuracy").alias("val_score"),
                               F.col("test_accuracy").alias("test_score"), "n_train", "n_features")
-        out["cross_validation"] = cross_validate(df, feats, target, key)
     if tune:
         out["grid"] = grid_table(metrics)
-    out["folds"] = fold_scores(df, feats, target, key, regression=regression)
+    out["cross_validation"] = cross_validate(df, feats, target, key, regression=regression)
+    out["folds"] = summed_folds(out["cross_validation"])
     rank_by = metrics.select("model", F.col("val_r2" if regression else "val_f1").alias("rank_score"))
     perfect = rank_by.agg(F.max("rank_score") == 1.0).first()[0]
     runs = runs.withColumn("overfit", F.lit(bool(high or perfect)))

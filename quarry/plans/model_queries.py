@@ -222,10 +222,21 @@ def q_train_regressors(spark, sf):
 
 @register("cross_validation")
 def q_cross_validation(spark, sf):
-    """5-fold hash-fold CV with a regularisation grid (rows-only)."""
+    """The score of each of five stratified folds (rows-only)."""
     return M.cross_validate(_keyed(spark, sf), LI_FEATS, "l_returnflag", "row_key")
 
 
+@register("cv_folds", """
+SELECT label, fold, count(*) AS n, CAST(sum(key) AS BIGINT) AS key_sum FROM (
+  SELECT o_orderstatus AS label, o_orderkey AS key,
+         CAST((row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(o_orderkey || '|43'), o_orderkey) - 1) % 5 AS INTEGER) AS fold
+  FROM orders) x GROUP BY label, fold""")
+def q_cv_folds(spark, sf):
+    """Rows and key sum of every class in every stratified fold."""
+    o = M.folds_of(load(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus")
+    return o.groupBy(F.col("o_orderstatus").alias("label"), "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("key_sum"))
+
+
 @register("fold_scores")
 def q_fold_scores(spark, sf):
     """Five-fold scores of a classifier and of a regressor on lineitem (rows-only)."""
