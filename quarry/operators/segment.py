@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.stats import basic_stats, central_sums, quantiles
+from quarry.operators import lloyd
+from quarry.session import cut_lineage
 
 # ---------------------------------------------------------------- K2
 
@@ -106,9 +108,12 @@ def distinctive_features(dna: DataFrame, top: int = 5) -> DataFrame:
     return t.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
-def separation_band(x: float) -> str:
-    """K18 bands for the mean separation."""
-    return "forte" if x > 0.5 else "moderee" if x > 0.25 else "faible" if x > 0 else "nulle"
+def with_bands(runs: DataFrame) -> DataFrame:
+    """Bands of the separation (silhouette; null where it has none), the balance and the dispersion of each run."""
+    s, b, d = F.col("silhouette"), F.col("balance"), F.col("dispersion")
+    return (runs.withColumn("separation", F.when(s > 0.5, "forte").when(s > 0.25, "moderee").when(s > 0, "faible").when(s.isNotNull(), "nulle"))
+            .withColumn("balance_band", F.when(b > 0.5, "equilibree").when(b > 0.2, "acceptable").when(b.isNotNull(), "desequilibree"))
+            .withColumn("dispersion_band", F.when(d > 0.7, "elevee").when(d > 0.4, "moyenne").when(d.isNotNull(), "faible")))
 
 
 def heatmap_radar(dna: DataFrame, max_heat: int | None = None, max_radar: int | None = None) -> DataFrame:
@@ -143,30 +148,26 @@ def _silhouette(pred: DataFrame, label: str = "prediction") -> float:
     return ClusteringEvaluator(featuresCol="features", predictionCol=label).evaluate(pred)
 
 
-def kmeans_best(vec: DataFrame, k: int, seeds: tuple[int, ...] = (42, 59, 76), max_iter: int = 100,
-                min_share: float = 0.05) -> tuple[DataFrame | None, dict]:
-    """K3: k-means restarts; each labelling is rebalanced (K6) and rejected when fewer than k
-    labels survive; the best silhouette wins. Returns (key, prediction) frame and info."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark.ml.clustering import KMeans
-
-    def fit(s):
-        # restarts are independent jobs: Spark runs them concurrently from threads
-        model = KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="features").fit(vec)
-        pred = rebalance(model.transform(vec).withColumn("prediction", F.col("prediction").cast("int")),
-                         "prediction", min_share).persist()
+def kmeans_best(vec: DataFrame, k: int, seeds: tuple[int, ...] = (42, 59, 76), max_iter: int = 500,
+                min_share: float = 0.05, n_init: int = 15, found: dict | None = None) -> tuple[DataFrame | None, dict]:
+    """K3: k-means from ``n_init`` starts for each seed, all at once (lloyd.py), the least inertia of a seed's; each
+    seed's labelling is rebalanced (K6) and rejected when fewer than k labels survive; the best silhouette wins (ties:
+    the first seed). ``found``: centres of ``lloyd.best_of`` where the caller has them. Returns (key, prediction)
+    frame and info."""
+    found = found if found is not None else lloyd.best_of(vec, [k], seeds, n_init, max_iter)
+    best, info = None, {"k": k, "silhouette": None, "seed": None, "method": "kmeans", "inertia": None}
+    tried: dict = {}
+    for s in seeds:
+        centres, cost = found[k, s]
+        mark = tuple(sorted(tuple(round(float(v), 6) for v in c) for c in centres))
+        if mark in tried:  # the same groups as an earlier seed's
+            continue
+        tried[mark] = s
+        pred = rebalance(vec.withColumn("prediction", lloyd.nearest(centres)), "prediction", min_share).persist()
         if pred.select("prediction").distinct().count() < k:
             pred.unpersist()
-            return s, None, None, None
-        return s, pred, _silhouette(pred), model.summary.trainingCost
-
-    best, info = None, {"k": k, "silhouette": None, "seed": None, "method": "kmeans", "inertia": None}
-    with ThreadPoolExecutor(max_workers=len(seeds)) as ex:
-        results = list(ex.map(fit, seeds))
-    for s, pred, sil, cost in results:  # seed order decides ties, as sequential restarts would
-        if pred is None:
             continue
+        sil = _silhouette(pred)
         if info["silhouette"] is None or sil > info["silhouette"]:
             if best is not None:
                 best.unpersist()
@@ -177,12 +178,45 @@ def kmeans_best(vec: DataFrame, k: int, seeds: tuple[int, ...] = (42, 59, 76), m
     return best, info
 
 
-def gaussian_mixture(vec: DataFrame, k: int, seed: int = 42) -> tuple[DataFrame, float]:
-    """K4: Gaussian mixture attempt, scored with the same silhouette."""
+def gaussian_mixture(vec: DataFrame, k: int, seed: int = 42, n_init: int = 5) -> DataFrame:
+    """K4: full-covariance Gaussian mixture, the likeliest of ``n_init`` starts."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.clustering import GaussianMixture
-    model = GaussianMixture(k=k, seed=seed, featuresCol="features").fit(vec)
-    pred = model.transform(vec).withColumn("prediction", F.col("prediction").cast("int"))
-    return pred, _silhouette(pred)
+    with ThreadPoolExecutor(max_workers=n_init) as ex:
+        fits = list(ex.map(lambda i: GaussianMixture(k=k, seed=seed + i, featuresCol="features").fit(vec), range(n_init)))
+    model = max(fits, key=lambda m: m.summary.logLikelihood)  # ties: the first
+    return model.transform(vec).withColumn("prediction", F.col("prediction").cast("int"))
+
+
+def last_resort(vec: DataFrame, key: str, dims: int, k: int, min_share: float = 0.05, n_init: int = 20) -> tuple[DataFrame, float, str]:
+    """K5: k-means on the 3-D coordinates, rebalanced, with their silhouette; where that leaves one group, the
+    split of the first feature by quartiles (silhouette 0). Returns (labelled vec, silhouette, method)."""
+    from pyspark.ml.feature import VectorAssembler
+    axes = axes_3d(vec, key, dims)
+    flat = VectorAssembler(inputCols=["x", "y", "z"], outputCol="features").transform(axes).persist()
+    centres, _ = lloyd.best_of(flat, [k], (42,), n_init)[k, 42]
+    labels = rebalance(flat.withColumn("prediction", lloyd.nearest(centres)), "prediction", min_share)
+    if labels.select("prediction").distinct().count() >= 2:
+        return vec.join(labels.select(key, "prediction"), key), _silhouette(labels), "kmeans_3d"
+    flat.unpersist()
+    from pyspark.ml.functions import vector_to_array
+    first = vec.withColumn("__first", vector_to_array("features")[0])
+    return quartile_labels(first, "__first", k).drop("__first"), 0.0, "quartile"
+
+
+def quartile_labels(df: DataFrame, col: str, k: int) -> DataFrame:
+    """K5's split: two groups at the median; beyond, 1 above the third quartile, 2 below the first, from four groups
+    on 3 in the upper half of what is between, 0 for the rest."""
+    q1, q2, q3 = quantiles(df, [col], [0.25, 0.5, 0.75])[col]
+    x = F.col(f"`{col}`")
+    if k == 2:
+        lab = F.when(x > F.lit(q2), 1)
+    else:
+        lab = F.when(x > F.lit(q3), 1).when(x < F.lit(q1), 2)
+        if k >= 4:
+            lab = lab.when(x > F.lit((q1 + q3) / 2), 3)
+    return df.withColumn("prediction", lab.otherwise(0).cast("int"))
 
 
 def quartile_split(df: DataFrame, col: str, k: int) -> DataFrame:
@@ -196,37 +230,63 @@ def quartile_split(df: DataFrame, col: str, k: int) -> DataFrame:
     return df.withColumn("prediction", lab.cast("int"))
 
 
-def coords_3d(pred: DataFrame, key: str, dims: int) -> DataFrame:
-    """K8: PCA(3) of the standardised vectors (fewer dims: padded axes of 0), each axis
-    min-max rescaled to [-10, 10]; K9: each cluster moved 70% toward its point on a
-    radius-8 sphere (angle 2 pi i / k, elevation +-pi/4 alternating)."""
+def _stretched(points: DataFrame, key: str) -> DataFrame:
+    """Each axis rescaled to [-10, 10]; one without extent is 0."""
+    ext = points.agg(*[F.min(a).alias(f"lo_{a}") for a in "xyz"], *[F.max(a).alias(f"hi_{a}") for a in "xyz"]).first()
+
+    def axis(a):
+        lo, wide = ext[f"lo_{a}"], (ext[f"hi_{a}"] or 0.0) - (ext[f"lo_{a}"] or 0.0)
+        return ((F.col(a) - F.lit(lo)) / F.lit(wide) * 20 - 10 if wide > 0 else F.lit(0.0)).alias(a)
+    return points.select(key, *[axis(a) for a in "xyz"])
+
+
+def axes_3d(vec: DataFrame, key: str, dims: int) -> DataFrame:
+    """K8: (key, x, y, z), each axis in [-10, 10]. Three variables or more: the first three principal components.
+    Two: both components and the distance to their centre. One: the value, the sine of a half turn along it, and its
+    rank among all rows (ties by the key), by range partitions. No noise is added."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import vector_to_array
-    k3 = min(3, dims)
-    p = PCA(k=k3, inputCol="features", outputCol="__pc").fit(pred).transform(pred)
-    arr = vector_to_array("__pc")
-    p = p.select(key, "prediction", *[(arr[i] if i < k3 else F.lit(0.0)).alias(a)
-                                      for i, a in enumerate(["x", "y", "z"])])
-    ext = p.agg(*[F.min(a).alias(f"lo_{a}") for a in "xyz"], *[F.max(a).alias(f"hi_{a}") for a in "xyz"]).first()
-    scaled = p.select(key, "prediction", *[
-        (F.when(F.lit(ext[f"hi_{a}"] - ext[f"lo_{a}"]) > 0,
-                (F.col(a) - ext[f"lo_{a}"]) / F.lit((ext[f"hi_{a}"] - ext[f"lo_{a}"]) or 1.0) * 20 - 10)
-         .otherwise(F.lit(0.0))).alias(a) for a in "xyz"])
-    cents = scaled.groupBy("prediction").agg(*[F.avg(a).alias(f"c{a}") for a in "xyz"])
+    if dims >= 2:
+        p = PCA(k=min(3, dims), inputCol="features", outputCol="__pc").fit(vec).transform(vec)
+        arr = vector_to_array("__pc")
+        if dims >= 3:
+            return _stretched(p.select(key, *[arr[i].alias(a) for i, a in enumerate("xyz")]), key)
+        flat = p.select(key, arr[0].alias("x"), arr[1].alias("y"))
+        c = flat.agg(F.avg("x").alias("x"), F.avg("y").alias("y")).first()
+        far = F.sqrt((F.col("x") - F.lit(c["x"])) ** 2 + (F.col("y") - F.lit(c["y"])) ** 2)
+        return _stretched(flat.withColumn("z", far), key)
+    from quarry.operators.prepare import row_index
+    one = vec.select(key, vector_to_array("features")[0].alias("v"))
+    ranked = row_index(one, F.struct("v", key), "z")
+    lo, hi = ranked.agg(F.min("v"), F.max("v")).first()
+    x = (F.col("v") - F.lit(lo)) / F.lit(hi - lo) * 2 - 1 if lo is not None and hi > lo else F.lit(0.0)
+    return _stretched(ranked.withColumn("x", x).withColumn("y", F.sin(F.col("x") * math.pi)), key)
+
+
+def separated(points: DataFrame, key: str) -> DataFrame:
+    """K9: (key, prediction, x, y, z) with each cluster moved 70% toward its point on a radius-8 sphere (angle
+    2 pi i / k, elevation +-pi/4 alternating)."""
+    cents = points.groupBy("prediction").agg(*[F.avg(a).alias(f"c{a}") for a in "xyz"])
     ids = sorted(r[0] for r in cents.select("prediction").collect())
     k = len(ids)
     if k <= 1:
-        return scaled
+        return points.select(key, "prediction", "x", "y", "z")
     rows = []
     for i, c in enumerate(ids):
         ang, elev = 2 * math.pi * i / k, math.pi / 4 * (1 if i % 2 == 0 else -1)
         rows.append((c, 8 * math.cos(ang) * math.cos(elev), 8 * math.sin(ang) * math.cos(elev), 8 * math.sin(elev)))
-    target = pred.sparkSession.createDataFrame(rows, "prediction int, tx double, ty double, tz double")
+    target = points.sparkSession.createDataFrame(rows, "prediction int, tx double, ty double, tz double")
     off = cents.join(target, "prediction")
-    return (scaled.join(F.broadcast(off), "prediction")
+    return (points.join(F.broadcast(off), "prediction")
             .select(key, "prediction", *[(F.col(a) + 0.7 * (F.col(f"t{a}") - F.col(f"c{a}"))).alias(a) for a in "xyz"]))
 
 
+def coords_3d(pred: DataFrame, key: str, dims: int, axes: DataFrame | None = None) -> DataFrame:
+    """K8 + K9: the axes of the labelled vectors, clusters set apart."""
+    axes = axes if axes is not None else axes_3d(pred, key, dims)
+    return separated(axes.join(pred.select(key, "prediction"), key), key)
+
+
 def dispersion(points: DataFrame) -> dict:
     """dispersion = min(sd/mean of the distance to the centre, 1) (ddof 0);
     3-D quality = min / max axis variance."""
@@ -240,8 +300,9 @@ def dispersion(points: DataFrame) -> dict:
 
 
 def sweep(df: DataFrame, cols: list[str], key: str, ks=(2, 3, 4, 5), seeds=(42, 59, 76),
-          gmm_below: float = 0.2, max_iter: int = 500) -> tuple[DataFrame, DataFrame]:
-    """K13 (+K3/K4/K5/K7/K12/K15/K16): one clustering per k (skip when rows < max(3k, 10)).
+          gmm_below: float = 0.2, max_iter: int = 500, n_init: int = 15) -> tuple[DataFrame, DataFrame]:
+    """K13 (+K3/K4/K5/K7/K12/K15/K16/K18): one clustering per k (skip when rows < max(3k, 10)), the starts of all
+    of them in the same passes.
     Returns (points (k, key, cluster, x, y, z), runs table)."""
     vec, _ = standardize(df, cols, key)
     spark = df.sparkSession
@@ -250,22 +311,22 @@ def sweep(df: DataFrame, cols: list[str], key: str, ks=(2, 3, 4, 5), seeds=(42,
     vec = vec.persist()
     n = vec.count()
     runs, points = [], None
+    ks = [k for k in ks if n >= max(3 * k, 10)]
+    found = lloyd.best_of(vec, ks, tuple(seeds), n_init, max_iter) if ks else {}
+    axes = cut_lineage(axes_3d(vec, key, len(cols))) if ks else None
     for k in ks:
-        if n < max(3 * k, 10):
-            continue
-        pred, info = kmeans_best(vec, k, seeds, max_iter)
+        pred, info = kmeans_best(vec, k, tuple(seeds), max_iter, found=found)
         if pred is None or (info["silhouette"] is not None and info["silhouette"] < gmm_below):
-            g, _ = gaussian_mixture(vec, k)
-            g = rebalance(g, "prediction", 0.05)
+            g = rebalance(gaussian_mixture(vec, k), "prediction", 0.05)
             if g.select("prediction").distinct().count() >= 2:  # two groups are enough once small ones are merged
                 gs = _silhouette(g)
                 if info["silhouette"] is None or gs > info["silhouette"]:
                     pred, info = g, dict(info, silhouette=gs, method="gmm")
         if pred is None:
-            pred = quartile_split(vec, cols[0], k)
-            info = dict(info, method="quartile", silhouette=_silhouette(pred))
+            pred, sil, method = last_resort(vec, key, len(cols), k)
+            info = dict(info, method=method, silhouette=sil)
         sizes = validate(pred, "prediction").first()
-        pts = coords_3d(pred, key, len(cols))
+        pts = coords_3d(pred, key, len(cols), axes)
         disp = dispersion(pts)
         runs.append((k, info["method"], info["silhouette"], sizes["min_size"], sizes["max_size"],
                      sizes["balance"], disp["dispersion"], disp["quality_3d"]))
@@ -274,10 +335,14 @@ def sweep(df: DataFrame, cols: list[str], key: str, ks=(2, 3, 4, 5), seeds=(42,
     # the vectors stay cached for the returned points, which are lazy; the caller's session drops them
     table = spark.createDataFrame(runs, "k int, method string, silhouette double, min_size long, "
                                         "max_size long, balance double, dispersion double, quality_3d double")
-    table = table.withColumn("composite", 0.7 * F.col("silhouette") + 0.3 * F.col("balance"))
+    return points, chosen(table)
+
+
+def chosen(runs: DataFrame) -> DataFrame:
+    """0.7 silhouette + 0.3 balance as the composite, and the runs' rank by it (the smallest k on ties); K18's bands."""
     w = Window.orderBy(F.col("composite").desc(), F.col("k"))
-    table = table.withColumn("choice_rank", F.row_number().over(w))
-    return points, table
+    return (with_bands(runs.withColumn("composite", 0.7 * F.col("silhouette") + 0.3 * F.col("balance")))
+            .withColumn("choice_rank", F.row_number().over(w)))
 
 
 def attach_segment(df: DataFrame, labels: DataFrame, key: str, label_col: str = "cluster",

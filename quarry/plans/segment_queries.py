@@ -143,7 +143,81 @@ def q_kmeans_sweep(spark, sf):
 
 @register("segment_points")
 def q_segment_points(spark, sf):
-    """Every row's 3-D point and segment for k = 3 (best of all seeds), attached by key (rows-only)."""
+    """Every row's 3-D point and segment of the sweep's choice among k = 2..5, attached by key (rows-only)."""
     df = _keyed_lineitem(spark, sf)
-    pts, _ = K.sweep(df, FEATS, "row_key", ks=(3,))
+    pts, runs = K.sweep(df, FEATS, "row_key")
+    pts = pts.filter(F.col("k") == runs.filter("choice_rank = 1").first()["k"])
     return K.attach_segment(df, pts, "row_key").join(pts.select("row_key", "x", "y", "z"), "row_key")
+
+
+@register("axes_of_one", """
+WITH v AS (SELECT o_orderkey, o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS r FROM orders),
+x AS (SELECT o_orderkey, r, (v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()) * 2 - 1 AS x FROM v),
+y AS (SELECT *, sin(x * pi()) AS y FROM x)
+SELECT o_orderkey, round(x * 10, 4) + 0.0 AS x, round((y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()) * 20 - 10, 4) + 0.0 AS y,
+       round(r::DOUBLE / max(r) OVER () * 20 - 10, 4) + 0.0 AS z FROM y""")
+def q_axes_of_one(spark, sf):
+    """K8 for one variable: value, sine and rank axes of the orders' prices."""
+    vec, _ = K.standardize(load(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"], "o_orderkey")
+    return K.axes_3d(vec, "o_orderkey", 1).select("o_orderkey", *[(F.round(a, 4) + F.lit(0.0)).alias(a) for a in "xyz"])
+
+
+SEPARATED_SQL = """
+WITH p AS (SELECT vec_id, label AS prediction, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z
+           FROM embeddings),
+c AS (SELECT prediction, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, row_number() OVER (ORDER BY prediction) - 1 AS i, count(*) OVER () AS k
+      FROM p GROUP BY prediction),
+t AS (SELECT *, 8 * cos(2 * pi() * i / k) * cos(pi() / 4) AS tx, 8 * sin(2 * pi() * i / k) * cos(pi() / 4) AS ty,
+             8 * sin(CASE WHEN i % 2 = 0 THEN pi() / 4 ELSE -pi() / 4 END) AS tz FROM c)
+SELECT vec_id, prediction, CASE WHEN k > 1 THEN x + 0.7 * (tx - cx) ELSE x END AS x, CASE WHEN k > 1 THEN y + 0.7 * (ty - cy) ELSE y END AS y,
+       CASE WHEN k > 1 THEN z + 0.7 * (tz - cz) ELSE z END AS z FROM p JOIN t USING (prediction)"""
+
+
+def _labelled_points(spark, sf):
+    return load(spark, sf, "embeddings").select("vec_id", F.col("label").cast("int").alias("prediction"),
+                                                *[F.col("embedding")[i].cast("double").alias(a) for i, a in enumerate("xyz")])
+
+
+@register("separated_points", f"SELECT vec_id, CAST(prediction AS BIGINT) AS prediction, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, "
+                              f"round(z, 6) + 0.0 AS z FROM ({SEPARATED_SQL}) s")
+def q_separated_points(spark, sf):
+    """K9 over the labels of the embeddings, their first three coordinates as points."""
+    p = K.separated(_labelled_points(spark, sf), "vec_id")
+    return p.select("vec_id", F.col("prediction").cast("long").alias("prediction"), *[(F.round(a, 6) + F.lit(0.0)).alias(a) for a in "xyz"])
+
+
+@register("point_dispersion", f"""
+WITH s AS ({SEPARATED_SQL}), c AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM s),
+d AS (SELECT sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2) AS d, x, y, z FROM s, c),
+r AS (SELECT avg(d) AS m, stddev_pop(d) AS sd, var_pop(x) AS vx, var_pop(y) AS vy, var_pop(z) AS vz FROM d)
+SELECT round(least(sd / m, 1.0), 8) AS dispersion, round(least(vx, vy, vz) / greatest(vx, vy, vz), 8) AS quality_3d FROM r""")
+def q_point_dispersion(spark, sf):
+    """K12 of the separated points."""
+    d = K.dispersion(K.separated(_labelled_points(spark, sf), "vec_id"))
+    return spark.createDataFrame([(round(d["dispersion"], 8), round(d["quality_3d"], 8))], "dispersion double, quality_3d double")
+
+
+@register("segment_attached", """
+SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_linenumber % 3 END AS BIGINT) AS "_EDA_SEGMENT" FROM lineitem""")
+def q_segment_attached(spark, sf):
+    """Labels of two thirds of the rows, attached by key; the others stay without."""
+    li = with_row_key(load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"))
+    labels = li.select("row_key", (F.col("l_linenumber") % 3).cast("long").alias("cluster")).filter("cluster > 0")
+    return K.attach_segment(li, labels, "row_key").drop("row_key")
+
+
+@register("run_choice", oracle_finish("""
+SELECT *, 0.7 * silhouette + 0.3 * balance AS composite, row_number() OVER (ORDER BY 0.7 * silhouette + 0.3 * balance DESC, k) AS choice_rank,
+       CASE WHEN silhouette > 0.5 THEN 'forte' WHEN silhouette > 0.25 THEN 'moderee' WHEN silhouette > 0 THEN 'faible' ELSE 'nulle' END AS separation,
+       CASE WHEN balance > 0.5 THEN 'equilibree' WHEN balance > 0.2 THEN 'acceptable' ELSE 'desequilibree' END AS balance_band,
+       CASE WHEN dispersion > 0.7 THEN 'elevee' WHEN dispersion > 0.4 THEN 'moyenne' ELSE 'faible' END AS dispersion_band
+FROM (SELECT l_linenumber AS k, round(2 * avg(l_discount) * l_linenumber, 6) AS silhouette, round(min(l_quantity) / max(l_quantity) * l_linenumber * 7, 6) AS balance,
+             round(avg(l_quantity) / max(l_extendedprice) * 400 * l_linenumber, 6) AS dispersion FROM lineitem GROUP BY l_linenumber) r""",
+    ["silhouette", "balance", "dispersion", "composite"], ["k"]))
+def q_run_choice(spark, sf):
+    """K16 + K18: composite, choice and bands of runs whose figures are aggregates of the lines."""
+    k = F.col("l_linenumber")
+    runs = (load(spark, sf, "lineitem").groupBy("l_linenumber").agg(
+        F.round(2 * F.avg("l_discount") * k, 6).alias("silhouette"), F.round(F.min("l_quantity") / F.max("l_quantity") * k * 7, 6).alias("balance"),
+        F.round(F.avg("l_quantity") / F.max("l_extendedprice") * 400 * k, 6).alias("dispersion")).withColumnRenamed("l_linenumber", "k"))
+    return finish(K.chosen(runs))
