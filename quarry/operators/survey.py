@@ -184,15 +184,41 @@ def strip_fences(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, "(?i)```json", ""), "```", ""))
 
 
+def balanced_object(text: Column) -> Column:
+    """The longest span from a brace to the one that closes it (the first of equal ones; null without any). Braces
+    inside strings do not count; strings are told apart inside braces only, so quotes in prose do no harm. One
+    running pass over the characters keeps the places of the braces that are still open."""
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("open"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"),
+                     F.lit(0).alias("at"), F.lit(0).alias("size"))
+
+    def step(s, c):
+        pos = s["pos"] + 1
+        inside = F.size(s["open"]) > 0
+        free = ~s["quoted"]
+        opens, closes = free & (c == "{"), free & (c == "}") & inside
+        last = F.when(inside, F.get(s["open"], F.size(s["open"]) - 1))
+        better = closes & (pos - last + 1 > s["size"])
+        return F.struct(
+            pos.alias("pos"),
+            F.when(opens, F.concat(s["open"], F.array(pos))).when(closes, F.slice(s["open"], F.lit(1), F.greatest(F.size(s["open"]) - 1, F.lit(0))))
+            .otherwise(s["open"]).alias("open"),
+            F.when(s["escaped"], s["quoted"]).when((c == '"') & inside, ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"),
+            (s["quoted"] & ~s["escaped"] & (c == "\\")).alias("escaped"),
+            F.when(better, last).otherwise(s["at"]).alias("at"), F.when(better, pos - last + 1).otherwise(s["size"]).alias("size"))
+
+    best = F.aggregate(F.split(text, ""), start, step)
+    return F.when(best["size"] > 0, F.substr(text, best["at"], best["size"]))
+
+
 def extract_json_candidates(text: Column) -> dict[str, Column]:
-    """Q7 ladder: whole text, outermost [...], outermost {...}, truncated-list repair."""
+    """Q7 ladder: whole text, outermost [...], outermost {...}, truncated-list repair, longest balanced {...}."""
     t = strip_fences(text)
     arr = F.regexp_extract(t, r"(?s)\[.*\]", 0)
     obj = F.regexp_extract(t, r"(?s)\{.*\}", 0)
     cut = F.greatest(F.locate("}", F.reverse(t)), F.lit(0))  # position from the end
     repaired = F.when(cut > 0, F.concat(F.substring(t, 1, F.length(t) - cut + 1).cast("string"),
                                         F.lit("]")))
-    return {"whole": t, "array": arr, "object": obj, "repaired": repaired}
+    return {"whole": t, "array": arr, "object": obj, "repaired": repaired, "balanced": balanced_object(t)}
 
 
 def _dict_of_lists(s: Column) -> Column:
@@ -212,17 +238,25 @@ def parse_categories(text: Column) -> Column:
     single object."""
     c = extract_json_candidates(text)
     tries = []
-    for k in ("whole", "array", "object", "repaired"):
+    for k in ("whole", "array", "object", "repaired", "balanced"):
         s = c[k]
         as_list = F.when(F.ltrim(s).startswith("["), F.from_json(s, T.ArrayType(RAW_CATEGORY)))
         cont = F.when(F.ltrim(s).startswith("{"), F.from_json(s, RAW_CONTAINER))
-        single = F.when(F.ltrim(s).startswith("{"), F.array(F.from_json(s, RAW_CATEGORY)))
+        one = F.from_json(s, RAW_CATEGORY)  # a text that does not parse gives a record of nulls
+        some = F.coalesce(*[one[f.name].cast("string") for f in RAW_CATEGORY.fields]).isNotNull()
+        single = F.when(F.ltrim(s).startswith("{") & some, F.array(one))
         tries += [as_list, F.coalesce(cont["categories"], cont["questions"], cont["data"], cont["survey"]), _dict_of_lists(s), single]
     return F.coalesce(*tries)
 
 
+def _some(*texts: Column) -> Column:
+    """The first text that is not empty."""
+    return F.coalesce(*[F.nullif(t, F.lit("")) for t in texts])
+
+
 def normalize_type(raw: Column) -> Column:
     """Q9 type by substring priority: multi -> single -> numerical -> date -> gps -> text."""
+    # fixed values: the substrings that name a type
     r = F.lower(F.coalesce(raw, F.lit("text")))
 
     def any_of(words):
@@ -245,7 +279,9 @@ def normalize_responses(resp: DataFrame, key: str, text_col: str, requested: str
     (key, category, position) instead of a random number."""
     # a flat list parses as categories whose "questions" field is absent: recover the
     # question fields from the same JSON read as RAW_QUESTION
-    flat_q = F.from_json(F.regexp_extract(strip_fences(F.col(text_col)), r"(?s)\[.*\]", 0), T.ArrayType(RAW_QUESTION))
+    tries = extract_json_candidates(F.col(text_col))
+    inner = T.StructType([T.StructField("questions", T.ArrayType(RAW_QUESTION))])
+    flat_q = F.coalesce(F.from_json(tries["array"], T.ArrayType(RAW_QUESTION)), F.from_json(tries["balanced"], inner)["questions"])
     base = resp.select(key, F.col(requested).alias("req"), parse_categories(F.col(text_col)).alias("cats"),
                        flat_q.alias("flat"))
     flat_rows = (base.filter(F.size("cats") > 0).filter(
@@ -255,22 +291,21 @@ def normalize_responses(resp: DataFrame, key: str, text_col: str, requested: str
     flat_rows = flat_rows.select(key, "req", "q", (F.floor(F.col("i") / per)).cast("int").alias("cat_pos"),
                                  (F.col("i") % per).cast("int").alias("q_pos"))
     flat_rows = flat_rows.filter(F.col("cat_pos") < F.greatest(F.size("req"), F.lit(1))).select(
-        key, "cat_pos", "q_pos", F.coalesce(F.element_at("req", F.col("cat_pos") + 1), F.lit("Section"))
-        .alias("category_name"), "q")
+        key, "cat_pos", "q_pos", _some(F.get("req", F.col("cat_pos")), F.lit("Section")).alias("category_name"), "q")
     nested = (base.filter(F.exists("cats", lambda c: c["questions"].isNotNull()))
               .select(key, "req", F.posexplode("cats").alias("cat_pos", "c")))
-    cname = F.coalesce(F.col("c.category_name"), F.col("c.name"), F.col("c.title"), F.col("c.category"),
-                       F.col("c.categorie"), F.element_at("req", F.col("cat_pos") + 1), F.lit("Section"))
+    cname = _some(F.col("c.category_name"), F.col("c.name"), F.col("c.title"), F.col("c.category"),
+                  F.col("c.categorie"), F.get("req", F.col("cat_pos")), F.lit("Section"))
     nested = nested.select(key, "cat_pos", cname.alias("category_name"),
                            F.posexplode(F.coalesce(F.col("c.questions"), F.array().cast(T.ArrayType(RAW_QUESTION))))
                            .alias("q_pos", "q"))
     allq = nested.unionByName(flat_rows)
     q = F.col("q")
-    opts = F.coalesce(q["options"], q["choices"], F.array().cast(T.ArrayType(T.StringType())))
+    opts = F.coalesce(F.when(F.size(q["options"]) > 0, q["options"]), q["choices"], F.array().cast(T.ArrayType(T.StringType())))
     return allq.select(
         key, "cat_pos", "q_pos", "category_name",
-        F.coalesce(q["question_text"], q["question"], q["text"], q["label"], F.lit("Question")).alias("question_text"),
-        normalize_type(F.coalesce(q["question_type"], q["type"])).alias("question_type"),
+        _some(q["question_text"], q["question"], q["text"], q["label"], F.lit("Question")).alias("question_text"),
+        normalize_type(_some(q["question_type"], q["type"])).alias("question_type"),
         F.xxhash64(F.col(key), F.col("cat_pos"), F.col("q_pos")).cast("string").alias("question_id"),
         F.coalesce(q["is_required"], F.lit(True)).alias("is_required"),
         F.transform(opts, lambda o, i: F.struct((i + 1).cast("string").alias("answer_id"),

@@ -58,3 +58,43 @@ def test_object_of_lists(spark):
     df = spark.createDataFrame([(1, text, ["A"]), (2, plain, ["A"])], "k long, t string, req array<string>")
     got = {(r["k"], r["category_name"], r["question_text"]) for r in normalize_responses(df, "k", "t", "req").collect()}
     assert got == {(1, "Santé", "Q1"), (1, "Eau", "Q2"), (1, "Eau", "Q3"), (2, "A", "Q4")}  # a questions list is a flat list
+
+
+def test_balanced_object_against_plain_loop(spark):
+    import random
+
+    from quarry.operators.survey import balanced_object
+    rng = random.Random(7)
+    parts = ["{", "}", '"', "\\", '"a{b"', '\\"', ",", "x", "é", "\U0001F600", "[", "]", ":", " ", '{"k": "v}"}', '{"a": {"b": 1}}']
+
+    def plain(t):
+        best, held, quoted, escaped = "", [], False, False
+        for i, c in enumerate(t):
+            was = quoted
+            if escaped:
+                escaped = False
+            elif c == '"' and held:
+                quoted = not quoted
+            elif quoted and c == "\\":
+                escaped = True
+            if not was and c == "{":
+                held.append(i)
+            elif not was and c == "}" and held:
+                a = held.pop()
+                best = t[a:i + 1] if i + 1 - a > len(best) else best
+        return best or None
+
+    texts = ["".join(rng.choices(parts, k=rng.randrange(0, 14))) for _ in range(600)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {r["i"]: r["o"] for r in df.select("i", balanced_object(F.col("t")).alias("o")).collect()}
+    assert [got[i] for i in range(len(texts))] == [plain(t) if t else None for t in texts]
+
+
+def test_damaged_record_and_empty_aliases(spark):
+    from quarry.operators.survey import normalize_responses
+    text = ('note {"x": [ broken {"category_name": "", "title": "Eau", "questions": [{"question_text": "", "label": "Puits ?", "type": "", '
+            '"options": [], "choices": ["oui", "non"]}]} and more text without an end {')
+    df = spark.createDataFrame([("r", text, ["A"])], "id string, text string, req array<string>")
+    row = normalize_responses(df, "id", "text", "req").first()
+    assert (row["category_name"], row["question_text"], row["question_type"]) == ("A", "Puits ?", "text")
+    assert [a["answer_text"] for a in row["expected_answers"]] == ["oui", "non"]
