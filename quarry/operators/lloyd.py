@@ -18,7 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEEDING = 4096
-TOLERANCE = 1e-8
+#: A start has settled when its centres' squared moves add up to this (vectors are standardised).
+TOLERANCE = 1e-4
+#: Rows of a partition at least, so that a small table is not dealt to more tasks than it fills.
+PART_ROWS = 20_000
 
 
 def _plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -68,7 +71,8 @@ def _assigned(centres: list[np.ndarray], live: list[int]):
 
 def lloyd(vec: DataFrame, begin: list[np.ndarray], max_iter: int = 500) -> list[tuple[np.ndarray, float]]:
     """(centres, inertia) that each start comes to."""
-    rows = vec.select(vector_to_array("features").alias("x")).persist()
+    rows = vec.select(vector_to_array("features").alias("x"))
+    rows = rows.coalesce(max(1, -(-rows.count() // PART_ROWS))).persist()
     centres, inertia = [c.copy() for c in begin], [float("inf")] * len(begin)
     live = list(range(len(begin)))
     for _ in range(max_iter + 1):
