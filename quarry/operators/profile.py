@@ -331,7 +331,7 @@ def column_profile(df: DataFrame, stage: str = "raw", exact: bool = True, with_q
     # one scan: counts of every column, sum / min / max of the numerics
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(cols):
-        aggs.append(F.count(F.col(f"`{c}`")).alias(f"n{i}"))
+        aggs.append(F.count(finite(F.col(f"`{c}`")) if c in nums else F.col(f"`{c}`")).alias(f"n{i}"))
     for j, c in enumerate(nums):
         x = finite(F.col(f"`{c}`"))
         aggs += [F.sum(x).alias(f"s{j}"), F.min(x).alias(f"lo{j}"), F.max(x).alias(f"hi{j}")]

@@ -30,11 +30,15 @@ def complete_analysis(df: DataFrame, key: str | None = None, prompt: str = "", t
     out["univariate_categorical"] = P.categorical_summary(df, cats)
     out["data_quality"] = P.data_quality(df)
     corr_cols = sel["correlation_vars"]
-    out["correlations"] = R.correlation_pairs(df, corr_cols) if len(corr_cols) >= 2 else None
     numeric_target = tgt in nums
-    out["target_correlations"] = (R.target_correlations(df, corr_cols, tgt)
+    # one Gram matrix for C1, C3 and T3, centred by the profile's means
+    means = {r["column"]: r["mean"] for r in prof.filter("kind = 'numeric'").select("column", "mean").collect()}
+    pairs = R.PairSums(df, list(dict.fromkeys([*corr_cols, *nums, *([tgt] if numeric_target else [])])), means)
+    out["pair_sums"] = pairs.table(df.sparkSession)
+    out["correlations"] = R.correlation_pairs(df, corr_cols, pairs=pairs) if len(corr_cols) >= 2 else None
+    out["target_correlations"] = (R.target_correlations(df, corr_cols, tgt, pairs=pairs)
                                   if numeric_target and len(corr_cols) >= 2 else None)
-    out["tests"] = R.statistical_tests(df, tgt, nums, cats, numeric_target=numeric_target)
+    out["tests"] = R.statistical_tests(df, tgt, nums, cats, numeric_target=numeric_target, pairs=pairs)
     seg_dna = None
     silhouette = None
     if cluster and key and len([c for c in nums if c != key]) >= 2:

@@ -138,3 +138,18 @@ def q_key_relation(spark, sf):
     t = R.statistical_tests(FX.corr_lineitem(spark, sf), TARGET, TEST_NUM, TEST_CAT, with_p=False)
     t = t.withColumn("p_value", F.exp(-4 * F.abs(F.col("statistic")))).withColumn("conclusion", F.lit(None).cast("string"))
     return finish(R.key_relation_scores(t, TARGET, "regression", "effect of discount on l_extendedprice").drop("conclusion", "reasons"))
+
+
+def _sums_sql():
+    parts = [f"SELECT '{a}' AS var1, '{b}' AS var2, regr_count({a}, {b})::BIGINT AS n, sum({a}) FILTER ({b} IS NOT NULL) AS sum1, "
+             f"sum({b}) FILTER ({a} IS NOT NULL) AS sum2, round(regr_syy({a}, {b}), 4) + 0.0 AS ss1, round(regr_sxx({a}, {b}), 4) + 0.0 AS ss2 "
+             f"FROM (SELECT {a}::DOUBLE AS {a}, {b}::DOUBLE AS {b} FROM corr_lineitem) x"
+             for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:]]
+    return FX.with_views(oracle_finish(" UNION ALL ".join(parts), ["sum1", "sum2", "ss1", "ss2"]), "corr_lineitem")
+
+
+@register("pair_sums", _sums_sql())
+def q_pair_sums(spark, sf):
+    """The sums that C1, C3 and T3 of one analysis read, of every pair of columns over its complete rows."""
+    t = R.PairSums(FX.corr_lineitem(spark, sf), CORR_COLS).table(spark).drop("sp")
+    return finish(t.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("ss1", "ss2")}))
