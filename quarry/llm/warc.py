@@ -3,8 +3,11 @@
 Pages are range-sorted by id into shards of about equal bytes. A task writes its shard as gzip members,
 one per record, and starts a new file when the compressed size reaches ``file_bytes``. Headers (WARC and
 HTTP) and digests are made anew from the payload, dates and record ids from parameters and content, so
-a run on the same pages gives the same bytes. A file is written under a temporary name and renamed;
-the manifest (a table, with a MANIFEST.json of totals committed last) names the files of a finished run.
+a run on the same pages gives the same bytes. A file is written under a temporary name and renamed. The
+manifest is a table in the archives' folder that names every file with its records, bytes and digest;
+MANIFEST.json, with the totals, is committed last and makes the run a finished one. The reader goes by them:
+it refuses a folder without MANIFEST.json, reads the named files and no others (left behind by an attempt that
+was lost, or put there by someone else), and fails on a file whose bytes are not those of the manifest.
 
 Payloads of at least ``least`` bytes that equal an earlier one (smaller page_id) become revisit records
 without payload. Digests are grouped with map-side aggregation; only pages whose digest passes a sieve of
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bitmap import sieve, sieved
-from quarry.llm.shards import commit_file, range_bounds, shard_of
+from quarry.llm.shards import commit_file, filesystem, range_bounds, shard_of
 from quarry.llm.store import bounded_batches, materialize, scratch
 
 LEAST_REVISIT = 100
@@ -37,6 +40,8 @@ FILE_BYTES = 16 << 20
 SHARD_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 _LAST = (1 << 63) - 1
+MANIFEST = "file string, records long, bytes long, sha256 string"
+_TABLE = "manifest"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -129,25 +134,42 @@ def _writer(folder: str, date: str, file_bytes: int, least: int):
     return run
 
 
-def _reader(batches):
+_ROWS = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(),
+         "refers_to": pa.int64()}
+
+
+def _reader(folder: str):
+    """Rows of the records of the named files, one file in memory at a time."""
     number = lambda x: int(x) if x else None
-    for batch in batches:
-        for content in batch.column("content"):
-            out = {k: [] for k in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")}
-            for h, block in read_records(content.as_buffer()):
-                if h["WARC-Type"] == "warcinfo":
-                    continue
-                digest = h["WARC-Payload-Digest"].removeprefix("sha256:")
-                size = int(h["WARC-Payload-Length"])
-                if h["WARC-Type"] == "response":
-                    payload = block[block.index(b"\r\n\r\n") + 4:]
-                    size = len(payload)
-                    if hashlib.sha256(payload).hexdigest() != digest:
-                        raise ValueError(f"payload of {h['WARC-Record-ID']} differs from its digest")
-                for k, v in zip(out, (number(h["WARC-Page-Id"]), size, digest, h["WARC-Type"], number(h.get("WARC-Refers-To-Page-Id")))):
-                    out[k].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
+
+    def held(name: str, records: int, size: int, sha256: str):
+        fs, base = filesystem(folder)
+        with fs.open_input_stream(f"{base}/{name}", compression=None) as f:
+            data = f.read()
+        if len(data) != size or hashlib.sha256(data).hexdigest() != sha256:
+            raise ValueError(f"{name} is not the file of the manifest")
+        out = {k: [] for k in _ROWS}
+        for h, block in read_records(data):
+            if h["WARC-Type"] == "warcinfo":
+                continue
+            digest = h["WARC-Payload-Digest"].removeprefix("sha256:")
+            size = int(h["WARC-Payload-Length"])
+            if h["WARC-Type"] == "response":
+                payload = block[block.index(b"\r\n\r\n") + 4:]
+                size = len(payload)
+                if hashlib.sha256(payload).hexdigest() != digest:
+                    raise ValueError(f"payload of {h['WARC-Record-ID']} differs from its digest")
+            for k, v in zip(out, (number(h["WARC-Page-Id"]), size, digest, h["WARC-Type"], number(h.get("WARC-Refers-To-Page-Id")))):
+                out[k].append(v)
+        if len(out["page_id"]) != records:
+            raise ValueError(f"{name} holds {len(out['page_id'])} records, the manifest says {records}")
+        return pa.RecordBatch.from_pydict({k: pa.array(v, _ROWS[k]) for k, v in out.items()})
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield held(row["file"], row["records"], row["bytes"], row["sha256"])
+    return run
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -172,17 +194,26 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
              .repartitionById(len(bounds) + 1, F.col("shard"))
              .sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "url")
              .select("shard", "page_id", "url", "html", "bytes", "digest", "first"))
-    manifest = materialize(dealt.mapInArrow(_writer(folder, date, file_bytes, least), "file string, records long, bytes long, sha256 string"),
-                           "warc-manifest")
-    total = manifest.agg(F.count("*"), F.sum("records"), F.sum("bytes")).first()
-    commit_file(folder, "MANIFEST.json", [json.dumps(dict(zip(("files", "records", "bytes"), total))).encode()])
+    dealt.mapInArrow(_writer(folder, date, file_bytes, least), MANIFEST).write.parquet(f"{folder}/{_TABLE}")
+    manifest = pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/{_TABLE}")
+    total = manifest.agg(F.count("*"), F.coalesce(F.sum("records"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    commit_file(folder, "MANIFEST.json", [json.dumps({"table": _TABLE, **dict(zip(("files", "records", "bytes"), total))}).encode()])
     return manifest
 
 
-def read_archives(spark, folder: str) -> DataFrame:
-    """Per record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content")
-    return files.mapInArrow(_reader, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+def read_archives(spark, folder: str, read_bytes: int = 2 * FILE_BYTES) -> DataFrame:
+    """Per record of a finished run's archives: page_id, payload_bytes, payload_digest, record_type, refers_to.
+    A task reads files of about ``read_bytes`` together. FileNotFoundError where there is no MANIFEST.json."""
+    fs, base = filesystem(folder)
+    with fs.open_input_stream(f"{base}/MANIFEST.json") as f:
+        total = json.loads(f.read())
+    manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/{total['table']}")
+    found = manifest.agg(F.count("*"), F.coalesce(F.sum("records"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    if tuple(found) != (total["files"], total["records"], total["bytes"]):
+        raise ValueError(f"the manifest of {folder} is not the one that was committed")
+    tasks = max(1, min(total["files"], -(-total["bytes"] // read_bytes)))
+    return manifest.repartition(tasks, "file").mapInArrow(_reader(folder), ", ".join(
+        f"{k} {'string' if t == pa.string() else 'long'}" for k, t in _ROWS.items()))
 
 
 def archived(pages: DataFrame, **options) -> DataFrame:

@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from llm.helpers import TINY, rows
 from oracle_harness import canon, duck
 
@@ -58,3 +60,28 @@ def test_same_bytes_on_every_run(spark):
         for h, block in held[1:]:
             assert h["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(block).hexdigest()
     assert rows(pages.limit(1))
+
+
+def test_reader_goes_by_the_manifest(spark):
+    df = spark.createDataFrame(PAGES, SCHEMA)
+    folder = scratch(spark, "warc")
+    files = [r["file"] for r in A.write_archives(df, folder, file_bytes=500, shard_bytes=2000).collect()]
+    fs, base = filesystem(folder)
+    read = lambda name: fs.open_input_stream(f"{base}/{name}", compression=None).read()
+    with fs.open_output_stream(f"{base}/pages-09999-00000.warc.gz", compression=None) as f:  # no file of the run
+        f.write(read(files[0]))
+    assert got(A.read_archives(spark, folder)) == brute(PAGES)
+    whole = read(files[0])
+    with fs.open_output_stream(f"{base}/{files[0]}", compression=None) as f:
+        f.write(whole[:-1] + bytes([whole[-1] ^ 1]))
+    with pytest.raises(Exception, match="not the file of the manifest"):
+        A.read_archives(spark, folder).collect()
+    fs.delete_file(f"{base}/MANIFEST.json")
+    with pytest.raises(FileNotFoundError):
+        A.read_archives(spark, folder)
+
+
+def test_clashing_columns_and_many_pages_without_id(spark):
+    pages = [(None, "u", f"{'q' * 120}{i % 40}") for i in range(120)] + [(i, "u", "r" * 150) for i in range(40)]
+    df = spark.createDataFrame(pages, SCHEMA).selectExpr("*", "1 AS shard", "'x' AS digest", "2 AS first", "3 AS bytes", "true AS may_have")
+    assert got(A.archived(df, file_bytes=3000, shard_bytes=4000)) == brute(pages)
