@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.stats import basic_stats, central_sums, moments_from_sums, quantiles
-from quarry.operators.prepare import distinct_counts, label_encode, one_hot
-from quarry.operators.profile import column_profile
+from quarry.operators.prepare import distinct_counts, label_codes, one_hot
+from quarry.operators.profile import column_profile, few_values
 from quarry.operators.schema import categorical_columns, numeric_columns, temporal_columns
 from quarry.operators.select import interaction_candidates
 
@@ -99,10 +99,10 @@ def group_mean_features(df: DataFrame, numeric: list[str], categorical: list[str
     and numerics; a NULL group gets NULL."""
     cats = categorical[:max_cats]
     nums = numeric[:max_nums]
-    dc = distinct_counts(df, cats)
+    few = few_values(df, cats, hi)
     out, report = df, []
     for c in cats:
-        if not (lo <= dc[c] <= hi) or not nums:
+        if few[c] is None or len(few[c]) < lo or not nums:
             continue
         bc = _alnum(c, 8)
         means = (df.filter(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("__g"))
@@ -131,19 +131,20 @@ def encoding_plan(df: DataFrame, cols: list[str] | None = None, max_columns: int
     return df.sparkSession.createDataFrame(rows, "column string, ordinal long, n_distinct long, action string")
 
 
-def encode_categoricals(df: DataFrame, cols: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def encode_categoricals(df: DataFrame, cols: list[str] | None = None, source: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """G5 + G6 following the G7 plan: one-hot with prefix col[:12] (ints, NULL -> all 0),
-    label codes in {col[:15]}_encoded (NULL -> -1); source columns dropped."""
-    plan = encoding_plan(df, cols)
+    label codes in {col[:15]}_encoded (NULL -> -1); source columns dropped.
+    ``source``: the table that the plan and the values are read from, where the same columns have a shorter lineage."""
+    source = source if source is not None else df
+    plan = encoding_plan(source, cols)
+    action = {r["column"]: r["action"] for r in plan.orderBy("ordinal").collect()}
+    values = few_values(source, [c for c, a in action.items() if a != "skipped"], 50)
     out = df
-    for r in plan.collect():
-        c = r["column"]
-        if r["action"] == "one_hot":
-            vals = sorted(x[0] for x in out.select(F.col(f"`{c}`").cast("string")).distinct().collect()
-                          if x[0] is not None)
+    for c, vals in values.items():
+        if action[c] == "one_hot":
             out = one_hot(out, c, vals, prefix=c[:12], as_int=True)
-        elif r["action"] == "label":
-            out = label_encode(out, c, out=f"{c[:15]}_encoded", null_code=-1).drop(c)
+        else:
+            out = label_codes(out, c, vals, out=f"{c[:15]}_encoded", null_code=-1).drop(c)
     return out, plan
 
 
@@ -341,9 +342,9 @@ def forge_features(df: DataFrame, as_of: str = "2025-01-01", target: str | None
             if prof is not None else [])
     out, report["interactions"] = interaction_features(out, best)
     out, report["aggregations"] = group_mean_features(out, nums0, cats0)
-    out, report["encoding"] = encode_categoricals(out, cats0)
+    out, report["encoding"] = encode_categoricals(out, cats0, source=df)
     # the later steps each aggregate over this frame: materialise it once
-    out = out.persist()
+    out = encoded = out.persist()
     nums = [c for c in numeric_columns(out) if c != target]
     out, report["log"] = log_transforms(out, nums)
     plan = scaling_plan(out, nums)
@@ -355,4 +356,5 @@ def forge_features(df: DataFrame, as_of: str = "2025-01-01", target: str | None
             report["pca"] = pca_features(out, now)[1]
     final_nums = [c for c in numeric_columns(out) if c != target]
     report["selection"] = selection_report(out, final_nums, max_features)
+    encoded.unpersist()  # the returned frame is lazy and reads its input again
     return out, report

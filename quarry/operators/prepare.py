@@ -36,11 +36,12 @@ def distinct_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
 def merge_flags(df: DataFrame) -> tuple[DataFrame, dict]:
     """columns with <= 2 distinct values and >= 4 '_' grouped by their first four
     '_'-parts; groups of more than one become {root}_COUNT = sum(Eny/oui -> 1, else 0)."""
+    from quarry.operators.profile import few_values
     cand = [c for c in df.columns if c.count("_") >= 4]
-    dc = distinct_counts(df, cand)
+    few = few_values(df, cand, 2)
     groups: dict[str, list[str]] = {}
     for c in cand:
-        if dc[c] <= 2:
+        if few[c] is not None:
             groups.setdefault("_".join(c.split("_")[:4]), []).append(c)
     merged = {root: cols for root, cols in groups.items() if len(cols) > 1}
     out = df
@@ -87,8 +88,8 @@ def winsorize(df: DataFrame, factor: float = 1.5, min_distinct: int = 11) -> tup
     """numeric columns with > 10 distinct values are clipped to the IQR fences; NULL
     stays NULL (least/greatest would skip it, so the clip is guarded)."""
     nums = numeric_columns(df)
-    dc = distinct_counts(df, nums)
-    cols = [c for c in nums if dc[c] >= min_distinct]
+    from quarry.operators.profile import few_values
+    cols = [c for c, few in few_values(df, nums, min_distinct - 1).items() if few is None]
     q = quantiles(df, cols, [0.25, 0.75])
     fences = {}
     out = []
@@ -224,6 +225,16 @@ def label_encode(df: DataFrame, col: str, out: str | None = None, null_code: int
     return j.select(*cols)
 
 
+def label_codes(df: DataFrame, col: str, values: list[str], out: str | None = None, null_code: int | None = None) -> DataFrame:
+    """``label_encode`` where the values are known and few: a projection, no job and no join."""
+    out = out or col
+    v = F.col(f"`{col}`").cast("string")
+    code = F.array_position(F.array(*[F.lit(x) for x in values]), v) - 1 if values else F.lit(None)
+    code = F.when(v.isNotNull(), code) if null_code is None else F.when(v.isNull(), F.lit(null_code)).otherwise(code)
+    cols = [code.cast("long").alias(c) if c == out == col else F.col(f"`{c}`") for c in df.columns]
+    return df.select(*cols, *([code.cast("long").alias(out)] if out != col else []))
+
+
 def one_hot(df: DataFrame, col: str, values: list[str], prefix: str | None = None,
             as_int: bool = False, drop: bool = True) -> DataFrame:
     """One indicator column per listed value, {prefix}_{value}; NULL -> all false / 0."""
@@ -261,27 +272,27 @@ def process_features(df: DataFrame, target: str) -> tuple[DataFrame, dict]:
     df = harmonize_dates(normalize_text(df))
     df, report["medians"] = impute(df)
     kinds = dict(column_kinds(df))
+    from quarry.operators.profile import few_values
     strings = [c for c, k in kinds.items() if k == "categorical"]
-    dc = distinct_counts(df, df.columns)
+    few = few_values(df, df.columns, 50)  # all that the rules below ask for, in one pass
     report["encoding"] = {}
     for c in list(df.columns):
         if c == target:
             if kinds.get(c) == "categorical":
-                df = label_encode(df, c, bounded=False)
+                df = label_encode(df, c, bounded=False) if few[c] is None else label_codes(df, c, few[c])
                 report["encoding"][c] = "target_label"
             continue
         if c in strings:
-            if dc[c] <= 5:
-                vals = sorted(r[0] for r in df.select(c).distinct().collect() if r[0] is not None)
-                df = one_hot(df, c, vals)
-                report["encoding"][c] = "one_hot"
-            elif dc[c] <= 50:
-                df = label_encode(df, c)
-                report["encoding"][c] = "label"
-            else:
+            if few[c] is None:
                 df = df.drop(c)
                 report["encoding"][c] = "dropped"
-    scale = [c for c in numeric_columns(df) if c != target and dc.get(c, 0) > 2]
+            elif len(few[c]) <= 5:
+                df = one_hot(df, c, few[c])
+                report["encoding"][c] = "one_hot"
+            else:
+                df = label_codes(df, c, few[c])
+                report["encoding"][c] = "label"
+    scale = [c for c in numeric_columns(df) if c != target and c in few and (few[c] is None or len(few[c]) > 2)]
     df = minmax_scale(df, scale)
     report["scaled"] = scale
     return df, report

@@ -42,6 +42,42 @@ def value_freq(df: DataFrame, cols: list[str], value_type: str = "string",
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def few_values(df: DataFrame, cols: list[str], most: int) -> dict[str, list[str] | None]:
+    """The distinct non-null values of each column as strings, in byte order, or None for a column with more than ``most``.
+
+    One pass for all columns. A task keeps at most ``most`` + 1 values a column and stops looking at a column
+    once it has them, so a column of unique values costs (tasks x most) rows of shuffle and not its rows: whoever
+    asks for few values does not pay for the many. No value is missed: a column within the limit is within it in
+    every task."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    if not cols:
+        return {}
+    names = [f"c{i}" for i in range(len(cols))]
+
+    def bounded(batches):
+        held: list[set] = [set() for _ in names]
+        for batch in batches:
+            for own, column in zip(held, batch.columns):
+                if len(own) <= most:
+                    for v in pc.unique(column.drop_null()).to_pylist():
+                        own.add(v)
+                        if len(own) > most:
+                            break
+        at = [i for i, own in enumerate(held) for _ in own]
+        yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()),
+                                          "value": pa.array([v for own in held for v in own], pa.string())})
+
+    text = df.select(*[F.col(f"`{c}`").cast("string").alias(n) for c, n in zip(cols, names)])
+    w = Window.partitionBy("at").orderBy("value")
+    rows = (text.mapInArrow(bounded, "at int, value string").dropDuplicates()
+            .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most + 1).collect())
+    found: list[list[str]] = [[] for _ in cols]
+    for r in rows:
+        found[r["at"]].append(r["value"])
+    return {c: sorted(v, key=str.encode) if len(v) <= most else None for c, v in zip(cols, found)}
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The input dealt over ``spark.quarry.inputPartitions`` partitions, where the session sets that:
     for single small files on one machine, whose row groups cannot be split. Unset on a cluster, where
