@@ -6,9 +6,10 @@ binary-searched in every shard, which yields all verbatim matches with their pla
 one diagonal (same item, same shift) join into the longest verbatim match. Only training suffixes
 whose leading words open some test window enter the array, as no search can end at the others.
 
-The benchmark is read in blocks of a bounded number of bytes (``block_bytes``); each block is
-broadcast on its own and scanned by its own pass over the rows, in the same stage, so neither the
-driver nor a task holds more than one block. No shuffle is needed.
+The benchmark is read through the driver in blocks of a bounded number of bytes (``block_bytes``); each
+block is broadcast on its own and scanned by its own pass over the rows, in the same stage. A block is
+bounded, their number is not: the broadcasts stay side by side, so the benchmark as a whole has to fit in
+the driver and, next to a task's rows, in an executor's workers. No shuffle is needed.
 
 Defined cases: a null or empty text has no words, hits nothing and is hit by nothing; an item of
 fewer words than the window is one window by itself; a null item_id counts as the empty string;
