@@ -68,6 +68,6 @@ def test_prepared_table_takes_its_values_from_one_pass(mixed, monkeypatch):
     monkeypatch.setattr(P, "few_values", lambda *a: (calls.append(a[2]), own(*a))[1])
     df = mixed.select("unique", "five", "of_51", (F.col("unique") % 7).cast("string").alias("seven"))
     out, report = PR.process_features(df, target="unique")
-    assert calls == [2, 50]  # the flags to merge, then all columns together
+    assert calls == [2, 10, 50]  # flags to merge (F1), columns to clip (F4), then all that encoding and scaling ask
     assert report["encoding"]["seven"] == "label" and report["encoding"]["five"] in ("one_hot", "label")
     assert {r[0] for r in out.select("seven").distinct().collect()} and out.count() == 6000
