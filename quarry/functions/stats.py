@@ -193,24 +193,33 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], stats: dict |
                 .unpivot([], cols, "column", "x").filter(F.col("x").isNotNull())
                 .withColumn("w", F.lit(1).cast("long")))
 
-    def cell_exprs(cells):
-        cid = None
-        a_e = b_e = None
-        for i, (c, a, b) in enumerate(cells):
-            cond = (F.col("column") == c) & (F.col("x") >= F.lit(a)) & (F.col("x") <= F.lit(b))
-            cid = (F.when(cond, F.lit(i)) if cid is None else cid.when(cond, F.lit(i)))
-            a_e = (F.when(cond, F.lit(a)) if a_e is None else a_e.when(cond, F.lit(a)))
-            b_e = (F.when(cond, F.lit(b)) if b_e is None else b_e.when(cond, F.lit(b)))
-        return cid, a_e, b_e
-
-    for _ in range(64):
+    def of_cell(cells, value):
+        e = F.lit(None)
+        for i, (c, a, b) in reversed(list(enumerate(cells))):
+            e = F.when((F.col("column") == c) & (F.col("x") >= F.lit(a)) & (F.col("x") <= F.lit(b)), value(i)).otherwise(e)
+        return e
+
+    def bucket_of(a, b, geometric):
+        """Buckets that rise with x and part a from b. Equal widths; or, where those leave nearly all values in one
+        bucket (or the width overflows), by sign if a and b differ in it, else equal ratios."""
+        x = F.col("x")
+        if geometric and a <= 0 <= b:
+            return F.when(x < 0, F.lit(0)).when(x == 0, F.lit(1)).otherwise(F.lit(2))
+        if geometric:
+            la, lb = math.log(abs(a)), math.log(abs(b))
+            if la != lb:
+                part = (F.log(F.abs(x)) - F.lit(la)) / F.lit(lb - la)
+                return F.least(F.floor(part * F.lit(buckets)), F.lit(buckets - 1)).cast("int")
+        return F.least(F.floor((x - F.lit(a)) / F.lit(b - a) * F.lit(buckets)), F.lit(buckets - 1)).cast("int")
+
+    while True:  # a cell loses its least or its greatest value in every round, a factor of ``buckets`` as a rule
         pending = [t for t in targets if st[t]["value"] is None and st[t]["m"] > gather_max]
         if not pending:
             break
-        cells = sorted({(t[0], st[t]["a"], st[t]["b"]) for t in pending})
-        cid, a_e, b_e = cell_exprs(cells)
-        bucket = F.least(F.floor((F.col("x") - a_e) / (b_e - a_e) * F.lit(buckets)),
-                         F.lit(buckets - 1)).cast("int")
+        how = {(t[0], st[t]["a"], st[t]["b"]): st[t].get("geometric", False) or math.isinf(st[t]["b"] - st[t]["a"]) for t in pending}
+        cells = sorted(how)
+        cid = of_cell(cells, F.lit)
+        bucket = of_cell(cells, lambda i: bucket_of(cells[i][1], cells[i][2], how[cells[i]]))
         rows = (long.select(cid.alias("cell"), bucket.alias("bucket"), "x", "w")
                 .filter(F.col("cell").isNotNull())
                 .groupBy("cell", "bucket")
@@ -229,13 +238,14 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], stats: dict |
                 for _, cnt, mn, mx in bk:
                     if acc + cnt > kk:
                         st[t] = {"a": mn, "b": mx, "below": st[t]["below"] + acc, "m": cnt,
-                                 "value": mn if mn == mx else None}
+                                 "value": mn if mn == mx else None,
+                                 "geometric": not how[(c, a, b)] and 4 * cnt > st[t]["m"]}
                         break
                     acc += cnt
     rest = [t for t in targets if st[t]["value"] is None]
     if rest:
         cells = sorted({(t[0], st[t]["a"], st[t]["b"]) for t in rest})
-        cid, _, _ = cell_exprs(cells)
+        cid = of_cell(cells, F.lit)
         rows = (long.select(cid.alias("cell"), "x", "w").filter(F.col("cell").isNotNull())
                 .groupBy("cell", "x").agg(F.sum("w").alias("n")).collect())
         per_cell = {}

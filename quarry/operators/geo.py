@@ -65,20 +65,14 @@ def extract_locations(df: DataFrame, limits: dict | None = None) -> DataFrame:
     3 regions / 5 communes / 5 villages. (level, rank, value, has_gps)"""
     limits = limits or {"region": 3, "commune": 5, "village": 5}
     lv = level_columns(df.columns)
-    parts = []
-    for level, cols in lv.items():
-        if level == "gps":
-            continue
-        for c in cols:
-            v = F.col(f"`{c}`")
-            parts.append(df.select(F.lit(level).alias("level"), F.trim(v.cast("string")).alias("value"))
-                         .filter(v.isNotNull() & (v.cast("string") != "")))
+    own = [(level, F.col(f"`{c}`").cast("string")) for level, cols in lv.items() if level != "gps" for c in cols]
     has_gps = bool(lv["gps"])
-    if not parts:
+    if not own:
         return df.sparkSession.createDataFrame([], "level string, rank int, value string, has_gps boolean")
-    allv = parts[0]
-    for p in parts[1:]:
-        allv = allv.unionByName(p)
+    # one scan for all matched columns: a row holds one value of each
+    cells = F.array(*[F.struct(F.lit(level).alias("level"), v.alias("value")) for level, v in own])
+    allv = (df.select(F.explode(cells).alias("c")).select("c.level", "c.value").filter("value is not null and value != ''")
+            .select("level", F.trim("value").alias("value")))
     lim = F.lit(None).cast("int")
     for level, k in limits.items():
         lim = F.when(F.col("level") == level, F.lit(k)).otherwise(lim)

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from quarry.functions.stats import (basic_stats, central_sums, finite, freq_central_sums, freq_stats,
                                     moments_from_sums, quantiles)
+from quarry.operators.heavy import modes
 from quarry.operators.schema import (CATEGORICAL, NUMERIC, TEMPORAL, categorical_columns,
                                      column_kinds, numeric_columns)
 
@@ -125,56 +126,65 @@ def numeric_stats(df: DataFrame, cols: list[str] | None = None, exact: bool = Tr
                   with_mode: bool = True, with_outliers: bool = True) -> list[dict]:
     """U1 + U2 + U5 as a list of small dicts (one per column with >= 2 values).
 
-    with_mode: the exact mode needs every distinct value counted, so the raw rows are
-    aggregated once into value_freq (map-side combined, persisted) and every other
-    statistic -- counts, sums, extrema, quantile refinement, central moments, fence
-    outliers -- is a weighted aggregate over that table.
+    with_mode: a bounded counter summary (``heavy.modes``) comes first. Columns that it knows whole are computed from
+    its frequencies; of columns whose mode it proves, the rest comes from scans, as without mode; only what is left (rare
+    modes) is aggregated into value_freq, where all values meet. Every statistic of a column with frequencies is a
+    weighted aggregate over them.
     without mode: count/sum/min/max scan -> quantile refinement -> one scan for central
     moments fused with the outlier count. All aggregates are code-generated."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     if not cols:
         return []
-    vf = None
+    vf, counted, found = None, [], None
     if with_mode:
-        vf = value_freq(df, cols, "double", keep_null=True).persist()
-        bs = freq_stats(vf, cols)
-        rows_total = bs["__rows"]
-    else:
-        bs = basic_stats(df, cols)
-        rows_total = bs["__rows"]
+        found = modes(df, cols)
+        counted = [c for c in cols if c in found.whole or c in found.rest]
+    scanned = [c for c in cols if c not in counted]
+    bs = {}
+    if scanned:
+        bs |= basic_stats(df, scanned)
+    if counted:
+        vf = found.freq
+        if found.rest:
+            vf = vf.unionByName(value_freq(df, found.rest, "double"))
+        vf = vf.persist()
+        bs |= freq_stats(vf, counted, found.rows)
+    rows_total = bs["__rows"]
+    by_scan, by_freq = ([c for c in some if bs[c]["n"] >= 2] for some in (scanned, counted))
     keep = [c for c in cols if bs[c]["n"] >= 2]
-    q = quantiles(df, keep, [0.25, 0.5, 0.75], stats=bs, exact=exact, freq=vf)
-    fences = {}
-    extra = []
-    for c in keep:
-        q1, _, q3 = q[c]
-        fences[c] = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
-        if with_outliers and vf is None:
-            x = finite(F.col(f"`{c}`"))
-            extra.append(F.count_if((x < F.lit(fences[c][0])) | (x > F.lit(fences[c][1])))
-                         .alias(f"out_{c}"))
+    probs = [0.25, 0.5, 0.75]
+    q = quantiles(df, by_scan, probs, stats=bs, exact=exact) | quantiles(df, by_freq, probs, stats=bs, exact=exact, freq=vf)
+    fences = {c: (q[c][0] - 1.5 * (q[c][2] - q[c][0]), q[c][2] + 1.5 * (q[c][2] - q[c][0])) for c in keep}
     means = {c: bs[c]["mean"] for c in keep}
+    cs: dict[str, dict] = {}
+    if by_freq:
+        got = freq_central_sums(vf, by_freq, means, {c: fences[c] for c in by_freq} if with_outliers else None)
+        cs |= {c: {"out": got.get(f"out_{c}")} | {m: got[f"{m}_{i}"] for m in ("m2", "m3", "m4")} for i, c in enumerate(by_freq)}
+    if by_scan:
+        x = {c: finite(F.col(f"`{c}`")) for c in by_scan}
+        extra = [F.count_if((x[c] < F.lit(fences[c][0])) | (x[c] > F.lit(fences[c][1]))).alias(f"out_{i}")
+                 for i, c in enumerate(by_scan)] if with_outliers else []
+        got = central_sums(df, by_scan, means, extra)
+        cs |= {c: {"out": got.get(f"out_{i}")} | {m: got[f"{m}_{i}"] for m in ("m2", "m3", "m4")} for i, c in enumerate(by_scan)}
+    modal = {c: found.known.get(c, bs[c].get("mode")) for c in keep} if with_mode else {}
     if vf is not None:
-        cs = freq_central_sums(vf, keep, means, fences if with_outliers else None)
-        modes = {c: bs[c]["mode"] for c in keep}
         vf.unpersist()
-    else:
-        cs = central_sums(df, keep, means, extra)
-        modes = {}
+    if found is not None:
+        found.release()
     stats = []
-    for i, c in enumerate(keep):
+    for c in keep:
         n = bs[c]["n"]
-        mom = moments_from_sums(n, cs[f"m2_{i}"], cs[f"m3_{i}"], cs[f"m4_{i}"])
+        mom = moments_from_sums(n, cs[c]["m2"], cs[c]["m3"], cs[c]["m4"])
         q1, med, q3 = q[c]
         mean, sd = bs[c]["mean"], mom["sd"]
         cv = (sd / (abs(mean) + 1e-6)) if (mean not in (None, 0) and sd is not None) else 0.0
         stats.append({
             "column": c, "ordinal": cols.index(c), "count": n, "missing": rows_total - n,
             "missing_pct": 100.0 * (rows_total - n) / rows_total if rows_total else 0.0,
-            "mean": mean, "median": med, "mode": modes.get(c), "std": sd, "var": mom["var"],
+            "mean": mean, "median": med, "mode": modal.get(c), "std": sd, "var": mom["var"],
             "min": bs[c]["min"], "max": bs[c]["max"], "q1": q1, "q3": q3, "iqr": q3 - q1,
             "skew": mom["skew"], "kurtosis": mom["kurt"], "cv": cv,
-            "outliers": cs.get(f"out_{c}") if with_outliers else None,
+            "outliers": cs[c]["out"] if with_outliers else None,
             "lower_fence": fences[c][0], "upper_fence": fences[c][1],
         })
     return stats
