@@ -232,3 +232,27 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     """``docs`` without the rows that hold a benchmark window; columns as given."""
     df, names = _judged(docs, benchmark, docs.columns, text_col, item_col, item_text_col, window, block_bytes)
     return df.filter("not contaminated").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+
+
+#: DuckDB SQL of the query: every window compared in plain text, matches joined along their diagonals.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, row_number() OVER () AS item, least(len(w), 10) AS k, w FROM (
+        SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)),
+win AS (SELECT item_id, item, k, start, array_to_string(w[start + 1:start + k], ' ') AS words
+        FROM (SELECT *, unnest(range(len(w) - k + 1)) AS start FROM b WHERE k > 0)),
+place AS (SELECT row_id, k, pos, array_to_string(w[pos + 1:pos + k], ' ') AS words FROM (
+            SELECT row_id, w, k, unnest(range(len(w) - k + 1)) AS pos FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+hit AS (SELECT row_id, item_id, item, k, pos, pos - start AS shift FROM place JOIN win USING (k, words)),
+run AS (SELECT row_id, max(n) AS longest FROM (SELECT row_id, max(pos) - min(pos) + any_value(k) AS n FROM (
+          SELECT *, pos - row_number() OVER (PARTITION BY row_id, item, shift ORDER BY pos) AS island FROM hit)
+          GROUP BY row_id, item, shift, island) GROUP BY row_id),
+covered AS (SELECT row_id, count(DISTINCT p) AS n_hit FROM (SELECT row_id, unnest(range(pos, pos + k)) AS p FROM hit) GROUP BY row_id),
+items AS (SELECT row_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+          FROM (SELECT DISTINCT row_id, item_id FROM hit) GROUP BY row_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest_match
+FROM d LEFT JOIN covered USING (row_id) LEFT JOIN items USING (row_id) LEFT JOIN run USING (row_id)
+"""

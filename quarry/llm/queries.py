@@ -87,6 +87,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         keep=["doc_id"]).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
 
 
+ORACLE["op10_decontamination"] = decontaminate.ORACLE
+
+
 @query
 def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.piece_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
