@@ -427,3 +427,23 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     clear = seen.filter("not may_have or own_id is null").select(*names)
     rest = seen.filter("may_have and own_id is not null").join(gone, mark, "left_anti").dropDuplicates(mark).select(*names)
     return clear.union(rest).toDF(*docs.columns)
+
+
+#: DuckDB SQL of the query (two-word shingles, 80 percent): every two classes of equal sets that share a shingle are compared.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS row_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT row_id, doc_id, list_distinct(CASE WHEN len(w) = 1 THEN w
+        ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS shingles FROM d),
+c AS (SELECT dense_rank() OVER (ORDER BY list_sort(shingles)) AS class, row_id, doc_id, len(shingles) AS n, shingles FROM s),
+k AS (SELECT class, any_value(n) AS n, any_value(shingles) AS shingles FROM c WHERE n > 0 AND doc_id IS NOT NULL GROUP BY class),
+u AS (SELECT class, n, unnest(shingles) AS shingle FROM k),
+link AS (SELECT a.class AS x, b.class AS y FROM u a JOIN u b ON a.shingle = b.shingle AND a.class <> b.class
+           AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+         GROUP BY a.class, b.class, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT class AS x, class AS y FROM k UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x),
+least_id AS (SELECT reach.x AS class, min(c.doc_id) AS component FROM reach JOIN c ON c.class = reach.y GROUP BY reach.x)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CASE WHEN n = 0 OR doc_id IS NULL THEN doc_id ELSE component END AS component_id,
+       coalesce(n = 0 OR doc_id = component, true) AS kept
+FROM c LEFT JOIN least_id USING (class)
+"""
