@@ -75,7 +75,10 @@ def test_statistics_equal_those_of_scans(mixed):
     for c in a:
         assert a[c]["mode"] == brute(mixed, c)[0], c
         for k in set(a[c]) - {"mode", "column"}:
-            assert a[c][k] == pytest.approx(b[c][k], rel=1e-9, abs=1e-9), (c, k)
+            if b[c][k] is None:  # no skewness of a constant
+                assert a[c][k] is None, (c, k)
+            else:
+                assert a[c][k] == pytest.approx(b[c][k], rel=1e-9, abs=1e-9), (c, k)
 
 
 def test_empty_table(spark, mixed):
