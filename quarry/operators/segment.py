@@ -283,8 +283,13 @@ def separated(points: DataFrame, key: str) -> DataFrame:
 
 def coords_3d(pred: DataFrame, key: str, dims: int, axes: DataFrame | None = None) -> DataFrame:
     """K8 + K9: the axes of the labelled vectors, clusters set apart."""
+    return separated(labelled_axes(pred, key, dims, axes), key)
+
+
+def labelled_axes(pred: DataFrame, key: str, dims: int, axes: DataFrame | None = None) -> DataFrame:
+    """K8: (key, x, y, z, prediction)."""
     axes = axes if axes is not None else axes_3d(pred, key, dims)
-    return separated(axes.join(pred.select(key, "prediction"), key), key)
+    return axes.join(pred.select(key, "prediction"), key)
 
 
 def dispersion(points: DataFrame) -> dict:
@@ -308,7 +313,7 @@ def sweep(df: DataFrame, cols: list[str], key: str, ks=(2, 3, 4, 5), seeds=(42,
     spark = df.sparkSession
     if vec is None:
         return None, spark.createDataFrame([], "k int")
-    vec = vec.persist()
+    vec = lloyd.dealt(vec, df.count()).persist()
     n = vec.count()
     runs, points = [], None
     ks = [k for k in ks if n >= max(3 * k, 10)]
@@ -326,8 +331,10 @@ def sweep(df: DataFrame, cols: list[str], key: str, ks=(2, 3, 4, 5), seeds=(42,
             pred, sil, method = last_resort(vec, key, len(cols), k)
             info = dict(info, method=method, silhouette=sil)
         sizes = validate(pred, "prediction").first()
-        pts = coords_3d(pred, key, len(cols), axes)
+        joined = labelled_axes(pred, key, len(cols), axes).persist()  # centres and dispersion each read it
+        pts = separated(joined, key)
         disp = dispersion(pts)
+        joined.unpersist()
         runs.append((k, info["method"], info["silhouette"], sizes["min_size"], sizes["max_size"],
                      sizes["balance"], disp["dispersion"], disp["quality_3d"]))
         p = pts.withColumn("k", F.lit(k)).withColumnRenamed("prediction", "cluster")
