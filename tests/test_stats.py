@@ -62,3 +62,39 @@ def test_nan_and_infinity_count_as_missing(spark):
     for with_mode in (True, False):
         s = numeric_stats(df, ["x"], with_mode=with_mode)[0]
         assert (s["count"], s["missing"], s["mean"], s["median"], s["max"], s["q1"]) == (9, 3, 5.0, 5.0, 9.0, 3.0)
+
+
+def test_texts_without_the_shape_of_a_date_are_not_parsed(spark):
+    from quarry.operators.profile import DATE_FORMATS, parsed_date
+    texts = ["2024-02-29", "29/02/2024", "2023-02-29", "2024-02-29 10:11:12", "29-02-2024", "02/29/2024", "12024-01-01", "+12024-01-01",
+             "5-LOW", "", " 2024-02-29", "2024-2-9", "2024-02-29x", None, "99/99/9999", "2024-02-29 24:00:00"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    old = F.coalesce(*[F.try_to_timestamp("t", F.lit(f)) for f in DATE_FORMATS])
+    assert df.filter(~old.eqNullSafe(parsed_date(F.col("t")))).count() == 0
+    assert df.filter(parsed_date(F.col("t")).isNotNull()).count() >= 5
+    plan = df.select(parsed_date(F.col("t")))._jdf.queryExecution().toString()
+    assert plan.lower().count("rlike") >= len(DATE_FORMATS)
+
+
+def test_quantile_rounds_do_not_multiply_the_rows_by_the_columns(spark):
+    """Many columns: a task counts each against its own cells, so no row is unpivoted; values as numpy has them."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 12)) * 10.0 ** np.arange(-3, 9)
+    x[::7, 3] = np.nan
+    names = [f"c{i}" for i in range(12)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names)).repartition(3)
+    plans = []
+    frame = type(df)
+    mapped = frame.mapInArrow
+
+    def seen(self, *a, **k):
+        plans.append(self._jdf.queryExecution().toString())
+        return mapped(self, *a, **k)
+    frame.mapInArrow = seen
+    try:
+        got = quantiles(df, names, [0.25, 0.5, 0.9], buckets=16, gather_max=20)
+    finally:
+        frame.mapInArrow = mapped
+    assert plans and not any("Expand" in p for p in plans)
+    for i, c in enumerate(names):
+        assert np.allclose(got[c], np.nanquantile(x[:, i], [0.25, 0.5, 0.9]), rtol=1e-12)
