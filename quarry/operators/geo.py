@@ -213,15 +213,28 @@ def term_matches(terms: DataFrame, loc: DataFrame, n: int) -> DataFrame:
     hold it in any level name, case-insensitively. A name holds a term only if it has all its trigrams,
     so terms join names on their rarest one and ``contains`` confirms; the rows grow with the terms and
     the names of one rare trigram each, not with the requests."""
+    hits = term_candidates(terms, loc).filter(F.col("hay").contains(F.col("term")))
+    w = Window.partitionBy("term").orderBy(F.md5(F.col("ADM3_PCODE")), "ADM3_PCODE")
+    return (hits.select("term", *loc.columns, F.row_number().over(w).alias("r")).filter(F.col("r") <= n).drop("r"))
+
+
+#: Parts that the names of one trigram are dealt to, so that a name all places share is no single task's.
+PARTS = 64
+
+
+def term_candidates(terms: DataFrame, loc: DataFrame) -> DataFrame:
+    """(term, hay, locality columns): the names that hold a term's rarest trigram. Only trigrams that are some term's
+    rarest move (their list is broadcast: no more than the trigrams of the alphabet), and those in PARTS parts."""
     t = terms.select(F.lower(F.col("term")).alias("term")).distinct()
     names = loc.withColumn("hay", F.lower(F.concat_ws("\u0001", "ADM1_EN", "ADM2_EN", "ADM3_EN")))
     grams = names.withColumn("tri", F.explode(_trigrams(F.col("hay"))))
     often = grams.groupBy("tri").agg(F.count(F.lit(1)).alias("names"))
     rarest = (t.withColumn("tri", F.explode(_trigrams(F.col("term")))).join(often, "tri")
               .groupBy("term").agg(F.min_by("tri", F.struct("names", "tri")).alias("tri")))
-    hits = rarest.join(grams, "tri").filter(F.col("hay").contains(F.col("term")))
-    w = Window.partitionBy("term").orderBy(F.md5(F.col("ADM3_PCODE")), "ADM3_PCODE")
-    return (hits.select("term", *loc.columns, F.row_number().over(w).alias("r")).filter(F.col("r") <= n).drop("r"))
+    wanted = grams.join(F.broadcast(rarest.select("tri").distinct()), "tri", "left_semi")
+    wanted = wanted.withColumn("part", F.pmod(F.xxhash64("hay", "ADM3_PCODE"), F.lit(PARTS)))
+    every = rarest.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>")))
+    return every.join(wanted, ["tri", "part"])
 
 
 def alias_search(dim: DataFrame, queries: DataFrame, text_col: str, key_col: str, n: int = 5,

@@ -98,3 +98,24 @@ def test_damaged_record_and_empty_aliases(spark):
     row = normalize_responses(df, "id", "text", "req").first()
     assert (row["category_name"], row["question_text"], row["question_type"]) == ("A", "Puits ?", "text")
     assert [a["answer_text"] for a in row["expected_answers"]] == ["oui", "non"]
+
+
+def test_names_of_a_common_trigram_are_dealt_over_parts(spark):
+    """Every name holds the term: its names meet it in many tasks, and no trigram moves that no term needs."""
+    from pyspark.sql import functions as F
+
+    from quarry.operators import geo as G
+    loc = spark.range(2000).select(F.concat(F.lit("C"), F.col("id").cast("string")).alias("ADM3_PCODE"), F.lit("sea").alias("ADM3_EN"),
+                                   F.lit("AFRICA").alias("ADM1_EN"), F.lit("x").alias("ADM2_EN"))
+    terms = spark.createDataFrame([("africa",), ("nothing",)], "term string")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+            spark.conf.set(k, v)
+        found = G.term_candidates(terms, loc)
+        places = found.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in places) == 2000 and max(r["count"] for r in places) < 1000
+    assert G.term_matches(terms, loc, 5).groupBy("term").count().collect() == [("africa", 5)]
