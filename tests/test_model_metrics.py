@@ -61,3 +61,35 @@ def test_tuned_regressors_are_trained_with_their_best_point(spark, monkeypatch):
     assert {m: len(r["grid"]) for m, r in got.items()} == {"linear_regression": 0, "ridge": 0, "lasso": 2, "decision_tree": 2,
                                                           "random_forest": 2, "gradient_boosting": 2}
     assert M.grid_table(t).filter("best").count() == 4
+
+
+def test_reduction_by_anova_in_one_pass_takes_what_the_selector_takes(spark):
+    """Features with nulls, without variance and of equal values; one row of sums a class instead of a row a value."""
+    import numpy as np
+    from pyspark.ml.feature import Imputer, StringIndexer, UnivariateFeatureSelector, VarianceThresholdSelector, VectorAssembler
+    from pyspark.sql import functions as F
+
+    from quarry.operators import model as M
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 101))
+    y = rng.integers(0, 3, 300)
+    x[:, :20] += y[:, None] * np.linspace(0, 4, 20)
+    x[:, 30], x[:, 31], x[:, 32] = 5.0, x[:, 0], y
+    names = [f"f{i}" for i in range(101)]
+    rows = [(f"c{c}", *[None if i in (2, 40) and j % 9 == 0 else float(v) for i, v in enumerate(r)]) for j, (c, r) in enumerate(zip(y, x))]
+    df = spark.createDataFrame(rows, "label string, " + ", ".join(f"{c} double" for c in names))
+    plain = StringIndexer(inputCol="label", outputCol="__y", stringOrderType="alphabetAsc").fit(df).transform(df)
+    plain = Imputer(strategy="median", inputCols=names, outputCols=names).fit(plain).transform(plain)
+    plain = VectorAssembler(inputCols=names, outputCol="__f").transform(plain)
+    varied = VarianceThresholdSelector(varianceThreshold=0.01, featuresCol="__f", outputCol="__v").fit(plain)
+    sel = UnivariateFeatureSelector(featuresCol="__v", outputCol="__s", labelCol="__y", selectionMode="numTopFeatures")
+    sel.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(50)
+    want = [names[varied.selectedFeatures[i]] for i in sorted(sel.fit(varied.transform(plain)).selectedFeatures)]
+    seen = []
+    real = M._best_by_anova
+    M._best_by_anova = lambda *a: seen.append(a[3]) or real(*a)
+    try:
+        assert M.auto_reduce(df, names, "label", 300) == want
+    finally:
+        M._best_by_anova = real
+    assert seen == [50]
