@@ -5,9 +5,8 @@ centres of all starts at once and sums rows, coordinates and inertia per centre,
 (starts x centres x features) numbers whatever the rows. A start that moves no more stays where it is; the steps
 end with the last one, or after ``max_iter``.
 
-Starts are chosen by k-means++ on at most SEEDING rows (those of the least hash) and moved there until they rest: a
-bounded sample decides only where the search begins, the steps after that and the inertia are over all rows. Starts
-that rest on the same centres go on as one."""
+Starts are chosen by k-means++ on at most SEEDING rows (those of the least hash): a bounded sample decides only
+where the search begins, every step and the inertia are over all rows."""
 
 from __future__ import annotations
 
@@ -43,30 +42,15 @@ def dealt(df: DataFrame, rows: int) -> DataFrame:
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df.coalesce(most)
 
 
-def _moved(x: np.ndarray, centres: np.ndarray, tolerance: float, max_iter: int) -> np.ndarray:
-    """Centres after steps over the rows of the sample, by the rule of ``lloyd``."""
-    size = np.empty((len(x), x.shape[1] + 1))
-    size[:, 0], size[:, 1:] = 1.0, x
-    for _ in range(max_iter):
-        s = _sums(x.T, size, centres)[1]
-        new = np.where(s[:, :1] > 0, s[:, 1:] / np.maximum(s[:, :1], 1), centres)
-        if ((new - centres) ** 2).sum() <= tolerance:
-            break
-        centres = new
-    return centres
-
-
-def starts(vec: DataFrame, ks: list[int], seeds: tuple[int, ...], n_init: int, max_iter: int = 500) -> list[tuple[int, int, np.ndarray]]:
-    """(k, seed, centres) of every start. On a sample the centres move until they rest, on a whole table as ``lloyd`` would."""
+def starts(vec: DataFrame, ks: list[int], seeds: tuple[int, ...], n_init: int) -> list[tuple[int, int, np.ndarray]]:
+    """(k, seed, centres) of every start."""
     rows = vec.select(vector_to_array("features").alias("x")).withColumn("h", F.xxhash64("x")).orderBy("h", "x").limit(SEEDING).collect()
     x = np.array([r["x"] for r in rows], float)
-    close = TOLERANCE if len(x) < SEEDING else 0.0
     out = []
     for k in ks:
         for seed in seeds:
             rng = np.random.default_rng([seed, k])
-            begun = [_plus_plus(x, k, rng) for _ in range(n_init)]
-            out += [(k, seed, _moved(x, c, close, max_iter)) for c in begun]
+            out += [(k, seed, _plus_plus(x, k, rng)) for _ in range(n_init)]
     return out
 
 
@@ -76,11 +60,11 @@ def _sums(xt: np.ndarray, ones_x: np.ndarray, c: np.ndarray) -> tuple[float, np.
     gap = (-2.0 * c) @ xt
     gap += (c ** 2).sum(axis=1)[:, None]
     least = gap[0].copy()
-    at = np.zeros(len(least), np.int8)
+    at = np.zeros(len(least), np.int32)
     for j in range(1, len(c)):
         at[gap[j] < least] = j
         np.minimum(least, gap[j], out=least)
-    own = (at[None, :] == np.arange(len(c), dtype=np.int8)[:, None]).astype(float)
+    own = (at[None, :] == np.arange(len(c), dtype=np.int32)[:, None]).astype(float)
     return float(least.sum()), own @ ones_x
 
 
@@ -131,22 +115,11 @@ def lloyd(vec: DataFrame, begin: list[np.ndarray], max_iter: int = 500) -> list[
 
 def best_of(vec: DataFrame, ks: list[int], seeds: tuple[int, ...] = (42, 59, 76), n_init: int = 15, max_iter: int = 500) -> dict:
     """{(k, seed): (centres, inertia)}: of each seed's starts the one of least inertia (ties: the first)."""
-    begun = starts(vec, ks, seeds, n_init, max_iter)
-    own: dict = {}  # the first start of each set of centres runs for all that have the same ones in any order
-    places = []
-    for _, _, c in begun:
-        at = np.lexsort(np.round(c, 9).T[::-1])
-        places.append((np.round(c, 9)[at].tobytes(), at))
-        own.setdefault(places[-1][0], (len(own), c, at))
-    ran = lloyd(vec, [c for _, c, _ in own.values()], max_iter)
+    begun = starts(vec, ks, seeds, n_init)
     out: dict = {}
-    for (k, seed, _), (mark, at) in zip(begun, places):
-        i, _, first = own[mark]
-        centres, inertia = ran[i]
-        ordered = np.empty_like(centres)
-        ordered[at] = centres[first]
+    for (k, seed, _), (centres, inertia) in zip(begun, lloyd(vec, [c for _, _, c in begun], max_iter)):
         if (k, seed) not in out or inertia < out[k, seed][1]:
-            out[k, seed] = ordered, inertia
+            out[k, seed] = centres, inertia
     return out
 
 
