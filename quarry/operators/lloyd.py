@@ -113,6 +113,59 @@ def lloyd(vec: DataFrame, begin: list[np.ndarray], max_iter: int = 500) -> list[
     return list(zip(centres, inertia))
 
 
+def refined(rows: DataFrame, begin: list[np.ndarray], max_iter: int = 20, tol: float = 1e-4) -> list[tuple[np.ndarray, float]]:
+    """(centres, inertia) of every start by the rules of Spark's KMeans, all starts in the same passes: centres
+    move in every step, a start ends when none moved by more than ``tol``, and its inertia is that before the last
+    move. ``rows``: vectors as arrays x, cached by the caller."""
+    centres, inertia = [c.copy() for c in begin], [0.0] * len(begin)
+    live = list(range(len(begin)))
+    for _ in range(max_iter):
+        got = (rows.mapInArrow(_assigned(centres, live), "start long, s array<double>").groupBy("start")
+               .agg(Summarizer.sum(array_to_vector("s")).alias("s")).collect())
+        still = []
+        for r in got:
+            i, s = r["start"], np.asarray(r["s"].toArray())
+            k, d = centres[i].shape
+            n, sums = s[1:k + 1], s[k + 1:].reshape(k, d)
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres[i])
+            if (((new - centres[i]) ** 2).sum(axis=1) > tol ** 2).any():
+                still.append(i)
+            centres[i], inertia[i] = new, float(s[0])
+        live = sorted(still)
+        if not live:
+            break
+    return list(zip(centres, inertia))
+
+
+def _distances(centres: list[np.ndarray]):
+    """mapInArrow body: (start, centre, its rows, the sum of their distances to it) of a task's rows."""
+    def run(batches):
+        size, far = [np.zeros(len(c), np.int64) for c in centres], [np.zeros(len(c)) for c in centres]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.asarray(batch.column("x").flatten()).reshape(batch.num_rows, -1)
+            for i, c in enumerate(centres):
+                gaps = np.stack([((x - v) ** 2).sum(axis=1) for v in c])
+                at = gaps.argmin(axis=0)
+                size[i] += np.bincount(at, minlength=len(c))
+                far[i] += np.bincount(at, np.sqrt(gaps.min(axis=0)), len(c))
+        own = [(i, j) for i, c in enumerate(centres) for j in range(len(c)) if size[i][j]]
+        yield pa.RecordBatch.from_pydict({
+            "start": pa.array([i for i, _ in own], pa.int32()), "centre": pa.array([j for _, j in own], pa.int32()),
+            "size": pa.array([int(size[i][j]) for i, j in own], pa.int64()), "far": pa.array([float(far[i][j]) for i, j in own], pa.float64())})
+    return run
+
+
+def spreads(rows: DataFrame, centres: list[np.ndarray]) -> list[dict[int, tuple[int, float]]]:
+    """Per start {centre: (rows nearest to it, their mean distance)}, of all starts in one pass."""
+    out: list[dict[int, tuple[int, float]]] = [{} for _ in centres]
+    for r in (rows.mapInArrow(_distances(centres), "start int, centre int, size long, far double").groupBy("start", "centre")
+              .agg(F.sum("size").alias("size"), F.sum("far").alias("far")).collect()):
+        out[r["start"]][r["centre"]] = r["size"], r["far"] / r["size"]
+    return out
+
+
 def best_of(vec: DataFrame, ks: list[int], seeds: tuple[int, ...] = (42, 59, 76), n_init: int = 15, max_iter: int = 500) -> dict:
     """{(k, seed): (centres, inertia)}: of each seed's starts the one of least inertia (ties: the first)."""
     begun = starts(vec, ks, seeds, n_init)

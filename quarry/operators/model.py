@@ -777,35 +777,34 @@ def summed_folds(scores: DataFrame) -> DataFrame:
 
 
 def clustering_model(vec: DataFrame, k_max: int = 5, seed: int = 42) -> DataFrame:
-    """M8: k = 2..min(5, n/10) by silhouette; Davies-Bouldin and Calinski-Harabasz from two
-    group-by aggregates; inertia from the training cost."""
+    """M8: k = 2..min(5, n/10) by silhouette. Each k starts where Spark's KMeans does (k-means||); the steps of all k
+    are the same passes (``lloyd.refined``), as are the sizes and distances for Davies-Bouldin and Calinski-Harabasz.
+    Only the vectors are cached."""
+    import numpy as np
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from quarry.operators import lloyd
+    vec = vec.select("features").persist()
     n = vec.count()
+    ks = list(range(2, max(2, min(k_max, n // 10)) + 1))
+    begin = [np.array(KMeans(k=k, seed=seed, featuresCol="features", maxIter=0).fit(vec).clusterCenters()) for k in ks]
+    x = lloyd.dealt(vec.select(vector_to_array("features").alias("x")), n).persist()
+    x.count()
+    vec.unpersist()
+    found = lloyd.refined(x, begin)
+    per = lloyd.spreads(x, [c for c, _ in found])
     rows = []
-    for k in range(2, max(2, min(k_max, n // 10)) + 1):
-        m = KMeans(k=k, seed=seed, featuresCol="features").fit(vec)
-        p = m.transform(vec)
-        sil = ClusteringEvaluator(featuresCol="features").evaluate(p)
-        dim = len(m.clusterCenters()[0])
-        arr = p.withColumn("__a", vector_to_array("features"))
-        cents = {i: c for i, c in enumerate(m.clusterCenters())}
-        ctr = vec.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in cents.items()],
-                                               "prediction int, c array<double>")
-        d = F.sqrt(F.aggregate(F.zip_with("__a", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-                               lambda acc, x: acc + x))
-        per = (arr.join(F.broadcast(ctr), "prediction").groupBy("prediction")
-               .agg(F.count(F.lit(1)).alias("size"), F.avg(d).alias("s")).collect())
-        gmean = [float(sum(cents[r["prediction"]][j] * r["size"] for r in per) / n) for j in range(dim)]
-        import numpy as np
-        C = {r["prediction"]: np.asarray(cents[r["prediction"]]) for r in per}
-        S = {r["prediction"]: r["s"] for r in per}
-        db = float(np.mean([max((S[i] + S[j]) / np.linalg.norm(C[i] - C[j]) for j in C if j != i) for i in C]))
-        ssb = sum(r["size"] * float(np.sum((C[r["prediction"]] - np.asarray(gmean)) ** 2)) for r in per)
-        ssw = m.summary.trainingCost
+    for k, (C, ssw), groups in zip(ks, found, per):
+        pred = x.select(array_to_vector("x").alias("features")).withColumn("prediction", lloyd.nearest(C))
+        sil = ClusteringEvaluator(featuresCol="features").evaluate(pred)
+        gmean = sum(C[j] * size for j, (size, _) in groups.items()) / n
+        db = float(np.mean([max((groups[i][1] + groups[j][1]) / np.linalg.norm(C[i] - C[j]) for j in groups if j != i) for i in groups]))
+        ssb = sum(size * float(np.sum((C[j] - gmean) ** 2)) for j, (size, _) in groups.items())
         ch = (ssb / (k - 1)) / (ssw / (n - k)) if ssw > 0 else float("inf")
-        rows.append((k, sil, db, ch, ssw, [r["size"] for r in sorted(per, key=lambda r: r["prediction"])]))
+        rows.append((k, sil, db, ch, ssw, [groups[j][0] for j in sorted(groups)]))
+    x.unpersist()
     t = vec.sparkSession.createDataFrame(rows, "k int, silhouette double, davies_bouldin double, "
                                                "calinski_harabasz double, inertia double, sizes array<long>")
     return t.withColumn("best", F.row_number().over(Window.orderBy(F.col("silhouette").desc(), F.col("k"))) == 1)
@@ -856,7 +855,7 @@ def run_ml_pipeline(df: DataFrame, target: str | None, features: list[str], key:
     if target is None:
         from quarry.operators.segment import standardize
         vec, _ = standardize(df, features, key)
-        out["clustering"] = clustering_model(vec.persist())
+        out["clustering"] = clustering_model(vec)
         return out
     tp = target_profile(df, target)
     ok, why = target_validity(tp)

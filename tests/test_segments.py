@@ -82,3 +82,29 @@ def test_rows_of_few_partitions_are_dealt_to_the_cores(spark, monkeypatch):
     df = spark.range(1000).coalesce(1)
     assert lloyd.dealt(df, 1000).rdd.getNumPartitions() == min(10, 2 * spark.sparkContext.defaultParallelism)
     assert lloyd.dealt(df.repartition(16), 300).rdd.getNumPartitions() == 3 and lloyd.dealt(df, 1000).count() == 1000
+
+
+def test_clustering_model_equals_sparks_kmeans(spark):
+    import random
+
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.linalg import Vectors
+
+    from quarry.operators import lloyd
+    from quarry.operators import model as M
+    rng = random.Random(3)
+    vec = spark.createDataFrame([(i, Vectors.dense(rng.gauss(3 * (i % 4), 1.0), rng.gauss(i % 3, 0.7))) for i in range(900)], ["id", "features"]).repartition(3, "id").persist()
+    calls = []
+    made = lloyd.refined
+    lloyd.refined = lambda *a: calls.append(len(a[1])) or made(*a)
+    try:
+        got = {r["k"]: r for r in M.clustering_model(vec).collect()}
+    finally:
+        lloyd.refined = made
+    assert calls == [4]  # all k share their passes
+    for k in (2, 3, 4, 5):
+        m = KMeans(k=k, seed=42, featuresCol="features").fit(vec)
+        assert abs(got[k]["inertia"] - m.summary.trainingCost) < 1e-6 * m.summary.trainingCost
+        assert got[k]["sizes"] == m.summary.clusterSizes
+        assert abs(got[k]["silhouette"] - ClusteringEvaluator(featuresCol="features").evaluate(m.transform(vec))) < 1e-9
