@@ -4,11 +4,16 @@ A tree of Spark sees of a number only which of at most BINS bins it falls in. Al
 go the same way in every tree, so the squared error sees of them only their number and the mean of their labels (a residual is
 the label minus a function of the bins; what the labels scatter inside a cell is the same on both sides of any split). A boosted
 model grown on the cells is the one grown on the rows, in rounds that cost cells, not rows: BINS ^ features of
-them at most, and never more than rows."""
+them at most, and never more than rows.
+
+The same holds for classes, with the class in the cell: impurity sees of a cell only its weight. A forest's tree draws each row
+with a Poisson number of mean 1, so it draws a cell of n rows with one of mean n (the sum of n such numbers). Each tree is fitted by
+Spark on the cells with its own draws, which depend on seed, cell and tree only."""
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,6 +24,8 @@ from pyspark.sql import functions as F
 BINS = 32
 #: Cells are used for more rows than ROWS, and if there are at most rows / SHRINK of them.
 ROWS, SHRINK = 100_000, 4
+#: Cells of a partition, and trees of a forest that are fitted side by side.
+PART_CELLS, AT_ONCE = 50_000, 8
 
 
 def _few(bins: int):
@@ -77,3 +84,72 @@ def shrunk(rows: DataFrame, n: int, by: list[str] = ()) -> tuple[list[list[float
         few.unpersist()
         return None
     return cuts, few, count
+
+
+def class_cells(rows: DataFrame, train: DataFrame, n: int, by: list[str]) -> tuple[list[list[float]], DataFrame] | None:
+    """Edges from the ``n`` rows ``train`` and the cached cells of the cached ``rows``: __bins, ``by`` (with the class __y
+    and its weight __w), __n. None where they would not be much fewer than the rows."""
+    if n <= ROWS:
+        return None
+    cuts = edges(train)
+    few = (with_bins(rows, cuts).groupBy(vector_to_array("__bins").alias("__b"), *by).agg(F.count(F.lit(1)).alias("__n"))
+           .select(array_to_vector("__b").alias("__bins"), F.xxhash64("__b", "__y").alias("__cell"), *by, "__n").persist())
+    count = few.count()
+    if count * SHRINK > rows.count():
+        few.unpersist()
+        return None
+    few_rows = few.coalesce(max(1, -(-count // PART_CELLS))).persist()
+    few_rows.count()
+    few.unpersist()
+    return cuts, few_rows
+
+
+def _draws(trees: int, seed: int):
+    """Column function: of each (cell, rows) the number of its rows that each tree draws."""
+    @F.pandas_udf("array<long>")
+    def draws(cell: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([np.random.default_rng([c % (1 << 64), seed]).poisson(m, trees) for c, m in zip(cell.tolist(), n.tolist())])
+    return draws
+
+
+def grown(est, few: DataFrame, seed: int):
+    """The decision tree or forest of classes ``est`` fitted on cells as ``class_cells`` has them. Where nodes have a least
+    number of rows, a cell counts as that many rows if it has them."""
+    from concurrent.futures import ThreadPoolExecutor
+    classes = int(few.agg(F.max("__y")).first()[0]) + 1
+    y = F.col("__y").alias("__y", metadata={"ml_attr": {"type": "nominal", "name": "__y", "num_vals": classes}})  # the same in every tree
+    per = few.groupBy("__bins", "__cell", "__w", "__y").agg(F.sum("__n").alias("__n")) if "__fold" in few.columns else few
+    own = {est.featuresCol: "__bins", est.weightCol: "__weight"}
+    if not hasattr(est, "numTrees"):
+        least = est.getMinInstancesPerNode()
+        pieces = F.least(F.col("__n"), F.lit(least)).cast("int")
+        rows = per.withColumn("__weight", F.col("__w") * F.col("__n") / pieces).withColumn("__piece", F.explode(F.sequence(F.lit(1), pieces)))
+        return est.copy(own).fit(rows.select("__bins", "__weight", y))
+    trees = est.getNumTrees()
+    drawn = per.select("__bins", "__w", y, _draws(trees, seed)("__cell", "__n").alias("__drawn"))
+    drawn = drawn.select("__bins", "__w", "__y", *[F.col("__drawn")[t].alias(f"__drawn{t}") for t in range(trees)]).persist()  # a fit reads its own
+    drawn.count()
+    subset = "sqrt" if est.getFeatureSubsetStrategy() == "auto" and trees > 1 else est.getFeatureSubsetStrategy()
+
+    def one(t: int):
+        rows = drawn.withColumn("__weight", F.col("__w") * F.col(f"__drawn{t}")).filter(F.col("__weight") > 0).select("__bins", "__y", "__weight")
+        lone = {est.numTrees: 1, est.bootstrap: False, est.featureSubsetStrategy: subset, est.seed: seed + 7919 * t}
+        return est.copy(own | lone).fit(rows)
+
+    with ThreadPoolExecutor(max_workers=AT_ONCE) as ex:
+        single = list(ex.map(one, range(trees)))
+    drawn.unpersist()
+    return _joined(single, est.copy(own))
+
+
+def _joined(single: list, est):
+    """One forest of the trees of forests of one."""
+    from pyspark import SparkContext
+    from pyspark.ml.classification import RandomForestClassificationModel
+    sc = SparkContext.getOrCreate()
+    ml, first = sc._jvm.org.apache.spark.ml.classification, single[0]._java_obj
+    trees = sc._gateway.new_array(ml.DecisionTreeClassificationModel, len(single))
+    for i, model in enumerate(single):
+        trees[i] = model._java_obj.trees()[0]
+    whole = RandomForestClassificationModel(ml.RandomForestClassificationModel(first.uid() + "_joined", trees, first.numFeatures(), first.numClasses()))
+    return whole.setFeaturesCol(est.getFeaturesCol())

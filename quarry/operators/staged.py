@@ -59,9 +59,11 @@ def _values(trees: list[dict], x: np.ndarray, depths: list[int], counts: list[in
                 yield d, t, total[d] / t
 
 
-def staged_scores(rows: DataFrame, model, depths: list[int], counts: list[int], label: str = "__y") -> list:
+def staged_scores(rows: DataFrame, model, depths: list[int], counts: list[int], label: str = "__y", features: str = "features",
+                  count: str | None = None) -> list:
     """For held-out ``rows`` (features, label): (depth, trees, label, prediction, n, squared error) rows, by class
-    counts for a classifier, one row a (depth, trees) for a regressor."""
+    counts for a classifier, one row a (depth, trees) for a regressor. ``count``: the column that holds how many
+    rows a classifier's row stands for."""
     spark = rows.sparkSession
     trees = spark.sparkContext.broadcast(node_tables(model, spark))
     classes = hasattr(model, "numClasses")
@@ -73,7 +75,9 @@ def staged_scores(rows: DataFrame, model, depths: list[int], counts: list[int],
             x, y = np.asarray(batch.column("x").flatten()).reshape(batch.num_rows, -1), np.asarray(batch.column("y"))
             for d, t, value in _values(trees.value, x, depths, counts):
                 if classes:
-                    pair, n = np.unique(np.stack([y, value.argmax(axis=1).astype(float)], axis=1), axis=0, return_counts=True)
+                    pair, at = np.unique(np.stack([y, value.argmax(axis=1).astype(float)], axis=1), axis=0, return_inverse=True)
+                    n = np.zeros(len(pair), np.int64)
+                    np.add.at(n, at.ravel(), np.asarray(batch.column("n")))
                     error = np.zeros(len(n))
                 else:
                     pair, n, error = np.zeros((1, 2)), np.array([len(y)]), np.array([((value[:, 0] - y) ** 2).sum()])
@@ -82,5 +86,6 @@ def staged_scores(rows: DataFrame, model, depths: list[int], counts: list[int],
                     "y": pa.array(pair[:, 0]), "prediction": pa.array(pair[:, 1]), "n": pa.array(n), "error": pa.array(error)})
 
     shape = "depth int, trees int, y double, prediction double, n long, error double"
-    return (rows.select(vector_to_array("features").alias("x"), F.col(label).cast("double").alias("y")).mapInArrow(run, shape)
+    n = F.col(count) if count else F.lit(1)
+    return (rows.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"), n.cast("long").alias("n")).mapInArrow(run, shape)
             .groupBy("depth", "trees", "y", "prediction").agg(F.sum("n").alias("n"), F.sum("error").alias("error")).collect())
