@@ -778,21 +778,21 @@ def cross_validate(df: DataFrame, features: list[str], label: str, key: str, fol
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StringIndexer
     from pyspark.ml.regression import LinearRegression
-    data = folds_of(df.filter(F.col(f"`{label}`").isNotNull()), key, None if regression else label, folds, seed + 1, "split")
+    rows = df.filter(F.col(f"`{label}`").isNotNull()).select(*[F.col(f"`{c}`") for c in dict.fromkeys([key, *features, label])])
+    n = rows.count()
+    data = folds_of(rows, key, None if regression else label, folds, seed + 1, "split")
     data = data.withColumn("__w", F.lit(1.0))
+    kinds = 0
     if regression:
         data = data.withColumn("__y", F.col(f"`{label}`").cast("double"))
         estimator = estimator or LinearRegression(featuresCol="features", labelCol="__y")
     else:  # indexed once, so that a fold without a class still knows it
-        data = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(data).transform(data)
+        index = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(rows)
+        data, kinds = index.transform(data), len(index.labels) if n else 0
         estimator = estimator or LogisticRegression(featuresCol="features", labelCol="__y")
-    data = data.persist()
-    sizes = {r["split"]: r["n"] for r in data.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
-    kinds = 0 if regression or not sizes else int(data.agg(F.max("__y")).first()[0]) + 1
-    n = sum(sizes.values())
-    packed = _packed(data, n).persist()
+    packed = _packed(data.select(*[F.col(f"`{c}`") for c in features], "__y", "__w", "split"), n).persist()  # once, and only what the fits read
+    sizes = {r["split"]: r["n"] for r in packed.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
     stages = _prep_stages(features, _lacking(packed, features)) + [estimator]
-    data.unpersist()
 
     def one(f: int):
         model = Pipeline(stages=stages).fit(packed.filter(F.col("split") != f))

@@ -84,3 +84,13 @@ def test_margin_from_a_sample_ends_where_it_does_from_zero(spark, monkeypatch):
     warm = margin.solve(rows, problems, 2, 30_000)
     rows.unpersist()
     assert np.allclose(cold, warm, atol=2e-3) and n_cold > 3
+
+
+def test_cross_validation_caches_its_rows_once(spark, monkeypatch):
+    df = _classed(spark, 2000).select("id", "a", "b", F.col("__y").cast("string").alias("label"), F.lit("unused").alias("other"))
+    held = []
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+    persist = Classic.persist
+    monkeypatch.setattr(Classic, "persist", lambda self, *a, **k: held.append(self.columns) or persist(self, *a, **k))
+    scores = M.cross_validate(df, ["a", "b"], "label", "id")
+    assert scores.count() == 5 and held == [["a", "b", "__y", "__w", "split"]]
