@@ -94,3 +94,12 @@ def test_cross_validation_caches_its_rows_once(spark, monkeypatch):
     monkeypatch.setattr(Classic, "persist", lambda self, *a, **k: held.append(self.columns) or persist(self, *a, **k))
     scores = M.cross_validate(df, ["a", "b"], "label", "id")
     assert scores.count() == 5 and held == [["a", "b", "__y", "__w", "split"]]
+
+
+def test_digest_sums_its_pairs_once(spark, monkeypatch):
+    from quarry.operators import relate as R
+    from quarry.plans.catalog import QUERIES
+    made = []
+    init = R.PairSums.__init__
+    monkeypatch.setattr(R.PairSums, "__init__", lambda self, *a, **k: made.append(1) or init(self, *a, **k))
+    assert QUERIES["digest"](spark, "/root/testdata/sf0.001").count() == 1 and len(made) == 1
