@@ -337,6 +337,7 @@ def sweep(df: DataFrame, cols: list[str], key: str, ks=(2, 3, 4, 5), seeds=(42,
         joined.unpersist()
         runs.append((k, info["method"], info["silhouette"], sizes["min_size"], sizes["max_size"],
                      sizes["balance"], disp["dispersion"], disp["quality_3d"]))
+        pred.unpersist()  # the labels of one k at a time; the points follow from the vectors and the centres
         p = pts.withColumn("k", F.lit(k)).withColumnRenamed("prediction", "cluster")
         points = p if points is None else points.unionByName(p)
     # the vectors stay cached for the returned points, which are lazy; the caller's session drops them

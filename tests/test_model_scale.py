@@ -103,3 +103,13 @@ def test_digest_sums_its_pairs_once(spark, monkeypatch):
     init = R.PairSums.__init__
     monkeypatch.setattr(R.PairSums, "__init__", lambda self, *a, **k: made.append(1) or init(self, *a, **k))
     assert QUERIES["digest"](spark, "/root/testdata/sf0.001").count() == 1 and len(made) == 1
+
+
+def test_sweep_keeps_no_labels_of_earlier_ks(spark):
+    from quarry.operators import segment as K
+    df = spark.range(600).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5 + F.col("id") % 2 * 40).cast("double").alias("b"))
+    before = {r for r in spark.sparkContext._jsc.getPersistentRDDs()}
+    points, runs = K.sweep(df, ["a", "b"], "id", ks=(2, 3), seeds=(42,), n_init=2)
+    kept = [r for r in spark.sparkContext._jsc.getPersistentRDDs() if r not in before]
+    assert len(kept) <= 1  # the vectors
+    assert points.groupBy("k").count().filter("count = 600").count() == runs.count() == 2
