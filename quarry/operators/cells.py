@@ -120,14 +120,16 @@ def grown(est, few: DataFrame, seed: int):
     y = F.col("__y").alias("__y", metadata={"ml_attr": {"type": "nominal", "name": "__y", "num_vals": classes}})  # the same in every tree
     per = few.groupBy("__bins", "__cell", "__w", "__y").agg(F.sum("__n").alias("__n")) if "__fold" in few.columns else few
     own = {est.featuresCol: "__bins", est.weightCol: "__weight"}
+    parts = max(1, -(-few.count() // PART_CELLS))
     if not hasattr(est, "numTrees"):
         least = est.getMinInstancesPerNode()
         pieces = F.least(F.col("__n"), F.lit(least)).cast("int")
         rows = per.withColumn("__weight", F.col("__w") * F.col("__n") / pieces).withColumn("__piece", F.explode(F.sequence(F.lit(1), pieces)))
-        return est.copy(own).fit(rows.select("__bins", "__weight", y))
+        return est.copy(own).fit(rows.select("__bins", "__weight", y).coalesce(parts))
     trees = est.getNumTrees()
     drawn = per.select("__bins", "__w", y, _draws(trees, seed)("__cell", "__n").alias("__drawn"))
-    drawn = drawn.select("__bins", "__w", "__y", *[F.col("__drawn")[t].alias(f"__drawn{t}") for t in range(trees)]).persist()  # a fit reads its own
+    drawn = drawn.select("__bins", "__w", "__y", *[F.col("__drawn")[t].alias(f"__drawn{t}") for t in range(trees)])  # a fit reads its own
+    drawn = drawn.coalesce(parts).persist()
     drawn.count()
     subset = "sqrt" if est.getFeatureSubsetStrategy() == "auto" and trees > 1 else est.getFeatureSubsetStrategy()
 

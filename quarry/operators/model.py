@@ -91,8 +91,8 @@ def class_ranks(df: DataFrame, key: str, label: str | None, seed: int) -> DataFr
             .withColumn("__rank", _rank(key)).drop("__h", "__cell", "__c", "c2", "cell2", "__before"))
 
 
-#: Classes whose hash cells are broadcast.
-FEW_CLASSES = 64
+#: Classes whose hash cells are broadcast, and rows of a table that is split by ranking all of them.
+FEW_CLASSES, SPLIT_ROWS = 64, 200_000
 
 
 def _few_classes(df: DataFrame, label: str | None) -> bool:
@@ -119,13 +119,13 @@ def stratified_split(df: DataFrame, key: str, label: str, seed: int = 42, train:
     """M3 for classes: each class's rows in the order of a hash of the key, cut at 60 % and 80 %, so a class of
     five rows or more is in every split.
 
-    A cut falls in one hash cell of a class. All other cells lie in one split with all their rows, which stay where they are:
+    Beyond SPLIT_ROWS rows: a cut falls in one hash cell of a class. All other cells lie in one split with all their rows, which stay where they are:
     only the rows of the at most two cut cells of each class are ranked."""
     def part(rank: Column) -> Column:
         at = (rank - 0.5) / F.col("__n")
         return F.when(at < train, "train").when(at < train + val, "val").otherwise("test")
 
-    if not _few_classes(df, label):
+    if df.count() <= SPLIT_ROWS or not _few_classes(df, label):
         return class_ranks(df, key, label, seed).withColumn("split", part(F.col("__rank"))).drop("__rank", "__n")
     rows, cells = _hash_cells(df, key, label, seed)
     first, last = part(F.col("__before") + 1), part(F.col("__before") + F.col("__in"))

@@ -55,7 +55,8 @@ def test_few_rows_take_no_cells(spark):
     assert cells.class_cells(rows, rows, 1000, ["__y", "__w"]) is None
 
 
-def test_split_ranks_only_the_cut_cells(spark):
+def test_split_ranks_only_the_cut_cells(spark, monkeypatch):
+    monkeypatch.setattr(M, "SPLIT_ROWS", 0)
     df = spark.range(9000).select("id", F.when(F.col("id") % 10 == 0, None).when(F.col("id") % 10 < 7, "x").otherwise("y").alias("label"))
     df = df.unionByName(df.filter("id < 5"))  # repeated keys
     got = M.stratified_split(df, "id", "label")
