@@ -114,3 +114,19 @@ def test_sweep_keeps_no_labels_of_earlier_ks(spark):
     kept = [r for r in spark.sparkContext._jsc.getPersistentRDDs() if r not in before]
     assert len(kept) <= 1  # the vectors
     assert points.groupBy("k").count().filter("count = 600").count() == runs.count() == 2
+
+
+def test_tuned_training_on_cells(spark, monkeypatch):
+    monkeypatch.setattr(cells, "ROWS", 500)
+    monkeypatch.setattr(M, "SPLIT_ROWS", 0)
+    monkeypatch.setitem(M.GRIDS, "random_forest", {"max_depth": [2, 3], "n_estimators": [2, 3]})
+    made = []
+    grown = cells.grown
+    monkeypatch.setattr(cells, "grown", lambda *a: made.append(1) or grown(*a))
+    df = _classed(spark, 6000).select("id", "a", "b", F.concat(F.lit("c"), F.col("__y").cast("string")).alias("label"))
+    metrics, importance, pred = M.train_classifiers(df, ["a", "b"], "label", "id", n_classes=3, with_predictions=True, tune=True)
+    got = {r["model"]: r for r in metrics.collect()}
+    assert made and len(got["random_forest"]["grid"]) == 4 and all(0.5 < got[m]["val_accuracy"] <= 1 for m in ("decision_tree", "random_forest"))
+    for m in ("decision_tree", "random_forest", "linear_svm"):  # the predictions are those that the metrics count
+        right = pred[m].filter("split = 'val'").agg(F.avg((F.col("__y") == F.col("prediction")).cast("double"))).first()[0]
+        assert abs(right - got[m]["val_accuracy"]) < 1e-9
