@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 BINS = 32
 #: Cells are used for more rows than ROWS, and if there are at most rows / SHRINK of them.
 ROWS, SHRINK = 100_000, 4
+#: A number's forest grows on the draws of more rows than these cell by cell (grow.py), of fewer as Spark grows it.
+FOREST_ROWS = 100_000
 #: Cells of a partition, and trees of a forest that are fitted side by side.
 PART_CELLS, AT_ONCE = 50_000, 8
 
@@ -67,17 +69,17 @@ def with_bins(rows: DataFrame, cuts: list[list[float]]) -> DataFrame:
 
 
 def cells(binned: DataFrame, by: list[str] = ()) -> DataFrame:
-    """A row for each distinct __bins (and ``by``): __n its rows and __y their mean label."""
+    """A row for each distinct __bins (and ``by``): __n its rows, __y their mean label and __v the squares of the labels' distances to it."""
     return (binned.groupBy(vector_to_array("__bins").alias("__b"), *by)
-            .agg(F.count(F.lit(1)).cast("double").alias("__n"), F.avg("__y").alias("__y"))
-            .select(array_to_vector("__b").alias("__bins"), *by, "__n", "__y"))
+            .agg(F.count(F.lit(1)).cast("double").alias("__n"), F.avg("__y").alias("__mean"), (F.var_pop("__y") * F.count(F.lit(1))).alias("__v"))
+            .select(array_to_vector("__b").alias("__bins"), *by, "__n", F.col("__mean").alias("__y"), "__v"))
 
 
-def shrunk(rows: DataFrame, n: int, by: list[str] = ()) -> tuple[list[list[float]], DataFrame, int] | None:
-    """Edges, cached cells of the ``n`` rows and their number; None where they would not be much fewer."""
+def shrunk(rows: DataFrame, n: int, by: list[str] = (), train: DataFrame | None = None) -> tuple[list[list[float]], DataFrame, int] | None:
+    """Edges (of the rows ``train`` where given), cached cells of the ``n`` rows and their number; None where they would not be much fewer."""
     if n <= ROWS:
         return None
-    cuts = edges(rows)
+    cuts = edges(rows if train is None else train)
     few = cells(with_bins(rows, cuts), by).persist()
     count = few.count()
     if count * SHRINK > n:
@@ -113,11 +115,17 @@ def _draws(trees: int, seed: int):
 
 
 def grown(est, few: DataFrame, seed: int):
-    """The decision tree or forest of classes ``est`` fitted on cells as ``class_cells`` has them. Where nodes have a least
-    number of rows, a cell counts as that many rows if it has them."""
+    """The decision tree or forest of classes ``est`` fitted on cells as ``class_cells`` has them: in tasks that hold all cells (grow.py),
+    beyond ``grow.MOST`` of them by Spark. Where nodes have a least number of rows, a cell counts as that many rows if it has them."""
     from concurrent.futures import ThreadPoolExecutor
+
+    from quarry.operators import grow
     classes = int(few.agg(F.max("__y")).first()[0]) + 1
     y = F.col("__y").alias("__y", metadata={"ml_attr": {"type": "nominal", "name": "__y", "num_vals": classes}})  # the same in every tree
+    if few.count() <= grow.MOST:
+        got = few.groupBy(vector_to_array("__bins").alias("b"), "__w", "__y").agg(F.sum("__n").alias("n")).toPandas()
+        return grow.class_trees(few.sparkSession, np.stack(got["b"].to_list()).astype(np.int64), got["__y"].to_numpy(), got["__w"].to_numpy(float),
+                                got["n"].to_numpy(np.int64), est, seed, classes)
     per = few.groupBy("__bins", "__cell", "__w", "__y").agg(F.sum("__n").alias("__n")) if "__fold" in few.columns else few
     own = {est.featuresCol: "__bins", est.weightCol: "__weight"}
     parts = max(1, -(-few.count() // PART_CELLS))

@@ -65,7 +65,7 @@ def staged_scores(rows: DataFrame, model, depths: list[int], counts: list[int],
     counts for a classifier, one row a (depth, trees) for a regressor. ``count``: the column that holds how many
     rows a classifier's row stands for."""
     spark = rows.sparkSession
-    trees = spark.sparkContext.broadcast(node_tables(model, spark))
+    trees = spark.sparkContext.broadcast(model.tables if hasattr(model, "tables") else node_tables(model, spark))
     classes = hasattr(model, "numClasses")
 
     def run(batches):
