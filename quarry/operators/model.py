@@ -492,7 +492,7 @@ def grid_search(rows: DataFrame, key: str, models: dict, grids: dict, regression
 
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 
-    from quarry.operators import cells, margin
+    from quarry.operators import cells, grow, margin
     from quarry.operators.staged import staged_scores
     own = {name: {"est": est, "best": None, "points": []} for name, est in models.items()}
     rows = folds_of(rows, key, None if regression else "__y", SEARCH_FOLDS, seed + 2, "__fold").persist()
@@ -506,7 +506,10 @@ def grid_search(rows: DataFrame, key: str, models: dict, grids: dict, regression
     packed = _packed(rows, total).persist()
     packed.count()
     rows.unpersist()
-    small = cells.shrunk(packed, total, ["__fold"]) if "gradient_boosting" in models and "gradient_boosting" in grids else None
+    small = cells.shrunk(packed, total, ["__fold"]) if regression else None
+    held = _number_cells(small, "__fold")
+    drawn = held is not None and total > cells.FOREST_ROWS
+    lines = grow.Moments(packed, "__fold") if regression and total > cells.ROWS else None
     grown = _packed(small[1], small[2]) if small else None
     classed = cells.class_cells(packed, packed, total, ["__fold", "__y", "__w"]) if not regression else None
     weighted = max(r["hi"] for r in per.values()) > 1
@@ -529,6 +532,9 @@ def grid_search(rows: DataFrame, key: str, models: dict, grids: dict, regression
         largest = point | {p: max(grid[p]) for p in nested}
         est = _set(name, models[name], largest, *shape([x for x in per if x != f]))
         test = packed.filter(F.col("__fold") == f)
+        if name in LINES and lines:
+            model = est.copy({est.weightCol: "__n"}).fit(lines.rows(rows.sparkSession, [x for x in per if x != f]))
+            return {_say(name, point, grids): -lines.error([f], model.coefficients.toArray(), model.intercept)}
         if name == "gradient_boosting" and small:
             model = _on_cells(est).fit(grown.filter(F.col("__fold") != f))
             test = cells.with_bins(test, small[0]).withColumn("__n", F.lit(1.0))
@@ -565,13 +571,42 @@ def grid_search(rows: DataFrame, key: str, models: dict, grids: dict, regression
         return {(_say("linear_svm", {"C": c}, grids), f): _f1([(r["y"], r["prediction"], r["n"]) for r in got if r["fold"] == f and r["c"] == c], weighted)
                 for f in per for c in cs}
 
+    def in_cells(whole):
+        """Scores of the jobs ``whole``, each grown in a task that holds all cells; forests from the draws of one pass."""
+        forest = [j for j in whole if j[0] == "random_forest"]
+        forests = (grow.drawn_forests(packed, held, _set("random_forest", models["random_forest"], {p: max(v) for p, v in grids["random_forest"].items()},
+                                                         total, 0.0), seed, [f for _, f, _ in forest], "__fold") if forest else {})
+        depths = {name: grid["max_depth"] for name, grid in grids.items() if "max_depth" in grid}
+        counts = {name: grid.get("n_estimators", [1]) for name, grid in grids.items()}
+        least = {name: est.getMinInstancesPerNode() for name, est in models.items() if hasattr(est, "getMinInstancesPerNode")}
+        steps = {name: est.getStepSize() for name, est in models.items() if hasattr(est, "getStepSize")}
+        deep = {name: est.getMaxDepth() for name, est in models.items() if hasattr(est, "getMaxDepth")}
+
+        def run(shared, job):
+            cells_, forests_ = shared
+            name, f, point = job
+            rest = [p for p in cells_.parts if p != f]
+            if name == "gradient_boosting":
+                n, mean = cells_.of(rest)
+                said = grow.boosted(cells_.bins, n, mean, point.get("learning_rate", steps[name]), point.get("max_depth", deep[name]), counts[name], least[name])
+                return [({"n_estimators": t}, -cells_.error(f, told)) for t, told in said.items()]
+            trees = forests_[f].tables if name == "random_forest" else [grow.number_tree(cells_, rest, max(depths[name]), least[name])]
+            return [({"max_depth": d} | ({"n_estimators": t} if name == "random_forest" else {}), -cells_.error(f, told[:, 0]))
+                    for d, t, told in grow._values(trees, cells_.bins.astype(float), depths[name], counts[name])]
+
+        got = grow.in_tasks(rows.sparkSession, (held, forests), whole, run)
+        return [{_say(j[0], j[2] | more, grids): v for more, v in scores_} for j, scores_ in zip(whole, got)]
+
     jobs = [(name, f, point) for name in models if name in grids and name != "linear_svm"
             for point in _points({p: v for p, v in grids[name].items() if p not in NESTED.get(name, [])}) for f in sorted(per)]
     jobs.sort(key=lambda j: j[0] != "gradient_boosting")  # the longest first
+    whole = [j for j in jobs if held is not None and (j[0] in ("gradient_boosting", "decision_tree") or j[0] == "random_forest" and drawn)]
+    jobs = [j for j in jobs if j not in whole]
     with ThreadPoolExecutor(max_workers=_at_once(8, total)) as ex:
         svm = ex.submit(machines) if "linear_svm" in models and "linear_svm" in grids else None
         done = list(ex.map(one, jobs))
         svm = svm.result() if svm else {}
+    done, jobs = done + (in_cells(whole) if whole else []), jobs + whole
     packed.unpersist()
     for made in (small, classed):
         if made:
@@ -596,6 +631,16 @@ def grid_search(rows: DataFrame, key: str, models: dict, grids: dict, regression
     return own
 
 
+#: Linear models of a number: on many rows fitted from sums of products.
+LINES = ("linear_regression", "ridge", "lasso")
+
+
+def _number_cells(small, by: str):
+    """The cells of ``cells.shrunk`` in arrays; None without, or where a task would not hold them."""
+    from quarry.operators import grow
+    return grow.NumberCells(small[0], small[1], by) if small and small[2] <= grow.MOST and grow.countable(small[0]) else None
+
+
 def _on_cells(est):
     return est.copy({est.featuresCol: "__bins", est.weightCol: "__n"})
 
@@ -717,7 +762,7 @@ def train_regressors(df: DataFrame, features: list[str], label: str, key: str, s
     from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                        RandomForestRegressor)
 
-    from quarry.operators import cells
+    from quarry.operators import cells, grow
     spark = df.sparkSession
     data = hash_split(df.filter(F.col(f"`{label}`").isNotNull()), key, seed).withColumn(
         "__y", F.col(f"`{label}`").cast("double")).withColumn("__w", F.lit(1.0))
@@ -742,12 +787,36 @@ def train_regressors(df: DataFrame, features: list[str], label: str, key: str, s
         found = grid_search(train.select(key, "features", "__y"), key, models, REGRESSION_GRIDS, True, seed)
         models = {name: f["est"] for name, f in found.items()}
     out = []
-    small = cells.shrunk(train, n)
+    small = cells.shrunk(data, n, ["split"], train)
+    held = _number_cells(small, "split")
+    lines, told = {}, {}
+    if n > cells.ROWS:
+        sums = grow.Moments(train, None)
+        few = sums.rows(spark, sums.per)
+        for name in LINES:
+            model = models[name].copy({models[name].weightCol: "__n"}).fit(few)
+            lines[name] = model.coefficients.toArray(), model.intercept
+    if held is not None:
+        tree, boost = models["decision_tree"], models["gradient_boosting"]
+        depth, rounds = {"tree": tree.getMaxDepth(), "boost": boost.getMaxDepth()}, boost.getMaxIter()
+        least, rate = {"tree": tree.getMinInstancesPerNode(), "boost": boost.getMinInstancesPerNode()}, boost.getStepSize()
+
+        def grown(cells_, job):
+            if job == "tree":
+                return grow.Grown([grow.number_tree(cells_, ["train"], depth[job], least[job])], cells_.bins.shape[1]).values(cells_.bins.astype(float))
+            return grow.boosted(cells_.bins, *cells_.of(["train"]), rate, depth[job], [rounds], least[job])[rounds]
+        told["decision_tree"], told["gradient_boosting"] = grow.in_tasks(spark, held, ["tree", "boost"], grown)
+        if n > cells.FOREST_ROWS:
+            forest = grow.drawn_forests(train, held, models["random_forest"], seed, [None], None)[None]
+            told["random_forest"] = forest.values(held.bins.astype(float))
+    quick = grow.scored(data, lines, held, told, float(sums.of(sums.per)[1][-1])) if lines or told else {}
 
     def fit(item):
         name, est = item
+        if name in quick:
+            return name, quick[name]
         if name == "gradient_boosting" and small:
-            model = _on_cells(est).fit(_packed(small[1], small[2]))
+            model = _on_cells(est).fit(_packed(small[1].filter("split = 'train'"), small[2]))
             return name, regression_metrics(model.transform(cells.with_bins(data, small[0])))
         return name, regression_metrics(est.fit(train).transform(data))
 
