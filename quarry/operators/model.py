@@ -764,14 +764,17 @@ def train_regressors(df: DataFrame, features: list[str], label: str, key: str, s
 
     from quarry.operators import cells, grow
     spark = df.sparkSession
-    data = hash_split(df.filter(F.col(f"`{label}`").isNotNull()), key, seed).withColumn(
-        "__y", F.col(f"`{label}`").cast("double")).withColumn("__w", F.lit(1.0))
-    data = _packed(data, data.count()).persist()
+    data = hash_split(df.filter(F.col(f"`{label}`").isNotNull()), key, seed).withColumn("__y", F.col(f"`{label}`").cast("double"))
+    total = data.count()
+    data = _packed(data.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*([key] if tune else []), *features])], "__y", "split"), total).persist()
     prep = Pipeline(stages=_prep_stages(features, _lacking(data, features))).fit(data.filter(F.col("split") == "train"))  # once for all models
-    plain, data = data, prep.transform(data).select(key, "features", "__y", "split").persist()
+    plain, data = data, prep.transform(data).select(*([key] if tune else []), "features", "__y", "split")
+    if total <= CROWD_ROWS:  # beyond, the plain numbers stay: a vector a row takes three times the memory
+        data.persist()
     train = data.filter(F.col("split") == "train")
     n = max(train.count(), 1)
-    plain.unpersist()
+    if total <= CROWD_ROWS:
+        plain.unpersist()
     models = {
         "linear_regression": LinearRegression(featuresCol="features", labelCol="__y"),
         "ridge": LinearRegression(featuresCol="features", labelCol="__y", regParam=1.0 / n, elasticNetParam=0.0),
@@ -831,6 +834,7 @@ def train_regressors(df: DataFrame, features: list[str], label: str, key: str, s
             row += [mm.get(part, {}).get(m) for m in ("rmse", "mae", "r2")]
         out.append(tuple(row) + (n, len(features)) + ((found[name]["best"], found[name]["points"]) if tune else ()))
     data.unpersist()
+    plain.unpersist()
     cols = ["model"] + [f"{p}_{m}" for p in ("train", "val", "test") for m in ("rmse", "mae", "r2")]
     return spark.createDataFrame(out, ", ".join(f"{c} {'string' if c == 'model' else 'double'}" for c in cols)
                                  + ", n_train long, n_features long" + (_TUNED if tune else ""))

@@ -95,3 +95,16 @@ def test_moments_give_the_error_on_rows(spark, parts):
     assert abs(sums.error(parts, b, a) - want) < 1e-9 * want
     few = sums.rows(spark, parts).collect()
     assert abs(sum(r["__n"] for r in few) - len(data)) < 1e-6 and abs(sum(r["__n"] * r["__y"] for r in few) - sum(r["__y"] for r in data)) < 1e-6 * len(data)
+
+
+def test_regressors_of_many_rows_cache_plain_numbers_only(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+    df = _rows(spark, 1500)
+    monkeypatch.setattr(M, "CROWD_ROWS", 0)
+    monkeypatch.setattr(cells, "ROWS", 100)
+    monkeypatch.setattr(cells, "FOREST_ROWS", 100)
+    held = []
+    persist = Classic.persist
+    monkeypatch.setattr(Classic, "persist", lambda self, *a, **k: held.append(self.columns) or persist(self, *a, **k))
+    assert M.train_regressors(df, ["a", "b"], "y", "id").count() == 6
+    assert held[0] == ["a", "b", "__y", "split"] and not any("features" in c for c in held)
