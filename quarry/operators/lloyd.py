@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEEDING = 4096
+#: More rows than these lie in blocks (blocks.py) while centres move.
+BLOCK_ROWS = 200_000
 #: A start has settled when its centres' squared moves add up to this (vectors are standardised).
 TOLERANCE = 1e-4
 #: Rows of a partition at least, so that a small table is not dealt to more tasks than it fills.
@@ -87,21 +89,52 @@ def _assigned(centres: list[np.ndarray], live: list[int]):
     return run
 
 
+def _blocked(centres: list[np.ndarray], live: list[int], d: int):
+    """As ``_assigned`` over blocks of rows; in place of the inertia 0."""
+    from quarry.operators import blocks
+
+    def own(x, c):
+        return _sums(np.ascontiguousarray(x.T), np.hstack([np.ones((len(x), 1)), x]), c)[1]
+
+    def run(batches):
+        groups = {k: [i for i in live if len(centres[i]) == k] for k in sorted({len(centres[i]) for i in live})}
+        total: dict[int, np.ndarray] = {}
+        for x, *leaves in blocks.pieces(batches, d):
+            for k, starts_ in groups.items():
+                got = blocks.sums(x, *leaves, np.stack([centres[i] for i in starts_]), own)
+                total[k] = total[k] + got if k in total else got
+        if total:
+            yield pa.RecordBatch.from_pydict({
+                "start": pa.array([i for k in total for i in groups[k]]),
+                "s": pa.array([np.concatenate([[0.0], g[:, 0], g[:, 1:].ravel()]) for got in total.values() for g in got])})
+    return run
+
+
 def lloyd(vec: DataFrame, begin: list[np.ndarray], max_iter: int = 500) -> list[tuple[np.ndarray, float]]:
     """(centres, inertia) that each start comes to."""
     rows = vec.select(vector_to_array("features").alias("x"))
-    rows = dealt(rows, rows.count()).persist()
+    count = rows.count()
+    size = 0.0
+    if count > BLOCK_ROWS:
+        from quarry.operators import blocks
+        d = begin[0].shape[1]
+        size = rows.select(F.sum(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))).first()[0]
+        rows = blocks.blocks(rows, count, d).persist()
+    else:
+        rows = dealt(rows, count).persist()
     centres, inertia = [c.copy() for c in begin], [float("inf")] * len(begin)
     live = list(range(len(begin)))
     for _ in range(max_iter + 1):
-        got = (rows.mapInArrow(_assigned(centres, live), "start long, s array<double>").groupBy("start")
+        step = _blocked(centres, live, d) if count > BLOCK_ROWS else _assigned(centres, live)
+        got = (rows.mapInArrow(step, "start long, s array<double>").groupBy("start")
                .agg(Summarizer.sum(array_to_vector("s")).alias("s")).collect())
         still = []
         for r in got:
             i, s = r["start"], np.asarray(r["s"].toArray())
             k, d = centres[i].shape
-            inertia[i] = float(s[0])
             n, sums = s[1:k + 1], s[k + 1:].reshape(k, d)
+            # over blocks: the squares of the rows plus n |c|^2 - 2 c.sum of each centre
+            inertia[i] = max(float(size + (n * (centres[i] ** 2).sum(axis=1)).sum() - 2 * (centres[i] * sums).sum()), 0.0) if count > BLOCK_ROWS else float(s[0])
             new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres[i])
             if ((new - centres[i]) ** 2).sum() > TOLERANCE:
                 centres[i] = new
@@ -137,6 +170,91 @@ def refined(rows: DataFrame, begin: list[np.ndarray], max_iter: int = 20, tol: f
     return list(zip(centres, inertia))
 
 
+def _labels(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Number of the nearest centre of each row (ties: the first), by the sums of ``nearest``."""
+    least, at = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+    for i, c in enumerate(centres):
+        gap = np.zeros(len(x))
+        for j, v in enumerate(c):
+            gap += (x[:, j] - v) * (x[:, j] - v)
+        at[gap < least] = i
+        np.minimum(least, gap, out=least)
+    return at
+
+
+def _columns(batch) -> np.ndarray:
+    return np.stack([np.asarray(c) for c in batch.columns], axis=1)
+
+
+def merged_small(sizes: np.ndarray, min_share: float) -> np.ndarray:
+    """The label that each centre's rows bear once those of small clusters bear the lowest-numbered one that is not
+    small (``segment.rebalance``)."""
+    own = np.arange(len(sizes))
+    valid = [i for i in own if 0 < sizes[i] >= int(sizes.sum() * min_share)]
+    return np.where((sizes > 0) & (sizes < int(sizes.sum() * min_share)), valid[0], own) if valid else own
+
+
+def silhouettes(rows: DataFrame, found: dict, min_share: float) -> dict:
+    """{key of ``found``: (label of each centre, rows of each label, silhouette)} of all clusterings of the rows (plain columns of
+    features, cached by the caller): labels and their sums in one pass, the mean silhouette by squared distances (as
+    Spark's ClusteringEvaluator has it) in a second. None in its place where one label is left."""
+    keys = list(found)
+    centres = [np.asarray(found[key][0]) for key in keys]
+
+    def sums(batches):
+        total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _columns(batch)
+            v = np.hstack([np.ones((len(x), 1)), x, (x ** 2).sum(axis=1)[:, None]])
+            got = []
+            for c in centres:
+                at = _labels(x, c)
+                got.append(((at[None, :] == np.arange(len(c))[:, None]).astype(float) @ v).ravel())
+            got = np.concatenate(got)
+            total = got if total is None else total + got
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"s": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+    d = len(rows.columns)
+    whole = np.sum([r["s"] for r in rows.mapInArrow(sums, "s array<double>").collect()], axis=0)
+    says, stats, begin = [], [], 0
+    for c in centres:
+        per = whole[begin:begin + len(c) * (d + 2)].reshape(len(c), d + 2)
+        begin += len(c) * (d + 2)
+        label = merged_small(per[:, 0], min_share)
+        says.append(label)
+        stats.append(np.stack([per[label == j].sum(axis=0) for j in range(len(c))]))
+
+    def score(batches):
+        total = np.zeros(len(centres))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _columns(batch)
+            size = (x ** 2).sum(axis=1)
+            for i, (c, label, per) in enumerate(zip(centres, says, stats)):
+                names = np.flatnonzero(per[:, 0])
+                if len(names) < 2:
+                    continue
+                n = per[names, 0]
+                far = size + (per[names, -1] / n)[:, None] - 2 * ((per[names, 1:-1] / n[:, None]) @ x.T)
+                at = np.searchsorted(names, label[_labels(x, c)])
+                line = np.arange(len(x))
+                own = far[at, line] * n[at] / np.maximum(n[at] - 1, 1)
+                far[at, line] = np.inf
+                other = far.min(axis=0)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    s = np.where(own < other, 1 - own / other, np.where(own > other, other / own - 1, 0.0))
+                total[i] += np.where(n[at] == 1, 0.0, s).sum()
+        yield pa.RecordBatch.from_pydict({"s": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+    score_sums = np.sum([r["s"] for r in rows.mapInArrow(score, "s array<double>").collect()], axis=0)
+    return {key: (says[i], stats[i][:, 0].astype(int), float(score_sums[i] / stats[i][:, 0].sum()) if (stats[i][:, 0] > 0).sum() > 1 else None)
+            for i, key in enumerate(keys)}
+
+
 def _distances(centres: list[np.ndarray]):
     """mapInArrow body: (start, centre, its rows, the sum of their distances to it) of a task's rows."""
     def run(batches):
@@ -176,8 +294,8 @@ def best_of(vec: DataFrame, ks: list[int], seeds: tuple[int, ...] = (42, 59, 76)
     return out
 
 
-def nearest(centres: np.ndarray, features: str = "features") -> Column:
-    """Number of the nearest centre (ties: the first)."""
-    x = vector_to_array(features)
+def nearest(centres: np.ndarray, features: str = "features", plain: list[str] | None = None) -> Column:
+    """Number of the nearest centre (ties: the first); of the columns ``plain`` where the features are such."""
+    x = [F.col(c) for c in plain] if plain else vector_to_array(features)
     gaps = F.array(*[sum(((x[j] - F.lit(float(v))) * (x[j] - F.lit(float(v))) for j, v in enumerate(c)), F.lit(0.0)) for c in centres])
     return (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")

@@ -25,8 +25,20 @@ def standardize(df: DataFrame, cols: list[str], key: str, min_rows: int = 10) ->
     """K2: median impute -> drop rows still null -> (x - mean) / sd_pop -> non-finite 0,
     assembled into a vector column ``features``. Returns (key, cols..., features), stats."""
     from pyspark.ml.feature import VectorAssembler
-    med = quantiles(df, cols, [0.5])
-    filled = df.select(key, *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(med[c][0])).alias(c) for c in cols])
+    zdf, stats = standardized(df, cols, key, min_rows)
+    if zdf is None:
+        return None, {}
+    vec = VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol="features").transform(zdf)
+    return vec.drop(*[f"z_{c}" for c in cols]), stats
+
+
+def standardized(df: DataFrame, cols: list[str], key: str, min_rows: int = 10) -> tuple[DataFrame | None, dict]:
+    """K2 as plain columns: (key, cols..., z_cols...), stats. Medians are taken only of columns with nulls: those of the others
+    would fill nothing."""
+    held = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{c}`").cast("double")).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    lacking = [c for i, c in enumerate(cols) if held[f"n{i}"] < held["n"]]
+    med = quantiles(df, lacking, [0.5]) if lacking else {}
+    filled = df.select(key, *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(med[c][0] if c in med else None)).alias(c) for c in cols])
     filled = filled.dropna(subset=cols)
     bs = basic_stats(filled, cols)
     if bs["__rows"] < min_rows:
@@ -35,9 +47,7 @@ def standardize(df: DataFrame, cols: list[str], key: str, min_rows: int = 10) ->
     sdp = {c: math.sqrt(cs[f"m2_{i}"] / bs[c]["n"]) if bs[c]["n"] else 0.0 for i, c in enumerate(cols)}
     z = [F.when(F.lit(sdp[c]) > 0, (F.col(c) - F.lit(bs[c]["mean"])) / F.lit(sdp[c] or 1.0)).otherwise(F.lit(0.0))
          .alias(f"z_{c}") for c in cols]
-    zdf = filled.select(key, *cols, *z)
-    vec = VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol="features").transform(zdf)
-    return vec.drop(*[f"z_{c}" for c in cols]), {"mean": {c: bs[c]["mean"] for c in cols}, "sd_pop": sdp}
+    return filled.select(key, *cols, *z), {"mean": {c: bs[c]["mean"] for c in cols}, "sd_pop": sdp}
 
 
 # ---------------------------------------------------------------- K6 / K7
@@ -149,14 +159,23 @@ def _silhouette(pred: DataFrame, label: str = "prediction") -> float:
 
 
 def kmeans_best(vec: DataFrame, k: int, seeds: tuple[int, ...] = (42, 59, 76), max_iter: int = 500,
-                min_share: float = 0.05, n_init: int = 15, found: dict | None = None) -> tuple[DataFrame | None, dict]:
+                min_share: float = 0.05, n_init: int = 15, found: dict | None = None, scored: dict | None = None,
+                plain: list[str] | None = None) -> tuple[DataFrame | None, dict]:
     """K3: k-means from ``n_init`` starts for each seed, all at once (lloyd.py), the least inertia of a seed's; each
     seed's labelling is rebalanced (K6) and rejected when fewer than k labels survive; the best silhouette wins (ties:
-    the first seed). ``found``: centres of ``lloyd.best_of`` where the caller has them. Returns (key, prediction)
-    frame and info."""
+    the first seed). ``found``: centres of ``lloyd.best_of`` where the caller has them, ``scored``: their
+    ``lloyd.silhouettes``, with the features in the columns ``plain``. Returns (key, prediction) frame and info."""
     found = found if found is not None else lloyd.best_of(vec, [k], seeds, n_init, max_iter)
     best, info = None, {"k": k, "silhouette": None, "seed": None, "method": "kmeans", "inertia": None}
     tried: dict = {}
+    if scored is not None:
+        for s in seeds:
+            label, sizes, sil = scored[k, s]
+            if (sizes > 0).sum() >= k and (info["silhouette"] is None or sil > info["silhouette"]):
+                says = F.array(*[F.lit(int(v)) for v in label])
+                best = vec.withColumn("prediction", F.element_at(says, lloyd.nearest(found[k, s][0], plain=plain) + 1).cast("int"))
+                info.update(silhouette=sil, seed=s, inertia=found[k, s][1])
+        return best, info
     for s in seeds:
         centres, cost = found[k, s]
         mark = tuple(sorted(tuple(round(float(v), 6) for v in c) for c in centres))
@@ -266,17 +285,16 @@ def axes_3d(vec: DataFrame, key: str, dims: int) -> DataFrame:
 def separated(points: DataFrame, key: str) -> DataFrame:
     """K9: (key, prediction, x, y, z) with each cluster moved 70% toward its point on a radius-8 sphere (angle
     2 pi i / k, elevation +-pi/4 alternating)."""
-    cents = points.groupBy("prediction").agg(*[F.avg(a).alias(f"c{a}") for a in "xyz"])
-    ids = sorted(r[0] for r in cents.select("prediction").collect())
+    found = {r["prediction"]: r for r in points.groupBy("prediction").agg(*[F.avg(a).alias(f"c{a}") for a in "xyz"]).collect()}
+    ids = sorted(found)
     k = len(ids)
     if k <= 1:
         return points.select(key, "prediction", "x", "y", "z")
     rows = []
     for i, c in enumerate(ids):
         ang, elev = 2 * math.pi * i / k, math.pi / 4 * (1 if i % 2 == 0 else -1)
-        rows.append((c, 8 * math.cos(ang) * math.cos(elev), 8 * math.sin(ang) * math.cos(elev), 8 * math.sin(elev)))
-    target = points.sparkSession.createDataFrame(rows, "prediction int, tx double, ty double, tz double")
-    off = cents.join(target, "prediction")
+        rows.append((c, *[found[c][f"c{a}"] for a in "xyz"], 8 * math.cos(ang) * math.cos(elev), 8 * math.sin(ang) * math.cos(elev), 8 * math.sin(elev)))
+    off = points.sparkSession.createDataFrame(rows, "prediction int, cx double, cy double, cz double, tx double, ty double, tz double")
     return (points.join(F.broadcast(off), "prediction")
             .select(key, "prediction", *[(F.col(a) + 0.7 * (F.col(f"t{a}") - F.col(f"c{a}"))).alias(a) for a in "xyz"]))
 
@@ -304,23 +322,52 @@ def dispersion(points: DataFrame) -> dict:
             "quality_3d": (min(vs) / max(vs)) if max(vs) > 0 else 0.0}
 
 
+def plane_axes(plain: DataFrame, key: str, z: list[str], vec: DataFrame) -> DataFrame:
+    """K8 for three variables or more as columns: the plain features ``z`` of a cached frame with the axes x, y, z of ``axes_3d``."""
+    from pyspark.ml.feature import PCA
+    pc = PCA(k=3, inputCol="features", outputCol="__pc").fit(vec).pc.toArray()
+    raw = [sum((F.col(c) * F.lit(float(pc[j, i])) for j, c in enumerate(z)), F.lit(0.0)) for i in range(3)]
+    ext = plain.agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(raw) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    out = []
+    for i, a in enumerate("xyz"):
+        lo, wide = ext[f"lo{i}"], ext[f"hi{i}"] - ext[f"lo{i}"]
+        out.append(((raw[i] - F.lit(lo)) / F.lit(wide) * 20 - 10 if wide > 0 else F.lit(0.0)).alias(a))
+    return plain.select(key, *z, *out)
+
+
 def sweep(df: DataFrame, cols: list[str], key: str, ks=(2, 3, 4, 5), seeds=(42, 59, 76),
-          gmm_below: float = 0.2, max_iter: int = 500, n_init: int = 15) -> tuple[DataFrame, DataFrame]:
+          gmm_below: float = 0.2, max_iter: int = 500, n_init: int = 15, unique: bool = False) -> tuple[DataFrame, DataFrame]:
     """K13 (+K3/K4/K5/K7/K12/K15/K16/K18): one clustering per k (skip when rows < max(3k, 10)), the starts of all
-    of them in the same passes.
+    of them in the same passes. ``unique``: the caller knows that no key is null or repeated, so on many rows axes and
+    labels are columns of the same frame and need no join.
     Returns (points (k, key, cluster, x, y, z), runs table)."""
-    vec, _ = standardize(df, cols, key)
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
+    zdf, _ = standardized(df, cols, key)
     spark = df.sparkSession
-    if vec is None:
+    if zdf is None:
         return None, spark.createDataFrame([], "k int")
-    vec = lloyd.dealt(vec, df.count()).persist()
-    n = vec.count()
+    n = df.count()
+    wide = unique and n > lloyd.BLOCK_ROWS and len(cols) >= 3
+    if wide:  # plain numbers: a vector a row takes three times the memory
+        z = [f"__z{i}" for i in range(len(cols))]
+        plain = lloyd.dealt(zdf.select(key, *[F.col(f"`z_{c}`").alias(v) for c, v in zip(cols, z)]), n).persist()
+        vec = plain.select(key, array_to_vector(F.array(*z)).alias("features"))
+        n = plain.count()
+    else:
+        vec = VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol="features").transform(zdf).drop(*[f"z_{c}" for c in cols])
+        vec = lloyd.dealt(vec, n).persist()
+        n = vec.count()
     runs, points = [], None
     ks = [k for k in ks if n >= max(3 * k, 10)]
     found = lloyd.best_of(vec, ks, tuple(seeds), n_init, max_iter) if ks else {}
-    axes = cut_lineage(axes_3d(vec, key, len(cols))) if ks else None
+    scored = lloyd.silhouettes(plain.select(*z), found, 0.05) if wide and ks else None
+    axes = None
+    if ks:
+        axes = plane_axes(plain, key, z, vec) if wide else cut_lineage(axes_3d(vec, key, len(cols)))
     for k in ks:
-        pred, info = kmeans_best(vec, k, tuple(seeds), max_iter, found=found)
+        pred, info = kmeans_best(vec if scored is None else axes.withColumn("features", array_to_vector(F.array(*z))), k, tuple(seeds), max_iter,
+                                 found=found, scored=scored, plain=z if wide else None)
         if pred is None or (info["silhouette"] is not None and info["silhouette"] < gmm_below):
             g = rebalance(gaussian_mixture(vec, k), "prediction", 0.05)
             if g.select("prediction").distinct().count() >= 2:  # two groups are enough once small ones are merged
@@ -331,10 +378,14 @@ def sweep(df: DataFrame, cols: list[str], key: str, ks=(2, 3, 4, 5), seeds=(42,
             pred, sil, method = last_resort(vec, key, len(cols), k)
             info = dict(info, method=method, silhouette=sil)
         sizes = validate(pred, "prediction").first()
-        joined = labelled_axes(pred, key, len(cols), axes).persist()  # centres and dispersion each read it
-        pts = separated(joined, key)
-        disp = dispersion(pts)
-        joined.unpersist()
+        if {"x", "y", "z"} <= set(pred.columns):  # labelled where the axes are
+            pts = separated(pred.select(key, "prediction", "x", "y", "z"), key)
+            disp = dispersion(pts)
+        else:
+            joined = labelled_axes(pred, key, len(cols), axes.select(key, "x", "y", "z")).persist()  # centres and dispersion each read it
+            pts = separated(joined, key)
+            disp = dispersion(pts)
+            joined.unpersist()
         runs.append((k, info["method"], info["silhouette"], sizes["min_size"], sizes["max_size"],
                      sizes["balance"], disp["dispersion"], disp["quality_3d"]))
         pred.unpersist()  # the labels of one k at a time; the points follow from the vectors and the centres
@@ -354,6 +405,6 @@ def chosen(runs: DataFrame) -> DataFrame:
 
 
 def attach_segment(df: DataFrame, labels: DataFrame, key: str, label_col: str = "cluster",
-                   out: str = "_EDA_SEGMENT") -> DataFrame:
-    """The segment label joins the rows by key (never by position)."""
-    return df.join(labels.select(key, F.col(label_col).alias(out)), key, "left")
+                   out: str = "_EDA_SEGMENT", also: tuple[str, ...] = ()) -> DataFrame:
+    """The segment label joins the rows by key (never by position), with the label's columns ``also``."""
+    return df.join(labels.select(key, F.col(label_col).alias(out), *also), key, "left")
