@@ -107,3 +107,10 @@ def test_medians_only_of_columns_with_nulls(spark, monkeypatch):
     K.standardized(df, ["a", "b"], "id")
     vec, _ = K.standardize(df.withColumn("b", F.when(F.col("id") > 20, F.col("b"))), ["a", "b"], "id")
     assert asked == [["b"]] and vec.count() == 600
+
+
+def test_segments_bring_their_points_in_one_join(spark):
+    df = spark.createDataFrame([(1, 5.0), (2, 6.0), (3, 7.0)], "id long, v double")
+    labels = spark.createDataFrame([(1, 0, 0.5, None), (3, 1, 0.0, 2.0)], "id long, cluster int, x double, y double")
+    got = {r["id"]: tuple(r)[2:] for r in K.attach_segment(df, labels, "id", also=("x", "y")).collect()}
+    assert got == {1: (0, 0.5, None), 2: (None, None, None), 3: (1, 0.0, 2.0)}
